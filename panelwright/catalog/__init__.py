@@ -1,0 +1,5 @@
+"""All registered queries."""
+
+from . import base_sql  # noqa: F401  (SQL pieces first)
+from . import aggregates, ingest, joins, news, portfolio, quality, regime, selection, timeseries  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401

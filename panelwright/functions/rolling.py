@@ -17,6 +17,7 @@ Widths of ``PREFIX_FROM`` rows and more use the prefix form.
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -127,54 +128,49 @@ def with_zscore(df: DataFrame, pairs: dict, width: int, least: int | None = None
 
 
 def with_ewm(df: DataFrame, pairs: dict, alpha: float, least: int = 1, by=("ticker",), order="date",
-             block: int = 256) -> DataFrame:
+             block: int | None = None) -> DataFrame:
     """Exponentially weighted means (unadjusted), gaps decaying the old weight.
 
     With ``g`` rows since the last value, the step is
     ``y = (d*y_prev + a*x) / (d + a)`` with ``d = (1-a)^g``, a linear recurrence.
-    It is solved by running products and sums inside blocks of rows, so that
-    neither overflows; the weight left from the block before is carried over
-    exactly, and chained through the blocks before that.
-    ``pairs``: output name -> source column.
+    It is solved by running products and sums inside blocks of rows, short
+    enough to keep both in range and exact; the state at the end of a block is carried
+    into the next ones. ``pairs``: output name -> source column.
     """
+    size = block or max(1, int(30.0 / abs(math.log(1.0 - alpha))))
     w = series(by, order)
     up = running(by, order)
-    df = df.withColumn("__row", F.row_number().over(w))
-    df = df.withColumn("__blk", F.floor((F.col("__row") - 1) / block))
-    in_block = Window.partitionBy(*by, "__blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
     names = list(pairs)
-    prev = {f"__p_{o}": F.last(F.when(F.col(c).isNotNull(), F.col("__row")), ignorenulls=True)
-            .over(w.rowsBetween(Window.unboundedPreceding, -1)) for o, c in pairs.items()}
-    df = df.withColumns(prev)
-    step = {}
+    df = df.withColumn("__row", F.row_number().over(w))
+    df = df.withColumns({f"__p_{o}": F.last(F.when(F.col(c).isNotNull(), F.col("__row")), ignorenulls=True)
+                        .over(earlier) for o, c in pairs.items()})
+    step = {"__blk": F.floor((F.col("__row") - 1) / size)}
     for o, c in pairs.items():
         d = F.pow(F.lit(1.0 - alpha), (F.col("__row") - F.col(f"__p_{o}")).cast("double"))
-        fresh = F.col(f"__p_{o}").isNull()
         seen = F.col(c).isNotNull()
-        step[f"__a_{o}"] = F.when(seen & ~fresh, F.log(d / (d + alpha))).when(seen, F.lit(0.0))
-        step[f"__b_{o}"] = F.when(seen & ~fresh, F.col(c) * alpha / (d + alpha)).when(seen, F.col(c))
+        later = seen & F.col(f"__p_{o}").isNotNull()
+        step[f"__a_{o}"] = F.when(later, F.log(d / (d + alpha))).when(seen, F.lit(0.0))
+        step[f"__b_{o}"] = F.when(later, F.col(c) * alpha / (d + alpha)).when(seen, F.col(c))
     df = df.withColumns(step)
+    in_block = Window.partitionBy(*by, "__blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumns({f"__g_{o}": F.coalesce(F.sum(f"__a_{o}").over(in_block), F.lit(0.0)) for o in names})
-    local = {}
-    for o, c in pairs.items():
-        inner = F.sum(F.col(f"__b_{o}") * F.exp(-F.col(f"__g_{o}"))).over(in_block)
-        local[f"__l_{o}"] = F.coalesce(F.exp(F.col(f"__g_{o}")) * inner, F.lit(0.0))
-        local[f"__k_{o}"] = F.count(c).over(up)
-    df = df.withColumns(local)
-    # the state at the end of each block: a few rows per series
-    ends = df.groupBy(*by, "__blk").agg(*[
-        F.max_by(F.struct(F.col(f"__g_{o}").alias("g"), F.col(f"__l_{o}").alias("l")), "__row").alias(f"__e_{o}")
-        for o in names])
-    before = Window.partitionBy(*by).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumns({
+        f"__l_{o}": F.exp(F.col(f"__g_{o}"))
+        * F.coalesce(F.sum(F.col(f"__b_{o}") * F.exp(-F.col(f"__g_{o}"))).over(in_block), F.lit(0.0))
+        for o in names})
+    # states at the ends of earlier blocks; empty for a series shorter than one block
+    closing = F.col("__row") % size == 0
     carry = {}
-    for o in names:
-        chain = F.collect_list(f"__e_{o}").over(before)
-        carry[f"__c_{o}"] = F.aggregate(chain, F.lit(0.0), lambda acc, e: F.exp(e.g) * acc + e.l)
-    ends = ends.select(*by, "__blk", *[v.alias(k) for k, v in carry.items()])
-    df = df.join(ends, [*by, "__blk"])
+    for o, c in pairs.items():
+        end = F.when(closing, F.struct(F.col(f"__g_{o}").alias("g"), F.col(f"__l_{o}").alias("l")))
+        carry[f"__e_{o}"] = F.collect_list(end).over(earlier)
+        carry[f"__k_{o}"] = F.count(c).over(up)
+    df = df.withColumns(carry)
     out = {}
     for o in names:
-        y = F.exp(F.col(f"__g_{o}")) * F.col(f"__c_{o}") + F.col(f"__l_{o}")
+        state = F.aggregate(F.col(f"__e_{o}"), F.lit(0.0), lambda acc, e: F.exp(e.g) * acc + e.l)
+        y = F.exp(F.col(f"__g_{o}")) * state + F.col(f"__l_{o}")
         out[o] = gated(y, F.col(f"__k_{o}"), max(least, 1))
     df = df.withColumns(out)
-    return df.drop("__row", "__blk", *[f"__{k}_{o}" for k in "pabglkc" for o in names])
+    return df.drop("__row", "__blk", *[f"__{k}_{o}" for k in "pabglek" for o in names])
