@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as X
 from ..operators import ingest as I, joins as J
 from ..plans import tables as T
-from ..session import new_folder
+from ..session import materialise, new_folder
 from ..sources import readers as R, sinks as K
 from .registry import part, pick, query
 from .selection import aliases
@@ -15,17 +15,17 @@ from .selection import aliases
 def s01(spark, sf):
     """Writes the role series as price files in two class folders and reads them back as a panel."""
     root = new_folder(spark, "prices")
-    rows = T.roles(spark, sf).where("role <> 'broad'").select(
+    rows = materialise(T.roles(spark, sf), "roles").select(
         "role", F.col("date").cast("timestamp_ntz").alias("Date"), *[F.col(c).alias(c.title()) for c in ("open", "high", "low", "close", "volume")])
-    for cls, cond in (("indices", "role <> 'gold'"), ("macro", "role = 'gold'")):
-        rows.where(cond).withColumnRenamed("role", "Ticker").write.partitionBy("Ticker").parquet(f"{root}/{cls}")
+    for role in T.ROLE_BY_TYPE.values():
+        cls = "macro" if role == "gold" else "indices"
+        rows.where(F.col("role") == role).withColumnRenamed("role", "Ticker").write.parquet(f"{root}/{cls}/{role}")
     spark.createDataFrame([], R.PRICES).write.parquet(f"{root}/stocks")
-    # the writer names files itself, so the series is its folder
-    panel = R.read_panel(spark, root)
+    # the writer names files itself; the folder tells which series a file holds
     files = spark.read.schema(R.PRICES).option("recursiveFileLookup", "true").parquet(f"{root}/indices", f"{root}/macro").select(
         F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.parquet$", 1).alias("ticker"),
-        F.regexp_extract(F.col("_metadata.file_path"), r"Ticker=([^/]+)/", 1).alias("role")).distinct()
-    return panel.join(files, "ticker").drop("ticker")
+        F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1).alias("role")).distinct()
+    return R.read_panel(spark, root).join(files, "ticker").drop("ticker")
 
 
 part("s02", "SELECT ticker, date, coalesce(open, NULL) AS open, CASE WHEN volume >= 40 THEN close END AS close, volume FROM b_panel")

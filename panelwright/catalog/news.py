@@ -94,7 +94,7 @@ def vowel_model():
         out = []
         for t in texts:
             share = sum(c in "aeiou" for c in t) / max(len(t), 1)
-            out.append(("negative" if share < 0.30 else "positive" if share > 0.38 else "neutral", round(share, 4)))
+            out.append(("negative" if share < 0.30 else "positive" if share > 0.38 else "neutral", share))
         return out
     return score
 
@@ -103,7 +103,7 @@ part("n04_in", "SELECT article_id, substr(trim(title || '. ' || description), 1,
 part("n04_v", "SELECT article_id, (length(t) - length(regexp_replace(t, '[aeiou]', '', 'g')))::DOUBLE / greatest(length(t), 1) AS share FROM n04_in")
 
 
-@query("N04_score_new", pick("n04_v", "article_id;finbert_label=CASE WHEN share < 0.30 THEN 'negative' WHEN share > 0.38 THEN 'positive' ELSE 'neutral' END", "finbert_score_raw=round(share, 4);"))
+@query("N04_score_new", pick("n04_v", "article_id;finbert_label=CASE WHEN share < 0.30 THEN 'negative' WHEN share > 0.38 THEN 'positive' ELSE 'neutral' END", "finbert_score_raw=share;"))
 def n04_new(spark, sf):
     a = normalised(spark, sf)
     seen = a.join(T.sentiment(spark, sf), "doc_id")

@@ -7,8 +7,8 @@ from ..plans import tables as T
 from .registry import part, pick, query
 
 TK = "PARTITION BY ticker ORDER BY date"
-# closes on a coarse grid give unchanged and zero prices; highs below lows come from swapping them on thin days
-part("q_in", "SELECT ticker, date, CASE WHEN volume < 30 THEN low ELSE high END AS high, CASE WHEN volume < 30 THEN high ELSE low END AS low, round(close / 4000) AS close, volume FROM b_panel")
+# closes on a coarse grid give unchanged prices; some days get a zero price, thin days a high below the low
+part("q_in", "SELECT ticker, date, CASE WHEN volume < 30 THEN low ELSE high END AS high, CASE WHEN volume < 30 THEN high ELSE low END AS low, CASE WHEN volume % 89 = 0 THEN 0 ELSE greatest(round(close / 4000), 1) END AS close, volume FROM b_panel")
 part("q_r", f"SELECT *, row_number() OVER ({TK}) - 1 AS i, lag(close) OVER ({TK}) AS prev, close / nullif(lag(close) OVER ({TK}), 0) - 1 AS ret FROM q_in")
 part("q_v", f"""SELECT *, CASE WHEN count(ret) OVER ({TK} ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) >= 60 THEN stddev_samp(ret) OVER ({TK} ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) END AS vol,
   CASE WHEN close = prev AND volume > 0 THEN 1 ELSE 0 END AS same FROM q_r""")
@@ -22,9 +22,8 @@ part("q06", " UNION ALL ".join(f"SELECT ticker, date, '{t}' AS type FROM q_f WHE
 def dirty(spark, sf):
     p = T.panel(spark, sf)
     thin = F.col("volume") < 30
-    # closes so far apart leave no full window of 60 returns past a zero price; the grid keeps most above it
     return p.select("ticker", "date", F.when(thin, F.col("low")).otherwise(F.col("high")).alias("high"),
-                    F.when(thin, F.col("high")).otherwise(F.col("low")).alias("low"), F.round(F.col("close") / 4000).alias("close"), "volume")
+                    F.when(thin, F.col("high")).otherwise(F.col("low")).alias("low"), F.when(F.col("volume") % 89 == 0, 0.0).otherwise(F.greatest(F.round(F.col("close") / 4000), F.lit(1.0))).alias("close"), "volume")
 
 
 def report(spark, sf, only=None):

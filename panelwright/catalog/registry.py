@@ -35,7 +35,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"{name} registered twice")
         QUERIES[name] = lambda spark, folder: tidy(fn(spark, folder))
         if sql is not None:
-            ORACLES[name] = build(sql)
+            ORACLES[name] = sql
         return fn
     return keep
 
