@@ -1,7 +1,7 @@
 """All registered queries."""
 
 from . import base_sql  # noqa: F401  (SQL pieces first)
-from . import aggregates, datasets, ingest, joins, news, performance, portfolio, quality, regime, selection, streams, timeseries  # noqa: F401
+from . import aggregates, datasets, ingest, joins, news, performance, portfolio, quality, regime, research, selection, streams, timeseries  # noqa: F401
 from .registry import ORACLES, QUERIES, build
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import joins as J
 from ..operators.timeseries import pct
 from ..plans import tables as T
+from ..plans.backtest import rebalances
 from .registry import part, pick, query
 
 
@@ -71,13 +72,6 @@ LEFT JOIN b_trades o ON o.date = d.prev_date AND o.ticker = t.ticker
 WHERE n.date IS NOT NULL OR o.date IS NOT NULL""")
 
 
-def rebalances(trades):
-    """Distinct dates with the one after; one row per day."""
-    from pyspark.sql import Window
-    days = trades.select("date").distinct()
-    return days.withColumn("next_date", F.lead("date").over(Window.partitionBy(F.lit(0)).orderBy("date")))
-
-
 @query("J09_weight_delta", pick("j09", "date ticker", "old_weight new_weight delta"))
 def j09(spark, sf):
     t = T.trade_log(spark, sf)

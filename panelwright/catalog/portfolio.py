@@ -3,10 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..operators import filters as S, joins as J, portfolio as P, timeseries as W, xsection as C
-from ..plans import tables as T
+from ..plans import backtest as BT, tables as T
 from ..session import materialise
-from . import selection
-from .joins import rebalances
 from .registry import part, pick, query
 from .selection import rank_sql, scored
 from .timeseries import with_ret
@@ -67,20 +65,10 @@ part("p_sh", """SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY s.dat
 COLS = "date, ticker, structure, fip, mom60, vol20"
 part("p_sleeves", f"""SELECT x.*, s.sector FROM (SELECT {COLS}, 'MOMENTUM' AS sleeve, round(long_score, 9) AS score FROM p_mom UNION ALL
   SELECT {COLS}, 'DEFENSIVE', round(defensive_score, 9) FROM p_def UNION ALL SELECT {COLS}, 'SHORT', round(short_score, 9) FROM p_sh) x JOIN b_sectors s ON s.ticker = x.ticker""")
-KEEP = ["date", "ticker", "structure", "fip", "mom60", "vol20"]
 
 
 def sleeves(spark, sf):
-    """The three selected sleeves, stored: every later step reads them."""
-    s = scored(spark, sf).withColumns({c: F.round(c, 9) for c in ("long_score", "short_score", "defensive_score")})
-    longs = C.top_k(s.where("mom60 > 0"), "long_score", P.LONG_NAMES)
-    defs = C.top_k(S.defensive_pool(s), "defensive_score", P.LONG_NAMES)
-    shorts = C.top_k(P.minus(s.where("mom60 < 0"), longs), "short_score", P.SHORT_NAMES)
-    rows = None
-    for name, df, col in (("MOMENTUM", longs, "long_score"), ("DEFENSIVE", defs, "defensive_score"), ("SHORT", shorts, "short_score")):
-        piece = df.select(*KEEP, F.lit(name).alias("sleeve"), F.col(col).alias("score"))
-        rows = piece if rows is None else rows.unionByName(piece)
-    return materialise(J.with_sector(rows, T.sectors(spark, sf)), "sleeves")
+    return BT.select_sleeves(scored(spark, sf), T.sectors(spark, sf))
 
 
 part("u04", "SELECT date, ticker FROM s_scored WHERE mom60 < 0 EXCEPT SELECT date, ticker FROM p_mom")
@@ -105,16 +93,15 @@ part("p07_t", """SELECT *, CASE WHEN gold_model = 'no_gold' THEN 1.0 WHEN transi
 part("p07", "SELECT *, CASE WHEN gold_model = 'no_gold' THEN 0.0 ELSE least(sb2, long_budget * 0.30) END AS short_budget FROM p07_t")
 
 
-def budgets(rows, spark, sf):
-    """Budgets per scenario and date. One row per scenario and day."""
-    counts = rows.groupBy("date").agg(F.count_if(F.col("sleeve") == "MOMENTUM").alias("long_count"), F.count_if(F.col("sleeve") == "SHORT").alias("short_count"))
-    g = T.weekly_regime(spark, sf).select("date", "regime", "regime_confidence", "vix", "breadth", "p_bear", "transition_risk")
-    return P.gross_budget(P.sweep(g.join(counts, "date"), SCENARIOS), short_gross=SHORTS)
+def staged(spark, sf):
+    """Stored sleeves and the stored budgets of all scenarios."""
+    rows = sleeves(spark, sf)
+    return rows, materialise(BT.budgets(rows, T.weekly_regime(spark, sf), SCENARIOS, SHORTS), "budgets")
 
 
 @query("P07_gross_budget", pick("p07", "scenario date", "long_budget short_budget"))
 def p07(spark, sf):
-    return budgets(sleeves(spark, sf), spark, sf).select("scenario", "date", "long_budget", "short_budget")
+    return staged(spark, sf)[1].select("scenario", "date", "long_budget", "short_budget")
 
 
 part("p08", """SELECT date, k, least(greatest(0.05 * k, 0.02), 0.05) AS s, least(greatest(0.25 * k, 0.12), 0.25) AS c FROM (
@@ -137,26 +124,9 @@ part("p09_b", f"SELECT *, mix * s / sum(s) OVER ({G}) + (1 - mix) * v / sum(v) O
 part("p09", f"SELECT *, blend / sum(blend) OVER ({G}) AS raw FROM p09_b")
 
 
-def sized(spark, sf):
-    rows = sleeves(spark, sf)
-    b = budgets(rows, spark, sf).select("scenario", "date", "gold_model", "long_budget", "short_budget", "p_bear", "vix")
-    df = rows.join(b, "date")
-    budget = (F.when(F.col("sleeve") == "MOMENTUM", P.MOMENTUM_SPLIT * F.col("long_budget"))
-              .when(F.col("sleeve") == "DEFENSIVE", (1 - P.MOMENTUM_SPLIT) * F.col("long_budget")).otherwise(F.col("short_budget")))
-    return df.withColumn("budget", F.when(F.col("sleeve") == "DEFENSIVE", 0.2 * F.col("long_budget")).otherwise(budget))
-
-
-X3 = ("scenario", "date", "sleeve")
-X2 = ("scenario", "date")
-
-
-def blended(spark, sf):
-    return P.blend_weights(sized(spark, sf), "score", F.when(F.col("sleeve") == "SHORT", 0.55).otherwise(0.60), X3)
-
-
 @query("P09_blend_weights", pick("p09", "scenario date sleeve ticker", "raw"))
 def p09(spark, sf):
-    return blended(spark, sf).select("scenario", "date", "sleeve", "ticker", "raw")
+    return BT.blended(*staged(spark, sf)).select("scenario", "date", "sleeve", "ticker", "raw")
 
 
 part("p10_r0", "SELECT *, 0.08 / greatest(1e-5, budget) AS cap, 0.25 / greatest(1e-5, budget) AS scap FROM p09")
@@ -169,13 +139,9 @@ for _i in range(1, 6):
     part(f"p10_r{_i}", f"SELECT * EXCLUDE (raw, mx, clip, c, nn, ss, k2, br), CASE WHEN max(br) OVER ({G}) > 0 THEN k2 / sum(k2) OVER ({G}) ELSE nn END AS raw FROM p10_s{_i}")
 
 
-def capped(spark, sf):
-    return P.cap_iterate(blended(spark, sf), "budget", 5, X3, F.col("sleeve") != "SHORT")
-
-
 @query("P10_cap_iterate", pick("p10_r5", "scenario date sleeve ticker sector", "raw"))
 def p10(spark, sf):
-    return capped(spark, sf).select("scenario", "date", "sleeve", "ticker", "sector", "raw")
+    return BT.capped(*staged(spark, sf)).select("scenario", "date", "sleeve", "ticker", "sector", "raw")
 
 
 part("p11", """SELECT *, budget * raw AS base_weight, (CASE WHEN sleeve = 'SHORT' THEN -1 ELSE 1 END) * least(0.10, budget * raw
@@ -183,13 +149,9 @@ part("p11", """SELECT *, budget * raw AS base_weight, (CASE WHEN sleeve = 'SHORT
    * CASE WHEN (sleeve = 'MOMENTUM' AND structure = 'VACUUM' AND fip > 0) OR (sleeve = 'SHORT' AND structure = 'TRAPPED' AND mom60 < 0) THEN 1.1 ELSE 1 END) AS weight FROM p10_r5""")
 
 
-def adjusted(spark, sf):
-    return P.adjust(capped(spark, sf))
-
-
 @query("P11_adjust", pick("p11", "scenario date sleeve ticker", "base_weight weight"))
 def p11(spark, sf):
-    return adjusted(spark, sf).select("scenario", "date", "sleeve", "ticker", "base_weight", "weight")
+    return P.adjust(BT.capped(*staged(spark, sf))).select("scenario", "date", "sleeve", "ticker", "base_weight", "weight")
 
 
 part("u02", """SELECT scenario, date, ticker, any_value(sector) AS sector, CASE WHEN bool_or(sleeve = 'SHORT') THEN sum(weight) FILTER (sleeve = 'SHORT') ELSE sum(weight) END AS weight,
@@ -199,13 +161,9 @@ part("u02", """SELECT scenario, date, ticker, any_value(sector) AS sector, CASE
    CASE WHEN bool_or(sleeve = 'SHORT') THEN 'SHORT' ELSE 'LONG' END AS side FROM p11 GROUP BY scenario, date, ticker""")
 
 
-def merged(spark, sf):
-    return P.merge_sleeves(adjusted(spark, sf), X2, ("score", "sector"))
-
-
 @query("U02_merge_sleeves", pick("u02", "scenario date ticker sleeve side", "weight base_weight score"))
 def u02(spark, sf):
-    return merged(spark, sf).select("scenario", "date", "ticker", "sleeve", "side", "weight", "base_weight", "score")
+    return BT.merged(*staged(spark, sf)).select("scenario", "date", "ticker", "sleeve", "side", "weight", "base_weight", "score")
 
 
 part("p12_w", """SELECT *, least(CASE gold_model WHEN 'no_gold' THEN 0.0 WHEN 'capped' THEN least((1 - long_budget) * p_bear, 0.20)
@@ -215,7 +173,7 @@ part("p12", "SELECT *, CASE WHEN w > 0.005 THEN w ELSE 0 END AS gold_weight FROM
 
 @query("P12_gold_sleeve", pick("p12", "scenario date", "gold_weight"))
 def p12(spark, sf):
-    return P.gold_weight(budgets(sleeves(spark, sf), spark, sf)).select("scenario", "date", "gold_weight")
+    return P.gold_weight(staged(spark, sf)[1]).select("scenario", "date", "gold_weight")
 
 
 part("p13_in", """SELECT scenario, date, ticker, side, sleeve, sector, weight, base_weight, score FROM u02 UNION ALL
@@ -225,10 +183,7 @@ part("p13", "SELECT * EXCLUDE (weight), CASE WHEN gw > 1 THEN w2 / gw ELSE w2 EN
 
 
 def book(spark, sf):
-    """The finished book of every scenario and date, stored for the accounting that reads it repeatedly."""
-    gold = P.gold_rows(P.gold_weight(budgets(sleeves(spark, sf), spark, sf)), X2)
-    both = merged(spark, sf).select(*gold.columns).unionByName(gold)
-    return materialise(P.book_caps(both, x=X2), "book")
+    return BT.book(*staged(spark, sf))
 
 
 @query("P13_book_caps", pick("p13", "scenario date ticker side", "weight"))
@@ -243,12 +198,16 @@ part("p14", "SELECT scenario, date, sum(abs(n - o)) AS turnover, sum(abs(n - o))
 
 
 def weeks(spark, sf):
-    return rebalances(T.weekly_regime(spark, sf))
+    return BT.rebalances(T.weekly_regime(spark, sf))
+
+
+def stored_book(spark, sf):
+    return materialise(book(spark, sf), "book")
 
 
 @query("P14_turnover_cost", pick("p14", "scenario date", "turnover friction_cost"))
 def p14(spark, sf):
-    return P.turnover_cost(J.weight_delta(book(spark, sf), weeks(spark, sf), ("scenario",)), x=X2)
+    return P.turnover_cost(J.weight_delta(stored_book(spark, sf), weeks(spark, sf), ("scenario",)), x=BT.BY_DATE)
 
 
 part("p15_px", "SELECT date, ticker, open FROM b_features")
@@ -257,19 +216,14 @@ part("p15", """SELECT b.*, e.open AS entry_price, x.open AS exit_price, CASE WHE
   LEFT JOIN p15_px x ON x.ticker = b.ticker AND x.date = d.next_date""")
 
 
-def booked(spark, sf):
-    b = book(spark, sf)
-    return b, P.forward_open_return(b, T.weekly_features(spark, sf), weeks(spark, sf))
-
-
 @query("P15_forward_open_return", pick("p15", "scenario date ticker", "entry_price exit_price fwd_return"))
 def p15(spark, sf):
-    return booked(spark, sf)[1].select("scenario", "date", "ticker", "entry_price", "exit_price", "fwd_return")
+    return P.forward_open_return(book(spark, sf), T.weekly_features(spark, sf), weeks(spark, sf)).select("scenario", "date", "ticker", "entry_price", "exit_price", "fwd_return")
 
 
 @query("P16_pnl", pick("p15", "scenario date ticker", "weight;fwd_return;gross_weight=abs(weight);gross_pnl=1e6 * weight * fwd_return;leverage_mult=abs(weight) / greatest(1e-9, base_weight)"))
 def p16(spark, sf):
-    return P.pnl(booked(spark, sf)[1]).select("scenario", "date", "ticker", "weight", "fwd_return", "gross_weight", "gross_pnl", "leverage_mult")
+    return BT.trades(book(spark, sf), T.weekly_features(spark, sf), weeks(spark, sf)).select("scenario", "date", "ticker", "weight", "fwd_return", "gross_weight", "gross_pnl", "leverage_mult")
 
 
 part("p16_w", """SELECT p.*, t.turnover, t.friction_cost FROM (SELECT scenario, date, sum(1e6 * weight * fwd_return) AS gross_pnl, sum(abs(weight)) AS gross_exposure,
@@ -277,9 +231,7 @@ part("p16_w", """SELECT p.*, t.turnover, t.friction_cost FROM (SELECT scenario,
 
 
 def weekly_book(spark, sf):
-    b, r = booked(spark, sf)
-    costs = P.turnover_cost(J.weight_delta(b, weeks(spark, sf), ("scenario",)), x=X2)
-    return P.weekly_book_returns(P.pnl(r), costs, x=X2)
+    return BT.weekly_returns(stored_book(spark, sf), T.weekly_features(spark, sf), weeks(spark, sf))
 
 
 @query("P16_weekly_returns", pick("p16_w", "scenario date", "gross_pnl;gross_exposure;net_exposure;turnover;friction_cost;net_pnl=gross_pnl - friction_cost;portfolio_return=(gross_pnl - friction_cost) / 1e6"))

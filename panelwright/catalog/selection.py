@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as X
 from ..operators import filters as S, joins as J, portfolio as P, xsection as C
 from ..plans import tables as T
-from ..session import materialise
+from ..plans.backtest import store_scores
 from .registry import part, pick, query
 
 ALIASES = [("broad", "n0", 1), ("risk", "N 7", 1), ("fear", "n-9", 2), ("gold", "N12", 1), ("gold", "missing", 2)]
@@ -93,9 +93,7 @@ part("s_scored", """SELECT *,
 
 
 def scored(spark, sf):
-    """The scored universe as a stored table: ranking and the pools read it several times."""
-    stored = materialise(T.weekly_features(spark, sf), "features")
-    return materialise(P.score(stored), "scored")
+    return store_scores(T.weekly_features(spark, sf))
 
 
 part("f_reg", "SELECT s.*, g.regime, g.transition_risk, g.suppression_score FROM s_scored s JOIN b_regime g ON g.date = s.date")
