@@ -99,12 +99,12 @@ def s08(spark, sf):
     return R.type_trades(o)
 
 
-@query("S09_sector_map", pick("b_sectors", "ticker sector"))
+@query("S09_sector_map", pick("customer", "ticker=c_name;sector=c_mktsegment"))
 def s09(spark, sf):
+    """Customers and their segments as one JSON object per line, read back as rows."""
     path = new_folder(spark, "sectors")
-    one = T.sectors(spark, sf).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("ticker", "sector")))).alias("value"))
-    one.write.text(path)
-    return R.read_sector_map(spark, path)
+    T.table(spark, sf, "customer").select(F.to_json(F.create_map("c_name", "c_mktsegment")).alias("value")).write.text(path)
+    return R.read_sector_map(spark, path, whole_file=False)
 
 
 @query("S10_json_array", pick("b_articles", "url;source;language", "", "n=length(title)"))
@@ -147,7 +147,13 @@ def s13(spark, sf):
     return I.resolve_alias(T.panel(spark, sf), aliases(spark))
 
 
-@query("S14_validate_registry")
+part("s14_in", """SELECT d.doc_id, split_part(text, chr(10), 1) AS title, CASE quality WHEN 1 THEN 'Established' WHEN 0 THEN 'Exploratory' ELSE 'Draft' END AS status, n_chars % 6 AS tier
+  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")
+part("s14", """SELECT doc_id::VARCHAR AS experiment_id, concat_ws('; ', CASE WHEN title = '' THEN 'missing title' END, CASE WHEN len(string_split(title, ' ')) < 2 THEN 'fewer than 2 hypotheses' END,
+  CASE WHEN status = 'Draft' THEN 'invalid status' END, CASE WHEN tier NOT IN (1, 2, 3, 4) THEN 'invalid tier' END) AS violations FROM s14_in""")
+
+
+@query("S14_validate_registry", pick("s14", "experiment_id violations"))
 def s14(spark, sf):
     """Documents as registry entries, written and read as JSON, with the rules they break."""
     path = new_folder(spark, "registry")
@@ -169,16 +175,17 @@ def s15(spark, sf):
     return I.heartbeat(T.weekly_regime(spark, sf), "bull")
 
 
-@query("S16_read_experiments")
+part("s16", """SELECT event_id::VARCHAR AS run, 'run' AS section, 'name' AS name, event_type AS value FROM events UNION ALL
+  SELECT event_id::VARCHAR, 'config', 'k', json_extract_string(props, '$.k') FROM events UNION ALL
+  SELECT event_id::VARCHAR, 'metrics', 'user', user_id::VARCHAR FROM events""")
+
+
+@query("S16_flatten_runs", pick("s16", "run section name value"))
 def s16(spark, sf):
-    """A run record per nation with nested settings, one JSON file each, in long form."""
-    path = new_folder(spark, "runs")
-    n = T.table(spark, sf, "nation")
-    record = F.to_json(F.struct(F.col("n_name").alias("name"), F.struct(F.col("n_regionkey").alias("region"), F.length("n_name").alias("width")).alias("config")))
-    n.repartition("n_nationkey").select("n_nationkey", record.alias("value")).write.partitionBy("n_nationkey").text(path)
-    text = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
-    body = text.select(F.explode(F.from_json("value", "map<string,string>")).alias("section", "body"))
-    return body.where("section = 'config'").select(F.explode(F.from_json("body", "map<string,string>")).alias("name", "value"))
+    """Events as run records: a name, nested settings and nested metrics."""
+    e = T.table(spark, sf, "events")
+    body = F.to_json(F.struct(F.col("event_type").alias("name"), F.from_json("props", "k int").alias("config"), F.struct(F.col("user_id").alias("user")).alias("metrics")))
+    return R.flatten_runs(e.select(F.col("event_id").cast("string").alias("run"), body.alias("body")))
 
 
 @query("X01_safe_name", pick("part", "name=lower(translate(p_name || ' - ' || p_brand, ' -', '__'))", "", "p_partkey"))
@@ -218,7 +225,7 @@ def x05(spark, sf):
     return T.table(spark, sf, "part").select(X.weighted_sum({"p_size": 1.5, "p_retailprice": 0.25}).alias("points"), "p_partkey")
 
 
-@query("X06_article_text", pick("b_articles", "text=substr(trim(title || '. ' || description), 1, 512)", "", "doc_id"))
+@query("X06_article_text", pick("b_articles", "text=trim(title || '. ' || description)", "", "doc_id"))
 def x06(spark, sf):
     return T.articles(spark, sf).select(X.article_text("title", "description").alias("text"), "doc_id")
 

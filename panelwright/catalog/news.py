@@ -99,7 +99,7 @@ def vowel_model():
     return score
 
 
-part("n04_in", "SELECT article_id, substr(trim(title || '. ' || description), 1, 512) AS t FROM n01 WHERE article_id NOT IN (SELECT article_id FROM n_scores)")
+part("n04_in", "SELECT article_id, trim(title || '. ' || description) AS t FROM n01 WHERE article_id NOT IN (SELECT article_id FROM n_scores)")
 part("n04_v", "SELECT article_id, (length(t) - length(regexp_replace(t, '[aeiou]', '', 'g')))::DOUBLE / greatest(length(t), 1) AS share FROM n04_in")
 
 

@@ -1,5 +1,8 @@
 """Queries W28-W31, W37-W39, M01-M13 and B01-B06."""
 
+import math
+from statistics import NormalDist
+
 from pyspark.sql import functions as F
 
 from ..operators import filters as S, joins as J, performance as M, resampling as B, timeseries as W
@@ -76,7 +79,18 @@ def w37(spark, sf):
     return M.cusum_breaks(alphas(spark, sf), 1)
 
 
-@query("W37_cusum_three")
+# three rounds: each open segment is split at its peak, the break row itself left out
+part("w37_s0", "SELECT strategy, date, a, 1 AS seg FROM w37_a")
+for _l in range(3):
+    part(f"w37_k{_l}", f"SELECT *, abs(sum(a - m) OVER (PARTITION BY strategy, seg ORDER BY date)) AS cs FROM (SELECT *, avg(a) OVER (PARTITION BY strategy, seg) AS m, "
+                       f"count(*) OVER (PARTITION BY strategy, seg) AS n FROM w37_s{_l}) WHERE n >= 30")
+    part(f"w37_b{_l}", f"SELECT strategy, seg, date AS bd, cs, {_l} AS lvl FROM w37_k{_l} QUALIFY row_number() OVER (PARTITION BY strategy, seg ORDER BY round(cs, 12) DESC, date) = 1")
+    part(f"w37_s{_l + 1}", f"SELECT s.strategy, s.date, s.a, s.seg * 2 + (s.date > b.bd)::INT AS seg FROM w37_s{_l} s JOIN w37_b{_l} b ON b.strategy = s.strategy AND b.seg = s.seg WHERE s.date <> b.bd")
+part("w37_all", "SELECT * FROM (SELECT * FROM w37_b0 UNION ALL SELECT * FROM w37_b1 UNION ALL SELECT * FROM w37_b2) QUALIFY row_number() OVER (PARTITION BY strategy ORDER BY lvl, seg) <= 3")
+part("w37_three", "SELECT strategy, bd, cs, row_number() OVER (PARTITION BY strategy ORDER BY cs DESC, bd) AS place FROM w37_all")
+
+
+@query("W37_cusum_three", pick("w37_three", "strategy;break_date=bd", "score=cs", "place"))
 def w37_three(spark, sf):
     return M.cusum_breaks(materialise(alphas(spark, sf), "alphas"), 3)
 
@@ -229,12 +243,15 @@ def b02(spark, sf):
 
 part("b02_s", "SELECT strategy, n, sharpe, skew, kurt FROM mx")
 part("b02_v", "SELECT a.strategy, var_pop(b.sharpe) AS v FROM b02_s a JOIN b02_s b ON b.strategy <> a.strategy GROUP BY a.strategy")
-B02Z = "(0.4227843351 * 2.0537489106318225 + 0.5772156649 * 2.441500563)"
+# expected best of 50 chance results, from the normal quantile
+B02Z = (1 - B.EULER) * NormalDist().inv_cdf(1 - 1 / 50) + B.EULER * NormalDist().inv_cdf(1 - 1 / (50 * math.e))
+part("b02_t", f"""SELECT s.*, sqrt(v / 52) * {B02Z} * sqrt(52) AS sr0, (sharpe / sqrt(52) - sqrt(v / 52) * {B02Z})
+   / sqrt((1 - skew * sharpe / sqrt(52) + (kurt + 2) / 4 * sharpe * sharpe / 52) / (n - 1.0)) AS t_stat FROM b02_s s JOIN b02_v v ON v.strategy = s.strategy""")
 
 
-@query("B02_deflated_inputs", pick("b02_s s JOIN b02_v v ON v.strategy = s.strategy", "strategy=s.strategy", "ann_sharpe=sharpe;skew=skew;kurt=kurt", "n=n"))
+@query("B02_deflated_inputs", pick("b02_t", "strategy", "ann_sharpe=sharpe;skew;kurt;sr0;t_stat", "n"))
 def b02_inputs(spark, sf):
-    return B.deflated_sharpe(T.weekly_returns(spark, sf)).select("strategy", "ann_sharpe", "skew", "kurt", "n")
+    return B.deflated_sharpe(T.weekly_returns(spark, sf)).drop("dsr")
 
 
 part("b03_common", "SELECT strategy, date, portfolio_return AS x, row_number() OVER (PARTITION BY strategy ORDER BY date) - 1 AS pos, count(*) OVER (PARTITION BY strategy) AS n FROM j12")

@@ -221,9 +221,9 @@ def p15(spark, sf):
     return P.forward_open_return(book(spark, sf), T.weekly_features(spark, sf), weeks(spark, sf)).select("scenario", "date", "ticker", "entry_price", "exit_price", "fwd_return")
 
 
-@query("P16_pnl", pick("p15", "scenario date ticker", "weight;fwd_return;gross_weight=abs(weight);gross_pnl=1e6 * weight * fwd_return;leverage_mult=abs(weight) / greatest(1e-9, base_weight)"))
+@query("P16_pnl", pick("p15", "scenario date ticker", "weight;fwd_return;gross_weight=abs(weight);pnl_share=weight * fwd_return;leverage_mult=abs(weight) / greatest(1e-9, base_weight)"))
 def p16(spark, sf):
-    return BT.trades(book(spark, sf), T.weekly_features(spark, sf), weeks(spark, sf)).select("scenario", "date", "ticker", "weight", "fwd_return", "gross_weight", "gross_pnl", "leverage_mult")
+    return BT.trades(book(spark, sf), T.weekly_features(spark, sf), weeks(spark, sf)).select("scenario", "date", "ticker", "weight", "fwd_return", "gross_weight", (F.col("gross_pnl") / 1e6).alias("pnl_share"), "leverage_mult")
 
 
 part("p16_w", """SELECT p.*, t.turnover, t.friction_cost FROM (SELECT scenario, date, sum(1e6 * weight * fwd_return) AS gross_pnl, sum(abs(weight)) AS gross_exposure,
@@ -234,9 +234,10 @@ def weekly_book(spark, sf):
     return BT.weekly_returns(stored_book(spark, sf), T.weekly_features(spark, sf), weeks(spark, sf))
 
 
-@query("P16_weekly_returns", pick("p16_w", "scenario date", "gross_pnl;gross_exposure;net_exposure;turnover;friction_cost;net_pnl=gross_pnl - friction_cost;portfolio_return=(gross_pnl - friction_cost) / 1e6"))
+@query("P16_weekly_returns", pick("p16_w", "scenario date", "gross_share=gross_pnl / 1e6;gross_exposure;net_exposure;turnover;friction_cost;portfolio_return=(gross_pnl - friction_cost) / 1e6"))
 def p16_weekly(spark, sf):
-    return weekly_book(spark, sf)
+    """P&L as a share of capital."""
+    return weekly_book(spark, sf).withColumn("gross_share", F.col("gross_pnl") / 1e6).drop("gross_pnl", "net_pnl")
 
 
 part("p17_b", "SELECT date, ticker, side, weight FROM b_trades WHERE weight > 0.05")
@@ -249,7 +250,21 @@ def p17(spark, sf):
     return P.with_cash_rows(t, T.weekly_regime(spark, sf))
 
 
-@query("P18_rank_buffer")
+part("p18_c", """SELECT 'momentum' AS scenario, date, ticker, round(long_score, 9) AS score FROM s_scored WHERE mom60 > 0
+   UNION ALL SELECT 'defensive', date, ticker, round(defensive_score, 9) FROM s_scored WHERE mom60 > 0""")
+# the walk in SQL keeps the held names as a list and steps from date to date
+STEP = """CASE WHEN len(list_filter(names[1:12], lambda x: list_contains(held, x))) >= 8 THEN list_filter(names[1:12], lambda x: list_contains(held, x))[1:8]
+   ELSE list_concat(list_filter(names[1:12], lambda x: list_contains(held, x)),
+     list_filter(names, lambda x: NOT list_contains(held, x))[1:8 - len(list_filter(names[1:12], lambda x: list_contains(held, x)))]) END"""
+part("p18_d", "SELECT scenario, date, list(ticker ORDER BY score DESC, ticker) AS names, row_number() OVER (PARTITION BY scenario ORDER BY date) AS i FROM p18_c GROUP BY scenario, date")
+part("p18_walk", f"""SELECT scenario, date, i, names[1:8] AS held FROM p18_d WHERE i = 1
+   UNION ALL SELECT scenario, date, i, {STEP} FROM (SELECT n.scenario, n.date, n.i, n.names, w.held FROM p18_walk w JOIN p18_d n ON n.scenario = w.scenario AND n.i = w.i + 1)""")
+part("p18_h", "SELECT scenario, date, unnest(held) AS ticker FROM p18_walk")
+part("p18", """SELECT h.*, c.score, c.place FROM p18_h h JOIN (SELECT *, row_number() OVER (PARTITION BY scenario, date ORDER BY score DESC, ticker) AS place FROM p18_c) c
+   ON c.scenario = h.scenario AND c.date = h.date AND c.ticker = h.ticker""")
+
+
+@query("P18_rank_buffer", pick("p18", "scenario date ticker", "score", "place"))
 def p18(spark, sf):
     """Held names of two universes of scores, walked week by week."""
     s = scored(spark, sf).where("mom60 > 0").withColumn("long_score", F.round("long_score", 9))
@@ -267,11 +282,12 @@ part("p19", """SELECT a.date, a.ticker AS ticker_i, b.ticker AS ticker_j, covar_
 
 
 def selected_past(spark, sf, names=10, window=60):
-    df = W.pct(with_ret(spark, sf), "close", 60, "mom60")
-    df = J.trailing_values(df, "ret", window)
+    """Each week's best names with the returns before it."""
+    df = materialise(W.pct(with_ret(spark, sf), "close", 60, "mom60").select("ticker", "date", "idx", "ret", "mom60"), "returns")
     weeks_ = W.rebalance_dates(T.trading_days(spark, sf)).select("date")
     weekly = df.join(F.broadcast(weeks_), "date", "left_semi").where("mom60 IS NOT NULL")
-    return C.top_k(weekly.select("date", "ticker", "mom60", "past"), "mom60", names)
+    best = C.top_k(weekly.select("date", "ticker", "idx", "mom60"), "mom60", names)
+    return J.trailing_values(best, df, "ret", window)
 
 
 @query("J14_trailing_pairs", pick("p19", "date ticker_i ticker_j", "cov"))
@@ -297,12 +313,25 @@ def p19_sample(spark, sf):
     return P.covariance(selected_past(spark, sf), "sample")
 
 
-@query("P19_covariance_ewma")
+part("p19_w", "SELECT r.*, pow(1 - 2 / 64.0, max(idx) OVER (PARTITION BY date) - idx) AS w FROM p19_r r")
+part("p19_wm", "SELECT *, sum(w * ret) OVER (PARTITION BY date, ticker) / sum(w) OVER (PARTITION BY date, ticker) AS m FROM p19_w")
+part("p19_ewm", """SELECT a.date, a.ticker AS ticker_i, b.ticker AS ticker_j, sum(a.w * (a.ret - a.m) * (b.ret - b.m)) / sum(a.w) * (pow(sum(a.w), 2) / (pow(sum(a.w), 2) - sum(a.w * a.w)))
+   + CASE WHEN a.ticker = b.ticker THEN 1e-4 ELSE 0 END AS cov FROM p19_wm a JOIN p19_wm b ON b.date = a.date AND b.idx = a.idx AND a.ticker <= b.ticker GROUP BY a.date, a.ticker, b.ticker""")
+
+
+@query("P19_covariance_ewma", pick("p19_ewm", "date ticker_i ticker_j", "cov"))
 def p19_ewma(spark, sf):
     return P.covariance(selected_past(spark, sf), "ewma")
 
 
-@query("P19_covariance_ledoit_wolf")
+part("p19_q", "SELECT date, sum(q * q) AS q4, any_value(n) AS n FROM (SELECT date, idx, sum(x * x) AS q, any_value(n) AS n FROM p19_dm GROUP BY date, idx) GROUP BY date")
+part("p19_lwd", """SELECT t.date, t.n, t.p, t.mu, (t.a * t.p * t.p - 2 * t.mu * t.mu * t.p + t.p * t.mu * t.mu) / t.p AS d, (q.q4 / t.n - t.a * t.p * t.p) / (t.p * t.n) AS b
+   FROM p19_st t JOIN p19_q q ON q.date = t.date""")
+part("p19_lw", """SELECT s.date, i, j, (1 - rho) * s + CASE WHEN i = j THEN rho * mu + 1e-4 ELSE 0 END AS cov FROM p19_s s
+   JOIN (SELECT *, CASE WHEN d = 0 THEN 0 ELSE least(b, d) / d END AS rho FROM p19_lwd) r ON r.date = s.date WHERE i <= j""")
+
+
+@query("P19_covariance_ledoit_wolf", pick("p19_lw", "date;ticker_i=i;ticker_j=j", "cov"))
 def p19_lw(spark, sf):
     return P.covariance(selected_past(spark, sf), "ledoit_wolf")
 
@@ -315,15 +344,15 @@ def p20(spark, sf):
     return P.mean_variance(sel, "oas")
 
 
-part("p21", "SELECT scenario, sum(net_pnl) AS pnl, avg(turnover) AS turnover, avg(gross_exposure) AS gross, stddev_samp(r) AS sd, count(*) AS weeks FROM "
+part("p21", "SELECT scenario, sum(r) AS pnl_share, avg(turnover) AS turnover, avg(gross_exposure) AS gross, stddev_samp(r) AS sd, count(*) AS weeks FROM "
      "(SELECT *, gross_pnl - friction_cost AS net_pnl, (gross_pnl - friction_cost) / 1e6 AS r FROM p16_w) GROUP BY scenario")
 
 
-@query("P21_sweep", pick("p21", "scenario", "pnl turnover gross sd", "weeks"))
+@query("P21_sweep", pick("p21", "scenario", "pnl_share turnover gross sd", "weeks"))
 def p21(spark, sf):
     """Exposure modes and gold models side by side, from scores to weekly returns in one plan."""
     w = weekly_book(spark, sf)
-    return w.groupBy("scenario").agg(F.sum("net_pnl").alias("pnl"), F.avg("turnover").alias("turnover"), F.avg("gross_exposure").alias("gross"),
+    return w.groupBy("scenario").agg(F.sum("portfolio_return").alias("pnl_share"), F.avg("turnover").alias("turnover"), F.avg("gross_exposure").alias("gross"),
                                      F.stddev_samp("portfolio_return").alias("sd"), F.count("*").alias("weeks"))
 
 

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from ..operators import quality as Q
 from ..plans import tables as T
+from ..session import new_folder
+from ..sources.readers import PRICES
 from .registry import part, pick, query
 
 TK = "PARTITION BY ticker ORDER BY date"
@@ -30,10 +32,15 @@ def report(spark, sf, only=None):
     return Q.anomalies(dirty(spark, sf), only, flat=4, sigmas=3.0)
 
 
-@query("Q01_check_files")
+@query("Q01_check_files", "SELECT 'b' AS folder, 'MISSING_COLUMNS' AS type, 'Missing column Volume' AS msg")
 def q01(spark, sf):
-    """The given tables as price files: every one lacks the price columns."""
-    return Q.check_files(spark, [f"{sf}/{t}.parquet" for t in ("lineitem", "orders", "events", "missing")])
+    """The panel as price files in two folders, one of them without its volume column."""
+    root = new_folder(spark, "files")
+    p = T.panel(spark, sf).select(F.col("date").cast("timestamp_ntz").alias("Date"), *[F.col(c).alias(c.title()) for c in ("open", "high", "low", "close", "volume")])
+    p.write.parquet(f"{root}/a")
+    p.drop("Volume").write.parquet(f"{root}/b")
+    found = Q.check_files(spark, [f"{root}/a", f"{root}/b"], PRICES)
+    return found.select(F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("folder"), "type", "msg").distinct()
 
 
 for _id, _kinds in {"Q02_flatlined": ["FLATLINED_CLOSE"], "Q03_return_outlier": ["RETURN_VOL_OUTLIER"], "Q04_discontinuity": ["PRICE_DISCONTINUITY"],

@@ -51,7 +51,7 @@ def ranked_weeks(spark, sf):
     return materialise(C.top_k(s.select("scenario", "date", "ticker", "score"), "score", 16, ("scenario", "date"), rank="place"), "ranked")
 
 
-@query("ST3_rank_buffer_stream")
+@query("ST3_rank_buffer_stream", pick("p18", "scenario date ticker", "score", "place", "scenario = 'momentum'"))
 def st3(spark, sf):
     """Candidates fed in two runs; the second goes on with the names the first one held."""
     rows = ranked_weeks(spark, sf)
@@ -75,7 +75,12 @@ def st4(spark, sf):
     return spark.read.parquet(out).select("date", "regime", "p_bull", "p_chop", "p_bear")
 
 
-@query("ST5_news_window")
+part("st5", """SELECT CAST(published_at AS DATE) AS date, count(*) AS article_count, avg(sentiment_score) AS avg_sentiment, avg((finbert_label = 'negative')::INT) AS negative_share,
+  avg((finbert_label = 'positive')::INT) AS positive_share, """ + ", ".join(f"sum(topic_{t}) AS {t}_count" for t in A.TOPICS) + """ FROM n_scores GROUP BY 1
+  HAVING CAST(published_at AS DATE) + 1 <= (SELECT max(published_at) FROM n_scores) - INTERVAL 2 HOUR""")
+
+
+@query("ST5_news_window", pick("st5", "date", "avg_sentiment negative_share positive_share", "article_count " + " ".join(f"{t}_count" for t in A.TOPICS)))
 def st5(spark, sf):
     """Scored articles as a stream into daily windows; the last day stays open until later news closes it."""
     from .news import scored_articles
@@ -84,4 +89,4 @@ def st5(spark, sf):
     rows.write.parquet(source)
     stream = spark.readStream.schema(rows.schema).parquet(source)
     ST.run_to_end(ST.news_window(stream, topics=A.TOPICS), out, new_folder(spark, "ckpt"))
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).drop("source_dispersion")  # an estimate

@@ -48,8 +48,8 @@ def weighted_sum(weights: dict) -> Column:
 
 
 # X06
-def article_text(title, body, max_chars: int | None = 512) -> Column:
-    """``title. body`` as model input; the cut is the model's input length."""
+def article_text(title, body, max_chars: int | None = None) -> Column:
+    """``title. body`` as model input, whole unless a model with a limited input asks for a cut."""
     text = F.trim(F.concat(F.coalesce(_c(title), F.lit("")), F.lit(". "), F.coalesce(_c(body), F.lit(""))))
     return text if max_chars is None else F.substring(text, 1, max_chars)
 

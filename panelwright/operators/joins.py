@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.rolling import series
-
 
 def calendar(df: DataFrame, date: str = "date") -> DataFrame:
     """Distinct dates in order with their position from 0. One row per day, so always small."""
@@ -163,8 +161,15 @@ def in_interval(df: DataFrame, iv: DataFrame, state: str = "regime", by=()) -> D
 
 
 # J14
-def trailing_values(df: DataFrame, value: str, window: int = 252, by=("ticker",), out: str = "past") -> DataFrame:
-    """The ``window`` values before each row as one array, NULL as 0; kept on the row, so that
-    pairs of names can be formed for chosen dates without joining the panel with itself."""
-    w = series(by, "date").rowsBetween(-window, -1)
-    return df.withColumn(out, F.collect_list(F.coalesce(F.col(value), F.lit(0.0))).over(w))
+def trailing_values(selected: DataFrame, panel: DataFrame, value: str, window: int = 252, by=("ticker",), out: str = "past") -> DataFrame:
+    """The ``window`` panel rows before each selected row as one array, NULL as 0.
+
+    Only the rows a selection needs are looked up, by series and calendar
+    position, so the cost follows the selection and the panel is not joined
+    with itself. Pairs of names are formed later, within one date's selection.
+    """
+    keys = [*by, "date"]
+    need = selected.select(*keys, F.explode(F.sequence(F.greatest(F.col("idx") - window, F.lit(0)), F.col("idx") - 1)).alias("idx"))
+    rows = need.join(panel.select(*by, "idx", F.coalesce(F.col(value), F.lit(0.0)).alias("__v")), [*by, "idx"])
+    past = rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "__v"))), lambda s: s["__v"]).alias(out))
+    return selected.join(past, keys)

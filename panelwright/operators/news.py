@@ -33,13 +33,14 @@ def normalise_articles(df: DataFrame, lexicon: dict, weights: dict, force_india:
     """
     text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("description", F.lit("")))
     url = F.coalesce("url", F.lit(""))
-    out = df.where(F.col("published_at").isNotNull()).withColumns({
-        "url": url, "domain": url_host(url), "url_hash": text_id(url),
-        "is_india": F.lit(1) if force_india else keyword_hit(text, lexicon["india"]).cast("int"),
+    # one article per URL first, so that repeats are not searched for words
+    known = df.where(F.col("published_at").isNotNull()).withColumns({"url": url, "url_hash": text_id(url)})
+    out = keep_last(known, ["url_hash"], order).withColumns({
+        "domain": url_host("url"), "is_india": F.lit(1) if force_india else keyword_hit(text, lexicon["india"]).cast("int"),
         **{f"topic_{t}": keyword_hit(text, lexicon[t]).cast("int") for t in TOPICS}})
     out = out.withColumn("article_id", F.col("url_hash"))
     points = {("is_india" if k == "india" else f"topic_{k}"): v for k, v in weights.items()}
-    return keep_last(out.withColumn("relevance_score", weighted_sum(points)), ["url_hash"], order)
+    return out.withColumn("relevance_score", weighted_sum(points))
 
 
 # N03
@@ -61,7 +62,7 @@ def label_columns(df: DataFrame, model: str = "", now=None) -> DataFrame:
 
 
 def score_new(articles: DataFrame, seen: DataFrame, load: Callable[[], Callable[[list[str]], list[tuple[str, float]]]],
-              model: str = "", batch: int = 16, max_chars: int | None = 512, now=None) -> DataFrame:
+              model: str = "", batch: int = 16, max_chars: int | None = None, now=None) -> DataFrame:
     """Runs a text model over the articles not scored yet.
 
     ``load`` is called once per task and returns a function from texts to

@@ -11,27 +11,23 @@ REQUIRED = ("Open", "High", "Low", "Close", "Volume")
 
 
 # Q01
-def missing_columns(columns, ticker: str, required=REQUIRED) -> tuple | None:
-    """The report row of a file whose header lacks a column (the first missing one), or None."""
-    have = {c.lower() for c in columns}
-    for c in required:
-        if c.lower() not in have:
-            return (ticker, "N/A", "MISSING_COLUMNS", f"Missing column {c}")
-    return None
-
-
-def check_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Report rows for files that cannot be read or lack a column. Only footers are read."""
-    found = []
-    for path in paths:
-        ticker = path.rsplit("/", 1)[-1].removesuffix(".parquet")
-        try:
-            row = missing_columns(spark.read.parquet(path).columns, ticker)
-        except Exception as e:
-            row = (ticker, "N/A", "LOAD_ERROR", f"Failed to load: {str(e).splitlines()[0][:200]}")
-        if row:
-            found.append(row)
-    return spark.createDataFrame(found, "ticker string, date string, type string, msg string")
+def check_files(spark: SparkSession, folders: list[str], schema, required=REQUIRED) -> DataFrame:
+    """Report rows for files without a readable row, or without any value in a required column (the first such).
+
+    The file list comes from the file system alone; the columns are counted in
+    one pass over the data. No file is opened on the driver.
+    """
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(folders).select("path")
+    rows = spark.read.schema(schema).option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true").parquet(*folders)
+    counts = rows.groupBy(F.col("_metadata.file_path").alias("__p")).agg(*[F.count(c).alias(f"__n_{c}") for c in required])
+    name = lambda c: F.regexp_replace(F.col(c), "^file:/+", "/")
+    df = listed.select(name("path").alias("path")).join(counts.withColumn("path", name("__p")), "path", "left")
+    lack = F.coalesce(*[F.when(F.col(f"__n_{c}") == 0, F.lit(c)) for c in required])
+    unread = F.col("__p").isNull()
+    ticker = F.regexp_extract("path", r"([^/]+)\.parquet$", 1)
+    kind = F.when(unread, "LOAD_ERROR").when(lack.isNotNull(), "MISSING_COLUMNS")
+    msg = F.when(unread, "Failed to load any row").otherwise(F.concat(F.lit("Missing column "), lack))
+    return df.select(ticker.alias("ticker"), F.lit("N/A").alias("date"), kind.alias("type"), msg.alias("msg"), "path").where("type IS NOT NULL")
 
 
 def prepare(panel: DataFrame, by=("ticker",), vol_rows: int = 60) -> DataFrame:

@@ -28,7 +28,10 @@ def store_scores(features: DataFrame) -> DataFrame:
 
 
 def select_sleeves(scored: DataFrame, sectors: DataFrame) -> DataFrame:
-    """Best longs, best defensive names and shorts that are no longs, with their sector; stored."""
+    """Best longs, best defensive names and shorts that are no longs, with their sector; stored.
+
+    Scores count to nine places, so that equal ones tie whatever the order of summation.
+    """
     s = scored.withColumns({c: F.round(c, 9) for c in ("long_score", "short_score", "defensive_score")})
     longs = C.top_k(s.where("mom60 > 0"), "long_score", P.LONG_NAMES)
     defs = C.top_k(S.defensive_pool(s), "defensive_score", P.LONG_NAMES)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..operators.joins import calendar
+from ..session import materialise
 
 ROLE_BY_TYPE = {"ECONOMY": "risk", "STANDARD": "fear", "SMALL": "usd", "PROMO": "us10y", "MEDIUM": "gold"}
 
@@ -76,8 +77,9 @@ def broad(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def trading_days(spark: SparkSession, folder: str) -> DataFrame:
-    """The calendar: days with a trade. Reads one column."""
-    return calendar(table(spark, folder, "lineitem").select(F.to_date("l_shipdate").alias("date")).distinct())
+    """The calendar: days with a trade, in order. Reads one column, once: it is stored, since
+    every alignment uses it several times."""
+    return materialise(calendar(table(spark, folder, "lineitem").select(F.to_date("l_shipdate").alias("date")).distinct()), "calendar")
 
 
 def sectors(spark: SparkSession, folder: str) -> DataFrame:

@@ -58,9 +58,9 @@ def type_trades(raw: DataFrame) -> DataFrame:
 
 
 # S09
-def read_sector_map(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON object of ticker -> sector as rows."""
-    text = spark.read.option("wholetext", "true").text(path)
+def read_sector_map(spark: SparkSession, path: str, whole_file: bool = True) -> DataFrame:
+    """JSON objects of ticker -> sector as rows: one object per file, or one per line."""
+    text = spark.read.text(path, wholetext=whole_file)
     return text.select(F.explode(F.from_json("value", "map<string,string>")).alias("ticker", "sector"))
 
 
@@ -88,12 +88,15 @@ def read_articles(spark: SparkSession, path: str) -> DataFrame:
 
 
 # S16
+def flatten_runs(records: DataFrame) -> DataFrame:
+    """Run records (run, body: JSON text) in long form: run, section, name, value; top-level values under section ``run``."""
+    sections = records.select("run", F.explode(F.from_json("body", "map<string,string>")).alias("section", "text"))
+    nested = F.col("text").startswith("{")
+    pairs = F.when(nested, F.from_json("text", "map<string,string>")).otherwise(F.create_map("section", "text"))
+    return sections.select("run", F.when(nested, F.col("section")).otherwise("run").alias("section"), F.explode(pairs).alias("name", "value"))
+
+
 def read_experiments(spark: SparkSession, path: str) -> DataFrame:
-    """Run records, one JSON file each; settings and metrics in long form (run, section, name, value)."""
-    text = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.json").text(path)
-    run = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1)
-    sections = text.select(run.alias("run"), F.explode(F.from_json("value", "map<string,string>")).alias("section", "body"))
-    nested = F.from_json("body", "map<string,string>")
-    inside = sections.where(F.col("body").startswith("{")).select("run", "section", F.explode(nested).alias("name", "value"))
-    flat = sections.where(~F.col("body").startswith("{")).select("run", F.lit("run").alias("section"), F.col("section").alias("name"), F.col("body").alias("value"))
-    return inside.unionByName(flat)
+    """Run records, one JSON file each, named by run."""
+    text = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
+    return flatten_runs(text.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1).alias("run"), F.col("value").alias("body")))
