@@ -149,7 +149,7 @@ def histogram(df: DataFrame, col: str, bins: int = 60) -> DataFrame:
     ends = rows.agg(F.struct(F.min(col).alias("lo"), F.max(col).alias("hi"), F.count("*").alias("n")).alias("e"))
     e = ends.scalar()
     width = (e.hi - e.lo) / F.lit(float(bins))
-    slot = F.least(F.floor(F.try_divide(F.col(col) - e.lo, width)), F.lit(bins - 1))
+    slot = F.greatest(F.least(F.floor(F.try_divide(F.col(col) - e.lo, width)), F.lit(bins - 1)), F.lit(0))
     counted = rows.groupBy(F.coalesce(slot, F.lit(0)).alias("bin")).agg(F.count("*").alias("n"))
     return counted.select("bin", "n", (e.lo + F.col("bin") * width).alias("edge"),
                           F.try_divide(F.col("n").cast("double"), e.n * width).alias("density"))

@@ -1,4 +1,8 @@
-"""Universe screens, pools, windows and relevance filters."""
+"""Universe screens, pools, windows and relevance filters.
+
+The pools compare scores with quantiles of the same scores, so the scored
+universe should be a stored table.
+"""
 
 from __future__ import annotations
 

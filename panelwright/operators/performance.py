@@ -104,7 +104,7 @@ def annual_factor(df: DataFrame, by=STRATEGY) -> DataFrame:
 
 # M01-M08, M11, M12
 def metrics(df: DataFrame, by=STRATEGY, ret: str = "portfolio_return", factor=52.0) -> DataFrame:
-    """All performance and tail figures of a return series per key, in one window pass and two aggregates.
+    """All performance and tail figures of a return series per key, in windows over one layout and one aggregate.
 
     ``factor`` is a number or "auto" for M09's rule.
     """
@@ -112,8 +112,12 @@ def metrics(df: DataFrame, by=STRATEGY, ret: str = "portfolio_return", factor=52
     r = F.col(ret)
     gap = F.datediff(F.max("date"), F.min("date")) / F.count("*")
     k = (F.when(F.count("*") < 3, 52.0).when(gap <= 4, 252.0).otherwise(52.0)) if factor == "auto" else F.lit(float(factor))
-    ends = curve.groupBy(*by).agg(
-        F.percentile(r, 0.05).alias("var95"), F.percentile(r, 0.01).alias("var99"), F.count("*").alias("n"), k.alias("k"),
+    # the quantiles go onto the rows, so that the tail means compare each return with a quantile of the same evaluation
+    whole = Window.partitionBy(*by)
+    curve = curve.withColumns({"var95": F.percentile(r, 0.05).over(whole), "var99": F.percentile(r, 0.01).over(whole)})
+    out = curve.groupBy(*by).agg(
+        F.max("var95").alias("var95"), F.max("var99").alias("var99"), F.count("*").alias("n"), k.alias("k"),
+        F.avg(F.when(r <= F.col("var95"), r)).alias("cvar95"), F.avg(F.when(r <= F.col("var99"), r)).alias("cvar99"),
         F.avg(r).alias("mean"), F.coalesce(F.stddev_samp(r), F.lit(0.0)).alias("sd"),
         F.coalesce(F.stddev_samp(F.when(r < 0, r)), F.lit(0.0)).alias("sd_down"),
         F.max_by("equity", "date").alias("final"), F.datediff(F.max("date"), F.min("date")).alias("days"),
@@ -123,10 +127,6 @@ def metrics(df: DataFrame, by=STRATEGY, ret: str = "portfolio_return", factor=52
         F.coalesce(F.sum(F.when(r < 0, r)), F.lit(0.0)).alias("losses"),
         F.when(F.count("*") > 2, F.skewness(r)).otherwise(0.0).alias("skew"),
         F.when(F.count("*") > 3, F.kurtosis(r)).otherwise(0.0).alias("kurt"))
-    # means of the returns at or below the quantiles need the quantiles first
-    tails = curve.select(*by, ret).join(ends.select(*by, "var95", "var99"), list(by)).groupBy(*by).agg(
-        F.avg(F.when(r <= F.col("var95"), r)).alias("cvar95"), F.avg(F.when(r <= F.col("var99"), r)).alias("cvar99"))
-    out = ends.join(tails, list(by))
     years = F.greatest(F.col("days") / 365.25, F.lit(1e-9))
     out = out.withColumns({
         "total_return": F.col("final") - 1.0,

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalar import clip, sigmoid
-from .xsection import DATE, cs_rank, cs_z
+from .xsection import DATE, cs_rank
 
 # fixed values: sizes, caps and cost of the book
 LONG_NAMES, SHORT_NAMES, KEEP_RANK = 20, 5, 30
@@ -39,7 +39,7 @@ def penalties(df: DataFrame) -> DataFrame:
         "mom5_penalty": F.when(m < -0.08, -0.10).when(m < -0.04, -0.05).otherwise(0.0)})
 
 
-RANKED = ("fip", "fip_z", "mom20", "mom60", "cs_z_mom20", "cs_z_mom60", "vol20", "vol20_z", "beta", "adv20", "structure_score", "rsi14")
+RANKED = ("fip", "fip_z", "mom20", "mom60", "vol20", "vol20_z", "beta", "adv20", "structure_score", "rsi14")
 DEFENSIVE = {"pct_vol": ("vol252", False), "pct_max_dd": ("max_dd", True), "pct_r2": ("r2", True)}
 
 
@@ -48,8 +48,13 @@ def _r(col: str, *fallbacks) -> Column:
 
 
 def with_ranks(df: DataFrame, x=DATE, defensive: bool = True) -> DataFrame:
-    """Standardised momentum and all ranks the scores need, in one ranking pass."""
-    df = cs_z(penalties(structure_score(df)), ["mom20", "mom60"], x)
+    """All ranks the scores need, in one ranking pass.
+
+    Momentum is to be ranked after standardising it within the date, with the
+    plain rank where that is missing. Standardising keeps the order of the
+    names, so both ranks are the same number and the plain one is used.
+    """
+    df = penalties(structure_score(df))
     wanted = {f"rank_{c}": (c, True) for c in RANKED}
     return cs_rank(df, {**wanted, **(DEFENSIVE if defensive else {})}, x)
 
@@ -57,7 +62,7 @@ def with_ranks(df: DataFrame, x=DATE, defensive: bool = True) -> DataFrame:
 # P03
 def long_score(df: DataFrame) -> DataFrame:
     return df.withColumn("long_score", (
-        0.28 * _r("cs_z_mom60", "mom60") + 0.18 * _r("cs_z_mom20", "mom20") + 0.10 * _r("fip_z", "fip")
+        0.28 * _r("mom60") + 0.18 * _r("mom20") + 0.10 * _r("fip_z", "fip")
         + 0.10 * _r("structure_score") + 0.12 * (1.0 - _r("vol20_z", "vol20")) + 0.06 * (1.0 - _r("beta", 0.5))
         + 0.06 * _r("adv20") + 0.10 * (1.0 - _r("rsi14", 0.5)) + F.col("rsi_penalty_long") + F.col("mom5_penalty")))
 
@@ -65,7 +70,7 @@ def long_score(df: DataFrame) -> DataFrame:
 # P04
 def short_score(df: DataFrame) -> DataFrame:
     return df.withColumn("short_score", (
-        0.28 * (1.0 - _r("cs_z_mom60", "mom60")) + 0.18 * (1.0 - _r("cs_z_mom20", "mom20")) + 0.10 * (1.0 - _r("fip_z", "fip"))
+        0.28 * (1.0 - _r("mom60")) + 0.18 * (1.0 - _r("mom20")) + 0.10 * (1.0 - _r("fip_z", "fip"))
         + 0.10 * (1.0 - _r("structure_score")) + 0.14 * _r("vol20_z", "vol20") + 0.10 * _r("beta", 0.5)
         + 0.05 * (1.0 - _r("adv20")) + 0.05 * _r("rsi14", 0.5) + F.col("rsi_penalty_short")))
 

@@ -126,11 +126,12 @@ def pbo_ranks(r: DataFrame, blocks: int = 8, ret: str = "portfolio_return") -> D
     var = (F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1)
     sums = sums.withColumn("sr", F.try_divide(F.col("s") / F.col("n"), F.sqrt(F.greatest(var, F.lit(0.0)))) * math.sqrt(52.0))
     both = sums.groupBy("split", "strategy").agg(F.max(F.when(F.col("train"), F.col("sr"))).alias("train_sr"), F.max(F.when(~F.col("train"), F.col("sr"))).alias("test_sr"))
-    # the first strategy by name wins a tie in the sample
-    best = both.groupBy("split").agg(F.max("train_sr").alias("top"))
-    best = both.join(F.broadcast(best), "split").where(F.col("train_sr") == F.col("top")).groupBy("split").agg(
-        F.min("strategy").alias("best"), F.min_by("test_sr", "strategy").alias("best_sr"))
-    below = (F.col("test_sr") < F.col("best_sr")) | ((F.col("test_sr") == F.col("best_sr")) & (F.col("strategy") < F.col("best")))
+    # the first strategy by name wins a tie in the sample; picked in one aggregate, since a figure
+    # summed twice may differ in its last bit and would not be found again
+    top = F.min(F.struct((-F.col("train_sr")).alias("loss"), "strategy", "test_sr")).alias("t")
+    best = both.groupBy("split").agg(top).select("split", F.col("t.strategy").alias("best"), F.col("t.test_sr").alias("best_sr"))
+    other = F.col("strategy") != F.col("best")
+    below = other & ((F.col("test_sr") < F.col("best_sr")) | ((F.col("test_sr") == F.col("best_sr")) & (F.col("strategy") < F.col("best"))))
     ranked = both.join(F.broadcast(best), "split").groupBy("split").agg(
         F.first("best").alias("best"), F.count_if(below).alias("__r"), F.count("*").alias("__m"))
     return ranked.select("split", "best", (F.col("__r") / (F.col("__m") - 1.0)).alias("rank_pct"))

@@ -8,13 +8,14 @@ date are cut into ranges that are ordered apart and added up.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import materialise
+
 DATE = ("date",)
 SPLIT_ROWS = 100_000  # distinct values of one group ordered by a single task
-PIECES = 64
+PIECES = 32
+SAMPLE = 2048  # values drawn from a large group to place its cuts
 
 
 def group_stats(df: DataFrame, x, stats: dict) -> DataFrame:
@@ -39,19 +40,25 @@ def cs_z(df: DataFrame, cols, x=DATE) -> DataFrame:
 def ordered_values(rows: DataFrame, keys, value: str = "value", split_rows: int = SPLIT_ROWS) -> DataFrame:
     """For each group and distinct value: rows with it, rows below it, rows in all.
 
-    Cut points come from a sketch of the group's distinct values and only
-    decide which task orders what: any cuts give the same exact counts.
+    Groups of more than ``split_rows`` distinct values are cut into ranges that
+    different tasks order. The cuts are taken from a sample chosen by the hash
+    of the value and the group's exact size, so every evaluation of the plan
+    makes the same cuts; any cuts give the same counts. ``rows`` must be a
+    stored table, since it is read several times.
     """
     keys = list(keys)
     vals = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n_at"))
-    shares = [i / PIECES for i in range(1, PIECES)]
-    stats = vals.groupBy(*keys).agg(
-        F.sum("n_at").alias("n"), F.count("*").alias("__distinct"),
-        F.percentile_approx(value, shares, 1000).alias("__cuts"))
-    stats = stats.select(*keys, "n", F.when(F.col("__distinct") > split_rows, F.col("__cuts"))
-                         .otherwise(F.array().cast("array<double>")).alias("__cuts"))
-    cut = vals.join(stats, keys).withColumn(
-        "__piece", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
+    sizes = vals.groupBy(*keys).agg(F.sum("n_at").alias("n"), F.count("*").alias("__m"))
+    large = sizes.where(F.col("__m") > split_rows).select(*keys, "__m")
+    chance = F.pmod(F.xxhash64(value), F.lit(1 << 30)) / float(1 << 30)
+    drawn = vals.join(large, keys).where(chance < F.lit(float(SAMPLE)) / F.col("__m"))
+    sample = drawn.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("__s"))
+    step = F.greatest(F.floor(F.size("__s") / PIECES), F.lit(1)).cast("int")
+    cuts = sample.select(*keys, F.filter("__s", lambda v, i: (i + 1) % step == 0).alias("__cuts"))
+    sizes = sizes.drop("__m").join(cuts, keys, "left")
+    cut = vals.join(sizes, keys).withColumn(
+        "__piece", F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col(value))), F.lit(0))).drop("__cuts")
+    cut = cut.withColumn("__piece", F.greatest("__piece", F.lit(0)))
     pieces = cut.groupBy(*keys, "__piece").agg(F.sum("n_at").alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
     pieces = pieces.withColumn("__below", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
@@ -66,14 +73,15 @@ def cs_rank(df: DataFrame, cols, x=DATE, ids=("ticker",), split_rows: int = SPLI
     """Percentile rank of each column among the date's known values, ties averaged.
 
     ``cols``: output -> (column, ascending). All columns are ranked together as
-    rows of (date, feature, value).
+    rows of (date, feature, value). Those rows are stored first: ranks find
+    their rows again by value, and a value computed twice may differ in its
+    last bit when sums arrive in another order.
     """
     keys, feature = [*x], "__feature"
-    wanted = sorted({(c, asc) for c, asc in cols.values()})
-    sources = sorted({c for c, _ in wanted})
+    sources = sorted({c for c, _ in cols.values()})
     long = df.select(*keys, *ids, F.explode(F.array(*[
         F.struct(F.lit(c).alias(feature), (F.col(c).cast("double") + 0.0).alias("value")) for c in sources])).alias("__s"))
-    long = long.select(*keys, *ids, f"__s.{feature}", "__s.value").where(F.col("value").isNotNull())
+    long = materialise(long.select(*keys, *ids, f"__s.{feature}", "__s.value").where(F.col("value").isNotNull()), "ranked-values")
     order = ordered_values(long, [*keys, feature], "value", split_rows)
     ranked = long.join(order, [*keys, feature, "value"])
     mid = (F.col("n_at") + 1) / 2.0
@@ -88,9 +96,11 @@ def quantiles(df: DataFrame, col: str, wanted: dict, x=DATE, split_rows: int = S
     """Exact quantiles per group with linear interpolation. ``wanted``: output -> share.
 
     Picks the two order statistics around position q*(n-1) out of the counted
-    values instead of holding a whole group in one buffer.
+    values instead of holding a whole group in one buffer. To compare rows
+    with a quantile, take both from one stored table.
     """
-    order = ordered_values(df.select(*x, F.col(col).cast("double").alias("value")), x, "value", split_rows)
+    rows = materialise(df.select(*x, (F.col(col).cast("double") + 0.0).alias("value")), "quantile-values")
+    order = ordered_values(rows, x, "value", split_rows)
     aggs = []
     for out, q in wanted.items():
         pos = F.lit(float(q)) * (F.col("n") - 1)

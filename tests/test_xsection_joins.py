@@ -34,6 +34,17 @@ def test_ranks_match_pandas(spark, split_rows):
         assert (np.isnan(a) == np.isnan(want)).all() and np.allclose(a[~np.isnan(a)], want[~np.isnan(want)])
 
 
+def test_one_large_date_is_split_exactly(spark):
+    """A third of the names share one value; many ranges and tasks give the counts of one."""
+    rows = spark.range(60_000).repartition(13).select(
+        F.lit("2024-01-05").cast("date").alias("date"), F.concat(F.lit("T"), F.col("id")).alias("ticker"),
+        F.when(F.col("id") % 3 == 0, 0.35).otherwise(F.xxhash64("id") / 1e18).alias("v"))
+    got = C.cs_rank(rows, {"r": ("v", True)}, split_rows=500).toPandas()
+    assert np.allclose(got["r"].astype(float), got["v"].rank(pct=True, method="average"))
+    q = C.quantiles(rows, "v", {"a": 0.5, "b": 0.9}, split_rows=500).first()
+    assert np.allclose([q.a, q.b], got["v"].quantile([0.5, 0.9]))
+
+
 @pytest.mark.parametrize("split_rows", [2, 100_000])
 def test_quantiles_match_numpy(spark, split_rows):
     pdf = universe(4)
