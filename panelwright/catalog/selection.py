@@ -6,6 +6,7 @@ from ..functions import scalar as X
 from ..operators import filters as S, joins as J, portfolio as P, xsection as C
 from ..plans import tables as T
 from ..plans.backtest import store_scores
+from ..session import materialise
 from .registry import part, pick, query
 
 ALIASES = [("broad", "n0", 1), ("risk", "N 7", 1), ("fear", "n-9", 2), ("gold", "N12", 1), ("gold", "missing", 2)]
@@ -238,5 +239,6 @@ def leaders(spark, sf):
     df = J.align(T.panel(spark, sf), cal)
     df = W.vol(W.pcts(df, {"ret": ("close", 1), "mom60": ("close", 60)}), "ret", {20: 10})
     weekly = df.join(F.broadcast(W.rebalance_dates(cal).select("date")), "date", "left_semi").where("mom60 IS NOT NULL")
-    ranked = C.cs_rank(weekly.select("ticker", "date", "mom60", "vol20"), {"rank_mom60": ("mom60", True)})
+    stored = materialise(weekly.select("ticker", "date", "mom60", "vol20"), "weekly")  # read for the ranks and for the rows
+    ranked = C.cs_rank(stored, {"rank_mom60": ("mom60", True)})
     return C.top_k(ranked, "rank_mom60", 20, rank="place")
