@@ -24,17 +24,17 @@ def ranked(spark, sf):
     return P.with_ranks(materialise(T.weekly_features(spark, sf), "features"))
 
 
-@query("P03_long_score", pick("s_scored", "ticker date", "long_score"))
+@query("P03_long_score", pick("s_raw", "ticker date", "long_score"))
 def p03(spark, sf):
     return P.long_score(ranked(spark, sf)).select("ticker", "date", "long_score")
 
 
-@query("P04_short_score", pick("s_scored", "ticker date", "short_score"))
+@query("P04_short_score", pick("s_raw", "ticker date", "short_score"))
 def p04(spark, sf):
     return P.short_score(ranked(spark, sf)).select("ticker", "date", "short_score")
 
 
-@query("P05_defensive_score", pick("s_scored", "ticker date", "defensive_score"))
+@query("P05_defensive_score", pick("s_raw", "ticker date", "defensive_score"))
 def p05(spark, sf):
     return P.defensive_score(ranked(spark, sf)).select("ticker", "date", "defensive_score")
 

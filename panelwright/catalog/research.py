@@ -40,7 +40,7 @@ def clone(names, renamed: dict, prefix: str) -> None:
 clone(["g03", "g04_l", "g04_e", "g04_p", "g04"], {"w_breadth": "x_breadth"}, "x_")
 part("x_week", "SELECT p.* EXCLUDE (date), s.date FROM x_g04 p JOIN x_sig s ON s.signal = p.date")
 clone(["g05", "g06"], {"g04": "x_week"}, "x_")
-clone(["w19", "s_in", "s_rank", "s_scored", "p_mom", "p_def", "p_sh", "p_sleeves", "p_counts", "p07_in", "p07_raw", "p07_t", "p07", "p_sized", "p09_a", "p09_b", "p09",
+clone(["w19", "s_in", "s_rank", "s_raw", "s_scored", "p_mom", "p_def", "p_sh", "p_sleeves", "p_counts", "p07_in", "p07_raw", "p07_t", "p07", "p_sized", "p09_a", "p09_b", "p09",
        *[f"p10_{k}{i}" for i in range(1, 6) for k in "cns"], *[f"p10_r{i}" for i in range(6)], "p11", "u02", "p12_w", "p12", "p13_in", "p13_s", "p13", "p14_d", "p14", "p15", "p16_w"],
       {"b_features": "x_features", "b_regime": "x_g06", "p_dates": "x_dates", "p15_px": "b_aligned"}, "x_")
 part("x_dates", "SELECT date, next_date FROM b_rebal")

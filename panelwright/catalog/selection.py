@@ -85,12 +85,13 @@ part("s_in", """SELECT f.*, z.cs_z_mom20 AS csz20, z.cs_z_mom60 AS csz60,
   FROM b_features f JOIN w19 z ON z.ticker = f.ticker AND z.date = f.date""")
 part("s_rank", "SELECT *, " + ", ".join(f"{rank_sql(c)} AS r_{c}" for c in RANKED)
      + f", {rank_sql('r2')} AS p_r2, {rank_sql('vol252', False)} AS p_vol, {rank_sql('max_dd')} AS p_dd FROM s_in")
-part("s_scored", """SELECT *,
+part("s_raw", """SELECT *,
   0.28*coalesce(r_csz60, r_mom60) + 0.18*coalesce(r_csz20, r_mom20) + 0.10*coalesce(r_fip_z, r_fip) + 0.10*r_structure_score
   + 0.12*(1-coalesce(r_vol20_z, r_vol20)) + 0.06*(1-coalesce(r_beta, 0.5)) + 0.06*r_adv20 + 0.10*(1-coalesce(r_rsi14, 0.5)) + pen_long + pen_mom5 AS long_score,
   0.28*(1-coalesce(r_csz60, r_mom60)) + 0.18*(1-coalesce(r_csz20, r_mom20)) + 0.10*(1-coalesce(r_fip_z, r_fip)) + 0.10*(1-r_structure_score)
   + 0.14*coalesce(r_vol20_z, r_vol20) + 0.10*coalesce(r_beta, 0.5) + 0.05*(1-r_adv20) + 0.05*coalesce(r_rsi14, 0.5) + pen_short AS short_score,
   0.4*coalesce(p_r2, 0.5) + 0.3*coalesce(p_vol, 0.5) + 0.3*coalesce(p_dd, 0.5) AS defensive_score FROM s_rank""")
+part("s_scored", "SELECT * REPLACE (round(long_score, 9) AS long_score, round(short_score, 9) AS short_score, round(defensive_score, 9) AS defensive_score) FROM s_raw")
 
 
 def scored(spark, sf):
@@ -106,7 +107,7 @@ def scored_regime(spark, sf):
 
 
 part("f05", """SELECT * FROM f_reg JOIN (SELECT date AS d, quantile_cont(long_score, 0.5) AS med FROM s_scored GROUP BY date) ON d = date
-  WHERE mom60 > 0 AND long_score >= med - 1e-12 AND mom5 > -0.10""")
+  WHERE mom60 > 0 AND long_score >= med AND mom5 > -0.10""")
 
 
 @query("F05_long_pool", pick("f05", "ticker date", "long_score"))
@@ -115,9 +116,9 @@ def f05(spark, sf):
 
 
 part("f06_a", """SELECT * FROM f_reg JOIN (SELECT date AS d, quantile_cont(short_score, 0.8) AS q80 FROM s_scored GROUP BY date) ON d = date
-  WHERE mom60 < 0 AND above200 < 0.5 AND short_score >= q80 - 1e-12 AND regime <> 'BULL'""")
+  WHERE mom60 < 0 AND above200 < 0.5 AND short_score >= q80 AND regime <> 'BULL'""")
 part("f06", """SELECT a.* FROM f06_a a JOIN (SELECT date AS d2, quantile_cont(short_score, 0.9) AS q90 FROM f06_a GROUP BY date) ON d2 = a.date
-  WHERE regime <> 'CHOP' OR short_score >= q90 - 1e-12""")
+  WHERE regime <> 'CHOP' OR short_score >= q90""")
 
 
 @query("F06_short_pool", pick("f06", "ticker date regime", "short_score"))
@@ -131,8 +132,7 @@ part("f07", """SELECT * FROM f05 QUALIFY NOT (suppression_score >= 0.60 OR trans
 
 @query("F07_suppress", pick("f07", "ticker date", "long_score"))
 def f07(spark, sf):
-    pool = S.long_pool(scored_regime(spark, sf)).withColumn("long_score", F.round("long_score", 9))
-    return S.suppress(pool, 5).select("ticker", "date", "long_score")
+    return S.suppress(S.long_pool(scored_regime(spark, sf)), 5).select("ticker", "date", "long_score")
 
 
 @query("F08_defensive_pool", pick("w03 v JOIN w15 d ON d.ticker = v.ticker AND d.date = v.date JOIN w16 r ON r.ticker = v.ticker AND r.date = v.date",

@@ -121,7 +121,7 @@ def register(registry: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 # S15
-def heartbeat(trace: DataFrame, word: str = "Dexter") -> DataFrame:
+def heartbeat(trace: DataFrame, word: str) -> DataFrame:
     """The newest regime row, and whether its reason names a source."""
     last = trace.agg(F.max_by(F.struct("date", "regime", "regime_confidence", "regime_reason"), "date").alias("r"))
     return last.select("r.date", "r.regime", F.coalesce(F.col("r.regime_reason").contains(word), F.lit(False)).cast("int").alias("flagged"),

@@ -23,19 +23,19 @@ def rebalances(days: DataFrame) -> DataFrame:
 
 
 def store_scores(features: DataFrame) -> DataFrame:
-    """Scores as a stored table, on a stored input: ranking and the pools read both several times."""
-    return materialise(P.score(materialise(features, "features")), "scored")
-
-
-def select_sleeves(scored: DataFrame, sectors: DataFrame) -> DataFrame:
-    """Best longs, best defensive names and shorts that are no longs, with their sector; stored.
+    """Scores as a stored table, on a stored input: ranking and the pools read both several times.
 
     Scores count to nine places, so that equal ones tie whatever the order of summation.
     """
-    s = scored.withColumns({c: F.round(c, 9) for c in ("long_score", "short_score", "defensive_score")})
-    longs = C.top_k(s.where("mom60 > 0"), "long_score", P.LONG_NAMES)
-    defs = C.top_k(S.defensive_pool(s), "defensive_score", P.LONG_NAMES)
-    shorts = C.top_k(P.minus(s.where("mom60 < 0"), longs), "short_score", P.SHORT_NAMES)
+    scored = P.score(materialise(features, "features"))
+    return materialise(scored.withColumns({c: F.round(c, 9) for c in ("long_score", "short_score", "defensive_score")}), "scored")
+
+
+def select_sleeves(scored: DataFrame, sectors: DataFrame) -> DataFrame:
+    """Best longs, best defensive names and shorts that are no longs, with their sector; stored."""
+    longs = C.top_k(scored.where("mom60 > 0"), "long_score", P.LONG_NAMES)
+    defs = C.top_k(S.defensive_pool(scored), "defensive_score", P.LONG_NAMES)
+    shorts = C.top_k(P.minus(scored.where("mom60 < 0"), longs), "short_score", P.SHORT_NAMES)
     rows = None
     for name, df, col in (("MOMENTUM", longs, "long_score"), ("DEFENSIVE", defs, "defensive_score"), ("SHORT", shorts, "short_score")):
         piece = df.select(*SLEEVE_COLUMNS, F.lit(name).alias("sleeve"), F.col(col).alias("score"))
