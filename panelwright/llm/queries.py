@@ -2,22 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import documents
+from . import chat, mixing
+from .common import documents, table
 from .jaccard import jaccard_components
 from .phrases import repeated_phrases
+from .pieces import encode_digests, read_model
+from .pii import KINDS, counted, find_personal_data, listed
+from .quality import QualityModel
+from .stages import MODEL, POWER, SEED
 
 SPAN, SHINGLE, SIMILARITY = 50, 5, 80
 
 
+def op1_chat_perspectives(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.rotate_perspectives(table(spark, folder, "conversations"))
+
+
+def op2_bayes_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return QualityModel(documents(spark, folder), table(spark, folder, "labels"), F.col("source"), F.col("lang")).table()
+
+
+def op3_piece_encoding(spark: SparkSession, folder: str) -> DataFrame:
+    return encode_digests(documents(spark, folder), read_model(public_tokenizers.path(MODEL)))
+
+
+def op5_poisson_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_sources(documents(spark, folder), seed=SEED, power=POWER)
+
+
 def op6_repeated_phrases(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_phrases(documents(spark, folder), SPAN).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op7_contextual_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = find_personal_data(documents(spark, folder).select("doc_id", "text"))
+    return found.select(
+        F.col("doc_id").cast("long").alias("doc_id"), *[counted(F.col("base"), k).alias(f"n_{k}") for k in KINDS],
+        F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(documents(spark, folder), SHINGLE, SIMILARITY)
 
 
-QUERIES = {f.__name__: f for f in (op6_repeated_phrases, op9_jaccard_join)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_chat_perspectives, op2_bayes_quality, op3_piece_encoding, op5_poisson_mixing, op6_repeated_phrases, op7_contextual_pii, op9_jaccard_join)}
+ORACLES = {"op1_chat_perspectives": chat.ORACLE, "op5_poisson_mixing": mixing.oracle(SEED, POWER)}
