@@ -7,10 +7,11 @@ matrix is dealt out, in blocks of columns. Within a column every document is mul
 smallest document; a product counts while the size-derived bounds can still be met, and overlaps are
 accumulated per pair. Pairs left are settled by their complete rows.
 
-A column of L documents thus gives L - 1 products rather than L * (L - 1) / 2. What this leaves out is added
-in a second round: in every column, the pairs of documents that the first round has put in different
-components. So components are exact: each pair that shares such a column is either settled by its complete
-rows, excluded by a bound, or already connected.
+A column of L documents thus gives L - 1 products rather than L * (L - 1) / 2. A second round multiplies neighbours
+in a column (in the order of a hash) that the first has put in different components. The last round takes the pairs of
+a column that are still in different components; their overlap in the part dealt out is then known in full, and
+bounds what their complete rows can share. So components are exact: each pair that shares such a column is either
+settled by its complete rows, excluded by a bound, or already connected.
 
 Rows of null ``doc_id`` get their set size and no component. Rows that repeat an id are one node: what links
 one of them links the id. Texts that are null or without words have size 0 and link with nothing.
@@ -20,10 +21,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .common import components, materialise
-from .wordhash import Words, chunked, mix
+from .wordhash import chunked, mix
 
 #: Columns are counted in this many buckets (0.5 MB on the driver, whatever the input's size).
 BUCKETS = 1 << 16
@@ -65,8 +66,13 @@ def _levels(surveyed: DataFrame) -> np.ndarray:
     return np.clip(np.ceil(np.log2(np.maximum(counts, 1) / max(counts.mean(), 1)) - 0.1), 0, 30).astype(np.uint64)
 
 
+def _dealt(n: int, percent: int) -> int:
+    """How many columns of a row of n are dealt out."""
+    return n - (percent * n + 99) // 100 + 1
+
+
 def incidence(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """The part of the matrix that can decide: ``g`` (column), ``doc``, ``n`` (size of the row), ``pos`` (place of the column in the row)."""
+    """The part of the matrix that can decide: ``g`` (column), ``doc``, ``place`` (size of the row * 2**32 + place of the column in it)."""
 
     def run(batches):
         seen: set = set()
@@ -82,33 +88,76 @@ def incidence(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> Data
                     if len(seen) >= REMEMBERED:
                         seen.clear()
                     g = np.sort((levels[(s >> np.uint64(48)).astype(np.int64)] << np.uint64(58)) | (s >> np.uint64(6)))
-                    out.append((g[: len(g) - (percent * len(g) + 99) // 100 + 1], ids[lo + i], len(g)))
+                    out.append((g[: _dealt(len(g), percent)], ids[lo + i], len(g)))
             if out:
                 sizes = [len(g) for g, _, _ in out]
+                places = (np.repeat([n for _, _, n in out], sizes).astype(np.int64) << 32) + np.concatenate([np.arange(m) for m in sizes])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate([g for g, _, _ in out]).view(np.int64)), pa.array(np.repeat([d for _, d, _ in out], sizes).astype(np.int64)),
-                    pa.array(np.repeat([n for _, _, n in out], sizes).astype(np.int32)), pa.array(np.concatenate([np.arange(m, dtype=np.int32) for m in sizes]))], ["g", "doc", "n", "pos"])
+                    pa.array(np.concatenate([g for g, _, _ in out]).view(np.int64)), pa.array(np.repeat([d for _, d, _ in out], sizes).astype(np.int64)), pa.array(places)], ["g", "doc", "place"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "g long, doc long, place long")
+
+
+def _needed(percent: int) -> Column:
+    """The overlap that the sizes of a pair ask for."""
+    return F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
+
+
+def _sizes_fit(percent: int) -> Column:
+    return 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+
+
+def _can_reach(percent: int) -> Column:
+    """The bounds on a product at one shared column: what precedes and what follows it limits the overlap."""
+    overlap = F.least("pos_a", "pos_b") + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+    return _sizes_fit(percent) & (overlap >= _needed(percent))
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "g long, doc long, n int, pos int")
+def _leads(percent: int) -> Column:
+    """Whether the column is among those of which a pair with enough overlap shares one at least."""
+    return (F.col("pos_a") <= F.col("n_a") - _needed(percent)) & (F.col("pos_b") <= F.col("n_b") - _needed(percent))
 
 
-def _can_reach(percent: int):
-    """The bounds on a product at one shared column, for sides a and b with sizes and places: what precedes and what follows it limits the overlap."""
-    overlap = F.least("pos_a", "pos_b") + 1 + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) - 1
-    return ((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-            & ((100 + percent) * overlap.cast("long") >= percent * (F.col("n_a") + F.col("n_b")).cast("long")))
+def _accumulate(products: DataFrame, percent: int) -> DataFrame:
+    """Pairs with their overlap in the columns at hand, their last places there, and whether every bound allows them."""
+    return products.groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("shared"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.max("pos_a").alias("last_a"), F.max("pos_b").alias("last_b"),
+        F.min(_can_reach(percent)).alias("reach"), F.max(_leads(percent)).alias("leads")).where("reach AND leads")
 
 
-def _accumulate(products: DataFrame) -> DataFrame:
-    return products.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+def _within_overlap(percent: int) -> Column:
+    """The bound by the overlap in all columns dealt out: beyond the row that ends first, at most its rest can be shared."""
+    rest = lambda s: F.ceil(percent * F.col(f"n_{s}") / 100) - 1
+    after = lambda s: F.col(f"n_{s}") - F.col(f"last_{s}") - 1
+    return F.col("shared") + F.greatest(F.least(rest("a"), after("b")), F.least(rest("b"), after("a"))) >= _needed(percent)
 
 
-def settle(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _place(packed: str, side: str) -> list[Column]:
+    return [F.shiftright(packed, 32).alias(f"n_{side}"), F.col(packed).bitwiseAND(F.lit(2 ** 32 - 1)).alias(f"pos_{side}")]
+
+
+def _ordered(products: DataFrame) -> DataFrame:
+    """The smaller document of each product as a."""
+    swap = F.col("a") > F.col("b")
+    pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x)
+    return products.select(*[pick(f"{c}a", f"{c}b") for c in ("", "n_", "pos_")], *[pick(f"{c}b", f"{c}a") for c in ("", "n_", "pos_")])
+
+
+def _split_columns(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """The columns of three and more documents that are not all in one component (``c``)."""
+    column = W.partitionBy("g")
+    return (
+        shared.where("rows > 2").select("g", "doc", "place").join(labels.select(F.col("id").alias("doc"), "component_id"), "doc", "left")
+        .withColumn("c", F.coalesce("component_id", "doc")).drop("component_id")
+        .withColumn("c_min", F.min("c").over(column)).withColumn("c_max", F.max("c").over(column))
+        .where("c_min < c_max").drop("c_min", "c_max"))
+
+
+def settle(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (``a``, ``b``) whose complete rows overlap enough."""
-    texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     both = (
-        pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b"))
+        pairs.select("a", "b").join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a")
+        .join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b"))
 
     def run(batches):
         for batch in batches:
@@ -137,31 +186,37 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     copies = nodes.join(same, ["s1", "s2"]).where("a <> doc_id").select("a", F.col("doc_id").alias("b"))
 
     column = W.partitionBy("g")
-    shared = materialise(
+    shared = (
         incidence(docs, k, percent, _levels(surveyed))
-        .withColumn("least", F.min(F.struct("doc", "n", "pos")).over(column))
-        .withColumn("rows", F.count(F.lit(1)).over(column)).where("rows > 1"), "jaccard-columns")
-    first = (
-        shared.select(F.col("least.doc").alias("a"), F.col("least.n").alias("n_a"), F.col("least.pos").alias("pos_a"),
-                      F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"))
-        .where("a <> b").where(_can_reach(percent)))
-    links = materialise(settle(_accumulate(first), docs, k, percent).union(copies), "jaccard-links")
+        .withColumn("least", F.min(F.struct("doc", "place")).over(column))
+        .withColumn("rows", F.count(F.lit(1)).over(column)).where("rows > 1"))
+    shared = materialise(shared, "jaccard-columns")
+    texts = materialise(docs.select(F.col("doc_id").alias("doc"), "text").join(shared.select("doc").distinct(), "doc", "left_semi"), "jaccard-texts")
+
+    first = materialise(_accumulate(
+        shared.where("doc <> least.doc").select(F.col("least.doc").alias("a"), *_place("least.place", "a"), F.col("doc").alias("b"), *_place("place", "b")), percent), "jaccard-first")
+    links = materialise(settle(first, texts, k, percent).union(copies), "jaccard-links")
     labels = components(links, "jaccard")
 
-    rest = (
-        shared.where("rows > 2").join(labels.select(F.col("id").alias("doc"), "component_id"), "doc", "left")
-        .withColumn("c", F.coalesce("component_id", "doc"))
-        .withColumn("c_min", F.min("c").over(column)).withColumn("c_max", F.max("c").over(column))
-        .where("c_min < c_max AND doc <> least.doc").select("g", "doc", "n", "pos", "c"))
-    rest = materialise(rest, "jaccard-rest")
-    sides = [rest.select("g", *[F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "pos", "c")]) for s in "ab"]
-    second = (
-        sides[0].join(sides[1], "g").where("c_a <> c_b AND doc_a < doc_b").where(_can_reach(percent))
-        .select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")))
-    second = materialise(_accumulate(second), "jaccard-second")
-    if not second.isEmpty():
-        more = materialise(settle(second, docs, k, percent), "jaccard-more")
-        labels = components(links.union(more), "jaccard2")
+    split = _split_columns(shared, labels).withColumn("order", F.xxhash64("doc", "g"))
+    beside = W.partitionBy("g").orderBy("order", "doc")
+    near = (
+        split.withColumn("other", F.lag(F.struct("doc", "place", "c")).over(beside)).where("other.c <> c")
+        .select(F.col("doc").alias("a"), *_place("place", "a"), F.col("other.doc").alias("b"), *_place("other.place", "b")))
+    near = materialise(_accumulate(_ordered(near), percent).join(first.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-near")
+    if not near.isEmpty():
+        links = materialise(links.union(settle(near, texts, k, percent)), "jaccard-links")
+        labels = components(links, "jaccard")
+
+    split = materialise(_split_columns(shared, labels), "jaccard-split")
+    sides = [split.select("g", F.col("doc").alias(s), F.col("c").alias(f"c_{s}"), *_place("place", s)) for s in "ab"]
+    last = sides[0].join(sides[1], "g").where("c_a <> c_b AND a < b").where(_sizes_fit(percent))
+    last = (
+        _accumulate(last, percent).where(_within_overlap(percent))
+        .join(first.select("a", "b").union(near.select("a", "b")), ["a", "b"], "left_anti"))
+    last = materialise(last, "jaccard-last")
+    if not last.isEmpty():
+        labels = components(links.union(materialise(settle(last, texts, k, percent), "jaccard-more")), "jaccard")
     return (
         rows.join(labels.select(F.col("id").alias("doc_id"), "component_id"), "doc_id", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
