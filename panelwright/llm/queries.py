@@ -5,16 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, mixing
+from . import ann, chat, mixing
 from .common import documents, table
 from .jaccard import jaccard_components
 from .phrases import repeated_phrases
 from .pieces import encode_digests, read_model
 from .pii import KINDS, counted, find_personal_data, listed
+from .pivots import near_duplicates
 from .quality import QualityModel
 from .stages import MODEL, POWER, SEED
 
-SPAN, SHINGLE, SIMILARITY = 50, 5, 80
+SPAN, SHINGLE, SIMILARITY, COSINE = 50, 5, 80, 0.93
+QUERY_EVERY, NEIGHBOURS = 50, 5
 
 
 def op1_chat_perspectives(spark: SparkSession, folder: str) -> DataFrame:
@@ -44,9 +46,18 @@ def op7_contextual_pii(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op8_pivot_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "embeddings"), COSINE)
+
+
 def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(documents(spark, folder), SHINGLE, SIMILARITY)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_perspectives, op2_bayes_quality, op3_piece_encoding, op5_poisson_mixing, op6_repeated_phrases, op7_contextual_pii, op9_jaccard_join)}
+def op10_projected_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.nearest(table(spark, folder, "embeddings"), QUERY_EVERY, NEIGHBOURS)
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_perspectives, op2_bayes_quality, op3_piece_encoding, op5_poisson_mixing, op6_repeated_phrases, op7_contextual_pii,
+                                op8_pivot_near_duplicates, op9_jaccard_join, op10_projected_neighbours)}
 ORACLES = {"op1_chat_perspectives": chat.ORACLE, "op5_poisson_mixing": mixing.oracle(SEED, POWER)}
