@@ -14,6 +14,7 @@ from .pii import KINDS, counted, find_personal_data, listed
 from .pivots import near_duplicates
 from .quality import QualityModel
 from .stages import MODEL, POWER, SEED
+from .toxicity import toxicity
 
 SPAN, SHINGLE, SIMILARITY, COSINE = 50, 5, 80, 0.93
 QUERY_EVERY, NEIGHBOURS = 50, 5
@@ -31,6 +32,10 @@ def op3_piece_encoding(spark: SparkSession, folder: str) -> DataFrame:
     return encode_digests(documents(spark, folder), read_model(public_tokenizers.path(MODEL)))
 
 
+def op4_recurrent_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity(documents(spark, folder), table(spark, folder, "labels"))
+
+
 def op5_poisson_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, folder), seed=SEED, power=POWER)
 
@@ -58,6 +63,6 @@ def op10_projected_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return ann.nearest(table(spark, folder, "embeddings"), QUERY_EVERY, NEIGHBOURS)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_perspectives, op2_bayes_quality, op3_piece_encoding, op5_poisson_mixing, op6_repeated_phrases, op7_contextual_pii,
+QUERIES = {f.__name__: f for f in (op1_chat_perspectives, op2_bayes_quality, op3_piece_encoding, op4_recurrent_toxicity, op5_poisson_mixing, op6_repeated_phrases, op7_contextual_pii,
                                 op8_pivot_near_duplicates, op9_jaccard_join, op10_projected_neighbours)}
 ORACLES = {"op1_chat_perspectives": chat.ORACLE, "op5_poisson_mixing": mixing.oracle(SEED, POWER)}
