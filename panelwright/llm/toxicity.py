@@ -45,12 +45,20 @@ class Inputs:
         letters[1:-1] = _LETTER[words.data]
         inside = np.repeat(words.start - np.concatenate([[0], np.cumsum(words.end - words.start)[:-1]]), words.end - words.start) + np.arange((words.end - words.start).sum()) if len(words.start) else np.zeros(0, np.int64)
         code = letters[inside] | (letters[inside + 1] << np.uint32(8)) | (letters[inside + 2] << np.uint32(16))
-        self.trigram = ((code * np.uint32(2654435761)) >> np.uint32(32 - 13)).astype(np.int64)
+        self.trigram = ((code * np.uint32(2654435761)) >> np.uint32(32 - 13)).astype(np.int32)
         self.length = (words.end - words.start).astype(np.float32)
         self.at = np.concatenate([[0], np.cumsum(words.end - words.start)[:-1]]) if len(words.start) else np.zeros(0, np.int64)
         self.first = words.first
 
 
+    def part(self, a: int, b: int) -> "Inputs":
+        """The inputs of the words a:b alone."""
+        out = Inputs.__new__(Inputs)
+        lo, hi = (self.at[a], self.at[b - 1] + int(self.length[b - 1])) if b > a else (0, 0)
+        out.word, out.length, out.at, out.trigram = self.word[a:b], self.length[a:b], self.at[a:b] - lo, self.trigram[lo:hi]
+        return out
+
+
 def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First word, number of words and text of every window; a text without words has an empty one."""
     starts, texts = [], []
@@ -205,8 +213,12 @@ def train(texts: list[str], toxic: np.ndarray, share: float, seed: int = SEED) -
                 net.p[k] -= (RATE * m[k] / (1 - 0.9 ** step) / (np.sqrt(v[k] / (1 - 0.99 ** step)) + 1e-8)).astype(np.float32)
 
     def all_odds() -> np.ndarray:
-        x = net.embed(data)
-        return np.concatenate([net.forward(x, start[lo: lo + 2048], size[lo: lo + 2048])[0] for lo in range(0, len(start), 2048)])
+        out = []
+        for lo in range(0, len(start), 2048):
+            own = slice(lo, lo + 2048)
+            a, b = start[own].min(), (start[own] + size[own]).max()
+            out.append(net.forward(net.embed(data.part(a, b)), start[own] - a, size[own])[0])
+        return np.concatenate(out)
 
     def rounds(least: int, windows_each: int) -> range:
         return range(max(least, -(-LEAST_STEPS // max(1, -(-windows_each // BATCH)))))
@@ -244,8 +256,14 @@ def learn_from(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Netw
     share = counts.get(1, 0) / max(sum(counts.values()), 1)
     if not 0 < share < 1:
         return float(share)
-    short = docs.where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text").join(known, "doc_id")
-    rows = [r for label in (0, 1) for r in short.where(F.col("__toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect()]
+    short = docs.where(F.length("text") <= SAMPLE_CHARS)
+    able = short.select("doc_id").join(known, "doc_id")
+    chosen = None
+    for label in (0, 1):
+        own = able.where(F.col("__toxic") == label).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        chosen = own if chosen is None else chosen.union(own)
+    # at most 2 * sample ids; of rows that repeat an id the smallest text
+    rows = short.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "__toxic").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
     toxic = np.array([float(r["__toxic"]) for r in rows])
     if len(set(toxic)) < 2:
         return float(share)
