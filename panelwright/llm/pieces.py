@@ -6,8 +6,8 @@ piece at each place, a piece is accepted if it is compatible with the piece befo
 is tried; where none fits, the place is marked as failed in a bitfield and the last piece is taken back. Every
 place fails at most once, so the work is linear in the text.
 
-No piece crosses from another character into a blank mark, or holds a line end; so texts are cut there, and
-the results of recent words are remembered (a bounded number per worker).
+Where no piece of the vocabulary can cross (before blank marks, at line ends, from letters to most signs) texts are cut, and the
+results of recent words are remembered (a bounded number per worker).
 
 Null texts count as empty and give no ids. Characters without a piece become their UTF-8 byte pieces.
 """
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import groupby
 
 import ahocorasick
 import pyarrow as pa
@@ -23,8 +24,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 
 MARK = "▁"
-#: Words, and pairs of pieces, that a worker remembers before it starts anew.
-WORDS, PAIRS = 300_000, 1_000_000
+#: Words, and pairs of pieces, that a worker remembers before it starts a new memory. Words keep one older memory.
+WORDS, PAIRS = 250_000, 1_000_000
 
 
 class PieceCodec:
@@ -41,31 +42,50 @@ class PieceCodec:
         self.id_of = {self.pieces[i]: i for i in plain}
         self.score = {self.pieces[i]: reader.get_score(i) for i in plain}
         self.length = [len(p) for p in self.pieces]
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
         self._sound: dict[int, bool] = {}
         self._shorter: dict[int, int | None] = {}
         self._words: dict[str, tuple[tuple[int, ...], str, str]] = {}
+        self._older: dict[str, tuple[tuple[int, ...], str, str]] = {}
+        self._known = frozenset(p for p in self.id_of if len(p) == 1)
         machine = ahocorasick.Automaton()
         for piece, i in self.id_of.items():
             machine.add_word(piece, i)
         machine.make_automaton()
-        self._machine = machine
-        crossing = any(re.search(f"[^{MARK}]{MARK}|\n", p) for p in self.id_of)
-        self._cut = re.compile(r"[\s\S]+" if crossing else f"{MARK}*[^{MARK}\n]+|{MARK}+|\n+")
+        self._machine, self._reach = machine, max(self.length)
+        self._cut = self._boundaries()
+
+    def _boundaries(self) -> re.Pattern:
+        """Cuts a text where no piece crosses: before blank marks, around line ends, and between a word of letters and an ASCII sign that follows a letter in no piece."""
+        if any(re.search(f"[^{MARK}]{MARK}|\n", p) for p in self.id_of):
+            return re.compile(r"[\s\S]+")
+        letter = r"[^\W\d_]"
+        after = {y for p in self.id_of for x, y in zip(p, p[1:]) if re.match(letter, x)}
+        signs = "".join(map(re.escape, sorted(c for c in self._known - after if c.isascii())))
+        word = f"(?:{letter}+(?=[{signs}])|[^{MARK}\n]+)" if signs else f"[^{MARK}\n]+"
+        return re.compile(f"{MARK}*{word}|{MARK}+|\n+")
 
     def merge(self, text: str) -> list[str]:
         """Merges neighbours by best score, leftmost first, until none of them form a piece."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = max(((self.score[a + b], -i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.score), default=None)
+        parts, score = list(text), self.score
+        joint = [score.get(a + b) for a, b in zip(parts, parts[1:])]
+        while True:
+            best, at = None, -1
+            for i, s in enumerate(joint):
+                if s is not None and (best is None or s > best):
+                    best, at = s, i
             if best is None:
-                break
-            i = -best[1]
-            parts[i: i + 2] = [parts[i] + parts[i + 1]]
-        return parts
+                return parts
+            parts[at: at + 2] = [parts[at] + parts[at + 1]]
+            del joint[at]
+            if at < len(joint):
+                joint[at] = score.get(parts[at] + parts[at + 1])
+            if at:
+                joint[at - 1] = score.get(parts[at - 1] + parts[at])
 
     def compatible(self, a: int, b: int) -> bool:
-        key = (a, b)
+        """Whether merging the text of both pieces, each merged to itself, leaves the two."""
+        key = a << 24 | b
         known = self._pairs.get(key)
         if known is None:
             if len(self._pairs) >= PAIRS:
@@ -86,56 +106,78 @@ class PieceCodec:
             self._shorter[i] = next((self.id_of[p[:n]] for n in range(len(p) - 1, 0, -1) if p[:n] in self.id_of), None)
         return self._shorter[i]
 
+    def _longest(self, text: str, at: int) -> int:
+        """The longest piece at a place: the automaton tells how far its branch goes, the last piece on the branch is it."""
+        ahead = text[at: at + self._reach]
+        end = self._machine.longest_prefix(ahead)
+        i = self.id_of.get(ahead[:end])
+        while i is None:
+            end -= 1
+            i = self.id_of.get(ahead[:end])
+        return i
+
     def _cover(self, text: str) -> list[int]:
         """The pieces of a text all of whose characters are pieces."""
-        n, length, longest = len(text), self.length, {}
-        for end, i in self._machine.iter(text):
-            longest[end + 1 - length[i]] = i  # later ends are longer
-        usable, out, at = bytearray(b"\x01") * (n + 1), [], 0
-        piece: int | None = longest[0]
+        n, length, longest, pairs = len(text), self.length, self._longest, self._pairs
+        usable, out, at, last = bytearray(b"\x01") * (n + 1), [], 0, -1
+        piece: int | None = longest(text, 0)
         while at < n:
             while piece is not None:
                 end = at + length[piece]
-                if usable[end] and self.sound(piece) and (not out or self.compatible(out[-1], piece)):
-                    break
+                if usable[end]:
+                    if last < 0:
+                        if self.sound(piece):
+                            break
+                    else:
+                        fits = pairs.get(last << 24 | piece)
+                        if self.compatible(last, piece) if fits is None else fits:
+                            break
                 piece = self.shorter(piece)
             if piece is None:
-                if not out:
+                if last < 0:
                     raise ValueError("no covering; the vocabulary is not of the merge type")
                 usable[at] = 0
                 piece = out.pop()
                 at -= length[piece]
+                last = out[-1] if out else -1
             else:
                 out.append(piece)
-                at += length[piece]
-                piece = longest.get(at)
+                at, last = end, piece
+                piece = longest(text, at) if at < n else None
         return out
 
     def _word(self, word: str) -> tuple[tuple[int, ...], str, str]:
-        if len(self._words) >= WORDS:
-            self._words.clear()
-        ids: list[int] = []
-        known = ""
-        for c in word:
-            if c in self.id_of:
-                known += c
-                continue
-            ids += self._cover(known) if known else []
-            known = ""
-            ids += [self.id_of_byte.get(b, self.unknown) for b in c.encode()]
-        ids += self._cover(known) if known else []
-        found = tuple(ids), ",".join(map(str, ids)), self._plain(ids)
+        found = self._older.get(word)
+        if found is None:
+            if self._known.issuperset(word):
+                ids = self._cover(word)
+                found = tuple(ids), ",".join(map(str, ids)), word.replace(MARK, " ")
+            else:
+                ids = self._with_unknown(word)
+                found = tuple(ids), ",".join(map(str, ids)), self._plain(ids)
         if len(word) < 64:
+            if len(self._words) >= WORDS:
+                self._older, self._words = self._words, {}
             self._words[word] = found
         return found
 
+    def _with_unknown(self, word: str) -> list[int]:
+        """Characters that are no pieces cut the word, and become their bytes."""
+        ids: list[int] = []
+        for known, run in groupby(word, self._known.__contains__):
+            if known:
+                ids += self._cover("".join(run))
+            else:
+                ids += [self.id_of_byte.get(b, self.unknown) for b in "".join(run).encode()]
+        return ids
+
     def words(self, text: str) -> list[tuple[tuple[int, ...], str, str]]:
         """Per word of the text: its ids, the ids as text, and what they decode to (with the leading blank mark)."""
         if not text:
             return []
-        known, out = self._words, []
+        out = []
         for w in self._cut.findall(MARK + text.replace(" ", MARK)):
-            out.append(known.get(w) or self._word(w))
+            out.append(self._words.get(w) or self._word(w))
         return out
 
     def encode(self, text: str) -> list[int]:
