@@ -38,11 +38,11 @@ def source_rates(docs: DataFrame, key: str = "source", size: str = "1", power: f
         raw = sizes.withColumn("raw", F.when(F.col("size") > 0, F.pow("size", F.lit(power))).otherwise(0.0))
     else:
         raw = attach_groups(sizes, weights.select(key, F.col("weight").alias("raw")), [key]).fillna(0.0, ["raw"])
-    total = raw.agg(F.sum("raw").alias("all_raw"), F.sum("size").alias("all_size"))
-    share = F.col("raw") / F.col("all_raw")
-    return raw.join(F.broadcast(total)).select(  # one row
+    total = raw.agg(F.sum("raw").alias("raw"), F.sum("size").alias("size")).first()
+    share = F.col("raw") / F.lit(float(total["raw"] or 1.0))
+    return raw.select(
         key, "size", share.alias("weight"),
-        F.when(F.col("size") > 0, share * F.lit(budget) * F.col("all_size") / F.col("size")).otherwise(0.0).alias("rate"))
+        F.when(F.col("size") > 0, share * F.lit(budget * float(total["size"] or 0.0)) / F.col("size")).otherwise(0.0).alias("rate"))
 
 
 def cumulative(rate: Column) -> Column:
