@@ -103,7 +103,12 @@ def evidence(features: Column, model: tuple | float) -> Column:
 def learn(featured: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> tuple | float:
     """Fits the evidence on at most ``bound`` labelled rows of ``featured`` (``doc_id``, ``features``)."""
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("good"))
-    rows = featured.select("doc_id", "features").join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).collect()
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    share = 1.1 * bound / max(known.count(), 1)  # so that about the bound's number of rows is collected, not that number from every task
+    rows = (
+        featured.select("doc_id", "features").join(known.where(place < int(min(share, 1.0) * (1 << 30))), "doc_id")
+        .select("features", "good", place.alias("place"), "doc_id").collect())
+    rows = sorted(rows, key=lambda r: (r["place"], r["doc_id"], r["features"]))[:bound]
     if not rows:
         return 1.0
     good = np.array([float(r["good"]) for r in rows])
