@@ -24,8 +24,10 @@ import sentencepiece
 from pyspark.sql import DataFrame
 
 MARK = "▁"
-#: Words, and pairs of pieces, that a worker remembers before it starts a new memory. Words keep one older memory.
-WORDS, PAIRS = 250_000, 1_000_000
+#: Words, and pairs of pieces, that a worker remembers before it starts a new memory. Words keep one older memory, until the task ends.
+WORDS, PAIRS = 150_000, 300_000
+#: Texts encoded at once.
+ROWS = 256
 
 
 class PieceCodec:
@@ -171,6 +173,9 @@ class PieceCodec:
                 ids += [self.id_of_byte.get(b, self.unknown) for b in "".join(run).encode()]
         return ids
 
+    def forget(self) -> None:
+        self._words, self._older = {}, {}
+
     def words(self, text: str) -> list[tuple[tuple[int, ...], str, str]]:
         """Per word of the text: its ids, the ids as text, and what they decode to (with the leading blank mark)."""
         if not text:
@@ -234,15 +239,27 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
+def _slices(own: PieceCodec, batches):
+    """Parts of the batches with the words of each text; the words remembered go with the task."""
+    try:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                yield part.column("doc_id"), (own.words(t or "") for t in part.column("text").to_pylist())
+    finally:
+        own.forget()
+
+
 def encode_documents(docs: DataFrame, model: bytes) -> DataFrame:
     """Per row: ``doc_id``, ``ids`` and ``decoded``."""
 
     def run(batches):
-        own = codec(model)
-        for batch in batches:
-            found = [own.words(t or "") for t in batch.column("text").to_pylist()]
-            decoded = ["".join(d for _, _, d in ws)[1:] for ws in found]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([[i for ids, _, _ in ws for i in ids] for ws in found], pa.list_(pa.int32())), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+        for doc_id, texts in _slices(codec(model), batches):
+            ids, decoded = [], []
+            for ws in texts:
+                ids.append([i for w in ws for i in w[0]])
+                decoded.append("".join([w[2] for w in ws])[1:])
+            yield pa.RecordBatch.from_arrays([doc_id, pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
@@ -251,14 +268,13 @@ def encode_digests(docs: DataFrame, model: bytes) -> DataFrame:
     """As ``encode_documents``, with digests of ids and decoded text rather than both at full length."""
 
     def run(batches):
-        own, sha = codec(model), hashlib.sha256
-        for batch in batches:
+        sha = hashlib.sha256
+        for doc_id, texts in _slices(codec(model), batches):
             n, ids, decoded = [], [], []
-            for t in batch.column("text").to_pylist():
-                ws = own.words(t or "")
+            for ws in texts:
                 n.append(sum([len(w[0]) for w in ws]))
                 ids.append(sha(",".join([w[1] for w in ws]).encode()).hexdigest())
                 decoded.append(sha("".join([w[2] for w in ws])[1:].encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([doc_id, pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
