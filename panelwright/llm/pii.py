@@ -143,13 +143,13 @@ def discovered(scanned: DataFrame) -> DataFrame:
     return marked.groupBy("doc_id", "__text").agg(F.sort_array(F.collect_set(F.struct(F.lit("context").alias("kind"), "start", "end"))).alias("__more"))
 
 
-def find_personal_data(docs: DataFrame) -> DataFrame:
-    """The rows with ``base`` and ``spans`` (base, then context): arrays of (kind, start, end)."""
+def find_personal_data(docs: DataFrame, base: str = "base", spans: str = "spans") -> DataFrame:
+    """The rows with ``base`` and ``spans`` (base, then context): arrays of (kind, start, end). Columns of these names are replaced."""
     scanned = materialise(scan(docs), "pii-scan")
     none = F.expr(f"CAST(array() AS array<{SPAN}>)")
     return (
         attach_groups(scanned, discovered(scanned), ["doc_id", "__text"])
-        .select(*docs.columns, F.col("__base").alias("base"), F.concat("__base", F.coalesce("__more", none)).alias("spans")))
+        .select(*[c for c in docs.columns if c not in (base, spans)], F.col("__base").alias(base), F.concat("__base", F.coalesce("__more", none)).alias(spans)))
 
 
 def listed(spans: Column) -> Column:

@@ -37,8 +37,8 @@ def jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by the name of its kind; ``n_chars`` follows the text."""
-    found = find_personal_data(docs).withColumn("text", redact(F.col("text"), F.col("spans")))
-    return found.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    found = find_personal_data(docs, "__of_base", "__of_all").withColumn("text", redact(F.col("text"), F.col("__of_all")))
+    return found.withColumn("n_chars", F.when(F.size("__of_all") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
