@@ -139,14 +139,25 @@ def d07(spark, sf):
     return A.crosstab(scored, "regime_label", "predicted", ("BULL", "CHOP", "BEAR"))
 
 
-@query("D08_score_by_month")
-def d08(spark, sf):
-    """Rows scored by the newest model of an earlier month; a fallback before the first."""
+def scored_rows(spark, sf):
+    """Every weekly row, complete or not, by the newest model of an earlier month; a fallback before the first."""
     rows = ml_rows(spark, sf)
     line = D.regression_pipeline(trees=3)
     models = D.walk_forward(rows, line, "target_fwd_ret", ["1997-01", "1999-01"])
     fallback = D.train(rows.where(F.year("date") < 1996), line, "target_fwd_ret")
-    return D.score(rows, models, fallback).select("date", "ticker", "ml_pred_return")
+    every = P.structure_score(T.weekly_features(spark, sf)).select("date", "ticker", *D.FEATURES)
+    return D.score(every, models, fallback)
+
+
+@query("D08_score_by_month")
+def d08(spark, sf):
+    return scored_rows(spark, sf).select("date", "ticker", "ml_pred_return")
+
+
+@query("D08_score_coverage", pick("b_features", "date;ticker;model=CASE WHEN date < DATE '1997-01-01' THEN 'fallback' WHEN date < DATE '1999-01-01' THEN '1997-01' ELSE '1999-01' END", "", "scored=1"))
+def d08_coverage(spark, sf):
+    """Which model scored which row: none is left out for a missing feature or target."""
+    return scored_rows(spark, sf).select("date", "ticker", "model", F.col("ml_pred_return").isNotNull().cast("int").alias("scored"))
 
 
 @query("D09_walk_forward")

@@ -39,9 +39,10 @@ def st2(spark, sf):
     p = materialise(T.panel(spark, sf).select("ticker", "date", "close", "volume"), "panel")
     source, table, ckpt = new_folder(spark, "feed"), new_folder(spark, "prices"), new_folder(spark, "ckpt")
     fixed = p.where("date >= '2000-01-01' AND ticker <> 'N3'").withColumn("close", F.col("close") * 1.01)
-    for rows in (p.where("date < '2001-01-01'"), fixed):
+    for version, rows in enumerate((p.where("date < '2001-01-01'"), fixed)):
+        rows = rows.withColumn("version", F.lit(version))
         rows.write.mode("append").parquet(source)
-        stream = spark.readStream.schema(p.schema).parquet(source)
+        stream = spark.readStream.schema(rows.schema).parquet(source)
         ST.run_to_end(stream, ST.price_upsert(table), ckpt, "update")
     return spark.read.parquet(table).select("ticker", "date", "close", "volume")
 

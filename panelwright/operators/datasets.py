@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, functions as F
@@ -117,11 +117,24 @@ def time_split(df: DataFrame, year: int = 2025, date: str = "date") -> tuple[Dat
     return df.where(F.year(date) < year), df.where(F.year(date) >= year)
 
 
+FILLED = "__in_"
+
+
+def _filled(features) -> list:
+    """Fills missing features, so that scoring returns as many rows as it gets, and packs them."""
+    names = [f"{FILLED}{f}" for f in features]
+    return [Imputer(inputCols=list(features), outputCols=names, strategy="mean"), VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep")]
+
+
+def _without_inputs(df: DataFrame) -> DataFrame:
+    return df.drop("features", "rawPrediction", "probability", *[c for c in df.columns if c.startswith(FILLED)])
+
+
 # D06, D07
 def regression_pipeline(features=FEATURES, label: str = "target_fwd_ret", trees: int = 100, depth: int = 4, rate: float = 0.05, seed: int = 42) -> Pipeline:
-    """Gradient-boosted trees; rows with a missing feature are skipped, as in training on complete rows."""
+    """Gradient-boosted trees, trained on complete rows; a row scored with a missing feature gets its mean in training."""
     return Pipeline(stages=[
-        VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip"),
+        *_filled(features),
         GBTRegressor(featuresCol="features", labelCol=label, maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=0.8,
                      featureSubsetStrategy="0.8", seed=seed)])
 
@@ -129,17 +142,18 @@ def regression_pipeline(features=FEATURES, label: str = "target_fwd_ret", trees:
 def classifier_pipeline(features=REGIME_FEATURES, label: str = "regime_label", kind: str = "forest", trees: int = 200, depth: int = 3, seed: int = 42) -> Pipeline:
     """Three-class regime model: a forest, or multinomial regression."""
     index = StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc", handleInvalid="keep")
-    pack = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
     if kind == "forest":
         model = RandomForestClassifier(featuresCol="features", labelCol="label_index", numTrees=trees, maxDepth=depth, subsamplingRate=0.8,
                                        featureSubsetStrategy="0.7", minInstancesPerNode=5, seed=seed)
     else:
         model = LogisticRegression(featuresCol="features", labelCol="label_index", family="multinomial", regParam=0.1)
-    return Pipeline(stages=[index, pack, model])
+    return Pipeline(stages=[index, *_filled(features), model])
 
 
 def train(df: DataFrame, pipeline: Pipeline, label: str) -> PipelineModel:
-    return pipeline.fit(df.where(F.col(label).isNotNull()))
+    """Fits on the rows with a label and all features."""
+    features = [c for stage in pipeline.getStages() if isinstance(stage, Imputer) for c in stage.getInputCols()]
+    return pipeline.fit(df.dropna(subset=[label, *features]))
 
 
 def class_probabilities(scored: DataFrame, model: PipelineModel) -> DataFrame:
@@ -148,7 +162,7 @@ def class_probabilities(scored: DataFrame, model: PipelineModel) -> DataFrame:
     p = vector_to_array("probability")
     out = scored.withColumns({f"p_{v.lower()}": p[i] for i, v in enumerate(labels)})
     names = F.array(*[F.lit(v) for v in labels])
-    return out.withColumn("predicted", F.element_at(names, F.col("prediction").cast("int") + 1)).drop("probability", "rawPrediction", "features")
+    return out.withColumn("predicted", F.element_at(names, F.col("prediction").cast("int") + 1)).transform(_without_inputs)
 
 
 # D08
@@ -156,17 +170,17 @@ def score(df: DataFrame, models: dict, fallback: PipelineModel | None = None, da
     """Each month's rows by the newest model keyed at or before it; earlier rows by the fallback.
 
     ``models``: month key -> model trained on what was known before that month.
-    Every model sees only its own date slice, so each row is scored once.
+    Every model sees only its own date slice, so each row is scored once; rows with missing features too.
+    ``model`` is the month key of the model used, ``fallback`` before the first.
     """
     months = sorted(models)
     key = month_key(date)
-    slices = [(models[m], (key >= m) & ((key < months[i + 1]) if i + 1 < len(months) else F.lit(True))) for i, m in enumerate(months)]
+    slices = [(m, models[m], (key >= m) & ((key < months[i + 1]) if i + 1 < len(months) else F.lit(True))) for i, m in enumerate(months)]
     if fallback is not None:
-        slices.insert(0, (fallback, key < months[0] if months else F.lit(True)))
+        slices.insert(0, ("fallback", fallback, key < months[0] if months else F.lit(True)))
     result = None
-    for model, rows in slices:
-        part = model.transform(df.where(rows)).withColumnRenamed("prediction", out)
-        part = part.drop("features", "rawPrediction", "probability")
+    for name, model, rows in slices:
+        part = _without_inputs(model.transform(df.where(rows)).withColumnRenamed("prediction", out)).withColumn("model", F.lit(name))
         result = part if result is None else result.unionByName(part)
     return result
 

@@ -17,8 +17,11 @@ PRICES = T.StructType([T.StructField("Date", T.TimestampNTZType())] + [T.StructF
 
 
 # S01
-def read_panel(spark: SparkSession, root: str, schema: T.StructType | None = None, classes=CLASSES) -> DataFrame:
-    """All price files below ``root`` as one long panel; unreadable files are skipped.
+def read_panel(spark: SparkSession, root: str, schema: T.StructType | None = None, classes=CLASSES, skip_unreadable: bool = False) -> DataFrame:
+    """All price files below ``root`` as one long panel.
+
+    A file that cannot be read fails the scan. With ``skip_unreadable`` such files are left
+    out; ``quality.check_files`` lists them, and a caller should look at that list.
 
     The ticker is the file name, the asset class the folder. With a schema
     (default ``PRICES``) no footer is read on the driver; column names are
@@ -26,7 +29,7 @@ def read_panel(spark: SparkSession, root: str, schema: T.StructType | None = Non
     """
     parts = []
     for c in classes:
-        df = (spark.read.schema(schema or PRICES).option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+        df = (spark.read.schema(schema or PRICES).option("ignoreCorruptFiles", str(skip_unreadable).lower())
               .option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{root}/{c}"))
         name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.parquet$", 1)
         df = df.select(*[x for x in df.columns if x.lower() != "ticker"], name.alias("Ticker"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.ingest import upsert
@@ -40,7 +40,7 @@ def run_to_end(stream: DataFrame, sink, checkpoint: str, mode: str = "append") -
 def order_ledger(raw: DataFrame, delay: str = "1 day") -> DataFrame:
     """Postbacks typed and cleared of repeats; works on a stream and on a table.
 
-    A repeat is the same order, status and update time. In a stream, keys are
+    A repeat is the same order, status and update time; of a table the one received first stays. In a stream, keys are
     forgotten once the watermark passes them, so state stays bounded.
     """
     typed = raw.withColumns({
@@ -50,7 +50,8 @@ def order_ledger(raw: DataFrame, delay: str = "1 day") -> DataFrame:
     keys = ["orderid", "status", "updateTime"]
     if raw.isStreaming:
         return typed.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(keys)
-    return typed.dropDuplicates(keys)
+    first = Window.partitionBy(*keys).orderBy("received_at", *[c for c in typed.columns if c not in (*keys, "received_at")])
+    return typed.withColumn("__rn", F.row_number().over(first)).where("__rn = 1").drop("__rn")
 
 
 def latest_status(ledger: DataFrame) -> DataFrame:
@@ -62,15 +63,18 @@ def latest_status(ledger: DataFrame) -> DataFrame:
 
 
 # ST2
-def price_upsert(path: str, keys=("ticker", "date")):
+def price_upsert(path: str, keys=("ticker", "date"), order=("version",)):
     """A foreachBatch function that merges price rows into a table stored by year.
 
     Only the years a batch touches are read and rewritten. The merged rows go
     to a folder of their own first, since a table cannot be overwritten while
-    it is read; running a batch twice gives the same table.
+    it is read; running a batch twice gives the same table. Of a batch's rows with one key the
+    newest by ``order`` holds; a batch without these columns is refused.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        if missing := [c for c in order if c not in batch.columns]:
+            raise ValueError(f"rows of one key cannot be put in order without {missing}")
         fresh = batch.withColumn("year", F.year("date"))
         years = [r.year for r in fresh.select("year").distinct().collect()]
         if not years:
@@ -83,8 +87,7 @@ def price_upsert(path: str, keys=("ticker", "date")):
                 raise
             old = batch.limit(0)
         from ..operators.news import keep_last
-        order = [c for c in ("version",) if c in columns]
-        newest = keep_last(fresh.drop("year"), keys, order) if order else fresh.drop("year").dropDuplicates(list(keys))
+        newest = keep_last(fresh.drop("year"), keys, [*order, *[c for c in columns if c not in order]])
         staged = new_folder(spark, f"upsert-{batch_id}")
         upsert(old, newest, keys).write.parquet(staged)
         (spark.read.parquet(staged).withColumn("year", F.year("date")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

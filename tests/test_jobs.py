@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from panelwright.operators import datasets as D
 from panelwright.operators import ingest as I, news as N, portfolio as P, quality as Q, regime as G
 from panelwright.operators.aggregates import TOPICS
 from panelwright.session import new_folder
@@ -50,7 +51,9 @@ def test_price_folder_and_file_checks(spark):
                  ).to_parquet(f"{root}/macro/gold.parquet", index=False)
     with open(f"{root}/indices/bad.parquet", "w") as f:
         f.write("not a parquet file")
-    rows = {(r.ticker, r.asset_class, str(r.date)): r for r in R.read_panel(spark, root).collect()}
+    with pytest.raises(Exception, match="bad.parquet"):  # by default a file that cannot be read fails the scan
+        R.read_panel(spark, root).collect()
+    rows = {(r.ticker, r.asset_class, str(r.date)): r for r in R.read_panel(spark, root, skip_unreadable=True).collect()}
     assert set(rows) == {("abc", "stocks", "2024-01-01"), ("abc", "stocks", "2024-01-02"), ("gold", "macro", "2024-01-01")}
     assert rows[("abc", "stocks", "2024-01-02")].close is None and rows[("gold", "macro", "2024-01-01")].close == 3.0
     bad = {r.ticker: (r.type, r.msg) for r in Q.check_files(spark, [f"{root}/{c}" for c in R.CLASSES], R.PRICES).collect()}
@@ -190,3 +193,24 @@ def test_shared_folder_is_refused_off_local_mode(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         session.shared_dir(Fake())
+
+
+def test_price_upsert_takes_the_newest_version_of_a_key(spark):
+    path = new_folder(spark, "prices")
+    schema = "ticker string, date date, close double, version int"
+    day = pd.Timestamp("2024-01-02").date()
+    merge = ST.price_upsert(path)
+    merge(spark.createDataFrame([("a", day, 1.0, 2), ("a", day, 2.0, 1), ("b", day, 5.0, 1)], schema), 0)
+    merge(spark.createDataFrame([("b", day, 6.0, 2)], schema), 1)
+    assert {r.ticker: r.close for r in spark.read.parquet(path).collect()} == {"a": 1.0, "b": 6.0}
+    with pytest.raises(ValueError, match="version"):
+        merge(spark.createDataFrame([("a", day, 1.0)], "ticker string, date date, close double"), 2)
+
+
+def test_scoring_keeps_rows_with_missing_features(spark):
+    rows = [(i, float(i % 7), float(i % 3) if i % 5 else None, float(i % 7) / 10) for i in range(80)]
+    df = spark.createDataFrame(rows, "n int, a double, b double, y double").selectExpr("date_add(DATE '2024-01-01', n) AS date", "a", "b", "y")
+    model = D.train(df, D.regression_pipeline(("a", "b"), "y", trees=2), "y")
+    got = D.score(df, {"2024-02": model}, model).collect()
+    assert len(got) == 80 and all(r.ml_pred_return is not None for r in got)
+    assert {r.model for r in got} == {"fallback", "2024-02"} and not [c for c in got[0].asDict() if c.startswith("__")]
