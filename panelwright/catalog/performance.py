@@ -236,11 +236,6 @@ def b01_summary(spark, sf):
     return B.bootstrap_summary(B.block_bootstrap(T.weekly_returns(spark, sf), 8.0, REPS))
 
 
-@query("B02_deflated_sharpe")
-def b02(spark, sf):
-    return B.deflated_sharpe(T.weekly_returns(spark, sf))
-
-
 part("b02_s", "SELECT strategy, n, sharpe, skew, kurt FROM mx")
 part("b02_v", "SELECT a.strategy, var_pop(b.sharpe) AS v FROM b02_s a JOIN b02_s b ON b.strategy <> a.strategy GROUP BY a.strategy")
 # expected best of 50 chance results, from the normal quantile
@@ -249,6 +244,16 @@ part("b02_t", f"""SELECT s.*, sqrt(v / 52) * {B02Z} * sqrt(52) AS sr0, (sharpe /
    / sqrt((1 - skew * sharpe / sqrt(52) + (kurt + 2) / 4 * sharpe * sharpe / 52) / (n - 1.0)) AS t_stat FROM b02_s s JOIN b02_v v ON v.strategy = s.strategy""")
 
 
+# the same series by logarithms of the double factorials
+B02CDF = f"""CASE WHEN t_stat = 0 THEN 0.5 WHEN t_stat < -{B.CDF_END} THEN 0 WHEN t_stat > {B.CDF_END} THEN 1 ELSE 0.5 + sign(t_stat) * exp(-t_stat * t_stat / 2) / sqrt(2 * pi())
+   * list_sum([exp((2 * k + 1) * ln(abs(t_stat)) - lgamma(2 * k + 3) + (k + 1) * ln(2) + lgamma(k + 2)) FOR k IN range({B.CDF_TERMS} + 1)]) END"""
+
+
+@query("B02_deflated_sharpe", pick("b02_t", "strategy", f"ann_sharpe=sharpe;skew;kurt;sr0;t_stat;dsr={B02CDF}", "n"))
+def b02(spark, sf):
+    return B.deflated_sharpe(T.weekly_returns(spark, sf))
+
+
 @query("B02_deflated_inputs", pick("b02_t", "strategy", "ann_sharpe=sharpe;skew;kurt;sr0;t_stat", "n"))
 def b02_inputs(spark, sf):
     return B.deflated_sharpe(T.weekly_returns(spark, sf)).drop("dsr")

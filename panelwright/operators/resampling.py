@@ -12,8 +12,7 @@ import itertools
 import math
 from statistics import NormalDist
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.rolling import running
 from ..functions.scalar import hash_uniform
@@ -72,6 +71,16 @@ def bootstrap_summary(paths: DataFrame, by=STRATEGY) -> DataFrame:
 
 # B02
 EULER = 0.5772156649
+#: Terms of the series of the normal distribution function, and where it is 0 or 1 to the last place.
+CDF_TERMS, CDF_END = 160, 8.5
+
+
+def normal_cdf(t: Column) -> Column:
+    """1/2 + density * (t + t^3 / 3 + t^5 / (3 * 5) + ...)."""
+    series = F.aggregate(
+        F.sequence(F.lit(1), F.lit(CDF_TERMS)), F.struct(t.alias("term"), t.alias("sum")),
+        lambda a, k: F.struct((a["term"] * t * t / (2 * k + 1)).alias("term"), (a["sum"] + a["term"] * t * t / (2 * k + 1)).alias("sum")), lambda a: a["sum"])
+    return F.when(t < -CDF_END, 0.0).when(t > CDF_END, 1.0).otherwise(0.5 + series * F.exp(-t * t / 2) / math.sqrt(2 * math.pi))
 
 
 def deflated_sharpe(r: DataFrame, trials: int = 50, by=STRATEGY, ret: str = "portfolio_return", published: bool = True) -> DataFrame:
@@ -79,7 +88,7 @@ def deflated_sharpe(r: DataFrame, trials: int = 50, by=STRATEGY, ret: str = "por
 
     The spread of chance results is that of the other strategies' Sharpes.
     The published variance term is (kurtosis-1)/4; the other form uses excess
-    kurtosis/4. Normal cdf and quantile are evaluated on one row per strategy.
+    kurtosis/4.
     """
     x = F.col(ret)
     one = r.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("m"), F.stddev_samp(x).alias("sd"), F.skewness(x).alias("skew"), F.kurtosis(x).alias("kurt"))
@@ -95,11 +104,7 @@ def deflated_sharpe(r: DataFrame, trials: int = 50, by=STRATEGY, ret: str = "por
     var = (1.0 - F.col("skew") * F.col("sr") + excess * F.col("sr") ** 2) / (F.col("n") - 1.0)
     one = one.withColumns({"sr0": sr0 * math.sqrt(52.0), "t_stat": (F.col("sr") - sr0) / F.sqrt(var)})
 
-    @F.pandas_udf("double")
-    def normal_cdf(t: pd.Series) -> pd.Series:
-        return t.map(NormalDist().cdf, na_action="ignore")
-
-    return one.withColumn("dsr", normal_cdf("t_stat")).select(*by, "n", "ann_sharpe", "skew", "kurt", "sr0", "t_stat", "dsr")
+    return one.withColumn("dsr", normal_cdf(F.col("t_stat"))).select(*by, "n", "ann_sharpe", "skew", "kurt", "sr0", "t_stat", "dsr")
 
 
 # B03
