@@ -15,6 +15,7 @@ from .aggregates import sector_mean
 from .timeseries import diff, dist_sma, drawdown, efficiency, forward_label, pcts, rsi_simple, vix_features, vol_ratio_sharpe
 from .xsection import DATE, cs_rank
 
+# fixed values: names of the feature columns
 FEATURES = ("fip_z", "mom20_z", "mom60_z", "vol20_z", "beta", "rsi14", "structure_score", "rvol20", "vol_comp")
 
 
@@ -83,6 +84,7 @@ def residual_target(df: DataFrame) -> DataFrame:
 
 
 # D04
+# fixed values: names of the feature columns
 REGIME_FEATURES = ("dist_sma50", "dist_sma100", "dist_sma200", "eff_ratio_20", "eff_ratio_50", "eff_ratio_100", "mom5", "mom10", "mom20", "mom60",
                    "vol20", "vol60", "vol_ratio", "sharpe_20", "sharpe_60", "breadth", "breadth_mom20", "vix", "vix_sma20", "vix_z", "risk_rel_strength",
                    "usd_mom20", "us10y_mom20", "gold_mom20", "cross_dispersion", "drawdown", "rsi14_market")

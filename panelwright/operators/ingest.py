@@ -95,6 +95,7 @@ def resolve_alias(df: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 # S14
+# fixed values: fields of a registry entry
 REGISTRY_FIELDS = ("experiment_id", "title", "status", "evidence_tier", "competing_hypotheses", "winning_hypothesis", "evidence_evaluation",
                    "acceptance_criteria", "discovery_dataset", "validation_dataset", "replication_dataset")
 # fixed values

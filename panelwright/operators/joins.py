@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 
 def calendar(df: DataFrame, date: str = "date") -> DataFrame:
@@ -40,8 +40,11 @@ def asof(left: DataFrame, right: DataFrame, cols, by=(), on: str = "date") -> Da
 
     The distinct keys of both sides are stacked and the last non-NULL value is
     carried down one window, which is thus no longer than the calendar however
-    many rows share a date; the values then join back by key.
+    many rows share a date; the values then join back by key. Without series the
+    key has to be a date, so that one row per day is all the window holds.
     """
+    if not by and left.schema[on].dataType != T.DateType():
+        raise ValueError(f"without series {on} has to be a date")
     keys = [*by, on]
     wanted = left.select(*keys).distinct()
     stacked = wanted.select(*keys, *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in cols],
@@ -49,7 +52,7 @@ def asof(left: DataFrame, right: DataFrame, cols, by=(), on: str = "date") -> Da
     w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(on, "__side").rowsBetween(Window.unboundedPreceding, 0)
     carried = stacked.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
     carried = carried.where("__side = 1").drop("__side")
-    if not by and dict(left.dtypes)[on] == "date":
+    if not by:
         carried = F.broadcast(carried)  # one row per day
     return left.join(carried, keys, "left")
 

@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.rolling import gated, running, series, trailing
+from ..session import materialise
 from .xsection import cs_rank
 
 STRATEGY = ("strategy",)
@@ -68,12 +69,14 @@ def cusum_breaks(df: DataFrame, max_breaks: int = 3, min_size: int = 30, by=STRA
 
     Each round scans all open segments of all series at once. A segment is
     split in two at its break, the break row itself belonging to neither; the
-    first ``max_breaks`` in order of round and position are kept.
+    first ``max_breaks`` in order of round and position are kept. The rows of each
+    round are stored, since the round reads them twice and the next builds on them.
     """
     rows = df.select(*by, "date", F.coalesce(alpha, F.lit(0.0)).alias("__a"), F.lit(1).cast("bigint").alias("__seg"))
     seg = [*by, "__seg"]
     found = None
     for level in range(max_breaks):
+        rows = materialise(rows, "cusum")
         whole = Window.partitionBy(*seg)
         up = Window.partitionBy(*seg).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
         walked = rows.withColumns({"__m": F.avg("__a").over(whole), "__n": F.count("*").over(whole)}).where(F.col("__n") >= min_size)

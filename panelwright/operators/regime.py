@@ -77,6 +77,7 @@ def regime_probs(df: DataFrame, temperature: float = TEMPERATURE) -> DataFrame:
     """Logits of the three classes, their shares, and the confidence and instability they imply."""
     a, t, b, r = F.col("above_sma"), F.col("trend_score"), F.col("breadth_score"), F.col("risk_score")
     macro, n, s = F.tanh(F.col("macro_score") * 8.0), F.col("news_bias"), F.col("suppression_score")
+    # fixed values: coefficients of the formula
     logits = {
         "__bull": 1.35 * a + 1.10 * t + 0.65 * b + 0.45 * r + 0.35 * macro + 0.30 * n - 0.40 * s,
         "__chop": (-0.55 * F.abs(a) - 0.45 * F.abs(t) - 0.30 * F.abs(b) + 0.30 * (1.0 - F.abs(r))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ..operators.ingest import normalise_ohlcv
+from ..operators.ingest import REGISTRY_FIELDS, normalise_ohlcv
 
 CLASSES = ("stocks", "indices", "macro")
+# fixed values: columns of the trade log
 TRADE_DATES = ("date", "signal_date", "exit_date")
 TRADE_TEXT = ("ticker", "market_state", "decision_reason", "structure_tag", "side", "sleeve")
 TRADE_NUMBERS = ("close", "entry_price", "weight", "gross_weight", "fwd_return", "net_pnl", "leverage_mult", "kinetic_energy", "regime_confidence",
@@ -72,9 +73,8 @@ def read_json_array(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", "true").json(path)
 
 
-REGISTRY = ", ".join(f"{c} string" for c in ("experiment_id", "title", "status", "evidence_tier", "winning_hypothesis", "evidence_evaluation",
-                                             "acceptance_criteria", "discovery_dataset", "validation_dataset", "replication_dataset"))
-REGISTRY += ", competing_hypotheses array<string>"
+REGISTRY = ", ".join(f"{c} {'array<string>' if c == 'competing_hypotheses' else 'string'}" for c in REGISTRY_FIELDS)
+# fixed values: columns of the article feed
 ARTICLE = "publishedAt string, source struct<id: string, name: string>, url string, title string, description string, language string"
 
 
