@@ -8,11 +8,11 @@ Two forms give the same numbers:
 
 * ``frame``: an SQL sliding frame. Spark re-reads the frame for each row, so
   the cost is rows x width.
-* ``prefix``: running sums and their value ``width`` rows earlier, whose cost
-  does not depend on the width. Values are centred on the first value of the
-  series to keep the sums small.
+* ``block``: a frame is put together from the head of one block of ``width``
+  rows and the tail of the block before. Cost and rounding depend neither on
+  the width nor on the length of the series.
 
-Widths of ``PREFIX_FROM`` rows and more use the prefix form.
+Widths of ``PREFIX_FROM`` rows and more use the block form.
 """
 
 from __future__ import annotations
@@ -64,7 +64,7 @@ def _frame_column(r: Roll, by, order) -> Column:
 
 
 def with_rolling(df: DataFrame, rolls, by=("ticker",), order="date", prefix_from: int | None = None) -> DataFrame:
-    """Adds all the given statistics with one pass for sliding frames and two for prefix sums."""
+    """Adds all the given statistics with one pass for sliding frames and one per width for blocks."""
     limit = PREFIX_FROM if prefix_from is None else prefix_from
     short = [r for r in rolls if r.width < limit]
     long = [r for r in rolls if r.width >= limit]
@@ -73,43 +73,59 @@ def with_rolling(df: DataFrame, rolls, by=("ticker",), order="date", prefix_from
     if not long:
         return df
 
-    up_to_now = running(by, order)
     one = series(by, order)
-    cols = sorted({r.col for r in long})
-    df = df.withColumns({f"__f_{c}": F.first(c, ignorenulls=True).over(up_to_now) for c in cols})
-    sums = {}
-    for c in cols:
-        d = F.col(c) - F.col(f"__f_{c}")
-        sums[f"__n_{c}"] = F.count(c).over(up_to_now)
-        sums[f"__s_{c}"] = F.coalesce(F.sum(d).over(up_to_now), F.lit(0.0))
-        sums[f"__q_{c}"] = F.coalesce(F.sum(d * d).over(up_to_now), F.lit(0.0))
-    df = df.withColumns(sums)
-
-    def at(name: str, back: int) -> Column:
-        if back == 0:
-            return F.col(name)
-        return F.coalesce(F.lag(name, back).over(one), F.lit(0).cast("double"))
+    df = df.withColumn("__row", F.row_number().over(one) - 1)
+    for width in sorted({r.width for r in long}):
+        df = _with_blocks(df, [r for r in long if r.width == width], width, by, order)
+    return df.drop("__row")
 
+
+def _with_blocks(df: DataFrame, rolls, width: int, by, order) -> DataFrame:
+    """Statistics of one width from blocks of ``width`` rows.
+
+    A frame is the head of one block, up to its last row, and the tail of the block before, after the row
+    ``width`` rows earlier. Heads and tails are running aggregates; their means and squared deviations are merged,
+    so nothing is ever taken off a larger sum. Blocks are sorted inside the layout by series, not shuffled.
+    """
+    df = df.withColumn("__blk", F.floor(F.col("__row") / width))
+    head = Window.partitionBy(*by, "__blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    tail = Window.partitionBy(*by, "__blk").orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    wide = {r.col for r in rolls if r.fn in ("std", "var")}
+    kinds = {"n": F.count, "m": F.avg, "v": F.var_pop, "l": F.min, "h": F.max}
+
+    def parts(c: str) -> str:
+        return "nmvlh" if c in wide else "nm"
+
+    cols = sorted({r.col for r in rolls})
+    for side, w in (("a", head), ("b", tail)):
+        df = df.withColumns({f"__{side}{k}_{c}": kinds[k](c).over(w) for c in cols for k in parts(c)})
+    one = series(by, order)
+
+    def at(side: str, k: str, c: str, back: int) -> Column:
+        col = F.lag(f"__{side}{k}_{c}", back).over(one) if back else F.col(f"__{side}{k}_{c}")
+        return col if k in "lh" else F.coalesce(col.cast("double"), F.lit(0.0))
+
+    pieces = {f"__{side}{k}{r.skip}_{r.col}": at(side, k, r.col, r.skip + (width if side == "b" else 0))
+              for r in rolls for side in "ab" for k in parts(r.col)}
+    df = df.withColumns(pieces)
     out = {}
-    for r in long:
-        n = at(f"__n_{r.col}", r.skip) - at(f"__n_{r.col}", r.skip + r.width)
-        s = at(f"__s_{r.col}", r.skip) - at(f"__s_{r.col}", r.skip + r.width)
-        first = F.col(f"__f_{r.col}")
-        if r.fn == "mean":
-            value, least = first + F.try_divide(s, n), max(r.least, 1)
-        elif r.fn == "sum":
-            value, least = first * n + s, max(r.least, 1)
+    for r in rolls:
+        na, ma, nb, mb = (F.col(f"__{x}{r.skip}_{r.col}") for x in ("an", "am", "bn", "bm"))
+        n = na + nb
+        if r.fn in ("mean", "sum"):
+            total = na * ma + nb * mb
+            value, least = (F.try_divide(total, n) if r.fn == "mean" else total), max(r.least, 1)
         else:
-            q = at(f"__q_{r.col}", r.skip) - at(f"__q_{r.col}", r.skip + r.width)
-            ss = q - F.try_divide(s * s, n)
-            # what is left below the rounding of the running sum is a constant window
-            ss = F.when(ss <= F.lit(1e-13) * F.col(f"__q_{r.col}"), F.lit(0.0)).otherwise(ss)
+            va, vb, la, lb, ha, hb = (F.col(f"__{x}{r.skip}_{r.col}") for x in ("av", "bv", "al", "bl", "ah", "bh"))
+            ss = na * va + nb * vb + F.try_divide((mb - ma) * (mb - ma) * na * nb, n)
+            # a window of one value has no deviation, whatever the rounding of its means
+            ss = F.when(F.least(la, lb) == F.greatest(ha, hb), F.lit(0.0)).otherwise(ss)
             value, least = F.try_divide(ss, n - 1), max(r.least, 2)
             if r.fn == "std":
                 value = F.sqrt(value)
         out[r.out] = gated(value, n, least)
     df = df.withColumns(out)
-    return df.drop(*[f"__{k}_{c}" for k in "fnsq" for c in cols])
+    return df.drop("__blk", *pieces, *[f"__{side}{k}_{c}" for c in cols for side in "ab" for k in "nmvlh"])
 
 
 def with_zscore(df: DataFrame, pairs: dict, width: int, least: int | None = None, by=("ticker",), order="date",
@@ -159,18 +175,19 @@ def with_ewm(df: DataFrame, pairs: dict, alpha: float, least: int = 1, by=("tick
         f"__l_{o}": F.exp(F.col(f"__g_{o}"))
         * F.coalesce(F.sum(F.col(f"__b_{o}") * F.exp(-F.col(f"__g_{o}"))).over(in_block), F.lit(0.0))
         for o in names})
-    # states at the ends of earlier blocks; empty for a series shorter than one block
+    # The state is folded on the closing rows alone, one per block, and handed on to the rows of the next block;
+    # the other rows collect nothing. A series shorter than one block has no closing row.
     closing = F.col("__row") % size == 0
+    df = df.withColumn("__end", closing)
+    blocks = Window.partitionBy(*by, "__end").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumns({f"__e_{o}": F.collect_list(F.when(closing, F.struct(F.col(f"__g_{o}").alias("g"), F.col(f"__l_{o}").alias("l")))).over(blocks)
+                         for o in names})
+    df = df.withColumns({f"__s_{o}": F.when(closing, F.aggregate(F.col(f"__e_{o}"), F.lit(0.0), lambda acc, e: F.exp(e.g) * acc + e.l))
+                         for o in names}).drop(*[f"__e_{o}" for o in names])
     carry = {}
     for o, c in pairs.items():
-        end = F.when(closing, F.struct(F.col(f"__g_{o}").alias("g"), F.col(f"__l_{o}").alias("l")))
-        carry[f"__e_{o}"] = F.collect_list(end).over(earlier)
+        carry[f"__c_{o}"] = F.coalesce(F.last(f"__s_{o}", ignorenulls=True).over(earlier), F.lit(0.0))
         carry[f"__k_{o}"] = F.count(c).over(up)
     df = df.withColumns(carry)
-    out = {}
-    for o in names:
-        state = F.aggregate(F.col(f"__e_{o}"), F.lit(0.0), lambda acc, e: F.exp(e.g) * acc + e.l)
-        y = F.exp(F.col(f"__g_{o}")) * state + F.col(f"__l_{o}")
-        out[o] = gated(y, F.col(f"__k_{o}"), max(least, 1))
-    df = df.withColumns(out)
-    return df.drop("__row", "__blk", *[f"__{k}_{o}" for k in "pabglek" for o in names])
+    df = df.withColumns({o: gated(F.exp(F.col(f"__g_{o}")) * F.col(f"__c_{o}") + F.col(f"__l_{o}"), F.col(f"__k_{o}"), max(least, 1)) for o in names})
+    return df.drop("__row", "__blk", "__end", *[f"__{k}_{o}" for k in "pabglsck" for o in names])

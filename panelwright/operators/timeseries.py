@@ -171,21 +171,22 @@ def trend_r2(df: DataFrame, width: int = 252, least: int = 126, by=TICKER, idx:
     """Squared population covariance of row position and log price over the product of sample variances.
 
     The position counts on every row, the price only where known, as three
-    separate averages; centring both keeps the sums small without changing it.
+    separate averages. The first price is taken off, which changes nothing; the mean and the variance of
+    ``n`` successive positions have a closed form.
     """
-    df = df.withColumns({"__y": F.log(F.col("close") + 1e-9), "__x": F.col(idx).cast("double")})
-    df = df.withColumns({"__y0": F.first("__y", ignorenulls=True).over(running(by)), "__x0": F.first("__x").over(running(by)) + 1200.0})
-    df = df.withColumn("__xc", F.col("__x") - F.col("__x0"))
-    df = df.withColumn("__yc", F.col("__y") - F.col("__y0"))
+    at = series(by)
+    df = df.withColumns({"__y": F.log(F.col("close") + 1e-9), "__x": F.col(idx).cast("double"), "__n": F.least(F.row_number().over(at), F.lit(width)).cast("double")})
+    df = df.withColumns({"__y0": F.first("__y", ignorenulls=True).over(running(by)), "__x0": F.first("__x").over(running(by))})
+    df = df.withColumns({"__xc": F.col("__x") - F.col("__x0"), "__yc": F.col("__y") - F.col("__y0")})
     df = df.withColumns({"__xy": F.col("__xc") * F.col("__yc"), "__xn": F.when(F.col("__y").isNotNull(), F.col("__xc"))})
     df = with_rolling(df, [
-        Roll("__mx", "mean", "__xc", width, least), Roll("__vx", "var", "__xc", width, least),
         Roll("__my", "mean", "__yc", width, least), Roll("__vy", "var", "__yc", width, least),
         Roll("__mxy", "mean", "__xy", width, least), Roll("__mxn", "mean", "__xn", width, least)], by, prefix_from=prefix_from)
+    df = df.withColumns({"__mx": gated(F.col("__xc") - (F.col("__n") - 1) / 2, F.col("__n"), least), "__vx": F.col("__n") * (F.col("__n") + 1) / 12})
     # mean(x*y) - mean(x)*mean(y) with y = yc + y0
     cov = F.col("__mxy") - F.col("__mx") * F.col("__my") + F.col("__y0") * (F.col("__mxn") - F.col("__mx"))
     df = df.withColumn(out, cov * cov / (F.col("__vx") * F.col("__vy") + 1e-9))
-    return df.drop("__y", "__x", "__y0", "__x0", "__xc", "__yc", "__xy", "__xn", "__mx", "__vx", "__my", "__vy", "__mxy", "__mxn")
+    return df.drop("__y", "__x", "__n", "__y0", "__x0", "__xc", "__yc", "__xy", "__xn", "__mx", "__vx", "__my", "__vy", "__mxy", "__mxn")
 
 
 # W17

@@ -153,3 +153,22 @@ def test_holiday_friday_moves_to_the_last_day(spark):
     cal = calendar(spark.createDataFrame([(d,) for d in days], "date string").withColumn("date", F.to_date("date")))
     assert [str(r.date) for r in W.rebalance_dates(cal).orderBy("date").collect()] == ["2024-01-05", "2024-01-11", "2024-01-15"]
     assert [str(r.date) for r in W.rebalance_dates(cal, "friday").orderBy("date").collect()] == ["2024-01-05"]
+
+
+def test_wide_windows_do_not_depend_on_the_length_of_a_series(spark):
+    n = 250_000
+    x = F.when(F.col("date") == 0, 100.0).when(F.col("date") % 2 == 0, 1100.0).otherwise(1100.01)
+    df = spark.range(n).select(F.lit("a").alias("ticker"), F.col("id").alias("date")).withColumn("x", x)
+    rolls = [Roll("d", "std", "x", 100, 2), Roll("m", "mean", "x", 100, 2), Roll("v", "var", "x", 252, 126, 3)]
+    a = with_rolling(df, rolls).alias("a")
+    b = with_rolling(df, rolls, prefix_from=n).alias("b")
+    gap = [F.max(F.abs(F.col(f"a.{r.out}") / F.col(f"b.{r.out}") - 1)).alias(r.out) for r in rolls]
+    seen = [F.count_if(F.col(f"a.{r.out}").isNull() != F.col(f"b.{r.out}").isNull()).alias(f"n_{r.out}") for r in rolls]
+    row = a.join(b, F.col("a.date") == F.col("b.date")).agg(*gap, *seen).first()
+    assert max(row[r.out] for r in rolls) < 1e-9 and not any(row[f"n_{r.out}"] for r in rolls)
+
+
+def test_wide_window_of_one_value_has_no_deviation(spark):
+    df = spark.range(700).select(F.lit("a").alias("ticker"), F.col("id").alias("date"), F.lit(0.1).alias("x"))
+    out = with_rolling(df, [Roll("d", "std", "x", 100, 2)]).agg(F.max("d").alias("d"), F.count("d").alias("n")).first()
+    assert (out["d"], out["n"]) == (0.0, 699)
