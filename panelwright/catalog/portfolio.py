@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import filters as S, joins as J, portfolio as P, timeseries as W, xsection as C
 from ..plans import backtest as BT, tables as T
 from ..session import materialise
+from .base_sql import FRI
 from .registry import part, pick, query
 from .selection import rank_sql, scored
 from .timeseries import with_ret
@@ -57,26 +58,45 @@ SHORTS = {"BULL": 0.0, "CHOP": 0.10, "BEAR": 0.20}
 part("p_scen", " UNION ALL ".join(
     f"SELECT '{s['scenario']}' AS scenario, '{s['exposure_mode']}' AS exposure_mode, '{s['gold_model']}' AS gold_model" for s in SCENARIOS))
 
-# three sleeves per date: best 20 longs, best 20 defensive names, 5 shorts not among the longs
-part("p_mom", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY round(long_score, 9) DESC, ticker) AS k FROM s_scored WHERE mom60 > 0) WHERE k <= 20")
-part("p_def", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY round(defensive_score, 9) DESC, ticker) AS k FROM s_scored WHERE r2 IS NOT NULL) WHERE k <= 20")
-part("p_sh", """SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY s.date ORDER BY round(s.short_score, 9) DESC, s.ticker) AS k FROM s_scored s
-  LEFT JOIN p_mom m ON m.date = s.date AND m.ticker = s.ticker WHERE m.date IS NULL AND s.mom60 < 0) WHERE k <= 5""")
+# three sleeves per date from the pools of its regime; held names keep their place up to rank 30
 COLS = "date, ticker, structure, fip, mom60, vol20"
-part("p_sleeves", f"""SELECT x.*, s.sector FROM (SELECT {COLS}, 'MOMENTUM' AS sleeve, round(long_score, 9) AS score FROM p_mom UNION ALL
-  SELECT {COLS}, 'DEFENSIVE', round(defensive_score, 9) FROM p_def UNION ALL SELECT {COLS}, 'SHORT', round(short_score, 9) FROM p_sh) x JOIN b_sectors s ON s.ticker = x.ticker""")
+STRESS = "(coalesce(suppression_score, 0) >= 0.60 OR coalesce(transition_risk, 0) >= 0.75)"
+part("p_long", f"SELECT * FROM f05 QUALIFY NOT {STRESS} OR row_number() OVER (PARTITION BY date ORDER BY long_score DESC, ticker) <= 10")
+part("p_cand", f"""SELECT {COLS}, 'MOMENTUM' AS sleeve, long_score AS score FROM p_long
+   UNION ALL SELECT {COLS}, 'DEFENSIVE', defensive_score FROM f_reg WHERE vol252 IS NOT NULL AND max_dd IS NOT NULL AND r2 IS NOT NULL
+   UNION ALL SELECT {COLS}, 'SHORT', short_score FROM f06 WHERE NOT {STRESS}""")
+# dates without longs and shorts have no book
+part("p_turns", "SELECT date, row_number() OVER (ORDER BY date) AS i FROM (SELECT DISTINCT date FROM p_cand WHERE sleeve <> 'DEFENSIVE')")
+part("p_lists", """SELECT s.sleeve, t.i, t.date, coalesce(list(c.ticker ORDER BY c.score DESC, c.ticker) FILTER (c.ticker IS NOT NULL), []) AS names
+   FROM p_turns t CROSS JOIN (SELECT unnest(['MOMENTUM', 'DEFENSIVE']) AS sleeve) s LEFT JOIN p_cand c ON c.date = t.date AND c.sleeve = s.sleeve GROUP BY s.sleeve, t.i, t.date""")
 
 
-def sleeves(spark, sf):
-    return BT.select_sleeves(scored(spark, sf), T.sectors(spark, sf))
+def step(keep: int, n: int) -> str:
+    """One date of the buffer in SQL: held names among the first ``keep``, then the best others."""
+    kept = f"list_filter(names[1:{keep}], lambda x: list_contains(held, x))"
+    return (f"CASE WHEN len({kept}) >= {n} THEN {kept}[1:{n}] "
+            f"ELSE list_concat({kept}, list_filter(names, lambda x: NOT list_contains(held, x))[1:{n} - len({kept})]) END")
+
+
+part("p_walk", f"""SELECT sleeve, i, date, names[1:20] AS held FROM p_lists WHERE i = 1
+   UNION ALL SELECT sleeve, i, date, {step(30, 20)} FROM (SELECT n.sleeve, n.i, n.date, n.names, w.held FROM p_walk w JOIN p_lists n ON n.sleeve = w.sleeve AND n.i = w.i + 1)""")
+part("p_held", "SELECT sleeve, date, unnest(held) AS ticker FROM p_walk")
+part("p_sh", """SELECT * FROM (SELECT c.*, row_number() OVER (PARTITION BY c.date ORDER BY c.score DESC, c.ticker) AS k FROM p_cand c
+  LEFT JOIN p_held m ON m.sleeve = 'MOMENTUM' AND m.date = c.date AND m.ticker = c.ticker WHERE c.sleeve = 'SHORT' AND m.date IS NULL) WHERE k <= 5""")
+part("p_sleeves", f"""SELECT x.*, s.sector FROM (SELECT c.* FROM p_cand c JOIN p_held h ON h.sleeve = c.sleeve AND h.date = c.date AND h.ticker = c.ticker
+  UNION ALL SELECT {COLS}, sleeve, score FROM p_sh) x JOIN b_sectors s ON s.ticker = x.ticker""")
 
 
-part("u04", "SELECT date, ticker FROM s_scored WHERE mom60 < 0 EXCEPT SELECT date, ticker FROM p_mom")
+def sleeves(spark, sf):
+    return BT.select_sleeves(scored(spark, sf), T.sectors(spark, sf), T.weekly_regime(spark, sf))
 
 
-@query("U04_minus", pick("p_sh", "date ticker", "short_score=round(short_score, 9)"))
+@query("U04_minus", pick("p_sleeves a LEFT JOIN (SELECT date AS d, ticker AS t FROM p_sleeves WHERE sleeve = 'MOMENTUM') m ON m.d = a.date AND m.t = a.ticker",
+                         "date;ticker", "score", "", "a.sleeve = 'DEFENSIVE' AND m.d IS NULL"))
 def u04(spark, sf):
-    return sleeves(spark, sf).where("sleeve = 'SHORT'").select("date", "ticker", F.col("score").alias("short_score"))
+    """Defensive names that are not held for momentum as well."""
+    s = sleeves(spark, sf)
+    return P.minus(s.where("sleeve = 'DEFENSIVE'"), s.where("sleeve = 'MOMENTUM'")).select("date", "ticker", "score")
 
 
 part("p_counts", "SELECT date, count_if(sleeve = 'MOMENTUM') AS long_count, count_if(sleeve = 'SHORT') AS short_count FROM p_sleeves GROUP BY date")
@@ -192,8 +212,9 @@ def p13(spark, sf):
 
 
 part("p_dates", "SELECT date, lead(date) OVER (ORDER BY date) AS next_date, lag(date) OVER (ORDER BY date) AS prev_date FROM b_regime")
+part("p_books", "SELECT scenario, date, lead(date) OVER (PARTITION BY scenario ORDER BY date) AS next_book FROM (SELECT DISTINCT scenario, date FROM p13)")
 part("p14_d", """SELECT scenario, date, ticker, sum(o) AS o, sum(n) AS n FROM (SELECT scenario, date, ticker, 0.0 AS o, weight AS n FROM p13
-   UNION ALL SELECT b.scenario, d.next_date, b.ticker, b.weight, 0.0 FROM p13 b JOIN p_dates d ON d.date = b.date WHERE d.next_date IS NOT NULL) GROUP BY ALL""")
+   UNION ALL SELECT b.scenario, d.next_book, b.ticker, b.weight, 0.0 FROM p13 b JOIN p_books d ON d.scenario = b.scenario AND d.date = b.date WHERE d.next_book IS NOT NULL) GROUP BY ALL""")
 part("p14", "SELECT scenario, date, sum(abs(n - o)) AS turnover, sum(abs(n - o)) * 1e6 * 15 / 10000 AS friction_cost FROM p14_d GROUP BY scenario, date")
 
 
@@ -205,12 +226,18 @@ def stored_book(spark, sf):
     return materialise(book(spark, sf), "book")
 
 
+def opens(spark, sf):
+    """Opening prices of names and gold, stored: entry and exit read them."""
+    return materialise(BT.with_gold(T.weekly_features(spark, sf), T.weekly_gold(spark, sf)), "opens")
+
+
 @query("P14_turnover_cost", pick("p14", "scenario date", "turnover friction_cost"))
 def p14(spark, sf):
-    return P.turnover_cost(J.weight_delta(stored_book(spark, sf), weeks(spark, sf), ("scenario",)), x=BT.BY_DATE)
+    return P.turnover_cost(J.weight_delta(stored_book(spark, sf), by=("scenario",)), x=BT.BY_DATE)
 
 
-part("p15_px", "SELECT date, ticker, open FROM b_features")
+part("p15_px", f"""SELECT date, ticker, open FROM b_features
+   UNION ALL SELECT {FRI.format('date')}, 'GOLDBEES', arg_min(open, date) FROM b_roles WHERE role = 'gold' GROUP BY 1""")
 part("p15", """SELECT b.*, e.open AS entry_price, x.open AS exit_price, CASE WHEN e.open > 0 AND x.open IS NOT NULL THEN x.open / e.open - 1 ELSE 0 END AS fwd_return
   FROM p13 b JOIN p_dates d ON d.date = b.date LEFT JOIN p15_px e ON e.ticker = b.ticker AND e.date = b.date AND d.next_date IS NOT NULL
   LEFT JOIN p15_px x ON x.ticker = b.ticker AND x.date = d.next_date""")
@@ -218,12 +245,12 @@ part("p15", """SELECT b.*, e.open AS entry_price, x.open AS exit_price, CASE WHE
 
 @query("P15_forward_open_return", pick("p15", "scenario date ticker", "entry_price exit_price fwd_return"))
 def p15(spark, sf):
-    return P.forward_open_return(book(spark, sf), T.weekly_features(spark, sf), weeks(spark, sf)).select("scenario", "date", "ticker", "entry_price", "exit_price", "fwd_return")
+    return P.forward_open_return(book(spark, sf), opens(spark, sf), weeks(spark, sf)).select("scenario", "date", "ticker", "entry_price", "exit_price", "fwd_return")
 
 
 @query("P16_pnl", pick("p15", "scenario date ticker", "weight;fwd_return;gross_weight=abs(weight);pnl_share=weight * fwd_return;leverage_mult=abs(weight) / greatest(1e-9, base_weight)"))
 def p16(spark, sf):
-    return BT.trades(book(spark, sf), T.weekly_features(spark, sf), weeks(spark, sf)).select("scenario", "date", "ticker", "weight", "fwd_return", "gross_weight", (F.col("gross_pnl") / 1e6).alias("pnl_share"), "leverage_mult")
+    return BT.trades(book(spark, sf), opens(spark, sf), weeks(spark, sf)).select("scenario", "date", "ticker", "weight", "fwd_return", "gross_weight", (F.col("gross_pnl") / 1e6).alias("pnl_share"), "leverage_mult")
 
 
 part("p16_w", """SELECT p.*, t.turnover, t.friction_cost FROM (SELECT scenario, date, sum(1e6 * weight * fwd_return) AS gross_pnl, sum(abs(weight)) AS gross_exposure,
@@ -231,7 +258,7 @@ part("p16_w", """SELECT p.*, t.turnover, t.friction_cost FROM (SELECT scenario,
 
 
 def weekly_book(spark, sf):
-    return BT.weekly_returns(stored_book(spark, sf), T.weekly_features(spark, sf), weeks(spark, sf))
+    return BT.weekly_returns(stored_book(spark, sf), opens(spark, sf), weeks(spark, sf))
 
 
 @query("P16_weekly_returns", pick("p16_w", "scenario date", "gross_share=gross_pnl / 1e6;gross_exposure;net_exposure;turnover;friction_cost;portfolio_return=(gross_pnl - friction_cost) / 1e6"))
@@ -253,12 +280,9 @@ def p17(spark, sf):
 part("p18_c", """SELECT 'momentum' AS scenario, date, ticker, round(long_score, 9) AS score FROM s_scored WHERE mom60 > 0
    UNION ALL SELECT 'defensive', date, ticker, round(defensive_score, 9) FROM s_scored WHERE mom60 > 0""")
 # the walk in SQL keeps the held names as a list and steps from date to date
-STEP = """CASE WHEN len(list_filter(names[1:12], lambda x: list_contains(held, x))) >= 8 THEN list_filter(names[1:12], lambda x: list_contains(held, x))[1:8]
-   ELSE list_concat(list_filter(names[1:12], lambda x: list_contains(held, x)),
-     list_filter(names, lambda x: NOT list_contains(held, x))[1:8 - len(list_filter(names[1:12], lambda x: list_contains(held, x)))]) END"""
 part("p18_d", "SELECT scenario, date, list(ticker ORDER BY score DESC, ticker) AS names, row_number() OVER (PARTITION BY scenario ORDER BY date) AS i FROM p18_c GROUP BY scenario, date")
-part("p18_walk", f"""SELECT scenario, date, i, names[1:8] AS held FROM p18_d WHERE i = 1
-   UNION ALL SELECT scenario, date, i, {STEP} FROM (SELECT n.scenario, n.date, n.i, n.names, w.held FROM p18_walk w JOIN p18_d n ON n.scenario = w.scenario AND n.i = w.i + 1)""")
+part("p18_walk", f"""SELECT scenario, date, i, names[1:20] AS held FROM p18_d WHERE i = 1
+   UNION ALL SELECT scenario, date, i, {step(30, 20)} FROM (SELECT n.scenario, n.date, n.i, n.names, w.held FROM p18_walk w JOIN p18_d n ON n.scenario = w.scenario AND n.i = w.i + 1)""")
 part("p18_h", "SELECT scenario, date, unnest(held) AS ticker FROM p18_walk")
 part("p18", """SELECT h.*, c.score, c.place FROM p18_h h JOIN (SELECT *, row_number() OVER (PARTITION BY scenario, date ORDER BY score DESC, ticker) AS place FROM p18_c) c
    ON c.scenario = h.scenario AND c.date = h.date AND c.ticker = h.ticker""")
@@ -270,7 +294,7 @@ def p18(spark, sf):
     s = scored(spark, sf).where("mom60 > 0").withColumn("long_score", F.round("long_score", 9))
     both = P.sweep(s, [{"scenario": "momentum", "pick": 0}, {"scenario": "defensive", "pick": 1}])
     both = both.withColumn("score", F.when(F.col("pick") == 0, F.col("long_score")).otherwise(F.round("defensive_score", 9)))
-    return P.rank_buffer(both, keep=12, n=8)
+    return P.rank_buffer(both)
 
 
 # trailing returns of the ten best names of each week, 60 rows back

@@ -40,9 +40,11 @@ def clone(names, renamed: dict, prefix: str) -> None:
 clone(["g03", "g04_l", "g04_e", "g04_p", "g04"], {"w_breadth": "x_breadth"}, "x_")
 part("x_week", "SELECT p.* EXCLUDE (date), s.date FROM x_g04 p JOIN x_sig s ON s.signal = p.date")
 clone(["g05", "g06"], {"g04": "x_week"}, "x_")
-clone(["w19", "s_in", "s_rank", "s_raw", "s_scored", "p_mom", "p_def", "p_sh", "p_sleeves", "p_counts", "p07_in", "p07_raw", "p07_t", "p07", "p_sized", "p09_a", "p09_b", "p09",
-       *[f"p10_{k}{i}" for i in range(1, 6) for k in "cns"], *[f"p10_r{i}" for i in range(6)], "p11", "u02", "p12_w", "p12", "p13_in", "p13_s", "p13", "p14_d", "p14", "p15", "p16_w"],
-      {"b_features": "x_features", "b_regime": "x_g06", "p_dates": "x_dates", "p15_px": "b_aligned"}, "x_")
+clone(["w19", "s_in", "s_rank", "s_raw", "s_scored", "f_reg", "f05", "f06_a", "f06", "p_long", "p_cand", "p_turns", "p_lists", "p_walk", "p_held", "p_sh", "p_sleeves", "p_counts", "p07_in", "p07_raw", "p07_t", "p07", "p_sized", "p09_a", "p09_b", "p09",
+       *[f"p10_{k}{i}" for i in range(1, 6) for k in "cns"], *[f"p10_r{i}" for i in range(6)], "p11", "u02", "p12_w", "p12", "p13_in", "p13_s", "p13", "p_books", "p14_d", "p14", "p15", "p16_w"],
+      {"b_features": "x_features", "b_regime": "x_g06", "p_dates": "x_dates", "p15_px": "x_px", "f_state": "x_state"}, "x_")
+part("x_state", "SELECT date, regime, transition_risk, 0.0 AS suppression_score FROM x_g06")
+part("x_px", "SELECT date, ticker, open FROM b_aligned UNION ALL SELECT date, 'GOLDBEES', open FROM b_rolegrid WHERE role = 'gold'")
 part("x_dates", "SELECT date, next_date FROM b_rebal")
 
 
@@ -58,3 +60,13 @@ def research_book(spark, sf):
 @query("research_weekly_returns", pick("x_p16_w", "scenario date", "gross_exposure;net_exposure;turnover;portfolio_return=(gross_pnl - friction_cost) / 1e6"))
 def research_weekly(spark, sf):
     return run(spark, sf)["weekly"].select("scenario", "date", "gross_exposure", "net_exposure", "turnover", "portfolio_return")
+
+
+part("x_trades", f"""SELECT scenario, date, ticker, side, weight, fwd_return FROM x_p15 UNION ALL SELECT s.scenario, g.date, 'CASH', 'CASH', 0.0, NULL FROM x_g06 g CROSS JOIN p_scen s
+  WHERE NOT EXISTS (SELECT 1 FROM x_p13 b WHERE b.scenario = s.scenario AND b.date = g.date)""")
+
+
+@query("research_trades", pick("x_trades", "scenario date ticker side", "weight fwd_return"))
+def research_trades(spark, sf):
+    """The trade log, with a CASH row where a scenario has no book."""
+    return run(spark, sf)["trades"].select("scenario", "date", "ticker", "side", "weight", "fwd_return")

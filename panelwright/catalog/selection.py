@@ -98,7 +98,8 @@ def scored(spark, sf):
     return store_scores(T.weekly_features(spark, sf))
 
 
-part("f_reg", "SELECT s.*, g.regime, g.transition_risk, g.suppression_score FROM s_scored s JOIN b_regime g ON g.date = s.date")
+part("f_state", "SELECT date, regime, transition_risk, suppression_score FROM b_regime")
+part("f_reg", "SELECT s.*, g.regime, g.transition_risk, g.suppression_score FROM s_scored s JOIN f_state g ON g.date = s.date")
 
 
 def scored_regime(spark, sf):

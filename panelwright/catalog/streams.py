@@ -49,7 +49,7 @@ def st2(spark, sf):
 
 def ranked_weeks(spark, sf):
     s = scored(spark, sf).where("mom60 > 0").withColumn("score", F.round("long_score", 9)).withColumn("scenario", F.lit("momentum"))
-    return materialise(C.top_k(s.select("scenario", "date", "ticker", "score"), "score", 16, ("scenario", "date"), rank="place"), "ranked")
+    return materialise(C.top_k(s.select("scenario", "date", "ticker", "score"), "score", 40, ("scenario", "date"), rank="place"), "ranked")
 
 
 @query("ST3_rank_buffer_stream", pick("p18", "scenario date ticker", "score", "place", "scenario = 'momentum'"))
@@ -60,7 +60,7 @@ def st3(spark, sf):
     for part_ in (rows.where("date < '1998-06-01'"), rows.where("date >= '1998-06-01'")):
         part_.write.mode("append").parquet(source)
         stream = spark.readStream.schema(rows.schema).parquet(source)
-        ST.run_to_end(ST.rank_buffer_stream(stream, 12, 8), out, ckpt)
+        ST.run_to_end(ST.rank_buffer_stream(stream), out, ckpt)
     return spark.read.parquet(out).select("scenario", "date", "ticker", "score", "place")
 
 

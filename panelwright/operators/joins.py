@@ -101,16 +101,22 @@ def held_split(df: DataFrame, held: DataFrame, keys=("date", "ticker")) -> DataF
 
 
 # J09
-def weight_delta(weights: DataFrame, dates: DataFrame, by=()) -> DataFrame:
+def weight_delta(weights: DataFrame, dates: DataFrame | None = None, by=()) -> DataFrame:
     """Old and new weight of every name held on a date or on the one before.
 
     A position opens a row on its own date and a closing row on the next
-    rebalance date; rows that meet are added up. ``dates`` (date, next_date)
-    is the list of rebalance dates.
+    one; rows that meet are added up. The next date is that of the following book of the same
+    ``by``, so a date without a book leaves the holdings as they are; with ``dates``
+    (date, next_date) it is the next rebalance date, and an empty date closes them.
     """
     keys = [*by, "date", "ticker"]
     now = weights.select(*keys, F.lit(0.0).alias("old_weight"), F.col("weight").alias("new_weight"))
-    later = weights.join(F.broadcast(dates.select("date", "next_date")), "date").where(
+    if dates is None:
+        own = weights.select(*by, "date").distinct()
+        days, on = own.withColumn("next_date", F.lead("date").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("date"))), [*by, "date"]
+    else:
+        days, on = F.broadcast(dates.select("date", "next_date")), ["date"]
+    later = weights.join(days, on).where(
         F.col("next_date").isNotNull()).select(
         *by, F.col("next_date").alias("date"), "ticker", F.col("weight").alias("old_weight"),
         F.lit(0.0).alias("new_weight"))

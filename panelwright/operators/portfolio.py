@@ -294,19 +294,24 @@ def with_cash_rows(book: DataFrame, dates: DataFrame, x=DATE) -> DataFrame:
 
 
 # P18
-def rank_buffer(cands: DataFrame, keep: int = KEEP_RANK, n: int = LONG_NAMES, score_col: str = "score", by=("scenario",)) -> DataFrame:
+def rank_buffer(cands: DataFrame, keep: int = KEEP_RANK, n: int = LONG_NAMES, score_col: str = "score", by=("scenario",), turn: str | None = None) -> DataFrame:
     """Selection with memory: held names ranked within ``keep`` stay, free places go to the best others.
 
     At most ``n`` names are held, so the best ``max(keep, 2n)`` of each date
     decide the outcome; only those reach the walk, which takes the dates of
-    one scenario in order.
+    one scenario in order. ``turn`` numbers the dates that have a book: nothing is held
+    after a turn without candidates. Without it such dates leave the holdings as they are.
     """
     from .xsection import top_k
-    short = top_k(cands.select(*by, "date", "ticker", score_col), score_col, max(keep, 2 * n), (*by, "date"), rank="place")
+    extra = [turn] if turn else []
+    short = top_k(cands.select(*by, "date", "ticker", score_col, *extra), score_col, max(keep, 2 * n), (*by, "date"), rank="place")
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        held, picks = set(), []
+        held, picks, last = set(), [], None
         for _, day in pdf.sort_values(["date", "place"]).groupby("date", sort=True):
+            if turn:
+                now = day[turn].iloc[0]
+                held, last = held if last is not None and now == last + 1 else set(), now
             picked = choose(day["ticker"].tolist(), held, keep, n)
             held = set(picked)
             picks.append(day[day["ticker"].isin(held)])

@@ -31,16 +31,41 @@ def store_scores(features: DataFrame) -> DataFrame:
     return materialise(scored.withColumns({c: F.round(c, 9) for c in ("long_score", "short_score", "defensive_score")}), "scored")
 
 
-def select_sleeves(scored: DataFrame, sectors: DataFrame) -> DataFrame:
-    """Best longs, best defensive names and shorts that are no longs, with their sector; stored."""
-    longs = C.top_k(scored.where("mom60 > 0"), "long_score", P.LONG_NAMES)
-    defs = C.top_k(S.defensive_pool(scored), "defensive_score", P.LONG_NAMES)
-    shorts = C.top_k(P.minus(scored.where("mom60 < 0"), longs), "short_score", P.SHORT_NAMES)
+def candidates(scored: DataFrame, regime: DataFrame) -> DataFrame:
+    """The pools of the three sleeves after the rules of the date's regime, cut to what can be chosen; stored.
+
+    Rising names of at least the median score, falling names of the top fifth (none in BULL, the top
+    tenth of those in CHOP), and names with all defensive figures. On stressed dates there are no
+    shorts and only half as many longs. ``suppression_score`` may be missing.
+    """
+    news = F.col("suppression_score") if "suppression_score" in regime.columns else F.lit(0.0)
+    state = F.broadcast(regime.select("date", "regime", "transition_risk", news.alias("suppression_score")))
+    df = scored.join(state, "date")
+    pools = (("MOMENTUM", S.suppress(S.long_pool(df), P.LONG_NAMES // 2), "long_score"),
+             ("DEFENSIVE", S.defensive_pool(df), "defensive_score"),
+             ("SHORT", S.suppress_shorts(S.short_pool(df)), "short_score"))
     rows = None
-    for name, df, col in (("MOMENTUM", longs, "long_score"), ("DEFENSIVE", defs, "defensive_score"), ("SHORT", shorts, "short_score")):
-        piece = df.select(*SLEEVE_COLUMNS, F.lit(name).alias("sleeve"), F.col(col).alias("score"))
+    for name, pool, col in pools:
+        piece = pool.select(*SLEEVE_COLUMNS, F.lit(name).alias("sleeve"), F.col(col).alias("score"))
         rows = piece if rows is None else rows.unionByName(piece)
-    return materialise(J.with_sector(rows, sectors), "sleeves")
+    # beyond these ranks nothing is chosen: the buffer sees 2 n names, and shorts give way to n longs at most
+    return materialise(C.top_k(rows, "score", max(P.KEEP_RANK, 2 * P.LONG_NAMES), ("date", "sleeve")), "candidates")
+
+
+def select_sleeves(scored: DataFrame, sectors: DataFrame, regime: DataFrame) -> DataFrame:
+    """Longs and defensive names by the rank buffer and the best shorts that are no longs, with their sector; stored.
+
+    A date without longs and shorts has no book: nothing is selected, and the buffers go on with what
+    the book before it held.
+    """
+    cands = candidates(scored, regime)
+    books = cands.where("sleeve <> 'DEFENSIVE'").select("date").distinct()
+    books = books.withColumn("turn", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("date")))
+    walked = P.rank_buffer(cands.where("sleeve <> 'SHORT'").join(F.broadcast(books), "date"), by=("sleeve",), turn="turn")
+    held = materialise(walked.select("sleeve", "date", "ticker"), "held")
+    picked = cands.join(held, ["sleeve", "date", "ticker"], "left_semi")
+    shorts = C.top_k(P.minus(cands.where("sleeve = 'SHORT'"), held.where("sleeve = 'MOMENTUM'")), "score", P.SHORT_NAMES)
+    return materialise(J.with_sector(picked.unionByName(shorts), sectors), "sleeves")
 
 
 def budgets(sleeves: DataFrame, regime: DataFrame, scenarios: list[dict], short_gross: dict | None = None) -> DataFrame:
@@ -77,12 +102,17 @@ def book(sleeves: DataFrame, budget: DataFrame) -> DataFrame:
     return P.book_caps(both, x=BY_DATE)
 
 
+def with_gold(opens: DataFrame, gold: DataFrame) -> DataFrame:
+    """Opening prices of the names and of the gold position."""
+    return opens.select("ticker", "date", "open").unionByName(gold.select(F.lit("GOLDBEES").alias("ticker"), "date", "open"))
+
+
 def trades(stored_book: DataFrame, opens: DataFrame, days: DataFrame) -> DataFrame:
     """Positions with the return to the next rebalance date and their P&L."""
     return P.pnl(P.forward_open_return(stored_book, opens, days))
 
 
 def weekly_returns(stored_book: DataFrame, opens: DataFrame, days: DataFrame) -> DataFrame:
-    """Weekly return after cost, exposure and turnover of each scenario."""
-    costs = P.turnover_cost(J.weight_delta(stored_book, days, ("scenario",)), x=BY_DATE)
+    """Weekly return after cost, exposure and turnover of each scenario, on the dates of its books."""
+    costs = P.turnover_cost(J.weight_delta(stored_book, by=("scenario",)), x=BY_DATE)
     return P.weekly_book_returns(trades(stored_book, opens, days), costs, x=BY_DATE)

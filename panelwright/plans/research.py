@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.rolling import with_zscore
-from ..operators import aggregates as A, filters as S, joins as J, regime as G, timeseries as W
+from ..operators import aggregates as A, filters as S, joins as J, portfolio as P, regime as G, timeseries as W
 from ..session import materialise
 from . import backtest
 
@@ -50,7 +50,7 @@ def daily_regime(roles: DataFrame, features: DataFrame) -> DataFrame:
 
 def backtest_run(panel: DataFrame, roles: DataFrame, cal: DataFrame, sectors: DataFrame, scenarios: list[dict],
                  min_adv: float, min_price: float, min_history: int, short_gross: dict | None = None) -> dict:
-    """Tables of one run: ``book``, ``weekly``, ``regime``.
+    """Tables of one run: ``book``, ``trades`` (with CASH rows on dates without a book), ``weekly``, ``regime``.
 
     The feature panel and the aligned roles are stored, since the regime and the
     weekly rows both read them; the weekly regime chain compares with the
@@ -67,9 +67,11 @@ def backtest_run(panel: DataFrame, roles: DataFrame, cal: DataFrame, sectors: Da
     regime = materialise(weekly, "regime")
     universe = S.complete(S.liquid(signal_rows(features, rebal), min_adv, min_price))
     scored = backtest.store_scores(universe)
-    sleeves = backtest.select_sleeves(scored, sectors)
+    sleeves = backtest.select_sleeves(scored, sectors, regime)
     budget = materialise(backtest.budgets(sleeves, regime, scenarios, short_gross), "budgets")
     book = materialise(backtest.book(sleeves, budget), "book")
-    opens = features.select("ticker", "date", "open")
+    opens = backtest.with_gold(features, role_rows.where("role = 'gold'"))
     weekly_dates = backtest.rebalances(rebal)
-    return {"book": book, "regime": regime, "weekly": backtest.weekly_returns(book, opens, weekly_dates)}
+    dates = P.sweep(regime.select("date"), [{"scenario": s["scenario"]} for s in scenarios])
+    trades = P.with_cash_rows(backtest.trades(book, opens, weekly_dates), dates, backtest.BY_DATE)
+    return {"book": book, "regime": regime, "trades": trades, "weekly": backtest.weekly_returns(book, opens, weekly_dates)}

@@ -124,6 +124,12 @@ def weekly_features(spark: SparkSession, folder: str) -> DataFrame:
         ((d - 0.05) * 2 + (o - 0.5) * 0.1).alias("fwd_ret"))
 
 
+def weekly_gold(spark: SparkSession, folder: str) -> DataFrame:
+    """Opening price of the gold role in each week."""
+    gold = roles(spark, folder).where("role = 'gold'")
+    return gold.groupBy(_friday("date").alias("week")).agg(F.min_by("open", "date").alias("open")).withColumnRenamed("week", "date")
+
+
 def weekly_regime(spark: SparkSession, folder: str) -> DataFrame:
     """A regime-trace input: one row per week with class shares as probabilities."""
     li = table(spark, folder, "lineitem").select(_friday("l_shipdate").alias("date"), "l_returnflag", "l_linestatus",

@@ -3,10 +3,13 @@ import itertools
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from panelwright.operators import performance as M, portfolio as P, resampling as B
 from panelwright.operators.regime import sticky, step_label
+from panelwright.plans import backtest as BT
+from panelwright.session import materialise
 from tests.test_functions import to_spark
 
 
@@ -253,3 +256,69 @@ def test_sticky_label_needs_a_clear_lead(spark):
         want.append((label, *s))
     assert [r.regime for r in got] == [w[0] for w in want]
     assert np.allclose([(r.p_bull, r.p_chop, r.p_bear) for r in got], [w[1:] for w in want])
+
+
+def _scored(spark, rows):
+    """Rows of (date, ticker, mom60, long_score, short_score, defensive_score)."""
+    df = spark.createDataFrame(rows, "date date, ticker string, mom60 double, long_score double, short_score double, defensive_score double")
+    return df.withColumns({"mom5": F.lit(0.0), "above200": F.when(F.col("mom60") > 0, 1.0).otherwise(0.0), "structure": F.lit("NONE"), "fip": F.lit(0.0),
+                           "vol20": F.lit(0.2), "vol252": F.lit(0.2), "max_dd": F.lit(-0.1), "r2": F.lit(0.5)})
+
+
+def test_selection_keeps_held_names_shrinks_under_stress_and_skips_dates_without_signal(spark):
+    days = [dt.date(2024, 1, d) for d in (5, 12, 19, 26)]
+    names = [f"T{i:02d}" for i in range(60)]
+    rows = []
+    for d, day in enumerate(days):
+        for i, t in enumerate(names):
+            # the longs are the better half; on the second date T19 falls to place 25, on the third nothing has a sign
+            place = {0: i, 1: 24.5 if i == 19 else i, 2: i, 3: i}[d]
+            rows.append((day, t, 0.0 if d == 2 else 1.0, 60.0 - place, 0.0, 60.0 - i))
+    regime = spark.createDataFrame([(days[0], "CHOP", 0.1), (days[1], "CHOP", 0.1), (days[2], "CHOP", 0.1), (days[3], "CHOP", 0.9)], "date date, regime string, transition_risk double")
+    sectors = spark.createDataFrame([("T00", "X")], "ticker string, sector string")
+    out = BT.select_sleeves(materialise(_scored(spark, rows), "scored"), sectors, regime).toPandas()
+    momentum = {d: set(g["ticker"]) for d, g in out[out["sleeve"] == "MOMENTUM"].groupby("date")}
+    assert momentum[days[0]] == set(names[:20])
+    assert momentum[days[1]] == set(names[:20])  # T19 stays at rank 25
+    assert days[2] not in set(out["date"])  # neither longs nor shorts: no book, no defensive names either
+    assert momentum[days[3]] == set(names[:10])  # stressed: half as many
+
+
+def test_shorts_come_from_the_worst_fifth_and_never_from_the_longs(spark):
+    day = dt.date(2024, 1, 5)
+    rows = [(day, f"T{i:02d}", 1.0 if i < 30 else -1.0, 60.0 - i, float(i), 0.0) for i in range(60)]
+    sectors = spark.createDataFrame([("T00", "X")], "ticker string, sector string")
+    scored = materialise(_scored(spark, rows), "scored")
+    picked = {}
+    for state, risk in (("BEAR", 0.0), ("CHOP", 0.0), ("BULL", 0.0), ("BEAR", 0.8)):
+        regime = spark.createDataFrame([(day, state, risk)], "date date, regime string, transition_risk double")
+        out = BT.select_sleeves(scored, sectors, regime).where("sleeve = 'SHORT'").toPandas()
+        picked[state, risk] = sorted(out["ticker"])
+    assert picked["BEAR", 0.0] == [f"T{i}" for i in range(55, 60)]
+    assert picked["CHOP", 0.0] == ["T58", "T59"]
+    assert picked["BULL", 0.0] == picked["BEAR", 0.8] == []
+
+
+def test_turnover_carries_holdings_over_a_date_without_a_book_and_gold_earns(spark):
+    a, b, c = (dt.date(2024, 1, d) for d in (5, 12, 19))
+    cols = "scenario string, date date, ticker string, weight double, base_weight double"
+    book = spark.createDataFrame([("s", a, "X", 0.5, 0.5), ("s", c, "X", 0.5, 0.5), ("s", c, "GOLDBEES", 0.1, 0.1)], cols)
+    days = spark.createDataFrame([(a, b), (b, c), (c, dt.date(2024, 1, 26))], "date date, next_date date")
+    prices = spark.createDataFrame([("X", a, 10.0), ("X", b, 11.0), ("X", c, 10.0)], "ticker string, date date, open double")
+    gold = spark.createDataFrame([(c, 100.0), (dt.date(2024, 1, 26), 110.0)], "date date, open double")
+    out = {r["date"]: r for r in BT.weekly_returns(book, BT.with_gold(prices, gold), days).collect()}
+    assert set(out) == {a, c}
+    assert out[a]["turnover"] == pytest.approx(0.5) and out[c]["turnover"] == pytest.approx(0.1)
+    assert out[a]["portfolio_return"] == pytest.approx(0.5 * 0.1 - 0.5 * 0.0015)
+    assert out[c]["portfolio_return"] == pytest.approx(0.1 * 0.1 - 0.1 * 0.0015)
+
+
+def test_a_book_without_candidates_of_a_sleeve_clears_its_buffer(spark):
+    rows = [("M", dt.date(2024, 1, 5), 1, t, s) for t, s in (("A", 3.0), ("B", 2.0), ("C", 1.0))]
+    rows += [("M", dt.date(2024, 1, 19), 3, t, s) for t, s in (("C", 9.0), ("A", 8.0), ("B", 7.0))]
+    df = spark.createDataFrame(rows, "sleeve string, date date, turn int, ticker string, score double")
+    def held(**kw):
+        got = P.rank_buffer(df, keep=3, n=2, by=("sleeve",), **kw).where("date = '2024-01-19'").toPandas()
+        return set(got["ticker"])
+    assert held(turn="turn") == {"C", "A"}
+    assert held() == {"A", "B"}
