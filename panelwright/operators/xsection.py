@@ -3,7 +3,8 @@
 The names of one date are not bounded, so no date is put into one task as a
 whole. Means and deviations are grouped aggregates joined back by date. Ranks
 and quantiles first count equal values, and the distinct values of a large
-date are cut into ranges that are ordered apart and added up.
+date are cut into ranges that are ordered apart and added up. Only where every
+group is counted and found small is it ordered directly.
 """
 
 from __future__ import annotations
@@ -37,6 +38,11 @@ def cs_z(df: DataFrame, cols, x=DATE) -> DataFrame:
     return out.drop(*stats)
 
 
+def largest(rows: DataFrame, keys) -> int:
+    """Rows of the largest group of a stored table: one number, from counts made where the rows are read."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+
+
 def ordered_values(rows: DataFrame, keys, value: str = "value", split_rows: int = SPLIT_ROWS) -> DataFrame:
     """For each group and distinct value: rows with it, rows below it, rows in all.
 
@@ -47,7 +53,7 @@ def ordered_values(rows: DataFrame, keys, value: str = "value", split_rows: int
     stored table, since it is read several times.
     """
     keys = list(keys)
-    vals = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n_at"))
+    vals = materialise(rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n_at")), "counted-values")
     sizes = vals.groupBy(*keys).agg(F.sum("n_at").alias("n"), F.count("*").alias("__m"))
     large = sizes.where(F.col("__m") > split_rows).select(*keys, "__m")
     chance = F.pmod(F.xxhash64(value), F.lit(1 << 30)) / float(1 << 30)
@@ -75,15 +81,20 @@ def cs_rank(df: DataFrame, cols, x=DATE, ids=("ticker",), split_rows: int = SPLI
     ``cols``: output -> (column, ascending). All columns are ranked together as
     rows of (date, feature, value). Those rows are stored first: ranks find
     their rows again by value, and a value computed twice may differ in its
-    last bit when sums arrive in another order.
+    last bit when sums arrive in another order. Where no group has more than ``split_rows`` rows (counted first)
+    each is ordered as it is; larger ones go by counted values and ranges. Both give the same ranks.
     """
     keys, feature = [*x], "__feature"
     sources = sorted({c for c, _ in cols.values()})
     long = df.select(*keys, *ids, F.explode(F.array(*[
         F.struct(F.lit(c).alias(feature), (F.col(c).cast("double") + 0.0).alias("value")) for c in sources])).alias("__s"))
     long = materialise(long.select(*keys, *ids, f"__s.{feature}", "__s.value").where(F.col("value").isNotNull()), "ranked-values")
-    order = ordered_values(long, [*keys, feature], "value", split_rows)
-    ranked = long.join(order, [*keys, feature, "value"])
+    group = [*keys, feature]
+    if largest(long, group) <= split_rows:
+        w = Window.partitionBy(*group)
+        ranked = long.withColumns({"n_below": F.rank().over(w.orderBy("value")) - 1, "n_at": F.count("*").over(Window.partitionBy(*group, "value")), "n": F.count("*").over(w)})
+    else:
+        ranked = long.join(ordered_values(long, group, "value", split_rows), [*group, "value"])
     mid = (F.col("n_at") + 1) / 2.0
     rising = (F.col("n_below") + mid) / F.col("n")
     falling = (F.col("n") - F.col("n_below") - F.col("n_at") + mid) / F.col("n")
@@ -100,7 +111,11 @@ def quantiles(df: DataFrame, col: str, wanted: dict, x=DATE, split_rows: int = S
     with a quantile, take both from one stored table.
     """
     rows = materialise(df.select(*x, (F.col(col).cast("double") + 0.0).alias("value")), "quantile-values")
-    order = ordered_values(rows, x, "value", split_rows)
+    if largest(rows, x) <= split_rows:
+        w, seen = Window.partitionBy(*x), rows.where("value IS NOT NULL")
+        order = seen.withColumns({"n_below": F.row_number().over(w.orderBy("value")) - 1, "n_at": F.lit(1), "n": F.count("*").over(w)})
+    else:
+        order = ordered_values(rows, x, "value", split_rows)
     aggs = []
     for out, q in wanted.items():
         pos = F.lit(float(q)) * (F.col("n") - 1)

@@ -1,7 +1,8 @@
 """Inputs built from the given tables: price panels, weekly features, trades, returns, articles.
 
-Raw rows are grouped before they are joined or windowed, so a supplier, a day
-or a ticker that holds a large share of them is reduced where it is read.
+Raw lines meet their supplier or part first, by a join whose form adaptive execution picks from measured
+sizes (and whose hot keys it splits), and are then grouped once, by ticker and day: each task sends on
+at most one row per ticker and day, however many lines it has read.
 """
 
 from __future__ import annotations
@@ -39,41 +40,30 @@ def bars(df: DataFrame, keys) -> DataFrame:
     """Daily open, high, low, close and volume from single trades."""
     return df.groupBy(*keys, "date").agg(
         F.min_by("price", "seq").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
-        F.max_by("price", "seq").alias("close"), F.sum("qty").alias("volume"),
-        F.min("seq").alias("__first"), F.max("seq").alias("__last"))
-
-
-def merge_bars(df: DataFrame, keys) -> DataFrame:
-    """Bars of parts of a key into bars of the key."""
-    return df.groupBy(*keys, "date").agg(
-        F.min_by("open", "__first").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
-        F.max_by("close", "__last").alias("close"), F.sum("volume").alias("volume"))
+        F.max_by("price", "seq").alias("close"), F.sum("qty").alias("volume"))
 
 
 def panel(spark: SparkSession, folder: str) -> DataFrame:
-    """Bars per ticker (supplier nation). Lines are grouped by supplier and day before the join,
-    which therefore sees at most one row per supplier and day."""
-    by_supplier = bars(ticks(spark, folder), ["l_suppkey"])
+    """Bars per ticker (supplier nation)."""
     supplier = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("l_suppkey"),
                                                        F.concat(F.lit("N"), F.col("s_nationkey")).alias("ticker"))
-    return merge_bars(by_supplier.join(supplier, "l_suppkey"), ["ticker"])
+    return bars(ticks(spark, folder).join(supplier, "l_suppkey"), ["ticker"])
 
 
 def roles(spark: SparkSession, folder: str) -> DataFrame:
     """Bars per market role: all lines are the broad market, part types the other roles.
-    Lines are grouped by part and day first; the fear role is scaled to the range of an index of volatility."""
-    by_part = bars(ticks(spark, folder), ["l_partkey"])
+    The fear role is scaled to the range of an index of volatility."""
     part = table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
     named = F.create_map(*[F.lit(x) for kv in ROLE_BY_TYPE.items() for x in kv])
-    tagged = by_part.join(part, "l_partkey").withColumn(
+    tagged = ticks(spark, folder).join(part, "l_partkey").withColumn(
         "role", F.explode(F.array_compact(F.array(F.lit("broad"), named[F.col("p_type")]))))
-    out = merge_bars(tagged, ["role"])
+    out = bars(tagged, ["role"])
     scale = F.when(F.col("role") == "fear", 200.0).otherwise(1.0)
     return out.withColumns({c: F.col(c) / scale for c in ("open", "high", "low", "close")})
 
 
 def broad(spark: SparkSession, folder: str) -> DataFrame:
-    return merge_bars(bars(ticks(spark, folder), ["l_partkey"]), [])
+    return bars(ticks(spark, folder), [])
 
 
 def trading_days(spark: SparkSession, folder: str) -> DataFrame:
@@ -97,14 +87,12 @@ def weekly_features(spark: SparkSession, folder: str) -> DataFrame:
         "l_suppkey", _friday("l_shipdate").alias("date"), "l_quantity", "l_discount", "l_tax", "l_returnflag",
         "l_linestatus", "l_linenumber", (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
     flag = lambda c, v: F.sum(F.when(F.col(c) == v, 1.0).otherwise(0.0))
-    part = li.groupBy("l_suppkey", "date").agg(
+    supplier = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("l_suppkey"),
+                                                       F.concat(F.lit("N"), F.col("s_nationkey")).alias("ticker"))
+    g = li.join(supplier, "l_suppkey").groupBy("date", "ticker").agg(
         F.count("*").alias("n"), F.sum("l_quantity").alias("q"), F.sum("l_discount").alias("d"), F.sum("l_tax").alias("t"),
         flag("l_returnflag", "A").alias("a"), flag("l_returnflag", "R").alias("r"), flag("l_linestatus", "O").alias("o"),
         F.sum(F.col("l_linenumber").cast("double")).alias("ln"), F.max("price").alias("hi"), F.min("price").alias("lo"))
-    supplier = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("l_suppkey"),
-                                                       F.concat(F.lit("N"), F.col("s_nationkey")).alias("ticker"))
-    g = part.join(supplier, "l_suppkey").groupBy("date", "ticker").agg(
-        *[F.sum(c).alias(c) for c in ("n", "q", "d", "t", "a", "r", "o", "ln")], F.max("hi").alias("hi"), F.min("lo").alias("lo"))
     n = F.col("n")
     d, t, a, r, o, ln = (F.round(F.col(c) / n, 9) for c in ("d", "t", "a", "r", "o", "ln"))
     return g.select(
