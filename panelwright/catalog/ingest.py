@@ -107,12 +107,19 @@ def s09(spark, sf):
     return R.read_sector_map(spark, path, whole_file=False)
 
 
+def write_arrays(rows, path, size=500):
+    """Files of one JSON array each, of up to ``size`` successive ids."""
+    fields = [c for c in rows.columns if c != "doc_id"]
+    arrays = rows.groupBy(F.floor(F.col("doc_id") / size).alias("k")).agg(F.to_json(F.collect_list(F.struct(*fields))).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
+
+
 @query("S10_json_array", pick("b_articles", "url;source;language", "", "n=length(title)"))
 def s10(spark, sf):
     path = new_folder(spark, "articles")
-    a = T.articles(spark, sf).select(F.col("published_at").cast("string").alias("publishedAt"), "source", "url", "title", "language")
-    a.write.json(path)
-    return spark.read.schema(R.ARTICLE).json(path).select("url", X.nested("source.name").alias("source"), "language", F.length("title").alias("n"))
+    a = T.articles(spark, sf).select("doc_id", F.col("published_at").cast("string").alias("publishedAt"), "source", "url", "title", "language")
+    write_arrays(a, path)
+    return R.read_json_array(spark, path, R.ARTICLE).select("url", X.nested("source.name").alias("source"), "language", F.length("title").alias("n"))
 
 
 part("s11", "SELECT upper(trim(p_name)) AS name, max(p_size) AS lot_size FROM part WHERE p_type = 'PROMO' AND p_size % 7 <> 0 GROUP BY 1")
@@ -163,8 +170,8 @@ def s14(spark, sf):
     fields.update({"experiment_id": F.col("doc_id").cast("string"), "title": F.substring_index("text", "\n", 1), "competing_hypotheses": words,
                    "status": F.when(F.col("quality") == 1, "Established").when(F.col("quality") == 0, "Exploratory").otherwise("Draft"),
                    "evidence_tier": F.concat(F.lit("Level "), (F.col("n_chars") % 6).cast("string"))})
-    d.select(*[v.alias(k) for k, v in fields.items()]).write.json(path)
-    return I.validate_registry(spark.read.schema(R.REGISTRY).json(path)).select("experiment_id", F.array_join("violations", "; ").alias("violations"))
+    write_arrays(d.select("doc_id", *[v.alias(k) for k, v in fields.items()]), path)
+    return I.validate_registry(R.read_registry(spark, path)).select("experiment_id", F.array_join("violations", "; ").alias("violations"))
 
 
 part("s15", "SELECT *, CASE WHEN regime_reason LIKE '%bull%' THEN 1 ELSE 0 END AS flagged FROM b_regime WHERE date = (SELECT max(date) FROM b_regime)")

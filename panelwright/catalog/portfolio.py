@@ -314,9 +314,11 @@ def selected_past(spark, sf, names=10, window=60):
     return J.trailing_values(best, df, "ret", window)
 
 
-@query("J14_trailing_pairs", pick("p19", "date ticker_i ticker_j", "cov"))
+@query("J14_trailing_values", pick("(SELECT r.date, r.ticker, row_number() OVER (PARTITION BY r.date, r.ticker ORDER BY r.idx) - 1 AS pos, r.ret FROM p19_r r)",
+                                   "date ticker", "ret", "pos"))
 def j14(spark, sf):
-    return P.covariance(selected_past(spark, sf), "sample")
+    """The past returns of each selected name, one row per place of its array."""
+    return selected_past(spark, sf).select("date", "ticker", F.posexplode("past").alias("pos", "ret"))
 
 
 part("p19_long", "SELECT date, list(ticker ORDER BY ticker) AS names, count(DISTINCT ticker) AS p FROM p19_sel GROUP BY date")
