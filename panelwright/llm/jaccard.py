@@ -144,10 +144,10 @@ def _ordered(products: DataFrame) -> DataFrame:
 
 
 def _split_columns(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """The columns of three and more documents that are not all in one component (``c``)."""
+    """The columns whose documents are not all in one component (``c``)."""
     column = W.partitionBy("g")
     return (
-        shared.where("rows > 2").select("g", "doc", "place").join(labels.select(F.col("id").alias("doc"), "component_id"), "doc", "left")
+        shared.select("g", "doc", "place").join(labels.select(F.col("id").alias("doc"), "component_id"), "doc", "left")
         .withColumn("c", F.coalesce("component_id", "doc")).drop("component_id")
         .withColumn("c_min", F.min("c").over(column)).withColumn("c_max", F.max("c").over(column))
         .where("c_min < c_max").drop("c_min", "c_max"))
@@ -198,7 +198,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     links = materialise(settle(first, texts, k, percent).union(copies), "jaccard-links")
     labels = components(links, "jaccard")
 
-    split = _split_columns(shared, labels).withColumn("order", F.xxhash64("doc", "g"))
+    split = _split_columns(shared.where("rows > 2"), labels).withColumn("order", F.xxhash64("doc", "g"))
     beside = W.partitionBy("g").orderBy("order", "doc")
     near = (
         split.withColumn("other", F.lag(F.struct("doc", "place", "c")).over(beside)).where("other.c <> c")
@@ -208,6 +208,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         links = materialise(links.union(settle(near, texts, k, percent)), "jaccard-links")
         labels = components(links, "jaccard")
 
+    # Columns of two documents give no new pairs, but their products count in the overlap that excludes a pair.
     split = materialise(_split_columns(shared, labels), "jaccard-split")
     sides = [split.select("g", F.col("doc").alias(s), F.col("c").alias(f"c_{s}"), *_place("place", s)) for s in "ab"]
     last = sides[0].join(sides[1], "g").where("c_a <> c_b AND a < b").where(_sizes_fit(percent))

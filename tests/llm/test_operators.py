@@ -94,6 +94,26 @@ def test_jaccard_of_a_large_group_of_near_copies(spark):
     assert [got[i] for i in range(60)] == label
 
 
+def test_jaccard_counts_columns_of_two_documents(spark, monkeypatch):
+    import pyarrow as pa
+    from panelwright.llm import jaccard
+    from panelwright.llm.wordhash import chunked
+    monkeypatch.setattr(jaccard, "_levels", lambda surveyed: np.zeros(jaccard.BUCKETS, np.uint64))
+    names = ["w%d" % i for i in range(4000)]
+    words = next(w for _, w in chunked(pa.array(names), fold=True))
+    hot, *names = [names[i] for i in np.argsort([int(words.grams(i, 1)[0]) for i in range(len(names))])]
+    own, common, rows = iter(names[:1000]), iter(names[1000:]), []
+    for i in range(100):  # dealt out: the hot word, the text's own, then one that only the pair shares; every third pair has too little in common
+        n, alone = 10 + i % 5, 1 + (i % 3 == 0)
+        both = [hot] + [next(common) for _ in range(n - 1 - alone)]
+        rows += [(i + 100 * side, " ".join(both + [next(own) for _ in range(alone)])) for side in (0, 1)]
+    sets = {i: set(t.split()) for i, t in rows}
+    label = {i: min(j for j in sets if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])) for i in sets}
+    assert sum(i != j for i, j in label.items()) == 66
+    got = {x["doc_id"]: x["component_id"] for x in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), k=1).collect()}
+    assert got == label
+
+
 def test_repeated_phrases_are_those_of_all_windows(spark, docs, none):
     first, want = {}, {}
     for i, t, *_ in sorted(awkward(), key=lambda r: (r[0] is None, r[0] or 0)):
