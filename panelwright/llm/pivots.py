@@ -5,8 +5,9 @@ them. The inverted lists are kept per set of ``SHARED`` pivots out of a vector's
 meet in a list exactly if their shared-pivot count reaches ``SHARED``. Those that meet are verified by cosine in
 double precision. A pair that meets in several lists counts in the one of its smallest shared pivots only.
 
-Pivots are a bounded sample (the first ids by hash, growing as the cube root of the number of vectors so that chance lists
-stay short); every vector is indexed. Equal vectors of a label are one class with a weight. Lists are
+Pivots are taken from a bounded sample (the first ids by hash, growing as the cube root of the number of vectors so that chance lists
+stay short), leaving out what is close to one already taken: within a cloud of near copies several pivots would be ordered by noise alone.
+Where the sample holds few vectors that are apart, there are fewer pivots and longer lists. Every vector is indexed. Equal vectors of a label are one class with a weight. Lists are
 cut into blocks, and pairs of blocks are verified in different tasks, so a hot list is never one task; a task gives
 counts and one edge per vector rather than pairs.
 
@@ -28,6 +29,8 @@ from .vectors import distinct_ids, matrix, normalised, usable
 NEAREST, SHARED = 7, 3
 #: Pivots: this many times the cube root of the number of vectors, and at least and at most so many.
 PIVOTS, LEAST, MOST = 4, 64, 16_000
+#: Candidates for each pivot, and the cosine with a pivot already taken from which a candidate is left out.
+CANDIDATES, APART = 4, 0.7
 BLOCK = 1_024
 
 
@@ -35,12 +38,15 @@ def choose_pivots(classes: DataFrame) -> np.ndarray:
     """The pivots as rows of length 1; shorter vectors are filled up with zeros."""
     n = classes.count()
     m = int(min(max(PIVOTS * n ** (1 / 3), LEAST), MOST))
-    rows = classes.orderBy(F.xxhash64("rep"), "rep").limit(m).select("embedding").collect()
+    rows = classes.orderBy(F.xxhash64("rep"), "rep").limit(CANDIDATES * m).select("embedding").collect()
     width = max((len(r[0]) for r in rows), default=1)
-    out = np.zeros((len(rows), width))
-    for i, r in enumerate(rows):
-        out[i, : len(r[0])] = normalised(np.array([r[0]], float))[0]
-    return out
+    out, taken = np.zeros((m, width)), 0
+    for r in rows:
+        x = normalised(np.array([r[0]], float))[0]
+        if taken < m and (out[:taken, : len(x)] @ x < APART).all():
+            out[taken, : len(x)] = x
+            taken += 1
+    return out[:taken]
 
 
 def nearest_pivots(x: np.ndarray, pivots: np.ndarray, count: int = NEAREST) -> np.ndarray:

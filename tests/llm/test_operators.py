@@ -219,6 +219,19 @@ def test_vectors(spark):
     assert hits >= 27 and ann.nearest(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_pivots_of_a_large_cloud(spark):
+    r = np.random.default_rng(2)
+    x = r.standard_normal((4500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = r.uniform(0.96, 0.975, (1500, 1))
+    x[:1500] = near * x[0] + np.sqrt(1 - near ** 2) * x[:1500]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = (x @ x.T >= 0.93).sum(1) - 1
+    rows = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {a["vec_id"]: a["n_links"] for a in near_duplicates(rows).select("vec_id", "n_links").collect()}
+    assert all(got[i] <= links[i] for i in got) and sum(got.values()) >= 0.9 * links.sum() > 0
+
+
 def test_chi_square():
     draws = np.random.default_rng(0).chisquare(12, 200_000)
     for x in (5.0, 12.0, 24.0):
