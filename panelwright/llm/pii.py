@@ -29,7 +29,8 @@ NEEDS = {"email": "@", "phone": "+"}
 BLANK = r"\x20\x09-\x0D"
 #: A word that holds a digit or an at sign.
 IDENTIFIER = rf"(?<![^{BLANK}])[^0-9@{BLANK}]*+[0-9@][^{BLANK}]*+"
-BEFORE = 64
+#: The last two words of a text, or its only one. Tried at starts of words only, without going back.
+LAST_WORDS = rf"(?<![^{BLANK}])(?:[^{BLANK}]++[{BLANK}]++)?[^{BLANK}]++[{BLANK}]*+$"
 ROUNDS, MIN_SEEDS, MIN_SCORE = 3, 3, 0.8
 SPAN = "struct<kind:string,start:int,end:int>"
 
@@ -56,19 +57,20 @@ def _passes(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _matches(text: Column, pattern: str) -> Column:
-    """All matches with their places and what stands between them: array of (start, end, value, before)."""
+def _matches(text: Column, pattern: str, words: bool = False) -> Column:
+    """All matches with their places and (if asked for) the last words before them: array of (start, end, value, before)."""
     marked = F.split(F.regexp_replace(text, pattern, "\u0001$0\u0002"), "\u0001")
-    start = F.struct(F.lit(-1).alias("at"), F.lit("").alias("rest"), F.expr("CAST(array() AS array<struct<start:int,end:int,value:string,before:string>>)").alias("found"))
+    start = F.struct(F.lit(-1).alias("at"), F.lit("").alias("before"), F.expr("CAST(array() AS array<struct<start:int,end:int,value:string,before:string>>)").alias("found"))
 
     def step(a: Column, part: Column) -> Column:
-        value, rest = F.substring_index(part, "\u0002", 1), F.substring_index(part, "\u0002", -1)
+        value = F.substring_index(part, "\u0002", 1)
         first = a["at"] < 0
+        so_far = F.concat(a["before"], F.translate(part, "\u0002", ""))
         return F.struct(
             F.when(first, F.length(part)).otherwise(a["at"] + F.length(part) - 1).alias("at"),
-            F.substring(rest, -BEFORE, BEFORE).alias("rest"),
+            (F.regexp_extract(so_far, LAST_WORDS, 0) if words else F.lit("")).alias("before"),
             F.when(first, a["found"]).otherwise(F.concat(a["found"], F.array(F.struct(
-                a["at"].alias("start"), (a["at"] + F.length(value)).alias("end"), value.alias("value"), a["rest"].alias("before"))))).alias("found"))
+                a["at"].alias("start"), (a["at"] + F.length(value)).alias("end"), value.alias("value"), a["before"].alias("before"))))).alias("found"))
 
     return F.aggregate(marked, start, step, lambda a: a["found"])
 
@@ -92,14 +94,14 @@ def base_spans(text: Column) -> Column:
 
 def _context(before: Column) -> Column:
     """The two words before a place, in lower case, digits as 0; null if there are not two."""
-    words = F.regexp_extract(F.lower(before), rf"([^{BLANK}]+)[{BLANK}]+([^{BLANK}]+)[{BLANK}]*$", 0)
-    return F.nullif(F.regexp_replace(F.regexp_replace(F.trim(words), "[0-9]", "0"), rf"[{BLANK}]+", " "), F.lit(""))
+    words = F.trim(F.regexp_replace(F.regexp_replace(F.lower(before), "[0-9]", "0"), rf"[{BLANK}]+", " "))
+    return F.when(F.contains(words, F.lit(" ")), words)
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """The rows with ``__text`` key, ``__base`` (spans) and ``__words`` (identifier-like words with their contexts)."""
     text = _clean(F.col("text"))
-    words = F.transform(_matches(text, IDENTIFIER), lambda m: F.struct(
+    words = F.transform(_matches(text, IDENTIFIER, words=True), lambda m: F.struct(
         m["start"].alias("start"), m["end"].alias("end"), F.lower(F.regexp_replace(m["value"], r"^[\p{Punct}&&[^+]]+|\p{Punct}+$", "")).alias("instance"), _context(m["before"]).alias("pattern")))
     return docs.select("*", F.xxhash64("text").alias("__text"), base_spans(text).alias("__base"), words.alias("__words"))
 

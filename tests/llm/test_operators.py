@@ -192,6 +192,25 @@ def test_contexts_discover_identifiers(spark):
     assert text.select(pii.redact(text["t"], text["s"])).first()[0] == "ab [IP]d"
 
 
+def test_contexts_next_to_identifiers_and_long_words(spark):
+    rows = [(i, f"row {i} ref user{i}@mail.org") for i in range(6)] + [(10, "row 7 ref agent-77")]
+    rows += [(20 + i, f"{'y' * 70} from host{i}@mail.org") for i in range(6)] + [(30, f"{'y' * 70} from agent-88"), (31, "row 7")]
+    got = {r["doc_id"]: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [tuple(s) for s in got[10]["spans"]] == [("context", 10, 18)]
+    assert [tuple(s) for s in got[30]["spans"]] == [("context", 76, 84)] and got[31]["spans"] == []
+
+
+def test_contexts_are_the_two_words_before(spark):
+    r = np.random.default_rng(8)
+    pieces = ["id", "code", "A12,", "b34", "x@y.z", "1" * 90, "z" * 200, "12", "Ünï", "\n", " ", "  ", "."]
+    rows = [(0, "id 123 code 456 acct 789"), (1, "A12, B34 and C56"), (2, "a@b.org or agent-77"), (3, "z" * 30_000 + " 1"), (4, None)]
+    rows += [(i, "".join(r.choice([" ", "\n", "\t "]) + w for w in r.choice(pieces, 20))) for i in range(10, 90)]
+    for x in pii.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        words = [(m.start(), m.end(), m.group()) for m in WORD.finditer(x["text"] or "")]
+        want = [(a, b, re.sub("[0-9]", "0", " ".join(w for *_, w in words[i - 2: i]).lower()) if i > 1 else None) for i, (a, b, w) in enumerate(words) if re.search("[0-9@]", w)]
+        assert [(w["start"], w["end"], w["pattern"]) for w in x["__words"]] == want, x["text"]
+
+
 def test_vectors(spark):
     r = np.random.default_rng(1)
     x = r.standard_normal((60, 16))
