@@ -4,7 +4,7 @@ The base kinds are regular expressions with checks, leftmost and without overlap
 bootstrap: the two words before a seed are a lexical pattern; patterns and the identifier-like words (holding
 a digit or an at sign) they stand before form a graph. Round by round a pattern scores the
 mean confidence of its instances, shrunk by one doubtful instance, and an instance what the patterns around it
-leave of doubt. Patterns of high score with several different seeds then mark every word they stand before, in all
+leave of doubt; instances of little doubt are seeds of the next round. Patterns of high score with several different seeds then mark every word they stand before, in all
 texts; what overlaps no base span is added as kind ``context``.
 
 Places are code points, ends exclusive. Null texts count as empty. Rows that repeat a document get the same spans;
@@ -32,6 +32,8 @@ IDENTIFIER = rf"(?<![^{BLANK}])[^0-9@{BLANK}]*+[0-9@][^{BLANK}]*+"
 #: The last two words of a text, or its only one. Tried at starts of words only, without going back.
 LAST_WORDS = rf"(?<![^{BLANK}])(?:[^{BLANK}]++[{BLANK}]++)?[^{BLANK}]++[{BLANK}]*+$"
 ROUNDS, MIN_SEEDS, MIN_SCORE = 3, 3, 0.8
+#: From this trust on an instance found in an earlier round counts as a seed.
+SURE = 0.9
 SPAN = "struct<kind:string,start:int,end:int>"
 
 
@@ -122,19 +124,19 @@ def trusted_patterns(occurrences: DataFrame, rounds: int = ROUNDS, min_seeds: in
     """``pattern`` and ``score`` of the patterns that discover identifiers."""
     edges = materialise(occurrences.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii-edges")
     seeds = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("sure"))
-    trust = materialise(seeds.withColumn("trust", F.col("sure")), "pii-trust")
+    trust = materialise(seeds.select("*", F.lit(0.0).alias("found"), F.col("sure").alias("trust")), "pii-trust")
     patterns = None
     for _ in range(rounds):
         patterns = materialise(
-            edges.join(trust.select("instance", "trust"), "instance").groupBy("pattern")
-            .agg((F.sum("trust") / (F.count(F.lit(1)) + 1)).alias("score"), F.sum(F.col("seed").cast("long")).alias("seeds"))
+            edges.join(trust.select("instance", "trust", "found"), "instance").groupBy("pattern")
+            .agg((F.sum("trust") / (F.count(F.lit(1)) + 1)).alias("score"), F.sum((F.col("seed") | (F.col("found") >= SURE)).cast("long")).alias("seeds"))
             .where(F.col("seeds") >= min_seeds), "pii-patterns")
         around = (
             edges.join(patterns, "pattern").groupBy("instance")
             .agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))).alias("found")))
         trust = materialise(
-            seeds.join(around, "instance", "left")
-            .select("instance", "sure", F.greatest("sure", F.coalesce("found", F.lit(0.0))).alias("trust")), "pii-trust")
+            seeds.join(around, "instance", "left").select("instance", "sure", F.coalesce("found", F.lit(0.0)).alias("found"))
+            .withColumn("trust", F.greatest("sure", "found")), "pii-trust")
     return patterns.where(F.col("score") >= min_score).select("pattern", "score")
 
 

@@ -211,6 +211,14 @@ def test_contexts_are_the_two_words_before(spark):
         assert [(w["start"], w["end"], w["pattern"]) for w in x["__words"]] == want, x["text"]
 
 
+def test_discovered_identifiers_bring_in_contexts(spark):
+    rows = [(i, f"please write to user{i}@mail.org") for i in range(190)] + [(200 + i, f"please write to agent-{i}") for i in range(10)]
+    rows += [(300 + i, f"then ask for agent-{i}") for i in range(11)] + [(400 + i, f"see the room {i}") for i in range(11)]
+    got = {r["doc_id"]: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all([s["kind"] for s in got[i]["spans"]] == ["context"] for i in [*range(200, 210), *range(300, 311)])  # agent-10 is seen after "ask for" only
+    assert all(got[i]["spans"] == [] for i in range(400, 411))
+
+
 def test_vectors(spark):
     r = np.random.default_rng(1)
     x = r.standard_normal((60, 16))
