@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, chat, mixing
+from . import ann, chat, decontaminate, mixing, negatives, ranked
 from .common import documents, table
 from .jaccard import jaccard_components
 from .phrases import repeated_phrases
@@ -18,6 +18,7 @@ from .toxicity import toxicity
 
 SPAN, SHINGLE, SIMILARITY, COSINE = 50, 5, 80, 0.93
 QUERY_EVERY, NEIGHBOURS = 50, 5
+ITEM_SPAN, RANKED = 10, 10
 
 
 def op1_chat_perspectives(spark: SparkSession, folder: str) -> DataFrame:
@@ -63,6 +64,24 @@ def op10_projected_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return ann.nearest(table(spark, folder, "embeddings"), QUERY_EVERY, NEIGHBOURS)
 
 
+def op11_wu_manber_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contaminated(documents(spark, folder), table(spark, folder, "benchmark"), ITEM_SPAN)
+    hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h["end"] - h["start"])
+    return found.select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", F.sort_array("items")), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
+
+
+def op12_limited_accumulators(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked.ranked_search(documents(spark, folder), table(spark, folder, "benchmark"), RANKED)
+
+
+def op13_strassen_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, folder, "embeddings"), label, QUERY_EVERY)
+
+
 QUERIES = {f.__name__: f for f in (op1_chat_perspectives, op2_bayes_quality, op3_piece_encoding, op4_recurrent_toxicity, op5_poisson_mixing, op6_repeated_phrases, op7_contextual_pii,
-                                op8_pivot_near_duplicates, op9_jaccard_join, op10_projected_neighbours)}
-ORACLES = {"op1_chat_perspectives": chat.ORACLE, "op5_poisson_mixing": mixing.oracle(SEED, POWER)}
+                                op8_pivot_near_duplicates, op9_jaccard_join, op10_projected_neighbours, op11_wu_manber_decontamination, op12_limited_accumulators, op13_strassen_negatives)}
+ORACLES = {"op1_chat_perspectives": chat.ORACLE, "op5_poisson_mixing": mixing.oracle(SEED, POWER), "op11_wu_manber_decontamination": decontaminate.oracle(ITEM_SPAN),
+           "op12_limited_accumulators": ranked.oracle(RANKED), "op13_strassen_negatives": negatives.oracle(QUERY_EVERY)}

@@ -1,6 +1,6 @@
 """Words of whole Arrow text columns as numpy arrays of 64-bit hashes, without one Python string per word.
 
-A word is a run of bytes other than blank and 0x09-0x0D (in UTF-8 these bytes occur only as themselves).
+A word is a run of bytes other than blank and 0x09-0x0D, or than those of a table given (ASCII bytes occur only as themselves in UTF-8).
 A hash of a word, or of consecutive words, is a polynomial over random 64-bit values, taken from running
 sums, and mixed at the end; sums wrap around at 2**64.
 """
@@ -16,6 +16,8 @@ import pyarrow as pa
 CHUNK = 1 << 18
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: For words of letters, digits and all beyond ASCII: every other ASCII byte separates.
+NOT_ALPHANUMERIC = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _SAME = np.arange(256, dtype=np.uint8)
 _FOLDED = _SAME.copy()
 _FOLDED[65:91] += 32
@@ -54,9 +56,9 @@ def _running(values: np.ndarray, base: int) -> np.ndarray:
 class Words:
     """The words of some texts: ``hash``, byte bounds ``start``/``end`` in ``data``, and ``first[i]:first[i+1]`` of text i."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool = False, blank: np.ndarray = _BLANK):
         self.data, self.offsets = data, offsets
-        solid = ~_BLANK[data]
+        solid = ~blank[data]
         before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
         before[1:], after[:-1] = solid[:-1], solid[1:]
         inner = offsets[1:-1]
@@ -97,13 +99,13 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets
 
 
-def chunked(column: pa.Array, fold: bool = False, size: int = CHUNK) -> Iterator[tuple[int, Words]]:
-    """(number of the first text, words) for neighbouring texts of about ``size`` bytes together."""
+def chunked(column: pa.Array, fold: bool = False, size: int = CHUNK, blank: np.ndarray = _BLANK) -> Iterator[tuple[int, Words]]:
+    """(number of the first text, words) for neighbouring texts of about ``size`` bytes together; ``blank`` marks the bytes between words."""
     data, offsets = text_buffers(column)
     lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = max(int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1, lo + 1)
-        yield lo, Words(data[offsets[lo]: offsets[hi]], offsets[lo: hi + 1] - offsets[lo], fold)
+        yield lo, Words(data[offsets[lo]: offsets[hi]], offsets[lo: hi + 1] - offsets[lo], fold, blank)
         lo = hi
 
 
