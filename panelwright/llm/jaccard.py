@@ -8,13 +8,15 @@ smallest document; a product counts while the size-derived bounds can still be m
 accumulated per pair. Pairs left are settled by their complete rows.
 
 A column of L documents thus gives L - 1 products rather than L * (L - 1) / 2. A second round multiplies neighbours
-in a column (in the order of a hash) that the first has put in different components. The last round takes the pairs of
-a column that are still in different components; their overlap in the part dealt out is then known in full, and
-bounds what their complete rows can share. So components are exact: each pair that shares such a column is either
+in a column (in the order of a hash) that the first has put in different components. The last round multiplies what is
+left in blocks: documents are cut into blocks of bounded size, those that share a frequent column next to one another, and
+each two blocks with a column in common meet in one task, which gets their rows in such columns. The sparse product is
+made there, so no product is ever a row: overlaps in all of the part dealt out are counted in full, and only pairs that
+every bound allows leave the task. So components are exact: each pair that shares such a column is either
 settled by its complete rows, excluded by a bound, or already connected.
 
-Rows of null ``doc_id`` get their set size and no component. Rows that repeat an id are one node: what links
-one of them links the id. Texts that are null or without words have size 0 and link with nothing.
+Rows of null ``doc_id`` get their set size and no component. Rows that repeat an id with other texts are rows of the matrix of
+their own; what links one of them links the id. Texts that are null or without words have size 0 and link with nothing.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from .wordhash import chunked, mix
 
 #: Columns are counted in this many buckets (0.5 MB on the driver, whatever the input's size).
 BUCKETS = 1 << 16
+#: Entries of the matrix in a block of documents, and documents of a tile within a product of blocks.
+BLOCK_ROWS, TILE, AT_ONCE = 1 << 16, 1_024, 1 << 21
 #: Signatures a task remembers so that it deals out copies only once; full, it starts anew.
 REMEMBERED = 200_000
 
@@ -72,12 +76,12 @@ def _dealt(n: int, percent: int) -> int:
 
 
 def incidence(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """The part of the matrix that can decide: ``g`` (column), ``doc``, ``place`` (size of the row * 2**32 + place of the column in it)."""
+    """The part of the matrix that can decide: ``g`` (column), ``doc``, ``t`` (hash of the text), ``place`` (size of the row * 2**32 + place of the column in it)."""
 
     def run(batches):
         seen: set = set()
         for batch in batches:
-            ids, out = batch.column("doc_id").to_pylist(), []
+            ids, marks, out = batch.column("doc_id").to_pylist(), batch.column("t").to_pylist(), []
             for lo, words in chunked(batch.column("text"), fold=True):
                 for i in range(len(words.first) - 1):
                     s = np.unique(words.grams(i, k))
@@ -88,14 +92,14 @@ def incidence(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> Data
                     if len(seen) >= REMEMBERED:
                         seen.clear()
                     g = np.sort((levels[(s >> np.uint64(48)).astype(np.int64)] << np.uint64(58)) | (s >> np.uint64(6)))
-                    out.append((g[: _dealt(len(g), percent)], ids[lo + i], len(g)))
+                    out.append((g[: _dealt(len(g), percent)], ids[lo + i], marks[lo + i], len(g)))
             if out:
-                sizes = [len(g) for g, _, _ in out]
-                places = (np.repeat([n for _, _, n in out], sizes).astype(np.int64) << 32) + np.concatenate([np.arange(m) for m in sizes])
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate([g for g, _, _ in out]).view(np.int64)), pa.array(np.repeat([d for _, d, _ in out], sizes).astype(np.int64)), pa.array(places)], ["g", "doc", "place"])
+                sizes = [len(g) for g, *_ in out]
+                places = (np.repeat([n for *_, n in out], sizes).astype(np.int64) << 32) + np.concatenate([np.arange(m) for m in sizes])
+                columns = [np.concatenate([g for g, *_ in out]).view(np.int64), *[np.repeat(np.array([o[k] for o in out], np.int64), sizes) for k in (1, 2)], places]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["g", "doc", "t", "place"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "g long, doc long, place long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(run, "g long, doc long, t long, place long")
 
 
 def _needed(percent: int) -> Column:
@@ -120,18 +124,11 @@ def _leads(percent: int) -> Column:
 
 def _accumulate(products: DataFrame, percent: int) -> DataFrame:
     """Pairs with their overlap in the columns at hand, their last places there, and whether every bound allows them."""
-    return products.groupBy("a", "b").agg(
+    return products.groupBy("a", "ta", "b", "tb").agg(
         F.count(F.lit(1)).alias("shared"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.max("pos_a").alias("last_a"), F.max("pos_b").alias("last_b"),
         F.min(_can_reach(percent)).alias("reach"), F.max(_leads(percent)).alias("leads")).where("reach AND leads")
 
 
-def _within_overlap(percent: int) -> Column:
-    """The bound by the overlap in all columns dealt out: beyond the row that ends first, at most its rest can be shared."""
-    rest = lambda s: F.ceil(percent * F.col(f"n_{s}") / 100) - 1
-    after = lambda s: F.col(f"n_{s}") - F.col(f"last_{s}") - 1
-    return F.col("shared") + F.greatest(F.least(rest("a"), after("b")), F.least(rest("b"), after("a"))) >= _needed(percent)
-
-
 def _place(packed: str, side: str) -> list[Column]:
     return [F.shiftright(packed, 32).alias(f"n_{side}"), F.col(packed).bitwiseAND(F.lit(2 ** 32 - 1)).alias(f"pos_{side}")]
 
@@ -140,23 +137,121 @@ def _ordered(products: DataFrame) -> DataFrame:
     """The smaller document of each product as a."""
     swap = F.col("a") > F.col("b")
     pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x)
-    return products.select(*[pick(f"{c}a", f"{c}b") for c in ("", "n_", "pos_")], *[pick(f"{c}b", f"{c}a") for c in ("", "n_", "pos_")])
+    return products.select(*[pick(f"{c}a", f"{c}b") for c in ("", "t", "n_", "pos_")], *[pick(f"{c}b", f"{c}a") for c in ("", "t", "n_", "pos_")])
 
 
 def _split_columns(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """The columns whose documents are not all in one component (``c``)."""
     column = W.partitionBy("g")
     return (
-        shared.select("g", "doc", "place").join(labels.select(F.col("id").alias("doc"), "component_id"), "doc", "left")
+        shared.select("g", "doc", "t", "place", "rows").join(labels.select(F.col("id").alias("doc"), "component_id"), "doc", "left")
         .withColumn("c", F.coalesce("component_id", "doc")).drop("component_id")
         .withColumn("c_min", F.min("c").over(column)).withColumn("c_max", F.max("c").over(column))
         .where("c_min < c_max").drop("c_min", "c_max"))
 
 
+def _blocks(split: DataFrame, block_rows: int) -> DataFrame:
+    """The entries of the split columns once for each pair of blocks (``x`` <= ``y``) that may need them; ``own`` is the entry's block.
+
+    A document belongs to the block of its most frequent column, so that the documents of a frequent column fill few blocks.
+    Columns with more entries than a block holds are cut by a hash of the document; those with fewer share blocks.
+    """
+    node = ["doc", "t"]
+    total = split.count()
+    chosen = split.groupBy(*node).agg(F.max(F.struct("rows", "g"))["g"].alias("key"), F.count(F.lit(1)).alias("entries"))
+    keys = chosen.groupBy("key").agg(F.sum("entries").alias("held"))
+    small, part = F.pmod(F.xxhash64("key"), F.lit(-(-total // block_rows))), F.pmod(F.xxhash64(*node), F.ceil(F.col("held") / block_rows))
+    placed = chosen.join(keys, "key").select(*node, F.when(F.col("held") < block_rows, small).otherwise(F.xxhash64("key", part)).alias("own"))
+    entries = materialise(split.join(placed, node), "jaccard-blocks")
+    meets = entries.groupBy("g", "own").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).groupBy("g").agg(F.collect_list(F.struct("own", "lo", "hi")).alias("blocks"))
+    mine = F.filter("blocks", lambda m: m["own"] == F.col("own"))[0]
+    # two blocks that hold one and the same component in this column have nothing to compare there
+    other = F.filter("blocks", lambda m: (F.col("mine.lo") < F.col("mine.hi")) | (m["lo"] < m["hi"]) | (m["lo"] != F.col("mine.lo")))
+    return (
+        entries.join(meets, "g").withColumn("mine", mine).withColumn("meet", F.explode(other))
+        .select(F.least("own", "meet.own").alias("x"), F.greatest("own", "meet.own").alias("y"), "own", "g", "doc", "t", "c", "place"))
+
+
+class _Rows:
+    """Entries of a block, ordered by document and column."""
+
+    def __init__(self, table: pa.Table):
+        columns = {c: table.column(c).to_numpy() for c in ("g", "doc", "t", "c", "place")}
+        order = np.lexsort((columns["g"], columns["t"], columns["doc"]))
+        g, t, doc = (columns[c][order] for c in ("g", "t", "doc"))
+        again = np.zeros(len(order), bool)  # a row of the table that several tasks have read
+        again[1:] = (g[1:] == g[:-1]) & (t[1:] == t[:-1]) & (doc[1:] == doc[:-1])
+        order = order[~again]
+        self.g, self.doc, self.t, self.c, place = (columns[c][order] for c in ("g", "doc", "t", "c", "place"))
+        self.n, self.pos = place >> 32, place & 0xFFFFFFFF
+        new = np.ones(len(order), bool)
+        new[1:] = (self.doc[1:] != self.doc[:-1]) | (self.t[1:] != self.t[:-1])
+        self.head = np.append(np.flatnonzero(new), len(order))
+        self.node = np.cumsum(new) - 1
+
+    def tiles(self):
+        """(first document, entries ordered by column) of each tile."""
+        for lo in range(0, len(self.head) - 1, TILE):
+            a, b = self.head[lo], self.head[min(lo + TILE, len(self.head) - 1)]
+            yield lo, a + np.argsort(self.g[a:b], kind="stable")
+
+
+def _tile_product(left: _Rows, lo_a: int, la: np.ndarray, right: _Rows, lo_b: int, rb: np.ndarray, within: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of documents of two tiles which the overlap in the part dealt out, the sizes and the places allow."""
+    rows_a, rows_b = min(TILE, len(left.head) - 1 - lo_a), min(TILE, len(right.head) - 1 - lo_b)
+    shared, failed, leading = (np.zeros(rows_a * rows_b, np.int32) for _ in range(3))
+    last_a, last_b = np.zeros(rows_a * rows_b, np.int64), np.zeros(rows_a * rows_b, np.int64)
+    gb = right.g[rb]
+    begin, end = np.searchsorted(gb, left.g[la]), np.searchsorted(gb, left.g[la], "right")
+    size = end - begin
+    done = np.cumsum(size)
+    cuts = np.unique(np.append(np.searchsorted(done, np.arange(0, done[-1] if len(done) else 0, AT_ONCE)), len(la)))
+    for lo, hi in zip(np.append(0, cuts[:-1]), cuts):
+        part = size[lo:hi]
+        i = np.repeat(la[lo:hi], part)
+        j = rb[np.repeat(begin[lo:hi] - (np.cumsum(part) - part), part) + np.arange(part.sum())]
+        fits = (left.c[i] != right.c[j]) & (100 * np.minimum(left.n[i], right.n[j]) >= percent * np.maximum(left.n[i], right.n[j]))
+        if within:
+            fits &= left.node[i] < right.node[j]
+        i, j = i[fits], j[fits]
+        at = (left.node[i] - lo_a) * rows_b + right.node[j] - lo_b
+        needed = -(-percent * (left.n[i] + right.n[j]) // (100 + percent))
+        rest_a, rest_b = left.n[i] - left.pos[i], right.n[j] - right.pos[j]
+        shared += np.bincount(at, minlength=len(shared)).astype(np.int32)
+        failed += np.bincount(at[np.minimum(left.pos[i], right.pos[j]) + np.minimum(rest_a, rest_b) < needed], minlength=len(shared)).astype(np.int32)
+        leading += np.bincount(at[(rest_a >= needed) & (rest_b >= needed)], minlength=len(shared)).astype(np.int32)
+        last_a[at], last_b[at] = left.pos[i], right.pos[j]  # columns ascend, so the last one stays
+    at = np.flatnonzero((leading > 0) & (failed == 0))
+    i, j = left.head[lo_a + at // rows_b], right.head[lo_b + at % rows_b]
+    na, nb = left.n[i], right.n[j]
+    # beyond the row that ends first, at most its rest can be shared
+    more = np.maximum(np.minimum(-(-percent * na // 100) - 1, nb - last_b[at] - 1), np.minimum(-(-percent * nb // 100) - 1, na - last_a[at] - 1))
+    keep = shared[at] + more >= -(-percent * (na + nb) // (100 + percent))
+    a, b = left.doc[i[keep]], right.doc[j[keep]]
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def blocked_products(split: DataFrame, percent: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Pairs of documents of different components (``a``, ``b``) that the part dealt out can't exclude, by products of blocks."""
+
+    def run(table: pa.Table) -> pa.Table:
+        x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
+        own = table.column("own").to_numpy()
+        left = _Rows(table.filter(pa.array(own == x)))
+        right = left if x == y else _Rows(table.filter(pa.array(own == y)))
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        others = list(right.tiles())
+        for lo_a, la in left.tiles():
+            found += [_tile_product(left, lo_a, la, right, lo_b, rb, x == y and lo_a == lo_b, percent) for lo_b, rb in others if x != y or lo_a <= lo_b]
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*found)], ["a", "b"])
+
+    return _blocks(split, block_rows).groupBy("x", "y").applyInArrow(run, "a long, b long").where("a < b").distinct()
+
+
 def settle(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (``a``, ``b``) whose complete rows overlap enough."""
+    """The pairs (``a``, ``b``) whose complete rows, or those of any of their texts, overlap enough."""
     both = (
-        pairs.select("a", "b").join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a")
+        pairs.select("a", "b").distinct().join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a")
         .join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b"))
 
     def run(batches):
@@ -188,33 +283,31 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     column = W.partitionBy("g")
     shared = (
         incidence(docs, k, percent, _levels(surveyed))
-        .withColumn("least", F.min(F.struct("doc", "place")).over(column))
+        .withColumn("least", F.min(F.struct("doc", "t", "place")).over(column))
         .withColumn("rows", F.count(F.lit(1)).over(column)).where("rows > 1"))
     shared = materialise(shared, "jaccard-columns")
-    texts = materialise(docs.select(F.col("doc_id").alias("doc"), "text").join(shared.select("doc").distinct(), "doc", "left_semi"), "jaccard-texts")
+    texts = docs.select(F.col("doc_id").alias("doc"), "text").withColumn("t", F.xxhash64("text")).join(shared.select("doc", "t").distinct(), ["doc", "t"], "left_semi")
+    texts = materialise(texts, "jaccard-texts")
 
     first = materialise(_accumulate(
-        shared.where("doc <> least.doc").select(F.col("least.doc").alias("a"), *_place("least.place", "a"), F.col("doc").alias("b"), *_place("place", "b")), percent), "jaccard-first")
+        shared.where("doc <> least.doc").select(
+            F.col("least.doc").alias("a"), F.col("least.t").alias("ta"), *_place("least.place", "a"), F.col("doc").alias("b"), F.col("t").alias("tb"), *_place("place", "b")), percent), "jaccard-first")
     links = materialise(settle(first, texts, k, percent).union(copies), "jaccard-links")
     labels = components(links, "jaccard")
 
     split = _split_columns(shared.where("rows > 2"), labels).withColumn("order", F.xxhash64("doc", "g"))
     beside = W.partitionBy("g").orderBy("order", "doc")
     near = (
-        split.withColumn("other", F.lag(F.struct("doc", "place", "c")).over(beside)).where("other.c <> c")
-        .select(F.col("doc").alias("a"), *_place("place", "a"), F.col("other.doc").alias("b"), *_place("other.place", "b")))
+        split.withColumn("other", F.lag(F.struct("doc", "t", "place", "c")).over(beside)).where("other.c <> c")
+        .select(F.col("doc").alias("a"), F.col("t").alias("ta"), *_place("place", "a"), F.col("other.doc").alias("b"), F.col("other.t").alias("tb"), *_place("other.place", "b")))
     near = materialise(_accumulate(_ordered(near), percent).join(first.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-near")
     if not near.isEmpty():
         links = materialise(links.union(settle(near, texts, k, percent)), "jaccard-links")
         labels = components(links, "jaccard")
 
-    # Columns of two documents give no new pairs, but their products count in the overlap that excludes a pair.
+    # Columns of two documents give no new pairs, but count in the overlap that excludes a pair.
     split = materialise(_split_columns(shared, labels), "jaccard-split")
-    sides = [split.select("g", F.col("doc").alias(s), F.col("c").alias(f"c_{s}"), *_place("place", s)) for s in "ab"]
-    last = sides[0].join(sides[1], "g").where("c_a <> c_b AND a < b").where(_sizes_fit(percent))
-    last = (
-        _accumulate(last, percent).where(_within_overlap(percent))
-        .join(first.select("a", "b").union(near.select("a", "b")), ["a", "b"], "left_anti"))
+    last = blocked_products(split, percent).join(first.select("a", "b").union(near.select("a", "b")), ["a", "b"], "left_anti")
     last = materialise(last, "jaccard-last")
     if not last.isEmpty():
         labels = components(links.union(materialise(settle(last, texts, k, percent), "jaccard-more")), "jaccard")

@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from panelwright.llm import ann, chat, mixing, pii, stages, toxicity
 from panelwright.llm.jaccard import jaccard_components
@@ -94,6 +95,72 @@ def test_jaccard_of_a_large_group_of_near_copies(spark):
     assert [got[i] for i in range(60)] == label
 
 
+def jaccard_label(rows, k=5):
+    """Component per id by all pairs; an id may have several texts."""
+    sets = [(i, {tuple(w[a:a + k]) for a in range(max(len(w) - k + 1, 1))}) for i, w in ((i, WORD.findall(fold(t))) for i, t in rows) if w]
+    label = {i: i for i, _ in sets}
+    links = [(i, j) for x, (i, a) in enumerate(sets) for j, b in sets[:x] if 100 * len(a & b) >= 80 * len(a | b)]
+    changed = True
+    while changed:
+        changed = False
+        for i, j in links:
+            low = min(label[i], label[j])
+            changed |= label[i] != low or label[j] != low
+            label[i] = label[j] = low
+    return label
+
+
+def test_jaccard_links_every_text_of_an_id(spark):
+    first, other, stock = texts(100, 41).split(), texts(17, 42), texts(80, 43)
+    rows = [(1, " ".join(first)), (5, " ".join(first[:99] + ["end"])), (5, other + " " + " ".join(first[40:60]) + " " + stock), (5, texts(30, 44)), (9, texts(30, 44) + " x"), (9, texts(40, 45)),
+            (3, texts(40, 45)), (3, "lone text of id three here"), (7, "x " + other + " " + " ".join(first[40:60]) + " " + stock)]
+    rows += [(20 + i, stock + " " + texts(17, 60 + i)) for i in range(10)]
+    got = {x["doc_id"]: x["component_id"] for x in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == jaccard_label(rows)
+
+
+@pytest.mark.parametrize("block_rows, tile", [(1 << 16, 1_024), (300, 7)])
+def test_jaccard_of_a_cloud_and_texts_just_under_the_similarity(spark, monkeypatch, block_rows, tile):
+    from panelwright.llm import jaccard
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    monkeypatch.setattr(jaccard.blocked_products, "__defaults__", (block_rows,))
+    monkeypatch.setattr(jaccard, "AT_ONCE", 500)
+    r = np.random.default_rng(11)
+    base, rows = ["b%d" % i for i in range(60)], []
+    for i in range(300):
+        w = list(base)
+        w[r.integers(0, 60)] = "edit%d" % r.integers(0, 10_000)
+        rows.append((i, " ".join(w)))
+    for i in range(200):  # two or three edits apart: most are under the similarity, some are not
+        w = list(base)
+        for at in r.choice(60, r.integers(2, 4), replace=False):
+            w[at] = "far%d" % r.integers(0, 10_000)
+        rows.append((1000 + i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {x["doc_id"]: x["component_id"] for x in jaccard_components(df).collect()} == jaccard_label(rows)
+
+
+def test_blocked_products_keep_every_pair_over_the_similarity(spark):
+    from panelwright.llm import jaccard
+    r = np.random.default_rng(12)
+    rows = []
+    for g in range(30):
+        base = ["g%dw%d" % (g, i) for i in range(40)] + ["all%d" % i for i in range(15)]
+        for i in range(8):
+            w = list(base)
+            for at in r.choice(55, r.integers(1, 3), replace=False):
+                w[at] = "e%d" % r.integers(0, 10_000)
+            rows.append((g * 10 + i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    shared = jaccard.incidence(docs, 5, 80, np.zeros(jaccard.BUCKETS, np.uint64))
+    shared = jaccard.materialise(shared.join(shared.groupBy("g").count().where("count > 1").withColumnRenamed("count", "rows"), "g").withColumn("c", F.col("doc")), "test-shared")
+    got = {tuple(x) for block in (1 << 16, 200) for x in jaccard.blocked_products(shared, 80, block).collect()}
+    assert [tuple(sorted(map(tuple, jaccard.blocked_products(shared, 80, b).collect()))) for b in (1 << 16, 200)] == [tuple(sorted(got))] * 2
+    sets = {i: {tuple(t.split()[a:a + 5]) for a in range(51)} for i, t in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert len(want) > 100 and want <= got and len(got) < 2 * len(want)
+
+
 def test_jaccard_counts_columns_of_two_documents(spark, monkeypatch):
     import pyarrow as pa
     from panelwright.llm import jaccard
