@@ -145,10 +145,10 @@ def test_blocked_products_keep_every_pair_over_the_similarity(spark):
     r = np.random.default_rng(12)
     rows = []
     for g in range(30):
-        base = ["g%dw%d" % (g, i) for i in range(40)] + ["all%d" % i for i in range(15)]
+        base = ["g%dw%d" % (g, i) for i in range(100)] + ["all%d" % i for i in range(15)]
         for i in range(8):
             w = list(base)
-            for at in r.choice(55, r.integers(1, 3), replace=False):
+            for at in r.choice(115, r.integers(1, 4), replace=False):
                 w[at] = "e%d" % r.integers(0, 10_000)
             rows.append((g * 10 + i, " ".join(w)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -156,7 +156,7 @@ def test_blocked_products_keep_every_pair_over_the_similarity(spark):
     shared = jaccard.materialise(shared.join(shared.groupBy("g").count().where("count > 1").withColumnRenamed("count", "rows"), "g").withColumn("c", F.col("doc")), "test-shared")
     got = {tuple(x) for block in (1 << 16, 200) for x in jaccard.blocked_products(shared, 80, block).collect()}
     assert [tuple(sorted(map(tuple, jaccard.blocked_products(shared, 80, b).collect()))) for b in (1 << 16, 200)] == [tuple(sorted(got))] * 2
-    sets = {i: {tuple(t.split()[a:a + 5]) for a in range(51)} for i, t in rows}
+    sets = {i: {tuple(t.split()[a:a + 5]) for a in range(111)} for i, t in rows}
     want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
     assert len(want) > 100 and want <= got and len(got) < 2 * len(want)
 
