@@ -53,15 +53,15 @@ def w30(spark, sf):
     return M.rolling_beta_sharpe(with_bench(spark, sf)).select("strategy", "date", "rolling_beta", "rolling_sharpe")
 
 
-F252 = f"({ST} ROWS 51 PRECEDING)"
-part("w31_v", f"""SELECT *, CASE WHEN count(*) OVER {F252} >= 26 THEN quantile_cont(portfolio_return, 0.05) OVER {F252} END AS vh,
-  CASE WHEN count(*) OVER {F252} >= 26 THEN avg(portfolio_return) OVER {F252} - 1.6448536269514722 * stddev_samp(portfolio_return) OVER {F252} END AS vn FROM b_returns""")
+F252 = f"({ST} ROWS 251 PRECEDING)"
+part("w31_v", f"""SELECT *, CASE WHEN count(*) OVER {F252} >= 126 THEN quantile_cont(portfolio_return, 0.05) OVER {F252} END AS vh,
+  CASE WHEN count(*) OVER {F252} >= 126 THEN avg(portfolio_return) OVER {F252} - 1.6448536269514722 * stddev_samp(portfolio_return) OVER {F252} END AS vn FROM b_returns""")
 part("w31", f"SELECT *, lag(vh) OVER ({ST}) AS vk FROM w31_v")
 
 
 @query("W31_rolling_var", pick("w31", "strategy date", "var_hist=vh;var_norm=vn;var_known=vk", "breach=portfolio_return < vk"))
 def w31(spark, sf):
-    return M.rolling_var(T.weekly_returns(spark, sf), 52, 26).select("strategy", "date", "var_hist", "var_norm", "var_known", "breach")
+    return M.rolling_var(T.weekly_returns(spark, sf)).select("strategy", "date", "var_hist", "var_norm", "var_known", "breach")
 
 
 # one split, by the definition
@@ -138,7 +138,7 @@ part("m07", "SELECT strategy, count(*) AS days, sum((portfolio_return < vk)::INT
 
 @query("M07_breach_test", pick("m07", "strategy;status=CASE WHEN abs(breaches / days - 0.05) < 0.015 THEN 'PASS' ELSE 'WARN' END", "expected=days * 0.05;rate=breaches / days", "days;breaches"))
 def m07(spark, sf):
-    return M.breach_test(T.weekly_returns(spark, sf), width=52, least=26)
+    return M.breach_test(T.weekly_returns(spark, sf))
 
 
 @query("M09_annual_factor", pick("b_returns GROUP BY strategy", "strategy", "", "annual_factor=CASE WHEN count(*) < 3 THEN 52 WHEN (max(date) - min(date)) / count(*) <= 4 THEN 252 ELSE 52 END"))

@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.rolling import trailing
+from ..functions.rolling import Roll, with_rolling
 from ..functions.scalar import month_key
 from .aggregates import sector_mean
 from .timeseries import diff, dist_sma, drawdown, efficiency, forward_label, pcts, rsi_simple, vix_features, vol_ratio_sharpe
@@ -63,10 +63,9 @@ def rolling_betas(daily: DataFrame, width: int = 252, least: int = 100, by=("tic
     """
     full = F.col("ret").isNotNull() & F.col("market_ret").isNotNull() & F.col("sector_ret").isNotNull()
     df = daily.withColumns({"__y": F.when(full, F.col("ret")), "__m": F.when(full, F.col("market_ret")), "__s": F.when(full, F.col("sector_ret"))})
-    w = trailing(width, by)
-    df = df.withColumns({
-        "__n": F.count("__y").over(w), "__ym": F.covar_samp("__y", "__m").over(w), "__ys": F.covar_samp("__y", "__s").over(w),
-        "__ms": F.covar_samp("__m", "__s").over(w), "__vm": F.var_samp("__m").over(w), "__vs": F.var_samp("__s").over(w)})
+    pairs = {"__ym": ("__y", "__m"), "__ys": ("__y", "__s"), "__ms": ("__m", "__s")}
+    df = with_rolling(df, [*[Roll(o, "cov", a, width, 2, other=b) for o, (a, b) in pairs.items()], Roll("__vm", "var", "__m", width, 2), Roll("__vs", "var", "__s", width, 2),
+                           Roll("__n", "count", "__y", width, 0)], by)
     det = F.col("__vm") * F.col("__vs") - F.col("__ms") * F.col("__ms")
     flat = det <= 1e-9 * F.col("__vm") * F.col("__vs")
     enough = F.col("__n") >= least

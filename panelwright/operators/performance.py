@@ -10,7 +10,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.rolling import gated, running, series, trailing
+from ..functions.rolling import Roll, running, series, with_rolling, with_rolling_quantile
 from ..session import materialise
 from .xsection import cs_rank
 
@@ -42,23 +42,18 @@ def equity_compound(df: DataFrame, capital: float = 1e6, by=STRATEGY, pnl: str =
 # W30
 def rolling_beta_sharpe(df: DataFrame, bench: str = "bench_return", width: int = 26, least: int = 13, by=STRATEGY) -> DataFrame:
     """Beta against a benchmark column and annualised Sharpe over the trailing weeks."""
-    w = trailing(width, by)
-    r, b = F.col("portfolio_return"), F.col(bench)
-    both = F.count(F.when(r.isNotNull() & b.isNotNull(), 1)).over(w)
-    n = F.count(r).over(w)
-    return df.withColumns({
-        "rolling_beta": gated(F.try_divide(F.covar_samp(r, b).over(w), gated(F.var_samp(b).over(w), F.count(b).over(w), least)), both, least),
-        "rolling_sharpe": gated(F.try_divide(F.avg(r).over(w), F.stddev_samp(r).over(w)) * math.sqrt(52.0), n, least)})
+    df = with_rolling(df, [Roll("__cov", "cov", "portfolio_return", width, least, other=bench), Roll("__var", "var", bench, width, least),
+                           Roll("__m", "mean", "portfolio_return", width, least), Roll("__d", "std", "portfolio_return", width, least)], by)
+    return df.withColumns({"rolling_beta": F.try_divide("__cov", "__var"), "rolling_sharpe": F.try_divide("__m", "__d") * math.sqrt(52.0)}).drop("__cov", "__var", "__m", "__d")
 
 
 # W31
 def rolling_var(df: DataFrame, width: int = 252, least: int = 126, share: float = 0.05, by=STRATEGY) -> DataFrame:
     """Trailing empirical and normal value at risk, the former also as known the row before, and its breaches."""
-    w = trailing(width, by)
     r = F.col("portfolio_return")
-    n = F.count(r).over(w)
-    df = df.withColumns({"var_hist": gated(F.percentile(r, share).over(w), n, least),
-                         "var_norm": gated(F.avg(r).over(w) + Z95 * F.stddev_samp(r).over(w), n, least)})
+    df = with_rolling(df, [Roll("__m", "mean", "portfolio_return", width, least), Roll("__d", "std", "portfolio_return", width, least)], by)
+    df = with_rolling_quantile(df, "var_hist", "portfolio_return", share, width, least, by)
+    df = df.withColumn("var_norm", F.col("__m") + Z95 * F.col("__d")).drop("__m", "__d")
     df = df.withColumn("var_known", F.lag("var_hist", 1).over(series(by)))
     return df.withColumn("breach", (r < F.col("var_known")).cast("int"))
 

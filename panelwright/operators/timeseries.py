@@ -10,6 +10,8 @@ from ..functions.rolling import Roll, gated, running, series, trailing, with_ewm
 from ..functions.scalar import clip
 
 TICKER = ("ticker",)
+#: Co-moments re-read several columns: they take the block form from this width on.
+COV_FROM = 50
 YEAR = math.sqrt(252.0)
 
 
@@ -76,13 +78,10 @@ def structure(df: DataFrame, width: int = 60, by=TICKER, prefix_from=None) -> Da
 
 
 # W08
-def beta(df: DataFrame, y: str, x: str, width: int = 60, least: int = 30, by=TICKER, out: str = "beta") -> DataFrame:
+def beta(df: DataFrame, y: str, x: str, width: int = 60, least: int = 30, by=TICKER, out: str = "beta", prefix_from: int | None = COV_FROM) -> DataFrame:
     """Covariance over rows with both values, variance of ``x`` over all its rows."""
-    w = trailing(width, by)
-    both = F.col(y).isNotNull() & F.col(x).isNotNull()
-    cov = gated(F.covar_samp(y, x).over(w), F.count(F.when(both, 1)).over(w), max(least, 2))
-    var = gated(F.var_samp(x).over(w), F.count(x).over(w), max(least, 2))
-    return df.withColumn(out, F.try_divide(cov, var))
+    df = with_rolling(df, [Roll("__cov", "cov", y, width, least, other=x), Roll("__var", "var", x, width, least)], by, prefix_from=prefix_from)
+    return df.withColumn(out, F.try_divide("__cov", "__var")).drop("__cov", "__var")
 
 
 # W09
@@ -159,11 +158,11 @@ def slope(df: DataFrame, width: int = 100, by=TICKER, out: str = "slope100") ->
 
 
 # W15
-def trailing_max_dd(df: DataFrame, width: int = 252, least: int = 126, by=TICKER, out: str = "max_dd") -> DataFrame:
-    w = trailing(width, by)
-    peak = F.max("close").over(w)
-    df = df.withColumn("__dd", (F.col("close") - peak) / (peak + 1e-9))
-    return df.withColumn(out, gated(F.min("__dd").over(w), F.count("__dd").over(w), least)).drop("__dd")
+def trailing_max_dd(df: DataFrame, width: int = 252, least: int = 126, by=TICKER, out: str = "max_dd", prefix_from=None) -> DataFrame:
+    """Deepest of the trailing drawdowns, each from the trailing peak; both extremes by blocks."""
+    df = with_rolling(df, [Roll("__peak", "max", "close", width, 1)], by, prefix_from=prefix_from)
+    df = df.withColumn("__dd", (F.col("close") - F.col("__peak")) / (F.col("__peak") + 1e-9))
+    return with_rolling(df, [Roll(out, "min", "__dd", width, least)], by, prefix_from=prefix_from).drop("__dd", "__peak")
 
 
 # W16

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelwright.functions import scalar as X
-from panelwright.functions.rolling import Roll, min_periods, with_ewm, with_rolling, with_zscore
+from panelwright.functions.rolling import Roll, min_periods, with_ewm, with_rolling, with_rolling_quantile, with_zscore
 from panelwright.operators import timeseries as W
 
 
@@ -79,7 +79,7 @@ def test_softmax(spark):
 
 
 @pytest.mark.parametrize("prefix_from", [1, 10_000])
-@pytest.mark.parametrize("fn,pandas_fn", [("mean", "mean"), ("std", "std"), ("sum", "sum")])
+@pytest.mark.parametrize("fn,pandas_fn", [("mean", "mean"), ("std", "std"), ("sum", "sum"), ("max", "max"), ("min", "min")])
 def test_rolling_matches_pandas(spark, fn, pandas_fn, prefix_from):
     pdf = gappy(1)
     df = to_spark(spark, pdf, "ticker string, date date, x double")
@@ -92,6 +92,48 @@ def test_rolling_matches_pandas(spark, fn, pandas_fn, prefix_from):
         same(got, want, 1e-8)
 
 
+def test_several_widths_share_blocks(spark):
+    pdf = gappy(6, n=400, gaps=0.2)
+    df = to_spark(spark, pdf, "ticker string, date date, x double")
+    widths = {10: 4, 13: 1, 20: 10, 39: 3, 49: 20, 61: 20, 250: 5}
+    rolls = [Roll(f"{fn}{w}", fn, "x", w, m, w % 3) for w, m in widths.items() for fn in ("mean", "std", "max", "count")]
+    a, b = (with_rolling(df, rolls, prefix_from=limit) for limit in (1, 10_000))
+    for r in rolls:
+        same(by_series(a, r.out), by_series(b, r.out), 1e-9)
+
+
+@pytest.mark.parametrize("width,least,skip", [(60, 30, 0), (25, 2, 1), (252, 126, 0)])
+def test_co_moments_match_pandas_and_frames(spark, width, least, skip):
+    pdf = gappy(7, n=900, gaps=0.2)
+    rng = np.random.default_rng(9)
+    pdf["y"] = np.where(rng.random(len(pdf)) < 0.1, np.nan, 1e3 + rng.normal(size=len(pdf)) + 0.3 * pdf["x"].fillna(0))
+    df = to_spark(spark, pdf, "ticker string, date date, x double, y double")
+    roll = [Roll("c", "cov", "y", width, least, skip, "x")]
+    a, b = (by_series(with_rolling(df, roll, prefix_from=limit), "c") for limit in (1, 10_000))
+    same(a, b, 1e-9)
+    want = np.concatenate([g["y"].shift(skip).rolling(width, min_periods=max(least, 2)).cov(g["x"].shift(skip)).to_numpy() for _, g in pdf.sort_values(["ticker", "date"]).groupby("ticker")])
+    same(a, want, 1e-6)
+
+
+def test_co_moments_of_a_long_series(spark):
+    n = 250_000
+    df = spark.range(n).select(F.lit("a").alias("ticker"), F.col("id").alias("date"), (F.sin("id") + F.when(F.col("id") == 0, 1e9).otherwise(1e4)).alias("x"), (F.cos(F.col("id") * 0.7) - 1e4).alias("y"))
+    rolls = [Roll("c", "cov", "y", 60, 30, other="x"), Roll("d", "cov", "y", 252, 126, other="x")]
+    a, b = (with_rolling(df, rolls, prefix_from=limit).where(f"date > {300}").alias(name) for limit, name in ((1, "a"), (n, "b")))
+    row = a.join(b, F.col("a.date") == F.col("b.date")).agg(*[F.max(F.abs(F.col(f"a.{c}") - F.col(f"b.{c}"))).alias(c) for c in "cd"]).first()
+    assert max(row) < 1e-9
+
+
+@pytest.mark.parametrize("width,least,share", [(252, 126, 0.05), (30, 10, 0.5), (7, 1, 0.0), (64, 20, 1.0), (33, 33, 0.37)])
+def test_rolling_quantile_matches_pandas(spark, width, least, share):
+    pdf = gappy(8, n=600, gaps=0.15)
+    pdf.loc[pdf.index % 7 == 0, "x"] = 0.25  # ties
+    df = to_spark(spark, pdf, "ticker string, date date, x double")
+    out = with_rolling_quantile(df, "q", "x", share, width, least)
+    assert out.columns == ["ticker", "date", "x", "q"] and out.count() == len(pdf)
+    same(by_series(out, "q"), expected(pdf, lambda s: s.rolling(width, min_periods=least).quantile(share)), 1e-9)
+
+
 def test_zscore_null_on_constant_window(spark):
     pdf = gappy(2)
     df = to_spark(spark, pdf, "ticker string, date date, x double")
