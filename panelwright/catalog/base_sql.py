@@ -59,6 +59,10 @@ SELECT date, ticker, n, (d * 4 - 0.2) AS mom60, (t * 5 - 0.2) AS mom20, ((d - t)
   (q / 100.0) AS rvol20, (t * 5 - d * 4) AS excess20, (hi) AS close, (lo) AS open,
   ((d - 0.05) * 2 + (o - 0.5) * 0.1) AS fwd_ret
 FROM b_wraw""")
+part("b_names", f"""
+SELECT date, ticker, (round(d / n, 9) - 0.05) * 2 + (round(o / n, 9) - 0.5) * 0.1 AS fwd_ret
+FROM (SELECT {FRI.format('l_shipdate')} AS date, 'S' || l_suppkey AS ticker, count(*) AS n, sum(l_discount) AS d, sum(CASE WHEN l_linestatus = 'O' THEN 1.0 ELSE 0.0 END)::DOUBLE AS o
+      FROM lineitem GROUP BY ALL)""")
 part("b_wreg", f"""
 SELECT date, round(sum(CASE WHEN l_returnflag = 'A' THEN 1.0 ELSE 0.0 END)::DOUBLE / count(*), 9) AS p1,
   round(sum(CASE WHEN l_returnflag = 'N' THEN 1.0 ELSE 0.0 END)::DOUBLE / count(*), 9) AS p2,

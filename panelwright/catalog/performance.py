@@ -206,34 +206,36 @@ def u01(*parts_):
     return f"(('0x' || substr(md5(concat_ws('|', {', '.join(parts_)})), 1, 8))::BIGINT / 4294967296.0)"
 
 
-REPS = 200
+BLOCKS, REPS, CHECKS = (4.0, 8.0, 12.0, 16.0), 3000, 2000
 part("b_num", "SELECT strategy, date, portfolio_return AS r, row_number() OVER (PARTITION BY strategy ORDER BY date) - 1 AS pos, count(*) OVER (PARTITION BY strategy) AS n FROM b_returns")
 
 
-def draws_sql(name, lengths, key, block):
-    part(name + "_u", f"""SELECT *, CASE WHEN i = 0 OR {u01("'42'", "'p'", "rep::VARCHAR", "i::VARCHAR")} < {1.0 / block} THEN i END AS start_i,
-      floor({u01("'42'", "'s'", "rep::VARCHAR", "i::VARCHAR")} * n)::BIGINT AS at FROM (SELECT {key}, n, rep, unnest(range(n)) AS i FROM (SELECT {key}, n, unnest(range({REPS})) AS rep FROM {lengths}))""")
-    part(name + "_b", f"SELECT *, last_value(start_i IGNORE NULLS) OVER (PARTITION BY {key}, rep ORDER BY i) AS si FROM {name}_u")
-    part(name, f"SELECT a.{key}, a.rep, a.i, a.n, (s.at + a.i - a.si) % a.n AS pos FROM {name}_b a JOIN {name}_u s ON s.{key} = a.{key} AND s.rep = a.rep AND s.i = a.si")
+def draws_sql(name, lengths, blocks, reps):
+    """Source positions (n, block, rep, i, pos) for series of the lengths ``n``."""
+    part(name + "_p", f"SELECT n, rep, unnest(range(n)) AS i FROM (SELECT n, unnest(range({reps})) AS rep FROM (SELECT DISTINCT n FROM {lengths}))")
+    part(name + "_h", f"SELECT *, ('0x' || substr(md5(concat_ws('|', '42', 'p', rep::VARCHAR, (i // 4)::VARCHAR)), (i % 4) * 8 + 1, 8))::BIGINT / 4294967296.0 AS u, "
+                      f"floor({u01("'42'", "'s'", "rep::VARCHAR", "i::VARCHAR")} * n)::BIGINT AS begin_at FROM {name}_p")
+    part(name + "_u", f"SELECT *, CASE WHEN i = 0 OR u < 1.0 / block THEN i END AS start_i, CASE WHEN i = 0 OR u < 1.0 / block THEN begin_at END AS start_at FROM {name}_h, (SELECT unnest({list(blocks)})::DOUBLE AS block)")
+    over = "(PARTITION BY n, block, rep ORDER BY i)"
+    part(name, f"SELECT n, block, rep, i, (last_value(start_at IGNORE NULLS) OVER {over} + i - last_value(start_i IGNORE NULLS) OVER {over}) % n AS pos FROM {name}_u")
 
 
-part("b01_len", "SELECT strategy, max(n) AS n FROM b_num GROUP BY strategy")
-draws_sql("b01_draw", "b01_len", "strategy", 8.0)
-part("b01_path", """SELECT d.strategy, d.rep, d.i, d.n, b.r, exp(sum(ln(1 + b.r)) OVER (PARTITION BY d.strategy, d.rep ORDER BY d.i)) AS nav
-   FROM b01_draw d JOIN b_num b ON b.strategy = d.strategy AND b.pos = d.pos""")
-part("b01", """SELECT strategy, rep, CASE WHEN stddev_samp(r) > 0 THEN avg(r) / stddev_samp(r) * sqrt(52) ELSE 0 END AS sharpe, (pow(arg_max(nav, i), 52.0 / max(n)) - 1) * 100 AS cagr,
-   min(nav / pk - 1) * 100 AS max_dd FROM (SELECT *, max(nav) OVER (PARTITION BY strategy, rep ORDER BY i) AS pk FROM b01_path) GROUP BY strategy, rep""")
+draws_sql("b01_draw", "b_num", BLOCKS, REPS)
+part("b01_path", """SELECT b.strategy, d.block, d.rep, d.i, d.n, b.r, exp(sum(ln(1 + b.r)) OVER (PARTITION BY b.strategy, d.block, d.rep ORDER BY d.i)) AS nav
+   FROM b01_draw d JOIN b_num b ON b.n = d.n AND b.pos = d.pos""")
+part("b01", """SELECT strategy, block, rep, CASE WHEN stddev_samp(r) > 0 THEN avg(r) / stddev_samp(r) * sqrt(52) ELSE 0 END AS sharpe, (pow(arg_max(nav, i), 52.0 / max(n)) - 1) * 100 AS cagr,
+   min(nav / pk - 1) * 100 AS max_dd FROM (SELECT *, max(nav) OVER (PARTITION BY strategy, block, rep ORDER BY i) AS pk FROM b01_path) GROUP BY strategy, block, rep""")
 
 
-@query("B01_block_bootstrap", pick("b01", "strategy", "sharpe cagr max_dd", "rep"))
+@query("B01_block_bootstrap", pick("b01", "strategy", "block sharpe cagr max_dd", "rep"))
 def b01(spark, sf):
-    return B.block_bootstrap(T.weekly_returns(spark, sf), 8.0, REPS)
+    return B.block_bootstrap(T.weekly_returns(spark, sf), BLOCKS, REPS)
 
 
-@query("B01_bootstrap_summary", pick("b01 GROUP BY strategy", "strategy", ";".join(
+@query("B01_bootstrap_summary", pick("b01 GROUP BY strategy, block", "strategy", "block;" + ";".join(
     f"{c}_mean=avg({c});{c}_low=quantile_cont({c}, 0.025);{c}_high=quantile_cont({c}, 0.975)" for c in ("sharpe", "cagr", "max_dd"))))
 def b01_summary(spark, sf):
-    return B.bootstrap_summary(B.block_bootstrap(T.weekly_returns(spark, sf), 8.0, REPS))
+    return B.bootstrap_summary(B.block_bootstrap(T.weekly_returns(spark, sf), BLOCKS, REPS), ("strategy", "block"))
 
 
 part("b02_s", "SELECT strategy, n, sharpe, skew, kurt FROM mx")
@@ -282,8 +284,7 @@ def b03(spark, sf):
 
 
 part("b04_x", "SELECT a.strategy, a.pos, a.n, a.x - b.x AS x FROM b03_common a JOIN b03_common b ON b.strategy = 'S1' AND b.date = a.date WHERE a.strategy <> 'S1'")
-part("b04_len", "SELECT 'all' AS series, max(n) AS n FROM b04_x")
-draws_sql("b04_draw", "b04_len", "series", 8.0)
+draws_sql("b04_draw", "b04_x", (8.0,), CHECKS)
 part("b04_act", "SELECT strategy, avg(x) AS mean, CASE WHEN avg(x) < -sqrt(var_pop(x) / count(*)) * 2 THEN 0 ELSE avg(x) END AS centre FROM b04_x GROUP BY strategy")
 part("b04_boot", "SELECT d.rep, x.strategy, avg(x.x) AS boot FROM b04_draw d JOIN b04_x x ON x.pos = d.pos GROUP BY d.rep, x.strategy")
 part("b04", "SELECT b.rep, max(boot - mean) AS w, max(boot - centre) AS s FROM b04_boot b JOIN b04_act a ON a.strategy = b.strategy GROUP BY b.rep")
@@ -291,29 +292,31 @@ part("b04", "SELECT b.rep, max(boot - mean) AS w, max(boot - centre) AS s FROM b
 
 @query("B04_reality_check", pick("b04, (SELECT mean AS champ FROM b04_act WHERE strategy = 'S5')", "", "white_p=avg((w >= champ)::INT);spa_p=avg((s >= champ)::INT)", "reps=count(*)"))
 def b04(spark, sf):
-    return B.reality_check(materialise(common(spark, sf), "returns"), "S1", "S5", REPS)
+    return B.reality_check(materialise(common(spark, sf), "returns"), "S1", "S5", CHECKS)
 
 
-SIMS = 60
-part("b05_d", f"""SELECT sim, date, fwd_ret AS x FROM (SELECT f.date, f.ticker, fwd_ret, s.sim FROM b_features f JOIN (SELECT date AS d, count(*) AS c FROM b_features GROUP BY date) ON d = f.date AND c >= 10,
-   (SELECT unnest(range({SIMS})) AS sim) s) QUALIFY row_number() OVER (PARTITION BY sim, date ORDER BY md5(concat_ws('|', '42', sim::VARCHAR, date::VARCHAR, ticker))) <= 10""")
-part("b05_w", f"SELECT sim, d.date, coalesce(x, 0) AS r FROM (SELECT DISTINCT date FROM b_features) d CROSS JOIN (SELECT unnest(range({SIMS})) AS sim) LEFT JOIN (SELECT sim AS s2, date AS d2, avg(x) AS x FROM b05_d GROUP BY sim, date) ON s2 = sim AND d2 = d.date")
+# a draw of 40 places in SQL: the place of step i, or the last one possible where it is taken
+SIMS, NAMES = 2000, 40
+part("b05_n", f"SELECT date, fwd_ret AS x, row_number() OVER (PARTITION BY date ORDER BY floor({u01('ticker')} * {B.PARTS}), ticker) - 1 AS pos, count(*) OVER (PARTITION BY date) AS n FROM b_names")
+part("b05_t", f"""SELECT date, sim, n, list_transform(range({NAMES}), lambda i: [floor(('0x' || substr(md5(concat_ws('|', '42', sim::VARCHAR, date::VARCHAR, (i // 4)::VARCHAR)), (i % 4) * 8 + 1, 8))::BIGINT
+   / 4294967296.0 * (n - {NAMES} + i + 1))::BIGINT]) AS t FROM (SELECT DISTINCT date, n FROM b05_n WHERE n >= {NAMES}), (SELECT unnest(range({SIMS})) AS sim)""")
+part("b05_s", f"SELECT date, sim, unnest(list_reduce(t, lambda s, x, i: list_append(s, CASE WHEN list_contains(s, x[1]) THEN n - {NAMES} + i - 1 ELSE x[1] END), CAST([] AS BIGINT[]))) AS pos FROM b05_t")
+part("b05_d", "SELECT s.sim, s.date, avg(x) AS x FROM b05_s s JOIN b05_n p ON p.date = s.date AND p.pos = s.pos GROUP BY s.sim, s.date")
+part("b05_w", f"SELECT w.sim, w.date, coalesce(x, 0) AS r FROM (SELECT sim, date FROM (SELECT DISTINCT date FROM b_names), (SELECT unnest(range({SIMS})) AS sim)) w LEFT JOIN b05_d d ON d.sim = w.sim AND d.date = w.date")
+part("b05", "SELECT sim, coalesce(avg(r) / nullif(stddev_samp(r), 0) * sqrt(52), 0) AS sharpe FROM b05_w GROUP BY sim")
 
 
 def sims(spark, sf):
-    f = materialise(T.weekly_features(spark, sf).select("date", "ticker", "fwd_ret"), "weekly")
-    return B.random_portfolios(f, f, 10, SIMS, ret="fwd_ret")
+    f = materialise(T.weekly_names(spark, sf), "weekly")
+    return B.random_portfolios(f, f, NAMES, SIMS, ret="fwd_ret")
 
 
-@query("B05_random_portfolios", pick("b05_w GROUP BY sim", "", "sharpe=avg(r) / stddev_samp(r) * sqrt(52)", "sim"))
+@query("B05_random_portfolios", pick("b05", "", "sharpe", "sim"))
 def b05(spark, sf):
     return sims(spark, sf)
 
 
-part("b05_s", "SELECT sim, avg(r) / stddev_samp(r) * sqrt(52) AS sharpe FROM b05_w GROUP BY sim")
-
-
-@query("B05_random_portfolio_p", pick("b05_s", "", "p_value=(count_if(sharpe >= 0.5) + 1) / (count(*) + 1);mean_sharpe=avg(sharpe)"))
+@query("B05_random_portfolio_p", pick("b05", "", "p_value=(count_if(sharpe >= 0.5) + 1) / (count(*) + 1);mean_sharpe=avg(sharpe)"))
 def b05_p(spark, sf):
     return B.random_portfolio_p(sims(spark, sf), F.lit(0.5))
 

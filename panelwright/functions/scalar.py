@@ -149,3 +149,8 @@ def hash_uniform(*parts) -> Column:
     """
     text = F.concat_ws("|", *[_c(p).cast("string") for p in parts])
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once a row, also where ``use`` reads it inside a lambda (a column would be computed again at each step there)."""
+    return F.get(F.transform(F.array(value), use), 0)

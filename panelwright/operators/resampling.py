@@ -1,8 +1,8 @@
 """Resampling and multiple-testing checks, as joins and grouped sums.
 
 Random numbers are md5 hashes of (seed, replication, position), so every task
-and every engine draws the same. A replication is as long as the return
-series, which is no longer than the calendar; the number of replications and
+and every engine draws the same. A return series, no longer than the calendar, travels as one
+array, and a replication is a fold over it; the number of replications, block lengths and
 of strategies only adds rows.
 """
 
@@ -15,7 +15,8 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.rolling import running
-from ..functions.scalar import hash_uniform
+from ..functions.scalar import hash_uniform, let
+from ..session import materialise
 
 STRATEGY = ("strategy",)
 
@@ -26,39 +27,72 @@ def numbered(r: DataFrame, by=STRATEGY) -> DataFrame:
     return r.withColumns({"pos": F.row_number().over(w.orderBy("date")) - 1, "n": F.count("*").over(w)})
 
 
-def bootstrap_positions(lengths: DataFrame, block: float, reps: int, seed: str, by=STRATEGY) -> DataFrame:
-    """Source positions of a stationary bootstrap: (by, rep, i, pos).
+#: Replications that one task draws and folds together.
+CHUNK = 50
 
-    A new block starts with probability 1/block at a random place and runs on,
-    wrapping at the end. ``lengths``: one row per series with ``n``.
+
+def _uniform(text: Column, at: Column | int) -> Column:
+    """The number in [0, 1) of eight hexadecimal digits from a place on (from 1)."""
+    return F.conv(F.substr(text, at if isinstance(at, Column) else F.lit(at), F.lit(8)), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
+def _hashes(last: Column, *key: Column) -> Column:
+    """The md5 of the key and each number from 0 to ``last``."""
+    return F.transform(F.sequence(F.lit(0), last.cast("int")), lambda q: F.md5(F.concat_ws("|", *[c.cast("string") for c in key], q.cast("string"))))
+
+
+def resampled(series: DataFrame, reps: int, blocks=(8.0,), seed: str = "42") -> DataFrame:
+    """Stationary bootstrap of whole series: ``series`` (with ``n``, its length) times block length and replication, with ``draw``.
+
+    ``draw`` is one array of source positions. At each place a new block starts with probability 1/block, at a random position, and runs on,
+    wrapping at the end. Whether a block starts comes from a quarter of an md5 (each hash serves four places), where it starts from an md5 of its own that
+    is taken at block starts only. Draws do not depend on the series, so all series of a length meet the same ones. Rows are dealt out by
+    chunks of replications before anything is drawn; nothing else is shuffled.
     """
-    draws = lengths.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    draws = draws.withColumn("i", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
-    starts = (F.col("i") == 0) | (hash_uniform(F.lit(seed), F.lit("p"), "rep", "i") < 1.0 / block)
-    at = F.floor(hash_uniform(F.lit(seed), F.lit("s"), "rep", "i") * F.col("n"))
-    draws = draws.withColumn("__open", F.when(starts, F.struct(F.col("i").alias("i"), at.alias("at"))))
-    w = Window.partitionBy(*by, "rep").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last("__open", ignorenulls=True).over(w)
-    draws = draws.withColumn("__b", last)
-    return draws.select(*by, "rep", "i", "n", F.pmod(F.col("__b.at") + F.col("i") - F.col("__b.i"), F.col("n")).alias("pos"))
+    spark = series.sparkSession
+    chunks = F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // CHUNK)))
+    rows = series.withColumn("block", F.explode(F.array(*[F.lit(float(b)) for b in blocks]))).withColumn("__chunk", chunks)
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.hash(*[F.col(c) for c in rows.columns]))
+    first = F.col("__chunk") * CHUNK
+    rows = rows.withColumn("rep", F.explode(F.sequence(first, F.least(first + CHUNK, F.lit(reps)) - 1))).drop("__chunk")
+    start = lambda i: F.floor(hash_uniform(F.lit(seed), F.lit("s"), "rep", i) * F.col("n")).cast("int")
+    # the places at which blocks start, then each block once
+    places = F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))
+    opens = lambda hashes, i: (i == 0) | (_uniform(F.get(hashes, F.floor(i / 4).cast("int")), (i % 4) * 8 + 1) < 1.0 / F.col("block"))
+    opening = let(_hashes(F.floor((F.col("n") - 1) / 4), F.lit(seed), F.lit("p"), F.col("rep")), lambda h: F.filter(places, lambda i: opens(h, i)))
+    length = lambda at, k, i: F.coalesce(F.get(at, k + 1), F.col("n").cast("int")) - i
+    run = lambda at, size: F.transform(F.sequence(at, at + size - 1), lambda p: p % F.col("n").cast("int"))
+    draw = let(opening, lambda at: F.flatten(F.transform(at, lambda i, k: let(start(i), lambda s: run(s, length(at, k, i))))))
+    return rows.withColumn("draw", draw)
+
+
+def _as_arrays(r: DataFrame, value: str, by=STRATEGY) -> DataFrame:
+    """One row per series: its values in order of date (as long as the calendar at most) and their number."""
+    ordered = F.array_sort(F.collect_list(F.struct("date", F.col(value).alias("x"))))
+    return r.groupBy(*by).agg(F.transform(ordered, lambda s: s["x"]).alias("__x"), F.count("*").alias("n"))
 
 
 # B01
-def block_bootstrap(r: DataFrame, block: float = 8.0, reps: int = 3000, seed: str = "42", by=STRATEGY, ret: str = "portfolio_return") -> DataFrame:
-    """Sharpe, CAGR (%) and deepest drawdown (%) of each replication."""
-    base = numbered(r, by)
-    lengths = base.groupBy(*by).agg(F.max("n").alias("n"))
-    drawn = bootstrap_positions(lengths, block, reps, seed, by).join(base.select(*by, "pos", F.col(ret).alias("__r")), [*by, "pos"])
-    keys = (*by, "rep")
-    w = Window.partitionBy(*keys).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    path = drawn.withColumn("__nav", F.product(1.0 + F.col("__r")).over(w))
-    path = path.withColumn("__peak", F.max("__nav").over(w))
-    mean, sd = F.avg("__r"), F.stddev_samp("__r")
-    nav = F.max_by("__nav", "i")
-    return path.groupBy(*keys).agg(
-        F.when(sd > 0, mean / sd * math.sqrt(52.0)).otherwise(0.0).alias("sharpe"),
-        F.when(nav > 0, (F.pow(F.greatest(nav, F.lit(1e-300)), 52.0 / F.max("n")) - 1.0) * 100).otherwise(-100.0).alias("cagr"),
-        (F.min((F.col("__nav") - F.col("__peak")) / F.col("__peak")) * 100).alias("max_dd"))
+def block_bootstrap(r: DataFrame, block: float | tuple = 8.0, reps: int = 3000, seed: str = "42", by=STRATEGY, ret: str = "portfolio_return") -> DataFrame:
+    """Sharpe, CAGR (%) and deepest drawdown (%) of each replication, for one block length or several (then with a column ``block``)."""
+    lengths = block if isinstance(block, (tuple, list)) else (block,)
+    drawn = resampled(_as_arrays(r, ret, by), reps, lengths, seed).withColumn("__d", F.transform("draw", lambda p: F.get("__x", p)))
+    zero = F.lit(0.0)
+    first = F.struct(F.lit(1.0).alias("nav"), zero.alias("peak"), zero.alias("dd"), zero.alias("s"))
+
+    def walk(a: Column, x: Column) -> Column:
+        nav = a["nav"] * (1.0 + x)
+        peak = F.greatest(a["peak"], nav)
+        return F.struct(nav.alias("nav"), peak.alias("peak"), F.least(a["dd"], (nav - peak) / peak).alias("dd"), (a["s"] + x).alias("s"))
+
+    deviation = lambda d, p: F.aggregate(d, zero, lambda a, x: a + (x - p["s"] / F.col("n")) * (x - p["s"] / F.col("n")))
+    figures = let(F.col("__d"), lambda d: let(F.aggregate(d, first, walk), lambda p: F.struct(p["nav"].alias("nav"), p["dd"].alias("dd"), p["s"].alias("s"), deviation(d, p).alias("q"))))
+    drawn = drawn.withColumn("__p", figures)
+    mean, nav = F.col("__p.s") / F.col("n"), F.col("__p.nav")
+    sd = F.sqrt(F.try_divide(F.col("__p.q"), F.col("n") - 1))
+    out = {"sharpe": F.when(sd > 0, mean / sd * math.sqrt(52.0)).otherwise(0.0),
+           "cagr": F.when(nav > 0, (F.pow(F.greatest(nav, F.lit(1e-300)), 52.0 / F.col("n")) - 1.0) * 100).otherwise(-100.0), "max_dd": F.col("__p.dd") * 100}
+    return drawn.select(*by, *(["block"] if lengths is block else []), "rep", *[c.alias(o) for o, c in out.items()])
 
 
 def bootstrap_summary(paths: DataFrame, by=STRATEGY) -> DataFrame:
@@ -155,40 +189,70 @@ def reality_check(r: DataFrame, bench: str, champion: str, reps: int = 2000, blo
     """
     side = r.where(F.col("strategy") == bench).select("date", F.col(ret).alias("__b"))
     ex = r.where(F.col("strategy") != bench).join(F.broadcast(side), "date").select("strategy", "date", (F.col(ret) - F.col("__b")).alias("x"))
-    base = numbered(ex)
     actual = ex.groupBy("strategy").agg(F.avg("x").alias("mean"), F.var_pop("x").alias("var"), F.count("x").alias("n"))
     # a strategy far below the benchmark is not recentred
     actual = actual.withColumn("centre", F.when(F.col("mean") < -F.sqrt(F.col("var") / F.col("n")) * 2.0, 0.0).otherwise(F.col("mean")))
-    length = base.groupBy(F.lit("all").alias("series")).agg(F.max("n").alias("n"))
-    # how often each position is drawn is all that a mean needs
-    draws = bootstrap_positions(length, block, reps, seed, ("series",)).groupBy("rep", "pos").agg(F.count("*").alias("times"), F.max("n").alias("n"))
-    means = base.select("strategy", "pos", "x").join(draws, "pos").groupBy("rep", "strategy").agg((F.sum(F.col("x") * F.col("times")) / F.max("n")).alias("boot"))
+    drawn = resampled(_as_arrays(ex, "x"), reps, (block,), seed)
+    means = drawn.select("rep", "strategy", (F.aggregate("draw", F.lit(0.0), lambda s, p: s + F.get("__x", p)) / F.col("n")).alias("boot"))
     tops = means.join(actual, "strategy").groupBy("rep").agg(F.max(F.col("boot") - F.col("mean")).alias("white"), F.max(F.col("boot") - F.col("centre")).alias("spa"))
     champ = actual.where(F.col("strategy") == champion).select("mean").scalar()
     return tops.agg(F.avg((F.col("white") >= champ).cast("double")).alias("white_p"), F.avg((F.col("spa") >= champ).cast("double")).alias("spa_p"), F.count("*").alias("reps"))
 
 
 # B05
+#: Parts of a date's names that are numbered apart.
+PARTS = 16
+
+
+def numbered_names(df: DataFrame, parts: int = PARTS) -> DataFrame:
+    """Every name of a date with a place from 0 (``pos``) and the number of names (``n``).
+
+    Names are ordered by a hash part and the name; a part's first place comes from the parts' counts, so no date is one task.
+    """
+    rows = df.withColumn("__part", F.floor(hash_uniform("ticker") * parts).cast("int"))
+    one = Window.partitionBy("date").orderBy("__part")
+    sizes = rows.groupBy("date", "__part").agg(F.count("*").alias("__c"))
+    sizes = sizes.withColumns({"__before": F.sum("__c").over(one.rowsBetween(Window.unboundedPreceding, -1)), "n": F.sum("__c").over(Window.partitionBy("date"))})
+    place = F.row_number().over(Window.partitionBy("date", "__part").orderBy("ticker")) - 1
+    return rows.withColumn("__in", place).join(sizes.drop("__c"), ["date", "__part"]).withColumn("pos", (F.col("__in") + F.coalesce("__before", F.lit(0))).cast("int")).drop("__part", "__in", "__before")
+
+
+def with_drawn_places(df: DataFrame, n: str, k: int, *key: Column, out: str = "places") -> DataFrame:
+    """Adds ``k`` different places below the column ``n``, every set with the same chance, fixed by the key.
+
+    At step i a place up to n-k+i is drawn; if it is taken already, n-k+i itself is. So a draw takes k steps however many places
+    there are. An md5 serves four steps.
+    """
+    top = lambda i: (F.col(n) - k + i).cast("int")
+    place = lambda h, i: F.floor(_uniform(F.get(h, F.floor(i / 4).cast("int")), (i % 4) * 8 + 1) * (top(i) + 1)).cast("int")
+    add = lambda s, t, i: F.array_append(s, F.when(F.array_contains(s, t), top(i)).otherwise(t))
+    drawn = let(_hashes(F.lit((k - 1) // 4), *key), lambda h: F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.struct(place(h, i).alias("t"), i.alias("i"))))
+    return df.withColumn(out, F.aggregate(drawn, F.expr("CAST(array() AS array<int>)"), lambda s, x: add(s, x["t"], x["i"])))
+
+
 def random_portfolios(df: DataFrame, dates: DataFrame, k: int = 40, sims: int = 2000, seed: str = "42", ret: str = "target_fwd_ret", divisor: float = 1.0) -> DataFrame:
     """Sharpe of portfolios of ``k`` names drawn at random on every date: (sim, sharpe).
 
-    The draw is the ``k`` smallest hashes of a date; the limit is applied
-    before the shuffle, so a task sends at most ``k`` rows per portfolio and
-    date. Dates of ``dates`` with fewer than ``k`` names return 0.
+    Each portfolio and date draws ``k`` places without looking at the names, then meets only the names at those places: ``k`` rows per draw, whatever the
+    universe. Dates of ``dates`` with fewer than ``k`` names return 0, names without a return leave the mean.
     """
-    n = df.groupBy("date").agg(F.count("*").alias("__n")).where(F.col("__n") >= k).select("date")
-    rows = df.select("date", "ticker", F.col(ret).alias("__x")).join(F.broadcast(n), "date")
-    rows = rows.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))))
-    rows = rows.withColumn("__h", F.md5(F.concat_ws("|", F.lit(seed), F.col("sim").cast("string"), F.col("date").cast("string"), "ticker")))
-    w = Window.partitionBy("sim", "date").orderBy("__h")
-    drawn = rows.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= k)
-    weekly = drawn.groupBy("sim", "date").agg((F.avg("__x") / divisor).alias("r"))
+    spark = df.sparkSession
+    names = materialise(numbered_names(df.select("date", "ticker", F.col(ret).alias("__x"))).where(F.col("n") >= k), "names")
+    sizes = names.groupBy("date").agg(F.max("n").alias("n"))
+    drawn = sizes.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.lit((sims - 1) // CHUNK))))
+    drawn = drawn.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "date", "__chunk")
+    first = F.col("__chunk") * CHUNK
+    drawn = drawn.withColumn("sim", F.explode(F.sequence(first, F.least(first + CHUNK, F.lit(sims)) - 1)))
+    drawn = with_drawn_places(drawn, "n", k, F.lit(seed), F.col("sim"), F.col("date")).select("date", "sim", F.explode("places").alias("pos"))
+    weekly = drawn.join(names.select("date", "pos", "__x"), ["date", "pos"]).groupBy("sim", "date").agg((F.avg("__x") / divisor).alias("r"))
     # zero returns on the other dates enter through the counts
     total = dates.select("date").distinct().agg(F.count("*").alias("n")).scalar()
     sums = weekly.groupBy("sim").agg(F.sum(F.coalesce("r", F.lit(0.0))).alias("s"), F.sum(F.coalesce(F.col("r") * F.col("r"), F.lit(0.0))).alias("q"))
-    mean = F.col("s") / total
-    sd = F.sqrt(F.greatest((F.col("q") - F.col("s") * mean) / (total - 1), F.lit(0.0)))
-    return sums.select("sim", F.coalesce(F.try_divide(mean, sd) * math.sqrt(52.0), F.lit(0.0)).alias("sharpe"))
+    every = spark.range(sims).select(F.col("id").cast("int").alias("sim")).join(sums, "sim", "left")
+    s, q = F.coalesce("s", F.lit(0.0)), F.coalesce("q", F.lit(0.0))
+    mean = s / total
+    sd = F.sqrt(F.greatest((q - s * mean) / (total - 1), F.lit(0.0)))
+    return every.select("sim", F.coalesce(F.try_divide(mean, sd) * math.sqrt(52.0), F.lit(0.0)).alias("sharpe"))
 
 
 def random_portfolio_p(sims: DataFrame, champion_sharpe) -> DataFrame:

@@ -112,6 +112,14 @@ def weekly_features(spark: SparkSession, folder: str) -> DataFrame:
         ((d - 0.05) * 2 + (o - 0.5) * 0.1).alias("fwd_ret"))
 
 
+def weekly_names(spark: SparkSession, folder: str) -> DataFrame:
+    """A wide universe: one row per week and supplier with a return in the range of weekly ones."""
+    li = table(spark, folder, "lineitem").select("l_suppkey", _friday("l_shipdate").alias("date"), "l_discount", "l_linestatus")
+    g = li.groupBy("date", "l_suppkey").agg(F.count("*").alias("n"), F.sum("l_discount").alias("d"), F.sum(F.when(F.col("l_linestatus") == "O", 1.0).otherwise(0.0)).alias("o"))
+    d, o = (F.round(F.col(c) / F.col("n"), 9) for c in ("d", "o"))
+    return g.select("date", F.concat(F.lit("S"), F.col("l_suppkey")).alias("ticker"), ((d - 0.05) * 2 + (o - 0.5) * 0.1).alias("fwd_ret"))
+
+
 def weekly_gold(spark: SparkSession, folder: str) -> DataFrame:
     """Opening price of the gold role in each week."""
     gold = roles(spark, folder).where("role = 'gold'")

@@ -238,11 +238,57 @@ def test_bootstrap_is_repeatable_and_in_range(spark):
     _, df = returns(spark, names=1, n=40)
     a, b = (sorted(map(tuple, B.block_bootstrap(df, 8, 20).collect())) for _ in range(2))
     assert a == b and len(a) == 20
-    lengths = spark.createDataFrame([("S", 40)], "strategy string, n long")
-    pos = B.bootstrap_positions(lengths, 8, 50, "1").toPandas().sort_values(["rep", "i"])
-    assert pos["pos"].between(0, 39).all() and len(pos) == 2000
-    runs = (pos.groupby("rep")["pos"].diff().dropna() % 40 == 1).mean()
-    assert 0.80 < runs < 0.95  # about 7 of 8 steps go on
+    lengths = spark.createDataFrame([("S", 40), ("T", 41), ("U", 1)], "strategy string, n long")
+    draws = B.resampled(lengths, 60, (8.0, 2.0), "1").collect()
+    assert len(draws) == 3 * 60 * 2 and all(len(d.draw) == d.n and min(d.draw) >= 0 and max(d.draw) < d.n for d in draws)
+    for block, low, high in ((8.0, 0.80, 0.95), (2.0, 0.40, 0.62)):  # all but one of ``block`` steps go on
+        steps = [(y - x) % 40 == 1 for d in draws if d.strategy == "S" and d.block == block for x, y in zip(d.draw, d.draw[1:])]
+        assert low < np.mean(steps) < high
+    first = [d.draw[0] for d in draws if d.strategy == "S" and d.block == 8.0]
+    assert 8 < np.mean(first) < 32 and len(set(first)) > 20
+
+
+def test_bootstrap_figures_are_those_of_the_drawn_path(spark):
+    pdf, df = returns(spark, names=2, n=30)
+    got = {(r.strategy, r.block, r.rep): r for r in B.block_bootstrap(df, (4.0, 9.0), 5).collect()}
+    arrays = B._as_arrays(df, "portfolio_return")
+    for d in B.resampled(arrays.withColumnRenamed("__x", "x"), 5, (4.0, 9.0)).collect():
+        r = np.array(d.x)[d.draw]
+        nav = np.cumprod(1 + r)
+        peak = np.maximum.accumulate(nav)
+        row = got[d.strategy, d.block, d.rep]
+        assert np.allclose([row.sharpe, row.cagr, row.max_dd], [r.mean() / r.std(ddof=1) * 52 ** 0.5, (nav[-1] ** (52 / 30) - 1) * 100, ((nav - peak) / peak).min() * 100])
+
+
+def test_drawn_places_are_different_and_evenly_spread(spark):
+    df = spark.range(3000).select(F.col("id").alias("sim"), F.lit(9).alias("n"))
+    places = [r.places for r in B.with_drawn_places(df, "n", 4, F.lit("x"), F.col("sim")).collect()]
+    assert all(len(set(p)) == 4 and min(p) >= 0 and max(p) < 9 for p in places)
+    sets = {}
+    for p in places:
+        sets[frozenset(p)] = sets.get(frozenset(p), 0) + 1
+    assert len(sets) == 126 and max(sets.values()) < 55  # 126 sets, about 24 of each
+    whole = B.with_drawn_places(spark.range(5).select(F.col("id").alias("sim"), F.lit(4).alias("n")), "n", 4, F.col("sim")).collect()
+    assert all(sorted(r.places) == [0, 1, 2, 3] for r in whole)
+
+
+def test_names_of_a_date_are_numbered_without_gaps(spark):
+    rows = [("2024-01-01", f"T{i}") for i in range(200)] + [("2024-01-08", "A")]
+    got = B.numbered_names(spark.createDataFrame(rows, "date string, ticker string")).collect()
+    assert sorted(r.pos for r in got if r.date == "2024-01-01") == list(range(200)) and {(r.pos, r.n) for r in got if r.date == "2024-01-08"} == {(0, 1)}
+
+
+def test_random_portfolios_count_short_dates_as_zero(spark):
+    rows = [(d, f"T{i}", float(i % 3) / 100 + (d == "2024-01-08") / 50) for d, n in (("2024-01-01", 6), ("2024-01-08", 5), ("2024-01-15", 3)) for i in range(n)]
+    df = spark.createDataFrame(rows, "date string, ticker string, x double")
+    got = B.random_portfolios(df, df, 5, 30, ret="x").collect()
+    assert len(got) == 30
+    names = {(r.date, r.pos): r.x for r in B.numbered_names(df).collect()}
+    draws = B.with_drawn_places(df.select("date").distinct().join(B.numbered_names(df).select("date", "n").distinct(), "date").where("n >= 5").crossJoin(spark.range(30).withColumnRenamed("id", "sim")),
+                                "n", 5, F.lit("42"), F.col("sim"), F.col("date")).collect()
+    for r in got:
+        weekly = [np.mean([names[d.date, p] for p in d.places]) for d in draws if d.sim == r.sim] + [0.0]
+        assert np.isclose(r.sharpe, np.mean(weekly) / np.std(weekly, ddof=1) * 52 ** 0.5)
 
 
 def test_sticky_label_needs_a_clear_lead(spark):
