@@ -297,15 +297,15 @@ def p18(spark, sf):
     return P.rank_buffer(both)
 
 
-# trailing returns of the ten best names of each week, 60 rows back
+# trailing returns of the twenty best names of each week, 252 rows back
 part("p19_sel", "SELECT m.date, m.ticker, m.mom60, a.idx FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY mom60 DESC, ticker) AS k FROM w01 WHERE mom60 IS NOT NULL) m "
-     "JOIN b_rebal a ON a.date = m.date WHERE k <= 10")
-part("p19_r", "SELECT s.date, s.ticker, g.idx, coalesce(r.ret, 0) AS ret FROM p19_sel s JOIN b_cal g ON g.idx BETWEEN s.idx - 60 AND s.idx - 1 JOIN b_ret r ON r.ticker = s.ticker AND r.date = g.date")
+     "JOIN b_rebal a ON a.date = m.date WHERE k <= 20")
+part("p19_r", "SELECT s.date, s.ticker, g.idx, coalesce(r.ret, 0) AS ret FROM p19_sel s JOIN b_cal g ON g.idx BETWEEN s.idx - 252 AND s.idx - 1 JOIN b_ret r ON r.ticker = s.ticker AND r.date = g.date")
 part("p19", """SELECT a.date, a.ticker AS ticker_i, b.ticker AS ticker_j, covar_samp(a.ret, b.ret) + CASE WHEN a.ticker = b.ticker THEN 1e-4 ELSE 0 END AS cov
   FROM p19_r a JOIN p19_r b ON b.date = a.date AND b.idx = a.idx AND a.ticker <= b.ticker GROUP BY a.date, a.ticker, b.ticker""")
 
 
-def selected_past(spark, sf, names=10, window=60):
+def selected_past(spark, sf, names=20, window=252):
     """Each week's best names with the returns before it."""
     df = materialise(W.pct(with_ret(spark, sf), "close", 60, "mom60").select("ticker", "date", "idx", "ret", "mom60"), "returns")
     weeks_ = W.rebalance_dates(T.trading_days(spark, sf)).select("date")
@@ -314,11 +314,14 @@ def selected_past(spark, sf, names=10, window=60):
     return J.trailing_values(best, df, "ret", window)
 
 
-@query("J14_trailing_values", pick("(SELECT r.date, r.ticker, row_number() OVER (PARTITION BY r.date, r.ticker ORDER BY r.idx) - 1 AS pos, r.ret FROM p19_r r)",
-                                   "date ticker", "ret", "pos"))
+@query("J14_trailing_values", pick("(SELECT *, row_number() OVER (PARTITION BY date, ticker ORDER BY idx) - 1 AS pos FROM p19_r) GROUP BY date, ticker", "date ticker",
+                                   "total=sum(ret);by_place=sum(ret * pos) / 100;squares=sum(ret * ret * (pos + 1));low=min(ret);high=max(ret)", "n=count(*)"))
 def j14(spark, sf):
-    """The past returns of each selected name, one row per place of its array."""
-    return selected_past(spark, sf).select("date", "ticker", F.posexplode("past").alias("pos", "ret"))
+    """The past returns of each selected name: figures of the whole array, which its order enters."""
+    past = selected_past(spark, sf)
+    add = lambda f: F.aggregate(F.transform("past", f), F.lit(0.0), lambda s, v: s + v)
+    return past.select("date", "ticker", add(lambda v: v).alias("total"), (add(lambda v, i: v * i) / 100).alias("by_place"), add(lambda v, i: v * v * (i + 1)).alias("squares"),
+                       F.array_min("past").alias("low"), F.array_max("past").alias("high"), F.size("past").alias("n"))
 
 
 part("p19_long", "SELECT date, list(ticker ORDER BY ticker) AS names, count(DISTINCT ticker) AS p FROM p19_sel GROUP BY date")
@@ -365,7 +368,7 @@ def p19_lw(spark, sf):
 @query("P20_mean_variance")
 def p20(spark, sf):
     """Optimised weights of each week's twenty best names, with feasibility."""
-    sel = J.with_sector(selected_past(spark, sf, 20), T.sectors(spark, sf))
+    sel = J.with_sector(selected_past(spark, sf), T.sectors(spark, sf))
     sel = sel.select("date", "ticker", "sector", (F.col("mom60") / 10).alias("mu"), F.lit(0.0).alias("prev_weight"), F.lit(0.9).alias("budget"), "past")
     return P.mean_variance(sel, "oas")
 

@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.scalar import clip, sigmoid
+from ..functions.scalar import clip, let, sigmoid
 from .xsection import DATE, cs_rank
 
 # fixed values: sizes, caps and cost of the book
@@ -360,25 +360,61 @@ def cov_matrix(r: np.ndarray, estimator: str = "sample", span: int = 63, ridge:
     return np.nan_to_num(cov) + ridge * np.eye(p)
 
 
-def covariance(selected: DataFrame, estimator: str = "sample", past: str = "past", x=DATE) -> DataFrame:
-    """Entries i <= j of the trailing covariance of a date's selected names (J14 arrays).
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
-    Works on a selection of a few dozen names per date, whose past values
-    travel as one array each; the panel is not joined with itself.
-    """
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ticker")
-        names = pdf["ticker"].tolist()
-        cov = cov_matrix(np.array(pdf[past].tolist(), dtype=float).T, estimator)
-        i, j = np.triu_indices(len(names))
-        out = pd.DataFrame({"ticker_i": [names[a] for a in i], "ticker_j": [names[b] for b in j], "cov": cov[i, j]})
-        for k in x:
-            out[k] = pdf[k].iloc[0]
-        return out[[*x, "ticker_i", "ticker_j", "cov"]]
 
-    keys = ", ".join(f"`{k}` {selected.schema[k].dataType.simpleString()}" for k in x)
-    return selected.where(F.size(past) > 1).select(*x, "ticker", past).groupBy(*x).applyInPandas(
-        work, f"{keys}, ticker_i string, ticker_j string, cov double")
+def covariance(selected: DataFrame, estimator: str = "sample", past: str = "past", x=DATE, span: int = 63, ridge: float = 1e-4) -> DataFrame:
+    """Entries i <= j of the trailing covariance of a date's selected names (J14 arrays, one length per date), with a small diagonal.
+
+    ``estimator``: sample, ewma, oas or ledoit_wolf. A selection has a few dozen names per date, whose past values travel as one
+    array each; the panel is not joined with itself. Pairs of names are sums over two arrays; what shrinkage
+    needs of the whole matrix (trace, squares) are sums over the date's pairs, each off the diagonal counted twice.
+    """
+    n = F.size(past)
+    rows = selected.where(n > 1).select(*x, "ticker", F.col(past).alias("__p"), n.alias("__n"))
+    if estimator == "ewma":
+        decay = 1.0 - 2.0 / (span + 1.0)
+        weights = F.transform(F.sequence(F.lit(1), F.col("__n")), lambda i: F.pow(F.lit(decay), F.col("__n") - i))
+        total = (1.0 - F.pow(F.lit(decay), F.col("__n"))) / (1.0 - decay)
+        squares = (1.0 - F.pow(F.lit(decay), 2 * F.col("__n"))) / (1.0 - decay ** 2)
+        # each side carries the root of the weight, so a pair is a plain sum of products
+        centred = let(weights, lambda w: let(_dot(F.col("__p"), w) / total, lambda m: F.zip_with(F.col("__p"), w, lambda v, u: (v - m) * F.sqrt(u))))
+        scale = F.when(total * total - squares > 0, total / (total * total - squares))
+    else:
+        centred = let(F.aggregate("__p", F.lit(0.0), lambda s, v: s + v) / F.col("__n"), lambda m: F.transform("__p", lambda v: v - m))
+        scale = 1.0 / (F.col("__n") - 1) if estimator == "sample" else 1.0 / F.col("__n")
+    rows = rows.withColumns({"__c": centred, "__k": scale}).drop("__p")
+    left = rows.select(*x, F.col("ticker").alias("ticker_i"), F.col("__c").alias("__a"), "__n", "__k")
+    right = rows.select(*x, F.col("ticker").alias("ticker_j"), F.col("__c").alias("__b"))
+    pairs = left.join(right, list(x)).where("ticker_i <= ticker_j")
+    cov = {"__s": _dot(F.col("__a"), F.col("__b")) * F.col("__k")}
+    if estimator == "ledoit_wolf":
+        cov["__q"] = F.aggregate(F.zip_with("__a", "__b", lambda v, u: v * v * u * u), F.lit(0.0), lambda s, v: s + v) / F.col("__n")
+    pairs = pairs.select(*x, "ticker_i", "ticker_j", "__n", *[c.alias(o) for o, c in cov.items()])
+    same = F.col("ticker_i") == F.col("ticker_j")
+    if estimator in ("sample", "ewma"):
+        value = F.coalesce("__s", F.lit(0.0))
+    else:
+        twice = F.when(same, 1.0).otherwise(2.0)
+        one = Window.partitionBy(*x)  # the pairs of one selection
+        sums = {"__p": F.sum(same.cast("long")).over(one), "__tr": F.sum(F.when(same, F.col("__s")).otherwise(0.0)).over(one), "__ss": F.sum(twice * F.col("__s") * F.col("__s")).over(one)}
+        if estimator == "ledoit_wolf":
+            sums["__qq"] = F.sum(twice * F.col("__q")).over(one)
+        pairs = pairs.withColumns(sums)
+        p, number, square = F.col("__p"), F.col("__n"), F.col("__ss")
+        mu = F.col("__tr") / p
+        if estimator == "oas":
+            mean = square / (p * p)
+            below = (number + 1.0) * (mean - mu * mu / p)
+            rho = F.when(below == 0, 1.0).otherwise(F.least(F.try_divide(mean + mu * mu, below), F.lit(1.0)))
+        else:
+            apart = (square - 2 * mu * F.col("__tr") + p * mu * mu) / p
+            noise = F.least((F.col("__qq") - square) / (p * number), apart)
+            rho = F.when(apart == 0, 0.0).otherwise(F.try_divide(noise, apart))
+        pairs = pairs.withColumns({"__mu": mu, "__rho": rho})
+        value = (1.0 - F.col("__rho")) * F.col("__s") + F.when(same, F.col("__rho") * F.col("__mu")).otherwise(0.0)
+    return pairs.select(*x, "ticker_i", "ticker_j", (value + F.when(same, ridge).otherwise(0.0)).alias("cov"))
 
 
 # P20

@@ -110,6 +110,23 @@ def test_covariance_estimators():
     assert np.isclose(shrink[0], b2 / d2)
 
 
+@pytest.mark.parametrize("estimator", ["sample", "ewma", "oas", "ledoit_wolf"])
+def test_covariance_of_selections_equals_the_matrix(spark, estimator):
+    rng = np.random.default_rng(5)
+    rows, want = [], {}
+    for scenario, names, n in (("a", 5, 252), ("a", 1, 40), ("b", 3, 2), ("b", 4, 60), ("c", 2, 1)):
+        day = dt.date(2024, 1, len(want) + 1)
+        r = rng.normal(0, 0.02, (n, names)) @ rng.normal(0, 1, (names, names)) if n != 60 else np.zeros((n, names))
+        rows += [(scenario, day, f"T{i}", r[:, i].tolist()) for i in range(names)]
+        want[scenario, day] = None if n == 1 else P.cov_matrix(r, estimator)
+    df = spark.createDataFrame(rows, "scenario string, date date, ticker string, past array<double>").repartition(3)
+    got = P.covariance(df, estimator, x=("scenario", "date")).collect()
+    assert len(got) == sum(len(c) * (len(c) + 1) // 2 for c in want.values() if c is not None)
+    for r in got:
+        i, j = int(r.ticker_i[1:]), int(r.ticker_j[1:])
+        assert i <= j and np.isclose(r["cov"], want[r.scenario, r.date][i, j], rtol=1e-9, atol=1e-13)
+
+
 def test_mean_variance_feasible_and_better(spark):
     rng = np.random.default_rng(5)
     n = 20
