@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import filters as S, joins as J, performance as M, resampling as B, timeseries as W
 from ..plans import tables as T
 from ..session import materialise
-from .registry import OFF_TIE, part, pick, query  # noqa: F401
+from .portfolio import engine_weeks
+from .registry import OFF_TIE, clone, part, pick, query  # noqa: F401
 from .selection import WINDOWS, rank_sql
 
 ST = "PARTITION BY strategy ORDER BY date"
@@ -330,3 +331,14 @@ part("b06", """SELECT strategy, convention, count(*) AS n, arg_max(e, date) - 1
 @query("B06_ablation", pick("b06", "strategy convention", "cum_ret ann_vol sharpe cagr max_dd", "n"))
 def b06(spark, sf):
     return B.ablation(side_pnl(spark, sf))
+
+
+clone(["w29", "w29_r", "b06_in", "b06_e", "b06"], {"m_pnl": "ml_pnl"}, "ml_")
+
+
+@query("P21_accounting_models", pick("ml_b06", "engine=strategy;convention", "log_cum=ln(1 + cum_ret);ann_vol;sharpe;log_cagr=ln(1 + cagr);max_dd", "n"))
+def accounting_models(spark, sf):
+    """Static and monthly refitted model, each with fixed and compounding capital; growth as logarithms (open prices of the given tables move a lot)."""
+    weekly = materialise(engine_weeks(spark, sf).select(F.col("scenario").alias("engine"), "date", "net_pnl"), "weekly")
+    out = B.ablation(weekly, by=("engine",))
+    return out.select("engine", "convention", "n", "ann_vol", "sharpe", "max_dd", F.log1p("cum_ret").alias("log_cum"), F.log1p("cagr").alias("log_cagr"))

@@ -2,11 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import filters as S, joins as J, portfolio as P, timeseries as W, xsection as C
+from ..operators import datasets as D, filters as S, joins as J, portfolio as P, resampling as B, timeseries as W, xsection as C
 from ..plans import backtest as BT, tables as T
 from ..session import materialise
 from .base_sql import FRI
-from .registry import part, pick, query
+from .registry import clone, part, pick, query
 from .selection import rank_sql, scored
 from .timeseries import with_ret
 
@@ -84,11 +84,17 @@ part("p_held", "SELECT sleeve, date, unnest(held) AS ticker FROM p_walk")
 part("p_sh", """SELECT * FROM (SELECT c.*, row_number() OVER (PARTITION BY c.date ORDER BY c.score DESC, c.ticker) AS k FROM p_cand c
   LEFT JOIN p_held m ON m.sleeve = 'MOMENTUM' AND m.date = c.date AND m.ticker = c.ticker WHERE c.sleeve = 'SHORT' AND m.date IS NULL) WHERE k <= 5""")
 part("p_sleeves", f"""SELECT x.*, s.sector FROM (SELECT c.* FROM p_cand c JOIN p_held h ON h.sleeve = c.sleeve AND h.date = c.date AND h.ticker = c.ticker
-  UNION ALL SELECT {COLS}, sleeve, score FROM p_sh) x JOIN b_sectors s ON s.ticker = x.ticker""")
+  UNION ALL SELECT {COLS}, sleeve, score FROM p_sh) x JOIN b_sectors s ON s.ticker = x.ticker""", True)
 
 
-def sleeves(spark, sf):
-    return BT.select_sleeves(scored(spark, sf), T.sectors(spark, sf), T.weekly_regime(spark, sf))
+def inputs(spark, sf):
+    """Weekly features and regimes, each read from the lines once and stored."""
+    return materialise(T.weekly_features(spark, sf), "features"), materialise(T.weekly_regime(spark, sf), "regime")
+
+
+def sleeves(spark, sf, given=None):
+    features, regime = given or inputs(spark, sf)
+    return BT.select_sleeves(BT.store_scores(features, True), T.sectors(spark, sf), regime)
 
 
 @query("U04_minus", pick("p_sleeves a LEFT JOIN (SELECT date AS d, ticker AS t FROM p_sleeves WHERE sleeve = 'MOMENTUM') m ON m.d = a.date AND m.t = a.ticker",
@@ -110,13 +116,14 @@ part("p07_raw", """SELECT *, CASE exposure_mode WHEN 'CONSTANT_DELEVERAGE' THEN
    (CASE regime WHEN 'BULL' THEN 0.0 WHEN 'BEAR' THEN 0.2 ELSE 0.1 END) * (0.75 + 0.5 * least(greatest(regime_confidence, 0), 1)) END AS sb FROM p07_in""")
 part("p07_t", """SELECT *, CASE WHEN gold_model = 'no_gold' THEN 1.0 WHEN transition_risk >= 0.6 THEN lb * greatest(0.4, 1 - 0.6 * transition_risk) ELSE lb END AS long_budget,
    CASE WHEN gold_model = 'no_gold' THEN 0.0 WHEN transition_risk >= 0.6 THEN sb * greatest(0.25, 1 - 0.8 * transition_risk) ELSE sb END AS sb2 FROM p07_raw""")
-part("p07", "SELECT *, CASE WHEN gold_model = 'no_gold' THEN 0.0 ELSE least(sb2, long_budget * 0.30) END AS short_budget FROM p07_t")
+part("p07", "SELECT *, CASE WHEN gold_model = 'no_gold' THEN 0.0 ELSE least(sb2, long_budget * 0.30) END AS short_budget FROM p07_t", True)
 
 
-def staged(spark, sf):
+def staged(spark, sf, given=None):
     """Stored sleeves and the stored budgets of all scenarios."""
-    rows = sleeves(spark, sf)
-    return rows, materialise(BT.budgets(rows, T.weekly_regime(spark, sf), SCENARIOS, SHORTS), "budgets")
+    given = given or inputs(spark, sf)
+    rows = sleeves(spark, sf, given)
+    return rows, materialise(BT.budgets(rows, given[1], SCENARIOS, SHORTS), "budgets")
 
 
 @query("P07_gross_budget", pick("p07", "scenario date", "long_budget short_budget"))
@@ -199,11 +206,11 @@ def p12(spark, sf):
 part("p13_in", """SELECT scenario, date, ticker, side, sleeve, sector, weight, base_weight, score FROM u02 UNION ALL
   SELECT scenario, date, 'GOLDBEES', 'GOLD', 'GOLD', 'GOLD', gold_weight, gold_weight, 0.0 FROM p12 WHERE gold_weight > 0""")
 part("p13_s", "SELECT *, CASE WHEN side <> 'GOLD' AND sw > 0.25 THEN weight * 0.25 / sw ELSE weight END AS w2 FROM (SELECT *, sum(abs(weight)) OVER (PARTITION BY scenario, date, sector, side = 'GOLD') AS sw FROM p13_in)")
-part("p13", "SELECT * EXCLUDE (weight), CASE WHEN gw > 1 THEN w2 / gw ELSE w2 END AS weight FROM (SELECT *, sum(abs(w2)) OVER (PARTITION BY scenario, date) AS gw FROM p13_s)")
+part("p13", "SELECT * EXCLUDE (weight), CASE WHEN gw > 1 THEN w2 / gw ELSE w2 END AS weight FROM (SELECT *, sum(abs(w2)) OVER (PARTITION BY scenario, date) AS gw FROM p13_s)", True)
 
 
-def book(spark, sf):
-    return BT.book(*staged(spark, sf))
+def book(spark, sf, given=None):
+    return BT.book(*staged(spark, sf, given))
 
 
 @query("P13_book_caps", pick("p13", "scenario date ticker side", "weight"))
@@ -218,17 +225,13 @@ part("p14_d", """SELECT scenario, date, ticker, sum(o) AS o, sum(n) AS n FROM (S
 part("p14", "SELECT scenario, date, sum(abs(n - o)) AS turnover, sum(abs(n - o)) * 1e6 * 15 / 10000 AS friction_cost FROM p14_d GROUP BY scenario, date")
 
 
-def weeks(spark, sf):
-    return BT.rebalances(T.weekly_regime(spark, sf))
-
+def stored_book(spark, sf, given=None):
+    return materialise(book(spark, sf, given), "book")
 
-def stored_book(spark, sf):
-    return materialise(book(spark, sf), "book")
 
-
-def opens(spark, sf):
-    """Opening prices of names and gold, stored: entry and exit read them."""
-    return materialise(BT.with_gold(T.weekly_features(spark, sf), T.weekly_gold(spark, sf)), "opens")
+def prices(spark, sf, given):
+    """Opening prices of names and gold, stored (entry and exit read them), and the dates of the regime."""
+    return materialise(BT.with_gold(given[0], T.weekly_gold(spark, sf)), "opens"), BT.rebalances(given[1])
 
 
 @query("P14_turnover_cost", pick("p14", "scenario date", "turnover friction_cost"))
@@ -240,17 +243,19 @@ part("p15_px", f"""SELECT date, ticker, open FROM b_features
    UNION ALL SELECT {FRI.format('date')}, 'GOLDBEES', arg_min(open, date) FROM b_roles WHERE role = 'gold' GROUP BY 1""")
 part("p15", """SELECT b.*, e.open AS entry_price, x.open AS exit_price, CASE WHEN e.open > 0 AND x.open IS NOT NULL THEN x.open / e.open - 1 ELSE 0 END AS fwd_return
   FROM p13 b JOIN p_dates d ON d.date = b.date LEFT JOIN p15_px e ON e.ticker = b.ticker AND e.date = b.date AND d.next_date IS NOT NULL
-  LEFT JOIN p15_px x ON x.ticker = b.ticker AND x.date = d.next_date""")
+  LEFT JOIN p15_px x ON x.ticker = b.ticker AND x.date = d.next_date""", True)
 
 
 @query("P15_forward_open_return", pick("p15", "scenario date ticker", "entry_price exit_price fwd_return"))
 def p15(spark, sf):
-    return P.forward_open_return(book(spark, sf), opens(spark, sf), weeks(spark, sf)).select("scenario", "date", "ticker", "entry_price", "exit_price", "fwd_return")
+    given = inputs(spark, sf)
+    return P.forward_open_return(book(spark, sf, given), *prices(spark, sf, given)).select("scenario", "date", "ticker", "entry_price", "exit_price", "fwd_return")
 
 
 @query("P16_pnl", pick("p15", "scenario date ticker", "weight;fwd_return;gross_weight=abs(weight);pnl_share=weight * fwd_return;leverage_mult=abs(weight) / greatest(1e-9, base_weight)"))
 def p16(spark, sf):
-    return BT.trades(book(spark, sf), opens(spark, sf), weeks(spark, sf)).select("scenario", "date", "ticker", "weight", "fwd_return", "gross_weight", (F.col("gross_pnl") / 1e6).alias("pnl_share"), "leverage_mult")
+    given = inputs(spark, sf)
+    return BT.trades(book(spark, sf, given), *prices(spark, sf, given)).select("scenario", "date", "ticker", "weight", "fwd_return", "gross_weight", (F.col("gross_pnl") / 1e6).alias("pnl_share"), "leverage_mult")
 
 
 part("p16_w", """SELECT p.*, t.turnover, t.friction_cost FROM (SELECT scenario, date, sum(1e6 * weight * fwd_return) AS gross_pnl, sum(abs(weight)) AS gross_exposure,
@@ -258,7 +263,8 @@ part("p16_w", """SELECT p.*, t.turnover, t.friction_cost FROM (SELECT scenario,
 
 
 def weekly_book(spark, sf):
-    return BT.weekly_returns(stored_book(spark, sf), opens(spark, sf), weeks(spark, sf))
+    given = inputs(spark, sf)
+    return BT.weekly_returns(stored_book(spark, sf, given), *prices(spark, sf, given))
 
 
 @query("P16_weekly_returns", pick("p16_w", "scenario date", "gross_share=gross_pnl / 1e6;gross_exposure;net_exposure;turnover;friction_cost;portfolio_return=(gross_pnl - friction_cost) / 1e6"))
@@ -385,6 +391,44 @@ def p21(spark, sf):
                                      F.stddev_samp("portfolio_return").alias("sd"), F.count("*").alias("weeks"))
 
 
+# a model kept from 1996 on and one fitted anew for every month, each under both accounting conventions
+FITTED = ("mom60_z", "mom20_z", "rsi14")
+ENGINES = [{"scenario": "STATIC_FALLBACK", "model": "static"}, {"scenario": "ROLLING_MONTHLY", "model": "rolling"}]
+part("ml_months", "SELECT DISTINCT strftime(date, '%Y-%m') AS month FROM b_features")
+part("ml_fit", "SELECT m.month, count(*) AS n, avg(fwd_ret) AS mean_y, " + ", ".join(f"avg({c}) AS mean_{c}, regr_slope(fwd_ret, {c}) AS slope_{c}" for c in FITTED)
+     + " FROM ml_months m JOIN b_features f ON strftime(f.date + 7, '%Y-%m') < m.month GROUP BY m.month", True)
+ML_SUM = "round(mean_y + " + " + ".join(f"coalesce(slope_{c} * ({c} - mean_{c}), 0)" for c in FITTED) + ", 12)"
+for _e, _on in (("static", "p.month = '1996-01'"), ("rolling", "p.month = strftime(s.date, '%Y-%m')")):
+    part(f"ml_{_e}_in", f"SELECT s.*, {ML_SUM} AS pred FROM s_raw s JOIN ml_fit p ON {_on} WHERE s.date >= DATE '1996-01-01'")
+    part(f"ml_{_e}_r", f"SELECT *, {rank_sql('pred')} AS rp FROM ml_{_e}_in")
+    part(f"ml_{_e}", f"SELECT * EXCLUDE (long_score, short_score, defensive_score), round(rp + pen_long + pen_mom5, 9) AS long_score, round(1 - rp + pen_short, 9) AS short_score, "
+                     f"round(defensive_score, 9) AS defensive_score FROM ml_{_e}_r", True)
+    part(f"ml_{_e}_scen", f"SELECT '{ENGINES[_e == 'rolling']['scenario']}' AS scenario, 'MODEL' AS exposure_mode, 'baseline' AS gold_model")
+    clone(["f_reg", "f05", "f06_a", "f06", "p_long", "p_cand", "p_turns", "p_lists", "p_walk", "p_held", "p_sh", "p_sleeves", "p_counts", "p07_in", "p07_raw", "p07_t", "p07", "p_sized", "p09_a", "p09_b", "p09",
+           *[f"p10_{k}{i}" for i in range(1, 6) for k in "cns"], *[f"p10_r{i}" for i in range(6)], "p11", "u02", "p12_w", "p12", "p13_in", "p13_s", "p13", "p_books", "p14_d", "p14", "p15", "p16_w"],
+          {"s_scored": f"ml_{_e}", "p_scen": f"ml_{_e}_scen"}, f"{_e}_")
+part("ml_pnl", "SELECT scenario AS strategy, date, gross_pnl - coalesce(friction_cost, 0) AS net_pnl FROM static_p16_w UNION ALL SELECT scenario, date, gross_pnl - coalesce(friction_cost, 0) FROM rolling_p16_w", True)
+
+
+def engine_weeks(spark, sf):
+    """Weekly results of both engines, in one plan: one scored universe, books per model."""
+    features, regime = inputs(spark, sf)
+    later = features.where("date >= '1996-01-01'")
+    fits = materialise(D.expanding_fits(features.withColumn("exit_date", F.date_add("date", 7)), FITTED, "fwd_ret"), "fits")
+    pred = D.predict_by_month(D.predict_by_month(later, fits, FITTED, "static", "1996-01"), fits, FITTED, "rolling")
+    scores = BT.store_model_scores(pred, {"static": "static", "rolling": "rolling"})
+    rows = BT.select_sleeves(scores, T.sectors(spark, sf), regime, ("model", "date"))
+    budget = materialise(BT.budgets(rows, regime, [{**e, "exposure_mode": "MODEL", "gold_model": "baseline"} for e in ENGINES], SHORTS), "budgets")
+    return BT.weekly_returns(materialise(BT.book(rows, budget), "book"), *prices(spark, sf, (features, regime)))
+
+
+@query("D09_expanding_fits", pick("ml_fit", "month", "mean_y=mean_y * 100;" + ";".join(f"slope_{c}=slope_{c} * 100" for c in FITTED), "n"))
+def expanding(spark, sf):
+    """The linear model of every month, fitted to what was known before it."""
+    fits = D.expanding_fits(T.weekly_features(spark, sf).withColumn("exit_date", F.date_add("date", 7)), FITTED, "fwd_ret")
+    return fits.select("month", "n", *[(F.col(c) * 100).alias(c) for c in ("mean_y", *[f"slope_{f}" for f in FITTED])])
+
+
 part("p22", "SELECT date, sum(net_pnl) / 1e6 AS r, sum(gross_weight) AS g FROM b_trades GROUP BY date")
 
 

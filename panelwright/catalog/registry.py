@@ -40,9 +40,24 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-def part(name: str, body: str) -> None:
-    """A named piece of SQL that other pieces and queries may refer to."""
+ONCE: set = set()
+
+
+def part(name: str, body: str, once: bool = False) -> None:
+    """A named piece of SQL that other pieces and queries may refer to; ``once``: stored when it is first read."""
     PARTS[name] = body.strip()
+    if once:
+        ONCE.add(name)
+
+
+def clone(names, renamed: dict, prefix: str) -> None:
+    """Copies of SQL pieces that read other inputs: every name in ``renamed`` or ``names`` gets its new one."""
+    table = {**renamed, **{n: prefix + n for n in names}}
+    for n in names:
+        body = PARTS[n]
+        for old, new in table.items():
+            body = re.sub(rf"\b{old}\b", new, body)
+        part(prefix + n, body, n in ONCE)
 
 
 def build(sql: str) -> str:
@@ -58,7 +73,7 @@ def build(sql: str) -> str:
     visit(sql, ())
     if not order:
         return sql
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({PARTS[n]})" for n in order) + "\n" + sql
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS {'MATERIALIZED ' if n in ONCE else ''}({PARTS[n]})" for n in order) + "\n" + sql
 
 
 def pick(source: str, text: str = "", num: str = "", whole: str = "", where: str = "") -> str:

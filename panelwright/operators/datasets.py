@@ -7,7 +7,7 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.rolling import Roll, with_rolling
 from ..functions.scalar import month_key
@@ -195,6 +195,39 @@ def walk_forward(df: DataFrame, pipeline: Pipeline, label: str, months: list[str
     return models
 
 
+def expanding_fits(df: DataFrame, features, label: str, known: str = "exit_date", date: str = "date") -> DataFrame:
+    """A linear model for every month of ``date``, fitted to the rows whose outcome was known in an earlier month: all models in one plan.
+
+    The least-squares slope of the label on each feature (over rows with both) comes from sums by month, added up over the months before; so
+    rows are read once however many months there are. Columns: month, n, mean_y, mean_<f>, slope_<f>.
+    """
+    rows = df.where(F.col(label).isNotNull())
+    month = month_key(known).alias("month")
+    sums = [F.count("*").alias("n"), F.sum(label).alias("s")]
+    for f in features:
+        x, y = F.col(f), F.when(F.col(f).isNotNull(), F.col(label))
+        sums += [F.count(x).alias(f"n_{f}"), F.sum(x).alias(f"x_{f}"), F.sum(y).alias(f"y_{f}"), F.sum(x * x).alias(f"xx_{f}"), F.sum(x * y).alias(f"xy_{f}")]
+    monthly = rows.groupBy(month).agg(*sums)
+    every = df.select(month_key(date).alias("month")).distinct().join(monthly, "month", "full")
+    past = Window.partitionBy(F.lit(0)).orderBy("month").rowsBetween(Window.unboundedPreceding, -1)  # a row per month
+    every = every.select("month", *[F.sum(c).over(past).alias(c) for c in monthly.columns if c != "month"]).where("n > 0")
+    out = {"mean_y": F.col("s") / F.col("n")}
+    for f in features:
+        n, x, y, xx, xy = (F.col(f"{k}_{f}") for k in ("n", "x", "y", "xx", "xy"))
+        out[f"mean_{f}"] = F.try_divide(x, n)
+        out[f"slope_{f}"] = F.try_divide(xy - x * y / n, xx - x * x / n)
+    return every.withColumns(out).select("month", "n", *out)
+
+
+def predict_by_month(df: DataFrame, fits: DataFrame, features, out: str, fixed: str | None = None, date: str = "date") -> DataFrame:
+    """Adds the prediction of the row's month, or of one month for all rows; a missing feature adds nothing. ``fits``: one row per month."""
+    key = F.lit(fixed) if fixed else month_key(date)
+    joined = df.withColumn("__month", key).join(F.broadcast(fits.drop("n").withColumnRenamed("month", "__month")), "__month", "left")  # a row per month
+    parts = [F.coalesce(F.col(f"slope_{f}") * (F.col(f) - F.col(f"mean_{f}")), F.lit(0.0)) for f in features]
+    value = F.round(F.col("mean_y") + sum(parts[1:], parts[0]), 12)
+    return joined.withColumn(out, value).select(*df.columns, out)
+
+
 # D10
 def importance(spark, model: PipelineModel, features) -> DataFrame:
     values = model.stages[-1].featureImportances.toArray()

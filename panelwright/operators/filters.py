@@ -6,7 +6,7 @@ universe should be a stored table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalar import keyword_hit, safe_name
 from .xsection import group_stats, quantiles, top_k
@@ -28,6 +28,11 @@ def min_history(df: DataFrame, n: int = MIN_HISTORY, by=("ticker",)) -> DataFram
     return df.join(keep, list(by), "left_semi")
 
 
+def min_history_aligned(df: DataFrame, n: int = MIN_HISTORY, by=("ticker",)) -> DataFrame:
+    """The same on a panel already laid out by series: counted there, without reading it twice."""
+    return df.withColumn("__n", F.count("close").over(Window.partitionBy(*by))).where(F.col("__n") >= n).drop("__n")
+
+
 # F03
 def liquid(df: DataFrame, min_adv: float = MIN_ADV20, min_price: float = MIN_PRICE) -> DataFrame:
     return df.where(F.col("open").isNotNull() & (F.col("adv20") >= min_adv) & (F.col("close") >= min_price))
@@ -39,20 +44,27 @@ def complete(df: DataFrame, cols=COMPLETE) -> DataFrame:
 
 
 # F05
+def is_long() -> Column:
+    """Rising, with a score of at least the median ``__median``, and no crash in the last days."""
+    return F.coalesce((F.col("mom60") > 0) & (F.col("long_score") >= F.col("__median")) & (F.col("mom5") > -0.10), F.lit(False))
+
+
 def long_pool(df: DataFrame, x=("date",)) -> DataFrame:
     """Rising names with a score of at least the date's median that did not just crash."""
     mid = quantiles(df, "long_score", {"__median": 0.5}, x)
-    return df.join(mid, list(x)).where(
-        (F.col("mom60") > 0) & (F.col("long_score") >= F.col("__median")) & (F.col("mom5") > -0.10)).drop("__median")
+    return df.join(mid, list(x)).where(is_long()).drop("__median")
 
 
 # F06
+def is_short(regime_col: str = "regime") -> Column:
+    """Falling, with a short score of at least the fifth's ``__q80``; not in BULL."""
+    return F.coalesce((F.col("mom60") < 0) & (F.col("above200") < 0.5) & (F.col("short_score") >= F.col("__q80")) & (F.col(regime_col) != "BULL"), F.lit(False))
+
+
 def short_pool(df: DataFrame, regime_col: str = "regime", x=("date",)) -> DataFrame:
     """Falling names in the top fifth by short score; none in BULL, in CHOP the top tenth of that pool."""
     cut = quantiles(df, "short_score", {"__q80": 0.80}, x)
-    pool = df.join(cut, list(x)).where(
-        (F.col("mom60") < 0) & (F.col("above200") < 0.5) & (F.col("short_score") >= F.col("__q80"))
-        & (F.col(regime_col) != "BULL")).drop("__q80")
+    pool = df.join(cut, list(x)).where(is_short(regime_col)).drop("__q80")
     inner = quantiles(pool, "short_score", {"__q90": 0.90}, x)
     return pool.join(inner, list(x)).where(
         (F.col(regime_col) != "CHOP") | (F.col("short_score") >= F.col("__q90"))).drop("__q90")

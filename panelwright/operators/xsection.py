@@ -103,30 +103,35 @@ def cs_rank(df: DataFrame, cols, x=DATE, ids=("ticker",), split_rows: int = SPLI
     return df.join(wide, [*keys, *ids], "left")
 
 
-def quantiles(df: DataFrame, col: str, wanted: dict, x=DATE, split_rows: int = SPLIT_ROWS) -> DataFrame:
-    """Exact quantiles per group with linear interpolation. ``wanted``: output -> share.
+def quantiles(df: DataFrame, col: str | None, wanted: dict, x=DATE, split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """Exact quantiles per group with linear interpolation. ``wanted``: output -> share of ``col``, or -> (column, share).
 
     Picks the two order statistics around position q*(n-1) out of the counted
-    values instead of holding a whole group in one buffer. To compare rows
-    with a quantile, take both from one stored table.
+    values instead of holding a whole group in one buffer. Several columns go through one pass, as rows of
+    (group, feature, value). To compare rows with a quantile, take both from one stored table.
     """
-    rows = materialise(df.select(*x, (F.col(col).cast("double") + 0.0).alias("value")), "quantile-values")
-    if largest(rows, x) <= split_rows:
-        w, seen = Window.partitionBy(*x), rows.where("value IS NOT NULL")
+    asked = {out: q if isinstance(q, tuple) else (col, q) for out, q in wanted.items()}
+    feature = "__feature"
+    values = F.array(*[F.struct(F.lit(c).alias(feature), (F.col(c).cast("double") + 0.0).alias("value")) for c in sorted({c for c, _ in asked.values()})])
+    rows = materialise(df.select(*x, F.explode(values).alias("__s")).select(*x, f"__s.{feature}", "__s.value"), "quantile-values")
+    group = [*x, feature]
+    if largest(rows, group) <= split_rows:
+        w, seen = Window.partitionBy(*group), rows.where("value IS NOT NULL")
         order = seen.withColumns({"n_below": F.row_number().over(w.orderBy("value")) - 1, "n_at": F.lit(1), "n": F.count("*").over(w)})
     else:
-        order = ordered_values(rows, x, "value", split_rows)
+        order = ordered_values(rows, group, "value", split_rows)
     aggs = []
-    for out, q in wanted.items():
+    for out, (c, q) in asked.items():
+        mine = F.col(feature) == c
         pos = F.lit(float(q)) * (F.col("n") - 1)
         lo, hi = F.floor(pos), F.ceil(pos)
-        held = lambda p: (F.col("n_below") <= p) & (p < F.col("n_below") + F.col("n_at"))
+        held = lambda p, mine=mine: mine & (F.col("n_below") <= p) & (p < F.col("n_below") + F.col("n_at"))
         aggs += [F.max(F.when(held(lo), F.col("value"))).alias(f"__lo_{out}"),
                  F.max(F.when(held(hi), F.col("value"))).alias(f"__hi_{out}"),
-                 F.max(pos - lo).alias(f"__w_{out}")]
+                 F.max(F.when(mine, pos - lo)).alias(f"__w_{out}")]
     got = order.groupBy(*x).agg(*aggs)
     return got.select(*x, *[(F.col(f"__lo_{o}") + (F.col(f"__hi_{o}") - F.col(f"__lo_{o}")) * F.col(f"__w_{o}")).alias(o)
-                            for o in wanted])
+                            for o in asked])
 
 
 # K01

@@ -49,16 +49,18 @@ def daily_regime(roles: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def backtest_run(panel: DataFrame, roles: DataFrame, cal: DataFrame, sectors: DataFrame, scenarios: list[dict],
-                 min_adv: float, min_price: float, min_history: int, short_gross: dict | None = None) -> dict:
+                 min_adv: float, min_price: float, min_history: int, short_gross: dict | None = None, aliases: DataFrame | None = None) -> dict:
     """Tables of one run: ``book``, ``trades`` (with CASH rows on dates without a book), ``weekly``, ``regime``.
 
     The feature panel and the aligned roles are stored, since the regime and the
     weekly rows both read them; the weekly regime chain compares with the
-    week before.
+    week before. ``aliases`` (candidate names of indices and macro series) leave the universe before anything is computed of them.
     """
+    if aliases is not None:
+        panel = S.exclude(panel, aliases)
     role_rows = materialise(J.align(roles, cal, ("role",)), "roles")
-    kept = S.min_history(panel, min_history)
-    features = materialise(feature_panel(J.align(kept, cal), broad_series(role_rows)), "features")
+    kept = S.min_history_aligned(J.align(panel, cal), min_history)
+    features = materialise(feature_panel(kept, broad_series(role_rows)), "features")
     rebal = W.rebalance_dates(cal)
     marks = F.broadcast(rebal.select(F.col("date").alias("__d"), (F.col("idx") - 1).alias("__i")))
     days = cal.join(marks, F.col("idx") == F.col("__i")).select("date", "__d")
