@@ -2,9 +2,10 @@
 
 from pyspark.sql import Window, functions as F
 
+from ..functions import scalar as X
 from ..operators import aggregates as A, alpha as V, datasets as D, joins as J, performance as M, portfolio as P, timeseries as W
 from ..plans import tables as T
-from ..session import materialise
+from ..session import materialise, new_folder
 from .registry import part, pick, query
 from .selection import rank_sql
 from .timeseries import RO, aligned, gate, market, with_ret
@@ -119,34 +120,54 @@ def ml_rows(spark, sf):
     return materialise(f.select("date", "ticker", *D.FEATURES, "target_fwd_ret", F.date_add("date", 7).alias("exit_date")), "training")
 
 
+COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in (*D.FEATURES, "target_fwd_ret") if c not in ("structure_score",))
+part("ml_rows", "SELECT f.*, f.fwd_ret AS target_fwd_ret FROM b_features f")
+
+
 @query("D06_train_regression")
 def d06(spark, sf):
     """Boosted trees on the years before 1999, rank correlation and error after."""
-    rows = ml_rows(spark, sf)
-    past, later = D.time_split(rows, 1999)
-    model = D.train(past, D.regression_pipeline(trees=20), "target_fwd_ret")
+    past, later = D.time_split(ml_rows(spark, sf), 1999)
+    model = D.train(past, D.regression_pipeline(), "target_fwd_ret")
     pred = materialise(model.transform(later).select("date", "ticker", "target_fwd_ret", "prediction", F.lit("test").alias("split")), "predictions")
     return M.prediction_metrics(pred, "target_fwd_ret", "prediction")
 
 
+@query("D06_split_sizes", pick(f"ml_rows WHERE {COMPLETE} GROUP BY 1", "split=CASE WHEN year(date) < 1999 THEN 'train' ELSE 'test' END", "", "n=count(*)"))
+def d06_sizes(spark, sf):
+    """Complete rows on either side of the cut: what the model learns from and is measured on."""
+    parts = D.time_split(ml_rows(spark, sf).dropna(subset=[*D.FEATURES, "target_fwd_ret"]), 1999)
+    return parts[0].withColumn("split", F.lit("train")).unionByName(parts[1].withColumn("split", F.lit("test"))).groupBy("split").agg(F.count("*").alias("n"))
+
+
 @query("D07_train_classifier")
 def d07(spark, sf):
     """Regime classes after 1999 by a forest trained before; the confusion counts."""
     rows = materialise(regime_rows(spark, sf), "regimes")
     past, later = D.time_split(rows, 1999)
-    model = D.train(past, D.classifier_pipeline(trees=50), "regime_label")
+    model = D.train(past, D.classifier_pipeline(), "regime_label")
     scored = D.class_probabilities(model.transform(later), model)
     return A.crosstab(scored, "regime_label", "predicted", ("BULL", "CHOP", "BEAR"))
 
 
+STORES: dict = {}
+
+
+def monthly_models(spark, sf):
+    """The weekly rows and a stored model for every month that has earlier outcomes; a second query of a session finds them stored."""
+    rows = ml_rows(spark, sf)
+    months = [r["m"] for r in T.weekly_features(spark, sf).select(X.month_key("date").alias("m")).distinct().collect()]
+    folder = STORES.setdefault((spark.sparkContext.applicationId, sf), new_folder(spark, "models"))
+    return rows, D.walk_forward(rows, D.regression_pipeline(trees=3), "target_fwd_ret", months, folder=folder, at_once=8)
+
+
 def scored_rows(spark, sf):
     """Every weekly row, complete or not, by the newest model of an earlier month; a fallback before the first."""
     rows = ml_rows(spark, sf)
     line = D.regression_pipeline(trees=3)
     models = D.walk_forward(rows, line, "target_fwd_ret", ["1997-01", "1999-01"])
     fallback = D.train(rows.where(F.year("date") < 1996), line, "target_fwd_ret")
-    every = P.structure_score(T.weekly_features(spark, sf)).select("date", "ticker", *D.FEATURES)
-    return D.score(every, models, fallback)
+    return D.score(materialise(P.structure_score(T.weekly_features(spark, sf)), "features"), models, fallback)
 
 
 @query("D08_score_by_month")
@@ -162,20 +183,32 @@ def d08_coverage(spark, sf):
 
 @query("D09_walk_forward")
 def d09(spark, sf):
-    """Error of each yearly model on the year after its cut."""
-    rows = ml_rows(spark, sf)
-    months = ["1997-01", "1998-01", "1999-01", "2000-01"]
-    models = D.walk_forward(rows, D.regression_pipeline(trees=3), "target_fwd_ret", months)
-    scored = D.score(rows.where(F.year("date") >= 1997), models)
+    """Error by year, each row scored by the model of its month."""
+    rows, models = monthly_models(spark, sf)
+    scored = D.score(rows, models)
     return scored.groupBy(F.year("date").alias("y")).agg(F.avg(F.pow(F.col("target_fwd_ret") - F.col("ml_pred_return"), 2)).alias("mse"), F.count("*").alias("n"))
 
 
+@query("D09_model_index", pick(f"(SELECT DISTINCT strftime(date, '%Y-%m') AS month FROM b_features) m JOIN ml_rows r ON strftime(r.date + 7, '%Y-%m') < m.month WHERE {COMPLETE} GROUP BY m.month",
+                               "month=m.month", "", "train_rows=count(*)"))
+def d09_index(spark, sf):
+    """The stored models: every month with the number of rows known before it."""
+    return monthly_models(spark, sf)[1].table().select("month", "train_rows")
+
+
 @query("D10_importance")
 def d10(spark, sf):
-    model = D.train(ml_rows(spark, sf), D.regression_pipeline(trees=10), "target_fwd_ret")
+    model = D.train(ml_rows(spark, sf), D.regression_pipeline(), "target_fwd_ret")
     return D.importance(spark, model, D.FEATURES)
 
 
+@query("D10_importance_sum", pick("(SELECT 1)", "", "total=1.0", f"features={len(D.FEATURES)}"))
+def d10_sum(spark, sf):
+    """Importances of all features add up to 1."""
+    out = D.importance(spark, D.train(ml_rows(spark, sf), D.regression_pipeline(trees=10), "target_fwd_ret"), D.FEATURES)
+    return out.agg(F.sum("importance").alias("total"), F.count("*").alias("features"))
+
+
 part("v01", "SELECT f.date, f.ticker, coalesce(r.portfolio_return, 0) AS score FROM b_features f LEFT JOIN j_s1 r ON r.date = f.date")
 
 

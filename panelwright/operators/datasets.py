@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.rolling import Roll, with_rolling
 from ..functions.scalar import month_key
+from ..session import materialise, new_folder
 from .aggregates import sector_mean
 from .timeseries import diff, dist_sma, drawdown, efficiency, forward_label, pcts, rsi_simple, vix_features, vol_ratio_sharpe
 from .xsection import DATE, cs_rank
@@ -167,32 +173,95 @@ def class_probabilities(scored: DataFrame, model: PipelineModel) -> DataFrame:
 
 
 # D08
-def score(df: DataFrame, models: dict, fallback: PipelineModel | None = None, date: str = "date", out: str = "ml_pred_return") -> DataFrame:
+class ModelStore(Mapping):
+    """Trained pipelines by month in a shared folder, with an index table: ``month``, ``train_rows``, ``path``.
+
+    A month counts as stored once its index row is written, after its model; so a run that was broken off goes on
+    where it stopped, and half-written models are written again. Models are loaded when first asked for.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+        self._loaded: dict[str, PipelineModel] = {}
+        self._rows = {r["month"]: r for r in self.table().collect()}  # a row per month
+
+    def table(self) -> DataFrame:
+        """The index; empty where nothing is stored yet."""
+        try:
+            return self.spark.read.schema(INDEX).parquet(f"{self.folder}/index").groupBy("month").agg(F.max("train_rows").alias("train_rows"), F.max("path").alias("path"))
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], INDEX)
+
+    def add(self, month: str, model: PipelineModel, train_rows: int) -> None:
+        path = f"{self.folder}/{month}"
+        model.write().overwrite().save(path)
+        row = self.spark.createDataFrame([(month, train_rows, path)], INDEX)
+        row.coalesce(1).write.mode("append").parquet(f"{self.folder}/index")
+        self._rows[month], self._loaded[month] = row.first(), model
+
+    def newest(self, month: str) -> str | None:
+        """The newest month stored at or before ``month``."""
+        return max((m for m in self._rows if m <= month), default=None)
+
+    def __getitem__(self, month: str) -> PipelineModel:
+        if month not in self._loaded:
+            self._loaded[month] = PipelineModel.load(self._rows[month]["path"])
+        return self._loaded[month]
+
+    def __iter__(self):
+        return iter(sorted(self._rows))
+
+    def __len__(self) -> int:
+        return len(self._rows)
+
+
+INDEX = "month string, train_rows long, path string"
+
+
+def score(df: DataFrame, models: Mapping, fallback: PipelineModel | None = None, date: str = "date", out: str = "ml_pred_return") -> DataFrame:
     """Each month's rows by the newest model keyed at or before it; earlier rows by the fallback.
 
-    ``models``: month key -> model trained on what was known before that month.
-    Every model sees only its own date slice, so each row is scored once; rows with missing features too.
+    ``models``: month key -> model trained on what was known before that month (a dict or a store).
+    Every model sees only its own date slice, so each row is scored once; rows with missing features too. Months without rows load no model.
     ``model`` is the month key of the model used, ``fallback`` before the first.
     """
     months = sorted(models)
+    used = {max((m for m in months if m <= r["month"]), default=None) for r in df.select(month_key(date).alias("month")).distinct().collect()}
     key = month_key(date)
-    slices = [(m, models[m], (key >= m) & ((key < months[i + 1]) if i + 1 < len(months) else F.lit(True))) for i, m in enumerate(months)]
-    if fallback is not None:
+    slices = [(m, models[m], (key >= m) & ((key < months[i + 1]) if i + 1 < len(months) else F.lit(True))) for i, m in enumerate(months) if m in used]
+    if fallback is not None and (None in used or not slices):
         slices.insert(0, ("fallback", fallback, key < months[0] if months else F.lit(True)))
     result = None
     for name, model, rows in slices:
         part = _without_inputs(model.transform(df.where(rows)).withColumnRenamed("prediction", out)).withColumn("model", F.lit(name))
         result = part if result is None else result.unionByName(part)
-    return result
+    return df.limit(0).withColumns({out: F.lit(None).cast("double"), "model": F.lit(None).cast("string")}) if result is None else result
 
 
 # D09
-def walk_forward(df: DataFrame, pipeline: Pipeline, label: str, months: list[str], known: str = "exit_date") -> dict:
-    """One model per month, trained on the rows whose outcome was known before the month began."""
-    models = {}
-    for m in months:
-        models[m] = train(df.where(F.col(known) < F.to_date(F.lit(f"{m}-01"))), pipeline, label)
-    return models
+def walk_forward(df: DataFrame, pipeline: Pipeline, label: str, months: list[str], known: str = "exit_date", folder: str | None = None, at_once: int = 4) -> ModelStore:
+    """One model per month, trained on the rows whose outcome was known before the month began; months with no such rows have none.
+
+    Models that ``folder`` already holds are taken as they are. The others are fitted ``at_once`` at a time over one stored training
+    table, each fit a Spark job of its own, so that a small fit does not leave the cluster waiting.
+    """
+    spark = df.sparkSession
+    store = ModelStore(spark, folder or new_folder(spark, "models"))
+    features = [c for stage in pipeline.getStages() if isinstance(stage, Imputer) for c in stage.getInputCols()]
+    rows = materialise(df.dropna(subset=[label, *features]).select(*dict.fromkeys([label, *features, known])), "training")
+    # how many rows each month can learn from: sums by month of the outcome, one row each
+    counts = {r["m"]: r["count"] for r in rows.groupBy(month_key(known).alias("m")).count().collect() if r["m"]}
+
+    def fit(month: str):
+        return month, pipeline.copy().fit(rows.where(F.col(known) < F.to_date(F.lit(f"{month}-01")))), sum(n for m, n in counts.items() if m < month)
+
+    wanted = [m for m in sorted(set(months) - set(store)) if any(k < m for k in counts)]
+    with ThreadPoolExecutor(at_once) as pool:
+        for month, model, n in pool.map(inheritable_thread_target(spark)(fit), wanted):
+            store.add(month, model, n)
+    return store
 
 
 def expanding_fits(df: DataFrame, features, label: str, known: str = "exit_date", date: str = "date") -> DataFrame:

@@ -214,3 +214,25 @@ def test_scoring_keeps_rows_with_missing_features(spark):
     got = D.score(df, {"2024-02": model}, model).collect()
     assert len(got) == 80 and all(r.ml_pred_return is not None for r in got)
     assert {r.model for r in got} == {"fallback", "2024-02"} and not [c for c in got[0].asDict() if c.startswith("__")]
+
+
+def test_models_are_stored_and_taken_up_again(spark, tmp_path):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import Imputer, VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+    rows = [(f"2024-{m:02d}-{d:02d}", float(d), float(d * m)) for m in range(1, 7) for d in range(1, 9)] + [("2024-03-09", None, 1.0)]
+    df = spark.createDataFrame(rows, "date string, a double, y double").withColumn("date", F.to_date("date")).withColumn("exit_date", F.date_add("date", 7))
+    line = Pipeline(stages=[Imputer(inputCols=["a"], outputCols=["__in_a"]), VectorAssembler(inputCols=["__in_a"], outputCol="features"), LinearRegression(labelCol="y")])
+    folder = str(tmp_path / "models")
+    first = D.walk_forward(df, line, "y", ["2024-01", "2024-02", "2024-03"], folder=folder)
+    assert list(first) == ["2024-02", "2024-03"]  # nothing is known before January
+    assert {r.month: r.train_rows for r in first.table().collect()} == {"2024-02": 8, "2024-03": 16}
+    line.write().overwrite().save(folder + "/2024-04")  # broken off before its index row: written again
+    again = D.walk_forward(df, line.copy(), "y", ["2024-02", "2024-03", "2024-04", "2024-06"], folder=folder)
+    assert list(again) == ["2024-02", "2024-03", "2024-04", "2024-06"] and again.newest("2024-05") == "2024-04" and again.newest("2024-01") is None
+    stored = D.ModelStore(spark, folder)
+    slope = lambda m: stored[m].stages[-1].coefficients[0]
+    assert abs(slope("2024-02") - 1.0) < 1e-6 and abs(slope("2024-03") - 1.5) < 1e-6 and abs(slope("2024-04") - 2.0) < 1e-6
+    got = D.score(df, stored, stored["2024-02"]).collect()
+    assert len(got) == len(rows)
+    assert {str(r.date)[:7]: r.model for r in got} == {"2024-01": "fallback", "2024-02": "2024-02", "2024-03": "2024-03", "2024-04": "2024-04", "2024-05": "2024-04", "2024-06": "2024-06"}
