@@ -52,6 +52,18 @@ def j05(spark, sf):
     return J.with_regime(T.weekly_features(spark, sf).select("ticker", "date", "mom60"), known)
 
 
+part("j02_right", "SELECT user_id, ts, max(value) AS value FROM events WHERE value > 50 GROUP BY user_id, ts")
+part("j02_at", "SELECT DISTINCT user_id, ts FROM events")
+
+
+@query("J02_asof_events", pick("j02_at l ASOF LEFT JOIN j02_right r ON r.user_id = l.user_id AND r.ts <= l.ts", "ts=l.ts", "known=r.value", "user_id=l.user_id"))
+def j02_events(spark, sf):
+    """The last large value of a user at each of the user's events, by days of a series of time stamps."""
+    e = T.table(spark, sf, "events")
+    large = e.where("value > 50").select("user_id", "ts", F.col("value").alias("known"))
+    return J.asof(e.select("user_id", "ts").distinct(), large, ["known"], ("user_id",), "ts").select("ts", "known", "user_id")
+
+
 part("j_held", "SELECT date, ticker FROM b_trades WHERE weight > 0.01")
 
 

@@ -25,12 +25,27 @@ def postbacks(spark, sf):
     return path
 
 
-@query("ST1_order_ledger", pick("st1", "orderid;event_time;status", "", "updates"))
+@query("ST1_order_ledger", pick("st1", "orderid;event_time;status", "fill_ratio=filledshares / 100", "updates"))
 def st1(spark, sf):
     path, out = postbacks(spark, sf), new_folder(spark, "ledger")
     raw = spark.readStream.schema(ST.POSTBACK).json(path)
     ST.run_to_end(ST.order_ledger(raw, "31 days"), out, new_folder(spark, "ckpt"))
-    return ST.latest_status(spark.read.parquet(out)).select("orderid", "event_time", "status", "updates")
+    return ST.latest_status(spark.read.parquet(out)).select("orderid", "event_time", "status", "updates", "fill_ratio")
+
+
+@query("ST1_status_stream", pick("st1", "orderid;event_time;status", "fill_ratio=filledshares / 100", "updates"))
+def st1_status(spark, sf):
+    """The status view as a stream over the ledger, in two runs: later messages first, so that the second run's are late."""
+    source, ledger, table = new_folder(spark, "postbacks"), new_folder(spark, "ledger"), new_folder(spark, "status")
+    ckpt = [new_folder(spark, "ckpt") for _ in range(2)]
+    messages = spark.read.schema(ST.POSTBACK).json(postbacks(spark, sf))
+    odd = F.pmod(F.xxhash64("orderid", "updateTime", "status"), F.lit(2))
+    for turn in (1, 0):
+        messages.where(odd == turn).write.mode("append").json(source)
+        ST.run_to_end(ST.order_ledger(spark.readStream.schema(ST.POSTBACK).json(source), "10000 days"), ledger, ckpt[0])
+        rows = spark.readStream.schema(spark.read.parquet(ledger).schema).parquet(ledger)
+        ST.run_to_end(ST.status_stream(rows), ST.status_upsert(table), ckpt[1], "update")
+    return spark.read.parquet(table).select("orderid", "event_time", "status", "updates", "fill_ratio")
 
 
 @query("ST2_price_upsert", pick("s04", "ticker date", "close volume"))
@@ -77,11 +92,11 @@ def st4(spark, sf):
 
 
 part("st5", """SELECT CAST(published_at AS DATE) AS date, count(*) AS article_count, avg(sentiment_score) AS avg_sentiment, avg((finbert_label = 'negative')::INT) AS negative_share,
-  avg((finbert_label = 'positive')::INT) AS positive_share, """ + ", ".join(f"sum(topic_{t}) AS {t}_count" for t in A.TOPICS) + """ FROM n_scores GROUP BY 1
+  avg((finbert_label = 'positive')::INT) AS positive_share, """ + ", ".join(f"sum(topic_{t}) AS {t}_count" for t in A.TOPICS) + """, count(DISTINCT domain) AS source_dispersion FROM n_scores GROUP BY 1
   HAVING CAST(published_at AS DATE) + 1 <= (SELECT max(published_at) FROM n_scores) - INTERVAL 2 HOUR""")
 
 
-@query("ST5_news_window", pick("st5", "date", "avg_sentiment negative_share positive_share", "article_count " + " ".join(f"{t}_count" for t in A.TOPICS)))
+@query("ST5_news_window", pick("st5", "date", "avg_sentiment negative_share positive_share", "article_count source_dispersion " + " ".join(f"{t}_count" for t in A.TOPICS)))
 def st5(spark, sf):
     """Scored articles as a stream into daily windows; the last day stays open until later news closes it."""
     from .news import scored_articles
@@ -90,4 +105,4 @@ def st5(spark, sf):
     rows.write.parquet(source)
     stream = spark.readStream.schema(rows.schema).parquet(source)
     ST.run_to_end(ST.news_window(stream, topics=A.TOPICS), out, new_folder(spark, "ckpt"))
-    return spark.read.parquet(out).drop("source_dispersion")  # an estimate
+    return spark.read.parquet(out)

@@ -35,28 +35,46 @@ def align(df: DataFrame, cal: DataFrame, by=("ticker",), missing: Column | None
 
 
 # J02
-def asof(left: DataFrame, right: DataFrame, cols, by=(), on: str = "date") -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, cols, by=(), on: str = "date", bucket: str = "day") -> DataFrame:
     """Latest known ``cols`` of ``right`` at or before each row of ``left``, by series.
 
-    The distinct keys of both sides are stacked and the last non-NULL value is
-    carried down one window, which is thus no longer than the calendar however
-    many rows share a date; the values then join back by key. Without series the
-    key has to be a date, so that one row per day is all the window holds.
+    Dates: the distinct keys of both sides are stacked and the last non-NULL value is carried down one window per series, which is no
+    longer than the calendar however many rows share a date; the values then join back by key.
+    Timestamps: time is cut into buckets (a unit of ``date_trunc``). Values are carried inside a bucket, and the last ones of the buckets before
+    come from a table with one row per series and bucket. So a long series is spread over as many tasks as it has buckets.
+    Rows of ``right`` with one key are ordered by ``cols``.
     """
-    if not by and left.schema[on].dataType != T.DateType():
-        raise ValueError(f"without series {on} has to be a date")
+    if left.schema[on].dataType != T.DateType():
+        return _asof_buckets(left, right, list(cols), by, on, bucket)
     keys = [*by, on]
-    wanted = left.select(*keys).distinct()
-    stacked = wanted.select(*keys, *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in cols],
-                            F.lit(1).alias("__side")).unionByName(right.select(*keys, *cols, F.lit(0).alias("__side")))
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(on, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    carried = stacked.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
-    carried = carried.where("__side = 1").drop("__side")
+    carried = _carried(left, right, cols, keys, by or [F.lit(0)], on)
     if not by:
         carried = F.broadcast(carried)  # one row per day
     return left.join(carried, keys, "left")
 
 
+def _carried(left: DataFrame, right: DataFrame, cols, keys, part, on: str) -> DataFrame:
+    """The distinct keys of ``left`` with the last values of ``right`` up to them, within ``part``."""
+    wanted = left.select(*keys).distinct()
+    stacked = wanted.select(*keys, *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in cols],
+                            F.lit(1).alias("__side")).unionByName(right.select(*keys, *cols, F.lit(0).alias("__side")))
+    w = Window.partitionBy(*part).orderBy(on, "__side", *cols).rowsBetween(Window.unboundedPreceding, 0)
+    carried = stacked.withColumns({f"__c_{c}": F.last(c, ignorenulls=True).over(w) for c in cols})
+    return carried.where("__side = 1").select(*keys, *[F.col(f"__c_{c}").alias(c) for c in cols])
+
+
+def _asof_buckets(left: DataFrame, right: DataFrame, cols: list, by, on: str, bucket: str) -> DataFrame:
+    cut = lambda df: df.withColumn("__b", F.date_trunc(bucket, on))
+    part = [*by, "__b"]
+    inside = _carried(cut(left), cut(right), cols, [*part, on], part, on)
+    newest = cut(right).groupBy(*part).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(on, *cols))).alias(f"__n_{c}") for c in cols])
+    buckets = cut(left).select(*part).distinct().join(newest, part, "full")
+    earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
+    buckets = buckets.select(*part, *[F.last(f"__n_{c}", ignorenulls=True).over(earlier).alias(f"__n_{c}") for c in cols])
+    known = inside.join(buckets, part, "left").select(*by, on, *[F.coalesce(c, f"__n_{c}").alias(c) for c in cols])
+    return left.join(known, [*by, on], "left")
+
+
 # J03
 def with_broad(df: DataFrame, broad: DataFrame, cols=("close",), prefix: str = "broad_") -> DataFrame:
     """Market columns by date; the market side has one row per day."""

@@ -18,10 +18,11 @@ SERIES = ("series",)
 
 # S03, used here for articles
 def keep_last(df: DataFrame, keys, order) -> DataFrame:
-    """Newest row per key. The filter on the row number is applied before the shuffle too,
-    so a key that fills a third of the table sends one row per task."""
+    """Newest row per key; rows equal in ``order`` are told apart by their other columns, so the same one stays in every run. The filter
+    on the row number is applied before the shuffle too, so a key that fills a third of the table sends one row per task."""
     from pyspark.sql import Window
-    w = Window.partitionBy(*keys).orderBy(*[F.col(o).desc() for o in order])
+    rest = [f.name for f in df.schema.fields if f.name not in (*keys, *order) and "map<" not in f.dataType.simpleString()]
+    w = Window.partitionBy(*keys).orderBy(*[F.col(o).desc() for o in (*order, *rest)])
     return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.rolling import Roll, series, with_rolling
 from .timeseries import flat_runs
@@ -26,7 +26,7 @@ def check_files(spark: SparkSession, folders: list[str], schema, required=REQUIR
     unread = F.col("__p").isNull()
     ticker = F.regexp_extract("path", r"([^/]+)\.parquet$", 1)
     kind = F.when(unread, "LOAD_ERROR").when(lack.isNotNull(), "MISSING_COLUMNS")
-    msg = F.when(unread, "Failed to load any row").otherwise(F.concat(F.lit("Missing column "), lack))
+    msg = F.when(unread, "no row could be read").otherwise(F.concat(F.lit("no value in column "), lack))
     return df.select(ticker.alias("ticker"), F.lit("N/A").alias("date"), kind.alias("type"), msg.alias("msg"), "path").where("type IS NOT NULL")
 
 
@@ -48,19 +48,15 @@ def checked(vol_rows: int = 60):
 def rules(flat: int = 10, sigmas: float = 8.0, least_move: float = 0.05, jump: float = 0.40, vol_rows: int = 60) -> dict:
     """Q02-Q05: type -> (condition, message)."""
     late, r = checked(vol_rows), F.col("__ret")
-    day = lambda c, p: F.format_string(f"%.{p}f", c)
+    say = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    number = lambda c: (F.floor(c * 100) / 100).cast("string")
     return {
-        "FLATLINED_CLOSE": (F.col("flat_run") >= flat,
-                            F.format_string("Price flatlined at %s for %d consecutive trading days.", F.col("close").cast("string"), F.col("flat_run"))),
+        "FLATLINED_CLOSE": (F.col("flat_run") >= flat, say("close stays at ", number(F.col("close")), " on row ", F.col("flat_run").cast("string"), " of a flat run")),
         "RETURN_VOL_OUTLIER": (late & (F.abs(r) / F.col("__vol") > sigmas) & (F.abs(r) > least_move),
-                               F.concat(F.lit("Daily return "), day(r * 100, 2), F.lit("% is "), day(F.abs(r) / F.col("__vol"), 1),
-                                        F.lit(" sigma of trailing vol ("), day(F.col("__vol") * 100, 2), F.lit("%)."))),
-        "PRICE_DISCONTINUITY": (late & (F.abs(r) > jump),
-                                F.concat(F.lit("Extreme daily return of "), day(r * 100, 2), F.lit("% (close jumped from "), day(F.col("__prev"), 2),
-                                         F.lit(" to "), day(F.col("close"), 2), F.lit(")."))),
-        "INVALID_HIGH_LOW": (late & (F.col("high") < F.col("low")),
-                             F.format_string("High %s is lower than Low %s.", F.col("high").cast("string"), F.col("low").cast("string"))),
-        "NON_POSITIVE_PRICE": (late & (F.col("close") <= 0), F.format_string("Negative or zero Close price: %s.", F.col("close").cast("string"))),
+                               say("moved ", number(r * 100), "%, ", number(F.abs(r) / F.col("__vol")), " times the deviation before")),
+        "PRICE_DISCONTINUITY": (late & (F.abs(r) > jump), say("close went from ", number(F.col("__prev")), " to ", number(F.col("close")), " in one row")),
+        "INVALID_HIGH_LOW": (late & (F.col("high") < F.col("low")), say("high ", number(F.col("high")), " below low ", number(F.col("low")))),
+        "NON_POSITIVE_PRICE": (late & (F.col("close") <= 0), say("close of ", number(F.col("close")), " is not above zero")),
     }
 
 

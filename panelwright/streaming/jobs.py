@@ -62,39 +62,57 @@ def latest_status(ledger: DataFrame) -> DataFrame:
                       F.coalesce(F.try_divide("l.filledshares", "l.quantity"), F.lit(0.0)).alias("fill_ratio"))
 
 
-# ST2
-def price_upsert(path: str, keys=("ticker", "date"), order=("version",)):
-    """A foreachBatch function that merges price rows into a table stored by year.
+def status_stream(ledger: DataFrame) -> DataFrame:
+    """The newest state of each order over a stream of ledger rows, for update mode: a row for every order a batch touches.
+
+    State is one row per order. A late row counts as an update, and changes the status only if its event is the newest.
+    """
+    return latest_status(ledger)
+
+
+def status_upsert(path: str, buckets: int = 16):
+    """A foreachBatch function that keeps a table of orders at their newest state, stored by hash buckets of the order."""
+    return _merged_into(path, ("orderid",), ("updates", "event_time"), "bucket", F.pmod(F.xxhash64("orderid"), F.lit(buckets)).cast("int"))
+
 
-    Only the years a batch touches are read and rewritten. The merged rows go
+def _merged_into(path: str, keys, order, part: str, part_of):
+    """A foreachBatch function that merges rows into a table stored by ``part``.
+
+    Only the parts a batch touches are read and rewritten. The merged rows go
     to a folder of their own first, since a table cannot be overwritten while
-    it is read; running a batch twice gives the same table. Of a batch's rows with one key the
+    it is read; running a batch twice gives the same table. Of rows with one key the
     newest by ``order`` holds; a batch without these columns is refused.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         if missing := [c for c in order if c not in batch.columns]:
             raise ValueError(f"rows of one key cannot be put in order without {missing}")
-        fresh = batch.withColumn("year", F.year("date"))
-        years = [r.year for r in fresh.select("year").distinct().collect()]
-        if not years:
+        fresh = batch.withColumn(part, part_of)
+        touched = [r[0] for r in fresh.select(part).distinct().collect()]
+        if not touched:
             return
         columns = batch.columns
         try:
-            old = spark.read.parquet(path).where(F.col("year").isin(years)).select(*columns)
+            old = spark.read.parquet(path).where(F.col(part).isin(touched)).select(*columns)
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
             old = batch.limit(0)
         from ..operators.news import keep_last
-        newest = keep_last(fresh.drop("year"), keys, [*order, *[c for c in columns if c not in order]])
+        newest = keep_last(fresh.drop(part), keys, order)
         staged = new_folder(spark, f"upsert-{batch_id}")
         upsert(old, newest, keys).write.parquet(staged)
-        (spark.read.parquet(staged).withColumn("year", F.year("date")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("year").parquet(path))
+        (spark.read.parquet(staged).withColumn(part, part_of).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(part).parquet(path))
     return merge
 
 
+# ST2
+def price_upsert(path: str, keys=("ticker", "date"), order=("version",)):
+    """A foreachBatch function that merges price rows into a table stored by year."""
+    return _merged_into(path, keys, order, "year", F.year("date"))
+
+
 # ST3
 class HeldNames(StatefulProcessor):
     """Rank buffer of one scenario: what it holds is kept between batches."""
@@ -170,10 +188,18 @@ def sticky_stream(stream: DataFrame, alpha: float = 0.35, gap: float = 0.10) ->
 
 # ST5
 def news_window(stream: DataFrame, delay: str = "2 hours", width: str = "1 day", topics=()) -> DataFrame:
-    """News figures per event-time window; late rows within ``delay`` still count, distinct domains are estimated."""
+    """News figures per event-time window; late rows within ``delay`` still count.
+
+    Two stages of state: sums per window and domain, then over a window's domains. So distinct domains are counted exactly, and the state holds a row per
+    open window and domain rather than every article. Rows without a domain count in all figures but that one.
+    """
     lab = F.col("finbert_label")
-    return stream.withWatermark("published_at", delay).groupBy(F.window("published_at", width).alias("w")).agg(
-        F.count("article_id").alias("article_count"), F.avg("sentiment_score").alias("avg_sentiment"),
-        F.avg((lab == "negative").cast("double")).alias("negative_share"), F.avg((lab == "positive").cast("double")).alias("positive_share"),
-        *[F.sum(f"topic_{t}").alias(f"{t}_count") for t in topics], F.approx_count_distinct("domain").alias("source_dispersion")
-    ).withColumns({"date": F.to_date("w.start")}).drop("w")
+    part = stream.withWatermark("published_at", delay).groupBy(F.window("published_at", width).alias("w"), "domain").agg(
+        F.count("article_id").alias("articles"), F.sum("sentiment_score").alias("sentiment"), F.count("sentiment_score").alias("rated"),
+        F.sum((lab == "negative").cast("long")).alias("negative"), F.sum((lab == "positive").cast("long")).alias("positive"), F.count(lab).alias("labelled"),
+        *[F.sum(f"topic_{t}").alias(f"__{t}") for t in topics])
+    return part.groupBy(F.window(F.window_time("w"), width).alias("day")).agg(
+        F.sum("articles").alias("article_count"), F.try_divide(F.sum("sentiment"), F.sum("rated")).alias("avg_sentiment"),
+        F.try_divide(F.sum("negative"), F.sum("labelled")).alias("negative_share"), F.try_divide(F.sum("positive"), F.sum("labelled")).alias("positive_share"),
+        *[F.sum(f"__{t}").alias(f"{t}_count") for t in topics], F.count("domain").alias("source_dispersion")
+    ).withColumn("date", F.to_date("day.start")).drop("day")

@@ -129,3 +129,30 @@ def test_lot_sizes_skip_bad_numbers(spark):
     rows = [("abc ", "NFO", "FUTSTK", "50"), ("ABC", "NFO", "FUTSTK", "75"), ("abc", "NFO", "FUTSTK", "x"), ("q", "NSE", "FUTSTK", "5")]
     out = lot_sizes(spark.createDataFrame(rows, "name string, exch_seg string, instrumenttype string, lotsize string")).collect()
     assert [(r.name, r.lot_size) for r in out] == [("ABC", 75)]
+
+
+@pytest.mark.parametrize("by", [["user"], []])
+def test_asof_over_time_stamps_carries_across_buckets(spark, by):
+    rng = np.random.default_rng(4)
+    start = pd.Timestamp("2024-01-01")
+    at = lambda n: [start + pd.Timedelta(seconds=int(s)) for s in np.unique(rng.integers(0, 40 * 86400, n))]
+    left = pd.DataFrame([(u, t) for u in "ab" for t in (at(60) if by else [])] or [("a", t) for t in at(90)], columns=["user", "ts"])
+    left = pd.concat([left, pd.DataFrame([("a", start + pd.Timedelta(days=5)), ("a", start - pd.Timedelta(days=1)), ("a", start + pd.Timedelta(days=400))], columns=["user", "ts"])]).drop_duplicates()
+    right = pd.DataFrame([(u, t, float(rng.normal())) for u in ("ab" if by else "a") for t in at(12)] + [("a", start + pd.Timedelta(days=5), 77.0)], columns=["user", "ts", "v"])
+    right = right.drop_duplicates(["user", "ts"] if by else ["ts"], keep="last")
+    right = pd.concat([right, right.assign(ts=right["ts"] + pd.Timedelta(seconds=1), v=np.nan)])  # gaps carry nothing
+    to = lambda df, schema: spark.createDataFrame([tuple(None if x != x else x.to_pydatetime() if isinstance(x, pd.Timestamp) else x for x in r) for r in df.itertuples(index=False)], schema).repartition(3)
+    got = J.asof(to(left, "user string, ts timestamp"), to(right[["user", "ts", "v"]], "user string, ts timestamp, v double").drop(*([] if by else ["user"])), ["v"], by, "ts")
+    assert got.count() == len(left)
+    known = right.dropna()
+    for r in got.collect():
+        before = known[(known["ts"] <= r.ts) & ((known["user"] == r.user) if by else True)].sort_values("ts")
+        assert r.v == (before["v"].iloc[-1] if len(before) else None)
+
+
+def test_newest_row_is_the_same_in_every_run(spark):
+    from panelwright.operators.news import keep_last
+    rows = [("k", 1, i % 7, "t%d" % i) for i in range(50)] + [("k", 0, 99, "z"), ("l", None, 1, None)]
+    for parts in (1, 5):
+        got = keep_last(spark.createDataFrame(rows, "k string, v int, a int, t string").repartition(parts), ["k"], ["v"]).collect()
+        assert {tuple(r) for r in got} == {("k", 1, 6, "t6"), ("l", None, 1, None)}
