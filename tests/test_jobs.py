@@ -38,7 +38,7 @@ def test_anomalies_on_a_planted_series(spark):
     assert kinds["INVALID_HIGH_LOW"] == [p.loc[80, "date"]]
     assert sorted(kinds["FLATLINED_CLOSE"]) == list(p.loc[85:, "date"])  # from the tenth unchanged day on
     flat = got[got.type == "FLATLINED_CLOSE"].sort_values("date")["msg"].iloc[0]
-    assert "for 10 consecutive trading days" in flat
+    assert "on row 10 of a flat run" in flat
 
 
 def test_price_folder_and_file_checks(spark):
@@ -57,7 +57,7 @@ def test_price_folder_and_file_checks(spark):
     assert set(rows) == {("abc", "stocks", "2024-01-01"), ("abc", "stocks", "2024-01-02"), ("gold", "macro", "2024-01-01")}
     assert rows[("abc", "stocks", "2024-01-02")].close is None and rows[("gold", "macro", "2024-01-01")].close == 3.0
     bad = {r.ticker: (r.type, r.msg) for r in Q.check_files(spark, [f"{root}/{c}" for c in R.CLASSES], R.PRICES).collect()}
-    assert bad["bad"][0] == "LOAD_ERROR" and bad["abc"] == ("MISSING_COLUMNS", "Missing column Open") and "gold" not in bad
+    assert bad["bad"][0] == "LOAD_ERROR" and bad["abc"] == ("MISSING_COLUMNS", "no value in column Open") and "gold" not in bad
 
 
 def test_trade_log_round_trip_coerces(spark):
@@ -147,6 +147,20 @@ def test_ledger_forgets_repeats_and_keeps_the_newest(spark):
     assert [(x.orderid, x.status, x.fill_ratio, x.updates) for x in r] == [("1", "complete", 1.0, 2)]
 
 
+def test_status_stream_takes_late_rows_and_goes_on_after_a_restart(spark):
+    src, table, ck = new_folder(spark, "ledger"), new_folder(spark, "status"), new_folder(spark, "ck")
+    schema = "orderid string, status string, event_time timestamp, filledshares double, quantity double, averageprice double"
+    row = lambda o, s, minute, f: (o, s, dt.datetime(2024, 4, 26, 9, minute), float(f), 100.0, 1.0)
+    for batch in ([row("1", "open", 30, 0), row("2", "open", 31, 0)], [row("1", "complete", 45, 100)], [row("1", "partial", 40, 60), row("3", "open", 50, 0)]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
+        ST.run_to_end(ST.status_stream(spark.readStream.schema(schema).parquet(src)), ST.status_upsert(table, 2), ck, "update")
+    got = {r.orderid: (r.status, r.fill_ratio, r.updates) for r in spark.read.parquet(table).collect()}
+    assert got == {"1": ("complete", 1.0, 3), "2": ("open", 0.0, 1), "3": ("open", 0.0, 1)}
+    again = spark.read.parquet(table).drop("bucket").where("orderid = '2'")
+    ST.status_upsert(table, 2)(again, 99)  # a batch that runs twice changes nothing
+    assert spark.read.parquet(table).count() == 3
+
+
 def test_rank_buffer_stream_equals_batch(spark):
     rng = np.random.default_rng(2)
     rows = []
