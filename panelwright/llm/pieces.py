@@ -151,12 +151,8 @@ class PieceCodec:
     def _word(self, word: str) -> tuple[tuple[int, ...], str, str]:
         found = self._older.get(word)
         if found is None:
-            if self._known.issuperset(word):
-                ids = self._cover(word)
-                found = tuple(ids), ",".join(map(str, ids)), word.replace(MARK, " ")
-            else:
-                ids = self._with_unknown(word)
-                found = tuple(ids), ",".join(map(str, ids)), self._plain(ids)
+            ids = self._cover(word) if self._known.issuperset(word) else self._with_unknown(word)
+            found = tuple(ids), ",".join(map(str, ids)), self._plain(ids)
         if len(word) < 64:
             if len(self._words) >= WORDS:
                 self._older, self._words = self._words, {}
