@@ -22,8 +22,10 @@ from pyspark.sql import DataFrame, functions as F
 from .wordhash import _BLANK, _FOLDED, Words, chunked
 
 WORD_BUCKETS, TRIGRAM_BUCKETS, EMBED, HIDDEN = 1 << 13, 1 << 13, 8, 8
-#: Words of a window, and how far one lies from the next.
-WINDOW, STEP = 32, 24
+#: Words of a window, and how far one lies from the next: any run of half a window's words lies in some window as a whole.
+WINDOW, STEP = 32, 16
+#: Windows scored at once.
+SLICE = 2_048
 SAMPLE, SAMPLE_CHARS = 1_200, 20_000
 NOISY_ROUNDS, ROUNDS, BATCH, RATE, SEED = 2, 6, 256, 0.01, 11
 #: Steps of either kind that small samples get at least, by more rounds.
@@ -170,11 +172,20 @@ class Network:
         """Log odds of each text: its most toxic window's."""
         data = Inputs(words)
         start, size, text = windows(data.first)
-        odds, _ = self.forward(self.embed(data), start, size)
+        odds = self.odds(data, start, size)
         best = np.full(len(data.first) - 1, -np.inf)
         np.maximum.at(best, text, odds)
         return best * self.scale + self.shift
 
+    def odds(self, data: Inputs, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Log odds of windows in ascending order, a slice of them at a time, so that memory does not grow with a text."""
+        out = [np.zeros(0)]
+        for lo in range(0, len(start), SLICE):
+            own = slice(lo, lo + SLICE)
+            a, b = start[own].min(), (start[own] + size[own]).max()
+            out.append(self.forward(self.embed(data.part(a, b)), start[own] - a, size[own])[0])
+        return np.concatenate(out)
+
     def score(self, column: pa.Array) -> np.ndarray:
         found = [self.score_words(words) for _, words in chunked(column, fold=True)]
         return _sigmoid(np.clip(np.concatenate(found), -30, 30)) if found else np.zeros(0)
@@ -212,27 +223,19 @@ def train(texts: list[str], toxic: np.ndarray, share: float, seed: int = SEED) -
                 v[k] += 0.01 * (grad * grad - v[k])
                 net.p[k] -= (RATE * m[k] / (1 - 0.9 ** step) / (np.sqrt(v[k] / (1 - 0.99 ** step)) + 1e-8)).astype(np.float32)
 
-    def all_odds() -> np.ndarray:
-        out = []
-        for lo in range(0, len(start), 2048):
-            own = slice(lo, lo + 2048)
-            a, b = start[own].min(), (start[own] + size[own]).max()
-            out.append(net.forward(net.embed(data.part(a, b)), start[own] - a, size[own])[0])
-        return np.concatenate(out)
-
     def rounds(least: int, windows_each: int) -> range:
         return range(max(least, -(-LEAST_STEPS // max(1, -(-windows_each // BATCH)))))
 
     for _ in rounds(NOISY_ROUNDS, len(start)):
         learn(np.arange(len(start)), weight[text] / per_text[text])
     for _ in rounds(ROUNDS, 2 * len(texts)):
-        odds = all_odds()
+        odds = net.odds(data, start, size)
         order = np.lexsort((-odds, text))
         top = order[np.searchsorted(text[order], np.arange(len(texts)))]
         clean = np.flatnonzero(toxic[text] == 0)
         learn(np.concatenate([top, r.choice(clean, min(len(clean), len(texts)), replace=False)]), weight[text])
     best = np.full(len(texts), -np.inf)
-    np.maximum.at(best, text, all_odds())
+    np.maximum.at(best, text, net.odds(data, start, size))
     net.scale, net.shift = _scale(best, toxic, share)
     return net
 
