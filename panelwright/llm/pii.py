@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.scalar import let
 from .common import attach_groups, materialise
 
 KINDS = ("email", "ip", "card", "phone")
@@ -34,6 +35,8 @@ LAST_WORDS = rf"(?<![^{BLANK}])(?:[^{BLANK}]++[{BLANK}]++)?[^{BLANK}]++[{BLANK}]
 ROUNDS, MIN_SEEDS, MIN_SCORE = 3, 3, 0.8
 #: From this trust on an instance found in an earlier round counts as a seed.
 SURE = 0.9
+#: Matches and spans folded at once.
+SLICE = 64
 SPAN = "struct<kind:string,start:int,end:int>"
 
 
@@ -62,7 +65,7 @@ def _passes(kind: str, value: Column) -> Column:
 def _matches(text: Column, pattern: str, words: bool = False) -> Column:
     """All matches with their places and (if asked for) the last words before them: array of (start, end, value, before)."""
     marked = F.split(F.regexp_replace(text, pattern, "\u0001$0\u0002"), "\u0001")
-    start = F.struct(F.lit(-1).alias("at"), F.lit("").alias("before"), F.expr("CAST(array() AS array<struct<start:int,end:int,value:string,before:string>>)").alias("found"))
+    none = "array<struct<start:int,end:int,value:string,before:string>>"
 
     def step(a: Column, part: Column) -> Column:
         value = F.substring_index(part, "\u0002", 1)
@@ -74,7 +77,20 @@ def _matches(text: Column, pattern: str, words: bool = False) -> Column:
             F.when(first, a["found"]).otherwise(F.concat(a["found"], F.array(F.struct(
                 a["at"].alias("start"), (a["at"] + F.length(value)).alias("end"), value.alias("value"), a["before"].alias("before"))))).alias("found"))
 
-    return F.aggregate(marked, start, step, lambda a: a["found"])
+    def over(parts: Column) -> Column:
+        def one(a: Column, own: Column) -> Column:
+            inner = F.aggregate(own, F.struct(a["at"].alias("at"), a["before"].alias("before"), F.expr(f"CAST(array() AS {none})").alias("found")), step)
+            return let(inner, lambda r: F.struct(r["at"].alias("at"), r["before"].alias("before"), F.concat(a["slices"], F.array(r["found"])).alias("slices")))
+
+        start = F.struct(F.lit(-1).alias("at"), F.lit("").alias("before"), F.expr(f"CAST(array() AS array<{none}>)").alias("slices"))
+        return F.aggregate(_sliced(parts), start, one, lambda a: F.flatten(a["slices"]))
+
+    return let(marked, over)
+
+
+def _sliced(items: Column) -> Column:
+    """An array in slices, so that lists are not copied whole for every item."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / SLICE).cast("int")), lambda j: F.slice(items, j * SLICE + 1, F.lit(SLICE)))
 
 
 def _clean(text: Column) -> Column:
@@ -167,10 +183,16 @@ def counted(spans: Column, kind: str) -> Column:
 def redact(text: Column, spans: Column) -> Column:
     """The text with every span replaced by its kind in brackets; of overlapping ones the first counts, to their common end."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    joined = F.aggregate(
-        ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.when(s["end"] <= a["at"], a).when(s["start"] < a["at"], F.struct(s["end"].alias("at"), a["out"].alias("out"))).otherwise(F.struct(
-            s["end"].alias("at"),
-            F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"))),
-        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.lit(2 ** 31 - 1) - a["at"])))
+
+    def step(a: Column, s: Column) -> Column:
+        return F.when(s["end"] <= a["at"], a).when(s["start"] < a["at"], F.struct(s["end"].alias("at"), a["out"].alias("out"))).otherwise(F.struct(
+            s["end"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out")))
+
+    def one(a: Column, own: Column) -> Column:
+        inner = F.aggregate(own, F.struct(a["at"].alias("at"), F.lit("").alias("out")), step)
+        return let(inner, lambda r: F.struct(r["at"].alias("at"), F.concat(a["out"], F.array(r["out"])).alias("out")))
+
+    joined = let(ordered, lambda items: F.aggregate(
+        _sliced(items), F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<string>)").alias("out")), one,
+        lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.lit(2 ** 31 - 1) - a["at"]))))
     return F.when(F.size(spans) > 0, joined).otherwise(text)

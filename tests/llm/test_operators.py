@@ -181,6 +181,13 @@ def test_jaccard_counts_columns_of_two_documents(spark, monkeypatch):
     assert got == label
 
 
+def test_repeated_phrases_keep_the_texts_of_an_id_apart(spark):
+    passage, own, other = texts(60, 71), texts(60, 72), texts(30, 73)
+    rows = [(1, passage), (5, " ".join(own.split()[:30]) + " " + passage + " " + " ".join(own.split()[30:])), (5, other + " " + own + " " + passage), (7, own), (5, texts(90, 74)), (9, texts(90, 74) + " z")]
+    got = {(r["doc_id"], r["n_words"]): ([tuple(s) for s in r["spans"]], r["n_removed"]) for r in repeated_phrases(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 50).collect()}
+    assert got == {(1, 60): ([], 0), (5, 120): ([(30, 90)], 60), (5, 150): ([(90, 150)], 60), (7, 60): ([(0, 60)], 60), (5, 90): ([], 0), (9, 91): ([(0, 90)], 90)}
+
+
 def test_repeated_phrases_are_those_of_all_windows(spark, docs, none):
     first, want = {}, {}
     for i, t, *_ in sorted(awkward(), key=lambda r: (r[0] is None, r[0] or 0)):
@@ -209,6 +216,16 @@ def test_pieces_are_the_librarys(text):
     assert own.decode(ids) == LIBRARY.decode(ids)
 
 
+def test_what_ids_decode_to_comes_from_the_ids(monkeypatch):
+    from panelwright.llm import pieces
+    own = pieces.PieceCodec(MODEL)
+    right = "".join(w[2] for w in own.words("plain words"))[1:]
+    cover = pieces.PieceCodec._cover
+    monkeypatch.setattr(pieces.PieceCodec, "_cover", lambda self, word: [i + 1 for i in cover(self, word)])
+    own.forget()
+    assert right == "plain words" != "".join(w[2] for w in own.words("plain words"))[1:]
+
+
 def test_piece_digests(docs, none):
     want = {}
     for i, t, *_ in awkward():
@@ -238,6 +255,33 @@ def plain_spans(text):
     return out
 
 
+def test_many_matches_in_one_text(spark):
+    r = np.random.default_rng(2)
+    words = [["%d.%d.%d.%d" % tuple(r.integers(0, 300, 4)), "x", "a%d@b.org" % i, "+1 (555) 010-%04d" % i][r.integers(0, 4)] for i in range(1500)]
+    text = "start " + " , ".join(words) + " end"
+    docs_ = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    got = {x["doc_id"]: x for x in pii.find_personal_data(docs_).collect()}
+    want = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    want += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) < 256 for x in m.group().split("."))]
+    assert [tuple(s) for s in got[1]["base"] if s["kind"] in ("email", "ip")] == want and len(want) > 300
+    out = spark.createDataFrame([(text, [("email", a, b) for k, a, b in want if k == "email"] + [("ip", 0, 3), ("ip", 2, 5)])], f"text string, spans array<{pii.SPAN}>").select(pii.redact(F.col("text"), F.col("spans"))).first()[0]
+    last, parts = 5, ["[IP]"]
+    for k, a, b in want:
+        if k == "email":
+            parts += [text[last:a], "[EMAIL]"]
+            last = b
+    assert out == "".join(parts) + text[last:]
+
+
+def test_a_text_of_numbers_takes_time_in_proportion(spark):
+    import time
+    text = " ".join(str(i) for i in range(100_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.time()
+    row = pii.scan(df).select(F.size("__words").alias("n"), F.element_at("__words", -1).alias("w")).first()
+    assert row["n"] == 100_000 and row["w"]["end"] == len(text) and time.time() - start < 60
+
+
 def test_personal_data(spark, docs, none):
     r = np.random.default_rng(3)
     pieces = ["a@b.c", "a.b@c.d.e+x@y.z", "@", "1.2.3.4", "001.255.0.9.8.7.6.5", "256.1.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "41111111111111111111111", "+1 (555) 010-9999", "+1+49 30 1234567", "1-2 3", "\u0001", "😀é", "x", " ", " ", ".", "-"]
@@ -365,6 +409,18 @@ def test_network_gradients_and_learning():
     assert covered == set(range(105)) and set(of) == {0, 1, 2} and sizes[0] == 0
 
 
+def test_windows_are_scored_in_slices(monkeypatch):
+    import pyarrow as pa
+    net = toxicity.Network(3)
+    column = pa.array([texts(3000, 1), None, "", "one", texts(500, 2)], pa.string())
+    whole = net.score(column)
+    monkeypatch.setattr(toxicity, "SLICE", 7)
+    assert np.allclose(net.score(column), whole, atol=1e-6)
+    start, size, text = toxicity.windows(np.array([0, 100, 100, 130]))
+    for a in range(100 - 16):  # any 16 words lie in one window as a whole
+        assert any(s <= a and a + 16 <= s + n for s, n, t in zip(start, size, text) if t == 0)
+
+
 def test_toxicity_table(spark, docs, labels, none):
     rows = toxicity.toxicity(docs.selectExpr("*", "1 AS toxic", "2 AS score"), labels).collect()
     assert len(rows) == len(awkward()) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows)
