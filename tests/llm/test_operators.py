@@ -370,6 +370,39 @@ def test_pivots_of_a_large_cloud(spark):
     assert all(got[i] <= links[i] for i in got) and sum(got.values()) >= 0.9 * links.sum() > 0
 
 
+def test_neighbours_over_shards(spark):
+    """200 clouds and 2,500 copies of one vector, in shards of which that of the copies has several parts."""
+    r = np.random.default_rng(3)
+    centre = r.standard_normal((200, 64))
+    x = centre[r.integers(0, 200, 20_000)] + 0.5 * r.standard_normal((20_000, 64))
+    x[5000:7500] = x[5000]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").withColumn("shard", F.lit("clash"))
+    pairs = ann.verified_pairs(rows, 100, 5, 1_500).persist()
+    verified = pairs.agg(F.sum("verified")).first()[0]
+    assert 0 < verified < 0.3 * 200 * 20_000
+    best = pairs.where("vec_id IS NOT NULL").groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, 5).alias("b")).collect()
+    pairs.unpersist()
+    hits = 0
+    for a in best:
+        score = x @ x[a["query_id"]]
+        score[a["query_id"]] = -2
+        hits += sum(-b["s"] >= np.sort(score)[-5] - 1e-12 for b in a["b"])
+        assert len(a["b"]) == 5 and all(abs(-b["s"] - score[b["vec_id"]]) < 1e-12 for b in a["b"])
+    assert len(best) == 200 and hits >= 0.95 * 1000
+    got = ann.nearest(rows.where("vec_id = 6000 OR vec_id BETWEEN 5000 AND 5100"), 100, 3, 20).collect()
+    assert [(a["query_id"], a["vec_id"]) for a in sorted(got, key=lambda a: (a["query_id"], a["rank"]))] == [
+        (5000, 5001), (5000, 5002), (5000, 5003), (5100, 5000), (5100, 5001), (5100, 5002), (6000, 5000), (6000, 5001), (6000, 5002)]
+
+
+def test_cuts_of_points_that_are_alike():
+    points = np.random.default_rng(0).standard_normal((1000, 12))
+    points[:400] = points[0]
+    dealt = ann.Cuts(points, 4).shard(points)
+    assert len(set(dealt[:400])) == 1 and dealt.min() >= 0 and dealt.max() < 16 and np.bincount(dealt).max() <= 500
+    assert (ann.Cuts(np.zeros((0, 12)), 3).shard(points) == 0).all() and abs(ann.chi_square(ann.quantile(0.98), 12) - 0.98) < 1e-9
+
+
 def test_chi_square():
     draws = np.random.default_rng(0).chisquare(12, 200_000)
     for x in (5.0, 12.0, 24.0):
