@@ -1,13 +1,16 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
 A vector is described by its nearest reference points (pivots) in order. Vectors that are alike share most of
-them. The inverted lists are kept per set of ``SHARED`` pivots out of a vector's nearest ``NEAREST``: two vectors
-meet in a list exactly if their shared-pivot count reaches ``SHARED``. Those that meet are verified by cosine in
-double precision. A pair that meets in several lists counts in the one of its smallest shared pivots only.
+them. The inverted lists are kept per set of ``shared`` pivots out of a vector's ``near`` nearest: two vectors
+meet in a list exactly if their shared-pivot count reaches ``shared``. Those that meet are verified by cosine in
+double precision on the original vectors. A pair that meets in several lists counts in the one of its smallest shared pivots only.
 
 Pivots are taken from a bounded sample (the first ids by hash, growing as the cube root of the number of vectors so that chance lists
 stay short), leaving out what is close to one already taken: within a cloud of near copies several pivots would be ordered by noise alone.
-Where the sample holds few vectors that are apart, there are fewer pivots and longer lists. Every vector is indexed. Equal vectors of a label are one class with a weight. Lists are
+Vectors that all point much the same way have few pivots that are apart, so the sample's mean may be taken off before pivots are
+chosen and vectors described. ``SETTINGS`` are tried on the sample: of those that retrieve ``ENOUGH`` of its links, and of
+drawn neighbours of its vectors, the one under which fewest pairs meet is taken; if none does, all vectors are one list and all pairs are
+verified. Every vector is indexed. Equal vectors of a label are one class with a weight. Lists are
 cut into blocks, and pairs of blocks are verified in different tasks, so a hot list is never one task; a task gives
 counts and one edge per vector rather than pairs.
 
@@ -26,64 +29,118 @@ from pyspark.sql import DataFrame, functions as F
 from .common import components, materialise
 from .vectors import distinct_ids, matrix, normalised, usable
 
-NEAREST, SHARED = 7, 3
-#: Pivots: this many times the cube root of the number of vectors, and at least and at most so many.
-PIVOTS, LEAST, MOST = 4, 64, 16_000
+#: Pivots (this many times the cube root of the number of vectors), nearest ones that describe a vector, shared ones that make a list.
+SETTINGS = ((4, 7, 3), (16, 10, 2), (16, 14, 2))
+#: At least and at most so many pivots.
+LEAST, MOST = 64, 16_000
 #: Candidates for each pivot, and the cosine with a pivot already taken from which a candidate is left out.
 CANDIDATES, APART = 4, 0.7
+#: Vectors of the sample, and links among them, that the settings are tried on (at most); share of links to be retrieved.
+TRIED, TRIED_LINKS, ENOUGH = 2_048, 100_000, 0.97
 BLOCK = 1_024
 
 
-def choose_pivots(classes: DataFrame) -> np.ndarray:
-    """The pivots as rows of length 1; shorter vectors are filled up with zeros."""
-    n = classes.count()
-    m = int(min(max(PIVOTS * n ** (1 / 3), LEAST), MOST))
-    rows = classes.orderBy(F.xxhash64("rep"), "rep").limit(CANDIDATES * m).select("embedding").collect()
-    width = max((len(r[0]) for r in rows), default=1)
-    out, taken = np.zeros((m, width)), 0
+class Index:
+    """Pivots (rows of length 1, shorter ones filled up with zeros), the mean taken off vectors of each length, and a setting."""
+
+    def __init__(self, pivots: np.ndarray, means: dict[int, np.ndarray], near: int, shared: int):
+        self.pivots, self.means = pivots, means
+        self.near = min(near, len(pivots))
+        self.shared = min(shared, self.near)
+
+    def nearest(self, x: np.ndarray) -> np.ndarray:
+        """Numbers of the nearest pivots of each row, nearest first, ties (to nine digits) to the smaller number."""
+        x = centred(normalised(x), self.means)
+        w = min(x.shape[1], self.pivots.shape[1])
+        return np.argsort(-np.round(x[:, :w] @ self.pivots[:, :w].T, 9), axis=1, kind="stable")[:, : self.near]
+
+    def meet(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the vectors described by rows of ``a`` and of ``b`` share enough pivots."""
+        return (a[:, :, None] == b[:, None, :]).sum((1, 2)) >= self.shared
+
+
+def centred(x: np.ndarray, means: dict[int, np.ndarray]) -> np.ndarray:
+    if x.shape[1] not in means:
+        return x
+    x = x - means[x.shape[1]]
+    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
+
+
+def thinned(rows: list[np.ndarray], most: int) -> np.ndarray:
+    """The first rows, at most ``most``, that are apart from those already taken."""
+    out, taken = np.zeros((most, max((len(r) for r in rows), default=1))), 0
     for r in rows:
-        x = normalised(np.array([r[0]], float))[0]
-        if taken < m and (out[:taken, : len(x)] @ x < APART).all():
-            out[taken, : len(x)] = x
+        if taken < most and (out[:taken, : len(r)] @ r < APART).all():
+            out[taken, : len(r)] = r
             taken += 1
     return out[:taken]
 
 
-def nearest_pivots(x: np.ndarray, pivots: np.ndarray, count: int = NEAREST) -> np.ndarray:
-    """Numbers of the nearest pivots of each row, nearest first, ties to the smaller number."""
-    w = min(x.shape[1], pivots.shape[1])
-    return np.argsort(-(normalised(x)[:, :w] @ pivots[:, :w].T), axis=1, kind="stable")[:, :count]
+def retrieved(index: Index, x: np.ndarray, threshold: float) -> tuple[float, float]:
+    """Share of links that meet (the smaller one of links in ``x`` and of drawn neighbours), and share of other pairs that do."""
+    r = np.random.default_rng(0)
+    noise = r.standard_normal(x.shape)
+    noise -= (noise * x).sum(1, keepdims=True) * x
+    cosine = np.linspace(threshold, 1, len(x))[:, None]
+    drawn = cosine * x + np.sqrt(1 - cosine * cosine) * noise / np.maximum(np.sqrt((noise * noise).sum(1, keepdims=True)), 1e-9)
+    near = index.nearest(x)
+    a, b = np.nonzero(np.triu(x @ x.T >= threshold, 1))
+    some = r.permutation(len(a))[:TRIED_LINKS]
+    met = [index.meet(near, index.nearest(drawn)), index.meet(near[a[some]], near[b[some]])]
+    pairs = np.concatenate([index.meet(near, np.roll(near, by, axis=0)) for by in range(1, min(len(x), 17))] or [np.zeros(1)])
+    return min(m.mean() for m in met if len(m)), pairs.mean()
 
 
-def describe(classes: DataFrame, pivots: np.ndarray) -> DataFrame:
+def fit_index(classes: DataFrame, threshold: float) -> Index:
+    n = classes.count()
+    counts = [int(min(max(c * n ** (1 / 3), LEAST), MOST)) for c, _, _ in SETTINGS]
+    sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(max(CANDIDATES * max(counts), TRIED)).select("embedding").toArrow().column("embedding")
+    sizes = np.array([len(v) for v in sample], np.int64)
+    by_size = {int(d): normalised(matrix(sample.take(pa.array(np.flatnonzero(sizes == d))))) for d in np.unique(sizes)}
+    tried = max(by_size.values(), key=len)[:TRIED]  # of the commonest length
+    best, fewest = Index(np.zeros((1, 1)), {}, 0, 0), 1.0
+    for means in ({d: x.mean(0) for d, x in by_size.items()}, {}):
+        flat = {d: centred(x, means) for d, x in by_size.items()}
+        place = {d: np.cumsum(sizes == d) - 1 for d in by_size}
+        pivots = thinned([flat[int(d)][place[int(d)][i]] for i, d in enumerate(sizes[: CANDIDATES * max(counts)])], max(counts))
+        for m, (_, near, shared) in zip(counts, SETTINGS):
+            index = Index(pivots[:m], means, near, shared)
+            share, pairs = retrieved(index, tried, threshold)
+            if share >= ENOUGH and pairs < fewest:
+                best, fewest = index, pairs
+    return best
+
+
+def describe(classes: DataFrame, index: Index) -> DataFrame:
     """``rep``, ``near`` (its nearest pivots in order) and ``key`` for each list the vector is in."""
-    several = list(combinations(range(min(NEAREST, len(pivots))), min(SHARED, len(pivots))))
+    several = list(combinations(range(index.near), index.shared))
 
     def run(batches):
         for batch in batches:
             sizes = np.array([len(v) for v in batch.column("embedding")])
             for d in np.unique(sizes):
                 at = pa.array(np.flatnonzero(sizes == d))
-                near = nearest_pivots(matrix(batch.column("embedding").take(at)), pivots)
+                near = index.nearest(matrix(batch.column("embedding").take(at)))
                 ordered = np.sort(near, axis=1)
-                keys = np.stack([(ordered[:, c] * (MOST ** np.arange(len(c) - 1, -1, -1, dtype=np.int64))).sum(1) for c in map(list, several)], axis=1)
+                keys = np.stack([(ordered[:, np.array(c, np.int64)] * (MOST ** np.arange(len(c) - 1, -1, -1, dtype=np.int64))).sum(1) for c in several], axis=1)
                 yield pa.RecordBatch.from_arrays([
                     batch.column("rep").take(at), pa.array(near.tolist(), pa.list_(pa.int32())), pa.array(keys.tolist(), pa.list_(pa.int64()))], ["rep", "near", "keys"])
 
     return classes.select("rep", "embedding").mapInArrow(run, "rep long, near array<int>, keys array<long>").select("rep", "near", F.explode("keys").alias("key"))
 
 
-def _verify(table: pa.Table, pivots: int, threshold: float) -> list[tuple[int, int, int]]:
+def _verify(table: pa.Table, index: Index, threshold: float) -> list[tuple[int, int, int]]:
     """For one list (or pair of its blocks): per linked vector the weight of its links, and the smallest id connected with it."""
     rep, weight, side = (table.column(c).to_numpy() for c in ("rep", "weight", "side"))
     key, cross = int(table.column("key")[0].as_py()), table.column("b1")[0].as_py() != table.column("b2")[0].as_py()
     x = normalised(matrix(table.column("embedding")))
-    near = np.array(table.column("near").to_pylist())
-    last = key % MOST if near.shape[1] >= SHARED else near.max()
-    member = np.zeros((len(rep), pivots), np.float32)
-    np.put_along_axis(member, near, 1, axis=1)
-    member = member[:, : last + 1]
-    linked = (x @ x.T >= threshold) & (member @ member.T == min(SHARED, near.shape[1])) & (rep[:, None] != rep[None, :])
+    linked = (x @ x.T >= threshold) & (rep[:, None] != rep[None, :])
+    if index.shared:
+        near = np.array(table.column("near").to_pylist())
+        member = np.zeros((len(rep), len(index.pivots)), np.float32)
+        np.put_along_axis(member, near, 1, axis=1)
+        member = member[:, : key % MOST + 1]
+        linked &= member @ member.T == index.shared
     if cross:
         linked &= side[:, None] != side[None, :]
     label = rep.copy()
@@ -98,8 +155,8 @@ def _verify(table: pa.Table, pivots: int, threshold: float) -> list[tuple[int, i
 
 def link_counts(classes: DataFrame, threshold: float) -> DataFrame:
     """``rep``, ``links`` (weight of the classes linked, by part) and ``to`` (an id connected with it)."""
-    pivots = choose_pivots(classes)
-    lists = materialise(describe(classes, pivots).join(classes.select("rep", "label", F.size("embedding").alias("dim")), "rep"), "pivots-lists")
+    index = fit_index(classes, threshold)
+    lists = materialise(describe(classes, index).join(classes.select("rep", "label", F.size("embedding").alias("dim")), "rep"), "pivots-lists")
     name = ["label", "dim", "key"]
     sizes = lists.groupBy(*name).agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
     dealt = (
@@ -108,14 +165,13 @@ def link_counts(classes: DataFrame, threshold: float) -> DataFrame:
         .select(*name, F.least("side", "other").alias("b1"), F.greatest("side", "other").alias("b2"), "side", "rep", "near")
         .join(classes.select("rep", "embedding", "weight"), "rep"))
     part = [*name, "b1", "b2"]
-    count = len(pivots)
 
     def run(batches):
         kept: list[pa.RecordBatch] = []
         names, last = None, None
 
         def finished(table: pa.Table) -> pa.RecordBatch:
-            out = _verify(table, count, threshold) if table.num_rows > 1 else []
+            out = _verify(table, index, threshold) if table.num_rows > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], ["rep", "links", "to"])
 
         for batch in batches:

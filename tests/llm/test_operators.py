@@ -15,7 +15,7 @@ from panelwright.llm import ann, chat, mixing, pii, stages, toxicity
 from panelwright.llm.jaccard import jaccard_components
 from panelwright.llm.phrases import repeated_phrases
 from panelwright.llm.pieces import codec, encode_digests, encode_documents, read_model
-from panelwright.llm.pivots import near_duplicates
+from panelwright.llm.pivots import fit_index, near_duplicates
 from panelwright.llm.quality import QualityModel, fit, posteriors
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -370,6 +370,28 @@ def test_pivots_of_a_large_cloud(spark):
     assert all(got[i] <= links[i] for i in got) and sum(got.values()) >= 0.9 * links.sum() > 0
 
 
+def alike(r, n, mean, width=64):
+    """Vectors of a mean cosine, a quarter of them near copies of others (cosine 0.93 to 0.99)."""
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(np.sqrt(mean) * unit(r.standard_normal((1, width))) + np.sqrt(1 - mean) * unit(r.standard_normal((n, width))))
+    of, cosine, away = r.integers(0, n // 2, n // 4), r.uniform(0.93, 0.99, (n // 4, 1)), r.standard_normal((n // 4, width))
+    away -= (away * x[of]).sum(1, keepdims=True) * x[of]
+    x[-(n // 4):] = cosine * x[of] + np.sqrt(1 - cosine ** 2) * unit(away)
+    return x
+
+
+@pytest.mark.parametrize("mean, met", [(0.8, 0.1), (0.95, 1)])
+def test_pivots_of_vectors_alike_in_direction(spark, mean, met):
+    x = alike(np.random.default_rng(4), 3000, mean)
+    rows = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    index = fit_index(rows.selectExpr("vec_id AS rep", "embedding"), 0.93)
+    near = index.nearest(x)
+    assert np.mean([index.meet(near, np.roll(near, by, axis=0)).mean() for by in range(1, 100)]) <= met
+    links = (x @ x.T >= 0.93).sum(1) - 1
+    got = {a["vec_id"]: a["n_links"] for a in near_duplicates(rows).select("vec_id", "n_links").collect()}
+    assert all(got[i] <= links[i] for i in got) and sum(got.values()) >= 0.95 * links.sum() > 0
+
+
 def test_neighbours_over_shards(spark):
     """200 clouds and 2,500 copies of one vector, in shards of which that of the copies has several parts."""
     r = np.random.default_rng(3)
