@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import joins as J, timeseries as W
+from ..operators import filters as S, joins as J, timeseries as W
 from ..plans import tables as T
 from .registry import part, pick, query
 
@@ -358,3 +358,18 @@ part("w36f", "SELECT date, lead(date) OVER (ORDER BY date) AS next_date FROM b_c
 @query("W36_fridays", pick("w36f", "date next_date"))
 def w36_fridays(spark, sf):
     return W.rebalance_dates(T.trading_days(spark, sf), "friday").select("date", "next_date")
+
+
+FIRST, LAST = "1999-01-01", "2000-06-30"
+
+
+@query("time_fence_features", pick(
+    "w03 v JOIN w06 s ON s.ticker = v.ticker AND s.date = v.date JOIN w15 d ON d.ticker = v.ticker AND d.date = v.date", "ticker=v.ticker;date=v.date",
+    "vol20=v.vol20;vol252=v.vol252;above200=s.above200;max_dd=d.max_dd", where=f"v.date BETWEEN DATE '{FIRST}' AND DATE '{LAST}'"))
+def time_fence(spark, sf):
+    """Features of a range of dates from a scan of that range and the look-back before it, checked against those of the whole history."""
+    cal = T.trading_days(spark, sf)
+    days = S.fence(cal, FIRST, LAST)
+    df = W.pct(J.align(T.panel(spark, sf, days), J.calendar(S.between_days(cal, "date", days))), "close", 1, "ret")
+    df = W.trailing_max_dd(W.above_sma(W.vol(df, "ret", {20: 10, 252: 126})))
+    return keep(df.where(F.col("date").between(FIRST, LAST)), "vol20", "vol252", "above200", "max_dd")

@@ -1,4 +1,4 @@
-"""Universe screens, pools, windows and relevance filters.
+"""Universe screens, pools, windows and relevance filters; the time fence of a scan.
 
 The pools compare scores with quantiles of the same scores, so the scored
 universe should be a stored table.
@@ -6,6 +6,8 @@ universe should be a stored table.
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalar import keyword_hit, safe_name
@@ -155,3 +157,29 @@ def winsor(df: DataFrame, col: str, low: float = -0.3, high: float = 0.5) -> Dat
 # F15
 def floor_weights(df: DataFrame, eps: float = 0.001) -> DataFrame:
     return df.where(F.col("weight") > eps)
+
+
+#: Trading days before a range that features of the range may read: a drawdown (252 rows) from a maximum (252 rows).
+LOOK_BACK = 504
+
+
+# time fence of the scan
+def fence(cal: DataFrame, first: str, last: str, rows: int = LOOK_BACK) -> tuple:
+    """The days a scan must cover for features of ``first`` to ``last``: the date ``rows`` trading days before the first one in the range, and the last one in it.
+
+    One row of two dates comes to the driver; both are None where no trading day lies in the range. Exponential means reach back without end: what is left
+    of older rows after n of them is ``(1 - alpha) ** n``, so ``rows`` decides how exact they are.
+    """
+    inside = F.col("date").between(F.lit(first).cast("date"), F.lit(last).cast("date"))
+    ends = cal.agg(F.min(F.when(inside, F.col("idx"))).alias("at"), F.max(F.when(inside, F.col("date"))).alias("last"))
+    return tuple(cal.join(F.broadcast(ends), F.col("idx") >= F.col("at") - rows).agg(F.min("date"), F.max("last")).first())
+
+
+def between_days(df: DataFrame, col: str, days: tuple) -> DataFrame:
+    """Rows of the days, both ends included, as comparisons of the column with literals, which reach the scan. No days (None): no rows."""
+    first, last = days
+    if first is None:
+        return df.where(F.lit(False))
+    kind = df.schema[col].dataType
+    end = F.lit(last + timedelta(days=1)).cast(kind)
+    return df.where((F.col(col) >= F.lit(first).cast(kind)) & (F.col(col) < end))

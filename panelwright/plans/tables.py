@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..operators.filters import between_days
 from ..operators.joins import calendar
 from ..session import materialise
 
@@ -29,8 +30,11 @@ def _sequence() -> Column:
     return F.col("l_orderkey") * F.lit(8388608).cast("long") + F.col("l_linenumber").cast("long") * F.lit(1048576).cast("long") + mix
 
 
-def ticks(spark: SparkSession, folder: str) -> DataFrame:
+def ticks(spark: SparkSession, folder: str, days=None) -> DataFrame:
+    """Single trades; with ``days`` (first and last date, see ``filters.fence``) only those of the days, which the scan leaves out."""
     li = table(spark, folder, "lineitem")
+    if days:
+        li = between_days(li, "l_shipdate", days)
     return li.select("l_suppkey", "l_partkey", F.to_date("l_shipdate").alias("date"),
                      (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
                      F.col("l_quantity").alias("qty"), _sequence().alias("seq"))
@@ -43,11 +47,11 @@ def bars(df: DataFrame, keys) -> DataFrame:
         F.max_by("price", "seq").alias("close"), F.sum("qty").alias("volume"))
 
 
-def panel(spark: SparkSession, folder: str) -> DataFrame:
-    """Bars per ticker (supplier nation)."""
+def panel(spark: SparkSession, folder: str, days=None) -> DataFrame:
+    """Bars per ticker (supplier nation), of all days or a range of them."""
     supplier = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("l_suppkey"),
                                                        F.concat(F.lit("N"), F.col("s_nationkey")).alias("ticker"))
-    return bars(ticks(spark, folder).join(supplier, "l_suppkey"), ["ticker"])
+    return bars(ticks(spark, folder, days).join(supplier, "l_suppkey"), ["ticker"])
 
 
 def roles(spark: SparkSession, folder: str) -> DataFrame:

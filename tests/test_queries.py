@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from tests.verify import TABLES, compare
 
 SAMPLE = ("J01_align J02_asof J13_intervals W01_pct W04_zscore W10_rsi_wilder W16_trend_r2 W20_cs_rank_split A05_daily_summary A15_heatmap F05_long_pool "
-          "K05_topk_mean G06_gate P10_cap_iterate P16_weekly_returns M05_var_cvar B03_pbo D02_targets N05_news_features Q06_anomaly_report S04_upsert X09_softmax").split()
+          "K05_topk_mean G06_gate P10_cap_iterate P16_weekly_returns time_fence_features M05_var_cvar B03_pbo D02_targets N05_news_features Q06_anomaly_report S04_upsert X09_softmax").split()
 
 
 @pytest.fixture(scope="module")

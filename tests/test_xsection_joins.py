@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelwright.operators import filters as S, joins as J, xsection as C
 from panelwright.operators.ingest import dedupe_last, lookup_token, lot_sizes, normalise_ohlcv, upsert
+from panelwright.plans import tables as T
 from tests.test_functions import to_spark
 
 
@@ -156,3 +157,18 @@ def test_newest_row_is_the_same_in_every_run(spark):
     for parts in (1, 5):
         got = keep_last(spark.createDataFrame(rows, "k string, v int, a int, t string").repartition(parts), ["k"], ["v"]).collect()
         assert {tuple(r) for r in got} == {("k", 1, 6, "t6"), ("l", None, 1, None)}
+
+
+def test_fence_reaches_the_scan(spark, tiny):
+    days = [dt.date(2024, 1, 1) + dt.timedelta(days=2 * i) for i in range(30)]
+    cal = spark.createDataFrame(list(enumerate(days)), "idx int, date date")
+    assert S.fence(cal, "2024-01-10", "2024-01-20", 3) == (days[2], days[9])  # days[5] is the first in the range
+    assert S.fence(cal, "2024-01-02", "2024-01-04", 3) == (days[0], days[1])
+    assert S.fence(cal, "2025-01-01", "2025-02-01") == (None, None) == S.fence(cal.limit(0), "2024-01-01", "2024-02-01")
+    assert S.between_days(cal, "date", (None, None)).count() == 0
+    kept = S.between_days(cal.withColumn("t", F.col("date").cast("timestamp") + F.expr("INTERVAL 23 HOURS")), "t", (days[2], days[9]))
+    assert [r[0] for r in kept.select("idx").orderBy("idx").collect()] == list(range(2, 10))
+    lines = T.ticks(spark, tiny, (dt.date(1999, 1, 1), dt.date(1999, 1, 31)))
+    assert 0 < lines.count() < T.ticks(spark, tiny).count()
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(l_shipdate" in plan and "LessThan(l_shipdate" in plan
