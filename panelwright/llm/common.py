@@ -36,7 +36,7 @@ def attach_groups(rows: DataFrame, groups: DataFrame, keys: list[str], how: str
     if groups.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(renamed), on, how).drop(*drop)
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(SALTS)))
-    spread = renamed.withColumn("__salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    spread = renamed.withColumn("__salt2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     return salted.join(spread, on & (F.col("__salt") == F.col("__salt2")), how).drop("__salt", "__salt2", *drop)
 
 

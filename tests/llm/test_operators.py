@@ -484,6 +484,76 @@ def test_toxicity_table(spark, docs, labels, none):
     assert {r["score"] for r in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0.0}
 
 
+def test_salted_groups_give_the_same(spark, docs, monkeypatch):
+    """Lookups above the bound are joined by salted keys: personal data found from contexts, and replicated documents, stay as they are."""
+    rows = [(i, f"please write to user{i}@mail.org") for i in range(40)] + [(100 + i, f"please write to agent-{i}") for i in range(10)] + [(None, "please write to agent-3"), (7, None)]
+    told = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def both():
+        spans = sorted(str((x["doc_id"], x["spans"])) for x in pii.find_personal_data(told).collect())
+        drawn = sorted(str((x["doc_id"], x["copy"])) for x in mixing.mix_sources(docs, power=0.3).collect())
+        return spans, drawn
+
+    want = both()
+    assert sum("context" in x for x in want[0]) >= 10 and want[1]
+    monkeypatch.setattr("panelwright.llm.common.BROADCAST_ROWS", 0)
+    assert both() == want
+
+
+def brute_posteriors(rows):
+    """Rates of hosts drawn to the whole's, and of paths to their host's, by plain sums."""
+    def sums(key):
+        out = {}
+        for r in rows:
+            n, good = out.get(key(r), (0, 0.0))
+            out[key(r)] = n + 1, good + r[2]
+        return out
+
+    def strength(groups):  # (n, good, rate of the parent)
+        n = sum(g[0] for g in groups)
+        spread = sum(k * (good / k - m) ** 2 for k, good, m in groups) - sum(m * (1 - m) for _, _, m in groups)
+        within = sum(k * m * (1 - m) for k, _, m in groups) / n
+        return min(max(within / (max(spread, 1e-9) / n) - 1, 1.0), 1e6)
+
+    rate = min(max(sum(r[2] for r in rows) / len(rows), 1e-3), 1 - 1e-3)
+    hosts, paths = sums(lambda r: r[0]), sums(lambda r: r[:2])
+    k = strength([(n, good, rate) for n, good in hosts.values()])
+    hosts = {h: (good + k * rate) / (n + k) for h, (n, good) in hosts.items()}
+    k = strength([(n, good, hosts[p[0]]) for p, (n, good) in paths.items()])
+    return rate, hosts, {p: (good + k * hosts[p[0]]) / (n + k) for p, (n, good) in paths.items()}
+
+
+@pytest.mark.parametrize("broadcast_rows", [50_000, 2])
+def test_posteriors_and_scores_match_brute_force(spark, docs, labels, monkeypatch, broadcast_rows):
+    """Also with groups that are joined by salted keys, a host with a third of the rows, null hosts and paths."""
+    monkeypatch.setattr("panelwright.llm.common.BROADCAST_ROWS", broadcast_rows)
+    r = np.random.default_rng(8)
+    hosts = [None if h == 0 else "h%d" % h if h < 30 else "hot" for h in r.integers(0, 45, 900)]
+    rows = [(h, None if p == 0 else "p%d" % p, float(r.random() < (0.8 if h == "hot" else 0.2 + 0.1 * p))) for h, p in zip(hosts, r.integers(0, 4, 900))]
+    table, rate = posteriors(spark.createDataFrame(rows, "host string, path string, outcome double"))
+    want_rate, want_hosts, want_paths = brute_posteriors(rows)
+    got = {(x["host"], x["path"]): x for x in table.collect()}
+    assert abs(rate - want_rate) < 1e-12 and set(got) == set(want_paths)
+    assert all(abs(x["host_posterior"] - want_hosts[p[0]]) < 1e-9 and abs(x["path_posterior"] - want_paths[p]) < 1e-9 for p, x in got.items())
+    sparse = [p for p in want_paths if sum(x[:2] == p for x in rows) <= 3]
+    assert sparse and all(min(want_hosts[p[0]], sum(x[2] for x in rows if x[:2] == p) / sum(x[:2] == p for x in rows)) - 1e-9 <= got[p]["path_posterior"] for p in sparse)
+
+    model = QualityModel(docs, labels, docs["source"], docs["lang"])
+    scored = model.table().collect()
+    features = {}
+    for x in model.featured.collect():
+        features.setdefault(x["doc_id"], []).append(np.array(x["features"]))
+    rate, by_path = model.rate, {(x["host"], x["path"]): x["path_posterior"] for x in model.groups.collect()}
+    centre, scale, w = model.model
+    logit = lambda p: np.log(p / (1 - p))
+    assert len(scored) == docs.count()
+    for x in scored:
+        z = np.clip((features[x["doc_id"]][0] - centre) / scale, -5, 5)
+        evidence = 1 / (1 + np.exp(-np.clip(np.concatenate([z, z * z, [1]]) @ w, -30, 30)))
+        score = 1 / (1 + np.exp(-(logit(np.clip(evidence, 1e-9, 1 - 1e-9)) + logit(by_path[x["host"], x["path"]]) - logit(rate))))
+        assert abs(x["evidence"] - evidence) < 1e-9 and abs(x["score"] - score) < 1e-9 and x["keep"] == (x["score"] >= 0.5)
+
+
 def test_quality(spark, docs, labels, none):
     r = np.random.default_rng(4)
     f, good = r.standard_normal((400, 3)), np.zeros(400)
