@@ -243,8 +243,10 @@ def random_portfolios(df: DataFrame, dates: DataFrame, k: int = 40, sims: int =
     drawn = drawn.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "date", "__chunk")
     first = F.col("__chunk") * CHUNK
     drawn = drawn.withColumn("sim", F.explode(F.sequence(first, F.least(first + CHUNK, F.lit(sims)) - 1)))
-    drawn = with_drawn_places(drawn, "n", k, F.lit(seed), F.col("sim"), F.col("date")).select("date", "sim", F.explode("places").alias("pos"))
-    weekly = drawn.join(names.select("date", "pos", "__x"), ["date", "pos"]).groupBy("sim", "date").agg((F.avg("__x") / divisor).alias("r"))
+    # no draw is empty; a plain explode would draw twice, once to test for that
+    drawn = with_drawn_places(drawn, "n", k, F.lit(seed), F.col("sim"), F.col("date")).select("date", "sim", F.explode_outer("places").alias("pos"))
+    # sizes are measured before the draws are made (a row per date and chunk), so only a merge keeps them from being broadcast
+    weekly = drawn.join(names.select("date", "pos", "__x").hint("merge"), ["date", "pos"]).groupBy("sim", "date").agg((F.avg("__x") / divisor).alias("r"))
     # zero returns on the other dates enter through the counts
     total = dates.select("date").distinct().agg(F.count("*").alias("n")).scalar()
     sums = weekly.groupBy("sim").agg(F.sum(F.coalesce("r", F.lit(0.0))).alias("s"), F.sum(F.coalesce(F.col("r") * F.col("r"), F.lit(0.0))).alias("q"))

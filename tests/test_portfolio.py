@@ -308,6 +308,15 @@ def test_random_portfolios_count_short_dates_as_zero(spark):
         assert np.isclose(r.sharpe, np.mean(weekly) / np.std(weekly, ddof=1) * 52 ** 0.5)
 
 
+def test_draws_of_random_portfolios_are_never_broadcast(spark):
+    rows = [(d, f"T{i}", float(i % 3) / 100) for d in ("2024-01-01", "2024-01-08") for i in range(8)]
+    df = spark.createDataFrame(rows, "date string, ticker string, x double")
+    plan = B.random_portfolios(df, df, 5, 30, ret="x")._jdf.queryExecution().executedPlan().toString()
+    met = [line for line in plan.splitlines() if "Join [date#" in line]
+    assert len(met) == 1 and "SortMergeJoin" in met[0], plan
+    assert "> 0) AND isnotnull(aggregate(" not in plan  # and drawn once
+
+
 def test_sticky_label_needs_a_clear_lead(spark):
     probs = [(0.5, 0.3, 0.2), (0.2, 0.5, 0.3), (0.1, 0.2, 0.7), (0.1, 0.1, 0.8), (0.4, 0.3, 0.3)]
     rows = [("x", dt.date(2024, 1, d + 1), *p) for d, p in enumerate(probs)]
