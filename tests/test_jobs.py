@@ -230,6 +230,25 @@ def test_scoring_keeps_rows_with_missing_features(spark):
     assert {r.model for r in got} == {"fallback", "2024-02"} and not [c for c in got[0].asDict() if c.startswith("__")]
 
 
+def test_fits_read_a_table_laid_out_by_its_rows(spark, monkeypatch):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import Imputer, VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+    seen = []
+    fit = Pipeline.fit
+    monkeypatch.setattr(Pipeline, "fit", lambda self, df: seen.append((df.rdd.getNumPartitions(), df.count())) or fit(self, df))
+    df = spark.range(400).selectExpr("date_add(DATE '2024-01-01', int(id % 80)) AS exit_date", "double(id % 7) AS a", "double(id % 7) / 10 AS y").repartition(24, "a", "exit_date")
+    line = Pipeline(stages=[Imputer(inputCols=["a"], outputCols=["__in_a"]), VectorAssembler(inputCols=["__in_a"], outputCol="features"), LinearRegression(labelCol="y")])
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store = D.walk_forward(df, line, "y", ["2024-02", "2024-03"], at_once=2)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+    assert sorted(seen) == [(1, 155), (1, 300)]  # one task a job, all rows known by then
+    assert {r.month: r.train_rows for r in store.table().collect()} == {"2024-02": 155, "2024-03": 300}
+
+
 def test_models_are_stored_and_taken_up_again(spark, tmp_path):
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import Imputer, VectorAssembler
