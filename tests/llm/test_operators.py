@@ -161,6 +161,33 @@ def test_blocked_products_keep_every_pair_over_the_similarity(spark):
     assert len(want) > 100 and want <= got
 
 
+class Tasks:
+    """Stands for a DataFrame of which only the function run in the tasks is wanted."""
+
+    def __getattr__(self, name):
+        return lambda *args: self
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+
+def test_jaccard_tasks_hold_slices_of_a_batch(spark, monkeypatch):
+    import pyarrow as pa
+    from panelwright.llm import jaccard
+    rng = np.random.default_rng(5)
+    texts = [" ".join(map(str, rng.integers(0, 10_000, 150))) for _ in range(1_500)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1_500)), "text": texts, "t": list(range(1_500))})
+    dealt = list(jaccard.incidence(Tasks(), 5, 80, np.zeros(jaccard.BUCKETS, np.uint64)).run(iter([batch])))
+    assert sum(b.num_rows for b in dealt) == 1_500 * jaccard._dealt(146, 80)
+    assert max(len(b.column("doc").unique()) for b in dealt) < 500
+    held, chunks = [], jaccard.chunked
+    monkeypatch.setattr(jaccard, "chunked", lambda column, **how: held.append(len(column)) or chunks(column, **how))
+    pairs = pa.RecordBatch.from_pydict({"a": list(range(1_500)), "b": list(range(1, 1_501)), "text_a": texts, "text_b": [t if i % 3 == 0 else t[::-1] for i, t in enumerate(texts)]})
+    kept = [a for b in jaccard.settle(Tasks(), Tasks(), 5, 80).run(iter([pairs])) for a in b.column("a").to_pylist()]
+    assert kept == list(range(0, 1_500, 3)) and max(held) <= jaccard.PAIRS
+
+
 def test_jaccard_counts_columns_of_two_documents(spark, monkeypatch):
     import pyarrow as pa
     from panelwright.llm import jaccard
