@@ -188,6 +188,58 @@ def test_jaccard_tasks_hold_slices_of_a_batch(spark, monkeypatch):
     assert kept == list(range(0, 1_500, 3)) and max(held) <= jaccard.PAIRS
 
 
+def test_jaccard_keeps_no_shuffle_files_and_stores_no_texts(spark, monkeypatch):
+    import glob
+    import time
+    from panelwright.llm import jaccard
+    dirs = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs())
+    files = lambda: {f for d in dirs for f in glob.glob(f"{d.getPath()}/*/shuffle_*")}
+    stored, store = {}, jaccard.materialise
+    setting = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+
+    def kept(df, name):
+        stored[name], before = df.columns, files()
+        out = store(df, name)
+        for _ in range(100):  # files of a statement that has ended go in the background
+            if not (left := files() - before):
+                break
+            time.sleep(0.1)
+        assert not left
+        return out
+
+    monkeypatch.setattr(jaccard, "materialise", kept)
+    rows = [(i, " ".join(f"w{i // 2}x{j}" for j in range(40))) for i in range(40)]
+    got = {x["doc_id"]: x["component_id"] for x in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(40)}
+    assert "jaccard-columns" in stored and not any("text" in columns for columns in stored.values())
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == setting
+
+
+@pytest.mark.parametrize("moved", [100_000, 30])
+def test_jaccard_blocks_meet_only_where_sizes_fit(spark, monkeypatch, moved):
+    from panelwright.llm import jaccard
+    r = np.random.default_rng(21)
+    common, rows = ["all%d" % i for i in range(40)], []
+    for i in range(160):  # rows of 50 to 400 words over a common part; every fourth is a near copy of the one before
+        own = ["d%dw%d" % (i - (i % 4 == 3), j) for j in range(10 + 350 * ((i - (i % 4 == 3)) % 8) // 7)]
+        if i % 4 == 3:
+            own[r.integers(0, len(own))] = "edit%d" % i
+        rows.append((i, " ".join(common + own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    shared = jaccard.incidence(docs, 5, 80, np.zeros(jaccard.BUCKETS, np.uint64))
+    shared = jaccard.materialise(shared.join(shared.groupBy("g").count().where("count > 1").withColumnRenamed("count", "rows"), "g").withColumn("c", F.col("doc")), "test-sizes")
+    sent = [(*x[:4], x["place"] >> 32) for x in jaccard._blocks(shared, 80, 300).select("x", "y", "own", "g", "place").collect()]
+    sides: dict = {}
+    for x, y, own, g, n in sent:
+        sides.setdefault((x, y, g), ([], []))[int(own == y)].append(n)
+    apart = {k: v for k, v in sides.items() if k[0] != k[1]}
+    assert apart and all(any(100 * min(a, b) >= 80 * max(a, b) for a in left for b in right) for left, right in apart.values())
+    monkeypatch.setattr(jaccard.blocked_products, "__defaults__", (300,))
+    monkeypatch.setattr(jaccard, "MOVED", moved)
+    monkeypatch.setattr(jaccard, "_levels", lambda surveyed: np.zeros(jaccard.BUCKETS, np.uint64))
+    assert {x["doc_id"]: x["component_id"] for x in jaccard_components(docs).collect()} == jaccard_label(rows)
+
+
 def test_jaccard_counts_columns_of_two_documents(spark, monkeypatch):
     import pyarrow as pa
     from panelwright.llm import jaccard
