@@ -269,3 +269,14 @@ def test_models_are_stored_and_taken_up_again(spark, tmp_path):
     got = D.score(df, stored, stored["2024-02"]).collect()
     assert len(got) == len(rows)
     assert {str(r.date)[:7]: r.model for r in got} == {"2024-01": "fallback", "2024-02": "2024-02", "2024-03": "2024-03", "2024-04": "2024-04", "2024-05": "2024-04", "2024-06": "2024-06"}
+
+
+def test_monthly_models_are_fitted_with_all_trees(spark, tiny, monkeypatch):
+    from panelwright.catalog import datasets as catalog
+    asked = []
+    monkeypatch.setattr(D, "walk_forward", lambda rows, line, label, months, **how: asked.append((line.getStages()[-1].getMaxIter(), months)))
+    monkeypatch.setattr(catalog, "STORES", {})
+    rows, _ = catalog.monthly_models(spark, tiny)
+    (trees, months), = asked
+    assert trees == D.regression_pipeline().getStages()[-1].getMaxIter() == 100
+    assert {r["m"] for r in rows.select(F.date_format("date", "yyyy-MM").alias("m")).distinct().collect()} <= set(months)
